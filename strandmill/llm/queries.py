@@ -6,17 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandmill.llm import exact_dedup, mixing, packing, secrets, warc
+from strandmill.llm import exact_dedup, html_text, langid, lm, mixing, packing, secrets, topk, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_read(spark, sf_dir, "embeddings"), k=5, every=50, scale=256)
+
+
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(_read(spark, sf_dir, "pages"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(_read(spark, sf_dir, "documents"), owner="source", repositories=("lang",))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_id(_read(spark, sf_dir, "documents"), folds=5)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_read(spark, sf_dir, "documents"))
 
@@ -25,6 +37,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(_read(spark, sf_dir, "documents"), folds=10)
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = warc.round_trip(_read(spark, sf_dir, "pages"), min_bytes=0)
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -35,7 +51,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_secrets, op6_exact_dedup, op7_packing, op9_warc, op10_mixing)}
+    return {f.__name__: f for f in (op1_top_k, op2_main_text, op3_secrets, op5_language, op6_exact_dedup, op7_packing, op8_lm_score, op9_warc, op10_mixing)}
 
 
 EXACT_DEDUP_SQL = r"""
