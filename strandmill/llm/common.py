@@ -85,3 +85,32 @@ def text_bytes(column: pa.Array, step: int = 256):
 def ascii_words(text: bytes | None) -> list[bytes]:
     """Words of the contracts: bytes.lower() folds A-Z only, and bytes.split() splits at the six ASCII white-space bytes only."""
     return text.lower().split() if text else []
+
+
+def text_key() -> Column:
+    """64-bit hash of the text as it is: with doc_id it tells rows apart."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
+def keep_rows(docs: DataFrame, decided: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
+    """docs without the rows that a decision drops, columns as they were.
+
+    decided is a written table with a row per row of docs: doc_id, th
+    (text_key), kept. The dropped keys are broadcast only if there are at most
+    broadcast_rows of them. Of rows that agree in doc_id and text, of which one
+    was kept, the one that is first as JSON stays.
+    """
+    lost = decided.where("not kept").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
+    kept = decided.where("kept").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"))
+    same = (F.col("l.__id").eqNullSafe(F.col("k.__id"))) & (F.col("l.__th") == F.col("k.__th"))
+    twins = materialize(lost.alias("l").join(kept.alias("k"), same, "left_semi"), "twins")
+    send = F.broadcast if decided.where("not kept").count() <= broadcast_rows else (lambda x: x)
+    keyed = docs.withColumn("__key", text_key())
+    on = lambda side: keyed["doc_id"].eqNullSafe(side["__id"]) & (keyed["__key"] == side["__th"])
+    gone = send(lost)
+    rest = keyed.join(gone, on(gone), "left_anti").select(*docs.columns)
+    if twins.isEmpty():
+        return rest
+    both = keyed.join(twins, on(twins), "left_semi")
+    one = both.groupBy("doc_id", "__key").agg(F.min_by(F.struct(*docs.columns), F.to_json(F.struct(*docs.columns))).alias("__row"))
+    return rest.unionByName(one.select("__row.*"))

@@ -25,11 +25,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.llm.common import materialize, norm_space, skew_safe_join
+from strandmill.llm.common import keep_rows, materialize, norm_space, skew_safe_join, text_key
 
 #: log2 of the number of 64-bit words of the hit filter: at most 2**17 words, 2 MB as rows.
 FILTER_WORDS_LOG2 = 17
-ENTRY = ("__null", "doc_id", "__seq")
 
 
 def digest_of(text, bits: int = 256):
@@ -37,9 +36,9 @@ def digest_of(text, bits: int = 256):
 
 
 def flush_runs(docs: DataFrame, digest=digest_of) -> DataFrame:
-    """One sorted run a partition: doc_id, __seq (tells repeated rows apart), digest, filter hash."""
+    """One sorted run a partition: doc_id, th (hash of the text as it is), __seq (tells repeated rows apart), digest, filter hash."""
     text = norm_space(F.col("text"))
-    runs = docs.select("doc_id", text.alias("__t")).select("doc_id", F.monotonically_increasing_id().alias("__seq"), digest(F.col("__t")).alias("digest"), F.xxhash64("__t").alias("__h"))
+    runs = docs.select("doc_id", text.alias("__t"), text_key().alias("th")).select("doc_id", "th", F.monotonically_increasing_id().alias("__seq"), digest(F.col("__t")).alias("digest"), F.xxhash64("__t").alias("__h"))
     return materialize(runs.sortWithinPartitions("digest"), "runs", **{"parquet.bloom.filter.enabled#digest": "true"})
 
 
@@ -66,8 +65,8 @@ def verify_hits(docs: DataFrame, hits: DataFrame, digest=digest_of) -> DataFrame
     return same.where(F.col("__lo") != F.col("__hi")).select("digest")
 
 
-def exact_groups(docs: DataFrame, digest=digest_of) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
+def exact_groups(docs: DataFrame, digest=digest_of, with_key: bool = False) -> DataFrame:
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, and th with with_key."""
     runs = flush_runs(docs, digest)
     level = materialize(compact(runs).where("group_size > 1"), "level")
     clashes = materialize(verify_hits(docs, level, digest), "clashes")
@@ -76,7 +75,7 @@ def exact_groups(docs: DataFrame, digest=digest_of) -> DataFrame:
         hexed = F.lower(F.hex("digest"))
     else:  # texts of one digest differ: the text joins the key of those rows
         text = norm_space(F.col("text"))
-        full = docs.select("doc_id", text.alias("__t")).select("doc_id", F.monotonically_increasing_id().alias("__seq"), digest(F.col("__t")).alias("digest"), F.xxhash64("__t").alias("__h"), "__t")
+        full = docs.select("doc_id", text.alias("__t"), text_key().alias("th")).select("doc_id", "th", F.monotonically_increasing_id().alias("__seq"), digest(F.col("__t")).alias("digest"), F.xxhash64("__t").alias("__h"), "__t")
         clash = full.join(clashes, "digest", "left_semi")
         full = full.join(clashes, "digest", "left_anti").withColumn("__key", F.col("digest")).unionByName(clash.withColumn("__key", F.concat("digest", F.col("__t").cast("binary"))))
         runs = materialize(full.withColumn("__sha", F.sha2(F.col("__t").cast("binary"), 256)).drop("__t"), "split")
@@ -90,23 +89,10 @@ def exact_groups(docs: DataFrame, digest=digest_of) -> DataFrame:
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         (alone | (F.col("__seq") == F.col("__keep_seq"))).alias("kept"),
         hexed.alias("text_sha256"),
+        *(["th"] if with_key else []),
     )
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """docs without its exact copies: of equal texts the row with the smallest doc_id stays, all columns as they were.
-
-    Rows to drop are found in the index and removed by a join on doc_id and
-    digest; the dropped side is sent to all executors only where Spark finds it
-    small at run time. Rows that repeat a kept doc_id and text are dropped too.
-    """
-    groups = materialize(exact_groups(docs), "groups")
-    lost = groups.where("not kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    twins = groups.where("not kept and (doc_id <=> keep_id)").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    keyed = docs.withColumn("__sha", F.sha2(norm_space(F.col("text")).cast("binary"), 256))
-    rest = keyed.join(lost.alias("l"), F.col("doc_id").eqNullSafe(F.col("__id")) & (keyed["__sha"] == F.col("l.__sha")), "left_anti").select(*docs.columns)
-    if twins.isEmpty():
-        return rest
-    same = keyed.join(twins.alias("t"), F.col("doc_id").eqNullSafe(F.col("__id")) & (keyed["__sha"] == F.col("t.__sha")), "left_semi")
-    one = same.groupBy("doc_id", "__sha").agg(F.min_by(F.struct(*docs.columns), F.to_json(F.struct(*docs.columns))).alias("__row")).select("__row.*")
-    return rest.unionByName(one)
+    """docs without its exact copies: of equal texts the row with the smallest doc_id stays, all columns as they were."""
+    return keep_rows(docs, materialize(exact_groups(docs, with_key=True).select("doc_id", "th", "kept"), "groups"))

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -142,14 +143,14 @@ def language_id(docs: DataFrame, folds: int = 5, train_docs: int = TRAIN_DOCS) -
 
 
 def keep_identified(docs: DataFrame, least: float = 0.0, folds: int = 5) -> DataFrame:
-    """docs whose language is recognised with a score above least, columns as they were, lang set to the prediction."""
+    """docs whose language is recognised with a score above least, columns as they were; a null lang is filled with the prediction."""
     profiles, schema = learn(docs, folds), docs.schema
 
     def task(batches):
         for batch in batches:
             said = [profiles.predict(t) for t in text_bytes(batch.column("text"))]
             keep = pa.array([s[0] != "und" and s[1] > least for s in said])
-            lang = pa.array([s[0] for s in said], batch.schema.field("lang").type)
+            lang = pc.coalesce(batch.column("lang"), pa.array([s[0] for s in said], batch.schema.field("lang").type))
             yield batch.set_column(batch.schema.get_field_index("lang"), batch.schema.field("lang"), lang).filter(keep)
 
     return docs.mapInArrow(task, schema)

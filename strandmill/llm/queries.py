@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandmill.llm import exact_dedup, html_text, langid, lm, mixing, packing, secrets, topk, warc
+from strandmill.llm import exact_dedup, html_text, langid, lm, mixing, ngram_join, packing, secrets, topk, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(_read(spark, sf_dir, "documents"), owner="source", repositories=("lang",))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_documents(_read(spark, sf_dir, "documents"), n=3, num=90, den=100).select("doc_id", "n_shingles", "component_id")
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(_read(spark, sf_dir, "documents"), folds=5)
 
@@ -51,7 +55,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_top_k, op2_main_text, op3_secrets, op5_language, op6_exact_dedup, op7_packing, op8_lm_score, op9_warc, op10_mixing)}
+    return {f.__name__: f for f in (op1_top_k, op2_main_text, op3_secrets, op4_ngram_join, op5_language, op6_exact_dedup, op7_packing, op8_lm_score, op9_warc, op10_mixing)}
 
 
 EXACT_DEDUP_SQL = r"""
