@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from strandmill.functions.dna import count_to
+from strandmill.functions.dna import count_to, let
 
 COMPONENT = "struct<kind:string,pos:bigint,ref:string,alt:string>"
 NONE = f"cast(array() as array<{COMPONENT}>)"
@@ -31,50 +31,57 @@ def component(kind: str, pos: Column, ref: Column, alt: Column) -> Column:
     return F.struct(F.lit(kind).alias("kind"), pos.cast("bigint").alias("pos"), ref.alias("ref"), alt.alias("alt"))
 
 
-def with_event(df, pos: str = "pos", ref: str = "ref", alt: str = "alt"):
-    """df with event_class, components, affected_start and affected_end of each allele."""
-    p, r, a = F.col(pos), F.col(ref), F.col(alt)
-    df = df.withColumn("_pre", common_prefix(r, a)).withColumn("_suf", common_suffix(r, a, F.col("_pre")))
-    pre, suf = F.col("_pre"), F.col("_suf")
-    rcore = F.substr(r, pre + 1, F.length(r) - pre - suf)
-    acore = F.substr(a, pre + 1, F.length(a) - pre - suf)
-    df = df.withColumn("_rc", rcore).withColumn("_ac", acore)
-    rc, ac = F.col("_rc"), F.col("_ac")
-    at = p + pre
+def event_of(pos: Column, ref: Column, alt: Column) -> Column:
+    """Struct of event_class, components, affected_start and affected_end of an allele."""
+
+    def whole(x: Column) -> Column:
+        return let(F.struct(x["p"].alias("p"), x["r"].alias("r"), x["a"].alias("a"), x["pre"].alias("pre"), common_suffix(x["r"], x["a"], x["pre"]).alias("suf")), cores)
+
+    def cores(x: Column) -> Column:
+        cut = lambda s: F.substr(s, x["pre"] + 1, F.length(s) - x["pre"] - x["suf"])
+        return let(F.struct(x["p"].alias("p"), x["r"].alias("r"), x["a"].alias("a"), (x["p"] + x["pre"]).alias("at"), cut(x["r"]).alias("rc"), cut(x["a"]).alias("ac")), parts)
 
     def substitutions(x: Column, y: Column, start: Column, n: Column) -> Column:
         every = F.transform(count_to(n), lambda i: component("SNV", start + i - 1, _char(x, i), _char(y, i)))
         return F.filter(every, lambda c: F.upper(c["ref"]) != F.upper(c["alt"]))
 
-    symbolic = a.rlike("^<.*>$")
-    equal = F.length(r) == F.length(a)
-    core = F.least(F.length(rc), F.length(ac))
-    snvs = substitutions(rc, ac, at, core)
-    tail = F.when(F.length(rc) > core, F.array(component("DEL", at + core, F.substr(rc, core + 1, F.length(rc) - core), F.lit("")))).otherwise(
-        F.array(component("INS", at + F.greatest(core - 1, F.lit(0)), F.lit(""), F.substr(ac, core + 1, F.length(ac) - core)))
-    )
-    parts = (
-        F.when(symbolic, F.array(component("SYMBOLIC", p, r, a)))
-        .when(equal, substitutions(r, a, p, F.length(r)))
-        .when(F.length(rc) == 0, F.array(component("INS", at - 1, F.lit(""), ac)))
-        .when(F.length(ac) == 0, F.array(component("DEL", at, rc, F.lit(""))))
-        .otherwise(F.concat(snvs, tail))
-    )
-    df = df.withColumn("components", parts)
-    n_snv = F.size(F.filter("components", lambda c: c["kind"] == "SNV"))
-    cls = (
-        F.when(symbolic, "symbolic")
-        .when(equal, F.when(n_snv == 0, "reference").when(n_snv == 1, "snp").otherwise("mnv"))
-        .when(F.length(rc) == 0, "insertion")
-        .when(F.length(ac) == 0, "deletion")
-        .when(n_snv > 0, "complex_indel")
-        .otherwise("delins")
-    )
-    whole = symbolic | equal | (F.length(rc) == 0)
-    last = p + F.greatest(F.length(r) - 1, F.lit(0))
-    df = df.withColumn("event_class", cls)
-    df = df.withColumn("affected_start", F.when(whole, p).otherwise(at).cast("bigint")).withColumn("affected_end", F.when(whole, last).otherwise(at + F.greatest(F.length(rc) - 1, F.lit(0))).cast("bigint"))
-    return df.drop("_pre", "_suf", "_rc", "_ac")
+    def parts(x: Column) -> Column:
+        p, r, a, at, rc, ac = (x[k] for k in ("p", "r", "a", "at", "rc", "ac"))
+        core = F.least(F.length(rc), F.length(ac))
+        tail = F.when(F.length(rc) > core, F.array(component("DEL", at + core, F.substr(rc, core + 1, F.length(rc) - core), F.lit("")))).otherwise(
+            F.array(component("INS", at + F.greatest(core - 1, F.lit(0)), F.lit(""), F.substr(ac, core + 1, F.length(ac) - core)))
+        )
+        found = (
+            F.when(a.rlike("^<.*>$"), F.array(component("SYMBOLIC", p, r, a)))
+            .when(F.length(r) == F.length(a), substitutions(r, a, p, F.length(r)))
+            .when(F.length(rc) == 0, F.array(component("INS", at - 1, F.lit(""), ac)))
+            .when(F.length(ac) == 0, F.array(component("DEL", at, rc, F.lit(""))))
+            .otherwise(F.concat(substitutions(rc, ac, at, core), tail))
+        )
+        return let(F.struct(*(x[k].alias(k) for k in ("p", "r", "a", "at", "rc", "ac")), found.alias("c")), named)
+
+    def named(x: Column) -> Column:
+        p, r, a, at, rc, ac, c = (x[k] for k in ("p", "r", "a", "at", "rc", "ac", "c"))
+        symbolic, equal = a.rlike("^<.*>$"), F.length(r) == F.length(a)
+        n = F.size(F.filter(c, lambda k: k["kind"] == "SNV"))
+        cls = (
+            F.when(symbolic, "symbolic")
+            .when(equal, F.when(n == 0, "reference").when(n == 1, "snp").otherwise("mnv"))
+            .when(F.length(rc) == 0, "insertion")
+            .when(F.length(ac) == 0, "deletion")
+            .when(n > 0, "complex_indel")
+            .otherwise("delins")
+        )
+        full = symbolic | equal | (F.length(rc) == 0)
+        end = F.when(full, p + F.greatest(F.length(r) - 1, F.lit(0))).otherwise(at + F.greatest(F.length(rc) - 1, F.lit(0)))
+        return F.struct(cls.alias("event_class"), c.alias("components"), F.when(full, p).otherwise(at).cast("bigint").alias("affected_start"), end.cast("bigint").alias("affected_end"))
+
+    return let(F.struct(pos.cast("bigint").alias("p"), ref.alias("r"), alt.alias("a"), common_prefix(ref, alt).alias("pre")), whole)
+
+
+def with_event(df, pos: str = "pos", ref: str = "ref", alt: str = "alt"):
+    """df with event_class, components, affected_start and affected_end of each allele."""
+    return df.withColumn("_event", event_of(F.col(pos), F.col(ref), F.col(alt))).select("*", "_event.*").drop("_event")
 
 
 def label(c: Column) -> Column:
@@ -132,11 +139,8 @@ def normalise(df, pos: str = "pos", ref: str = "ref", alt: str = "alt"):
     both = df.withColumn("_pos2", F.col(pos) + F.col("_p1")).withColumn("_ref2", F.expr("substr(_r1, _p1 + 1)")).withColumn("_alt2", F.expr("substr(_a1, _p1 + 1)"))
     both = both.withColumn("_pos3", F.col(pos) + F.col("_p0")).withColumn("_ref3", F.expr(f"substr({ref}, _p0 + 1)")).withColumn("_alt3", F.expr(f"substr({alt}, _p0 + 1)"))
 
-    def event_of(d, p, x, y, name):
-        d = with_event(d.drop("event_class", "components", "affected_start", "affected_end"), p, x, y)
-        return d.withColumn(name, labels(F.col("components"))).drop("event_class", "components", "affected_start", "affected_end")
-
-    d = event_of(event_of(event_of(both, pos, ref, alt, "_l1"), "_pos2", "_ref2", "_alt2", "_l2"), "_pos3", "_ref3", "_alt3", "_l3")
+    text = lambda p, x, y: labels(event_of(F.col(p), F.col(x), F.col(y))["components"])
+    d = both.withColumn("_l1", text(pos, ref, alt)).withColumn("_l2", text("_pos2", "_ref2", "_alt2")).withColumn("_l3", text("_pos3", "_ref3", "_alt3"))
     pick = lambda two, three, one: F.when(F.col("_l2") == F.col("_l1"), two).when(F.col("_l3") == F.col("_l1"), three).otherwise(one)
     d = d.withColumn("_np", pick(F.col("_pos2"), F.col("_pos3"), F.col(pos))).withColumn("_nr", pick(F.col("_ref2"), F.col("_ref3"), r)).withColumn("_na", pick(F.col("_alt2"), F.col("_alt3"), a))
     d = d.withColumn(pos, F.col("_np")).withColumn(ref, F.col("_nr")).withColumn(alt, F.col("_na"))

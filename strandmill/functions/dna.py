@@ -39,13 +39,20 @@ def oriented(base: Column, strand: Column) -> Column:
     return F.when(strand == "-", reverse_complement(base)).otherwise(base)
 
 
+def let(value: Column, body) -> Column:
+    """body of value, evaluated once: the plan names it once, however often body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def codon_map(table: int) -> Column:
+    bases = "TCAG"
+    codons = [x + y + z for x in bases for y in bases for z in bases]
+    return F.create_map(*(F.lit(v) for pair in zip(codons, GENETIC_CODES[table], strict=True) for v in pair))
+
+
 def codon_residue(codon: Column, table: int = 11) -> Column:
     """One-letter residue of a codon, X where it is ambiguous or not three bases."""
-    c = F.translate(F.upper(codon), "U", "T")
-    at = [F.instr(F.lit("TCAG"), F.substring(c, i, 1)) - 1 for i in (1, 2, 3)]
-    clean = (F.length(c) == 3) & c.rlike("^[ACGT]{3}$")
-    index = (at[0] * 16 + at[1] * 4 + at[2] + 1).cast("int")
-    return F.when(clean, F.substr(F.lit(GENETIC_CODES[table]), index, F.lit(1))).otherwise(F.lit("X"))
+    return F.coalesce(F.element_at(codon_map(table), F.translate(F.upper(codon), "U", "T")), F.lit("X"))
 
 
 def translate(cds: Column, table: int = 11) -> Column:
