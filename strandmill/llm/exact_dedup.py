@@ -38,7 +38,7 @@ def digest_of(text, bits: int = 256):
 def flush_runs(docs: DataFrame, digest=digest_of) -> DataFrame:
     """One sorted run a partition: doc_id, th (hash of the text as it is), __seq (tells repeated rows apart), digest, filter hash."""
     text = norm_space(F.col("text"))
-    runs = docs.select("doc_id", text.alias("__t"), text_key().alias("th")).select("doc_id", "th", F.monotonically_increasing_id().alias("__seq"), digest(F.col("__t")).alias("digest"), F.xxhash64("__t").alias("__h"))
+    runs = docs.select("doc_id", text.alias("__t"), text_key().alias("th")).select("doc_id", "th", F.monotonically_increasing_id().alias("__seq"), digest(F.col("__t")).alias("digest")).withColumn("__h", F.xxhash64("digest"))
     return materialize(runs.sortWithinPartitions("digest"), "runs", **{"parquet.bloom.filter.enabled#digest": "true"})
 
 
@@ -58,10 +58,9 @@ def hit_filter(hits: DataFrame) -> DataFrame:
 
 def verify_hits(docs: DataFrame, hits: DataFrame, digest=digest_of) -> DataFrame:
     """Digests of hits whose texts are not all the same bytes."""
-    h = F.xxhash64("__t")
-    probed = docs.select(norm_space(F.col("text")).alias("__t")).withColumn("__h", h).withColumn("__word", F.shiftrightunsigned("__h", 64 - FILTER_WORDS_LOG2))
+    probed = docs.select(norm_space(F.col("text")).alias("__t")).withColumn("digest", digest(F.col("__t"))).withColumn("__h", F.xxhash64("digest")).withColumn("__word", F.shiftrightunsigned("__h", 64 - FILTER_WORDS_LOG2))
     passed = probed.join(F.broadcast(hit_filter(hits)), "__word").where(F.expr("shiftrightunsigned(__bits, cast(__h & 63 as int)) & 1 = 1"))
-    same = passed.select(digest(F.col("__t")).alias("digest"), "__t").groupBy("digest").agg(F.min("__t").alias("__lo"), F.max("__t").alias("__hi"))
+    same = passed.select("digest", "__t").groupBy("digest").agg(F.min("__t").alias("__lo"), F.max("__t").alias("__hi"))
     return same.where(F.col("__lo") != F.col("__hi")).select("digest")
 
 
@@ -75,7 +74,7 @@ def exact_groups(docs: DataFrame, digest=digest_of, with_key: bool = False) -> D
         hexed = F.lower(F.hex("digest"))
     else:  # texts of one digest differ: the text joins the key of those rows
         text = norm_space(F.col("text"))
-        full = docs.select("doc_id", text.alias("__t"), text_key().alias("th")).select("doc_id", "th", F.monotonically_increasing_id().alias("__seq"), digest(F.col("__t")).alias("digest"), F.xxhash64("__t").alias("__h"), "__t")
+        full = docs.select("doc_id", text.alias("__t"), text_key().alias("th")).select("doc_id", "th", F.monotonically_increasing_id().alias("__seq"), digest(F.col("__t")).alias("digest"), "__t").withColumn("__h", F.xxhash64("digest"))
         clash = full.join(clashes, "digest", "left_semi")
         full = full.join(clashes, "digest", "left_anti").withColumn("__key", F.col("digest")).unionByName(clash.withColumn("__key", F.concat("digest", F.col("__t").cast("binary"))))
         runs = materialize(full.withColumn("__sha", F.sha2(F.col("__t").cast("binary"), 256)).drop("__t"), "split")
