@@ -35,9 +35,9 @@ def fisher_exact(a: Column, b: Column, c: Column, d: Column) -> Column:
 def linkage(both: Column, first: Column, second: Column, neither: Column) -> Column:
     """Struct of d_prime, r_squared and molecules; null without variance at either site."""
     n = (both + first + second + neither).cast("double")
-    p, q = (both + first) / n, (both + second) / n
-    vp, vq, d = p * (1 - p), q * (1 - q), both / n - p * q
+    p, q = F.try_divide(both + first, n), F.try_divide(both + second, n)
+    vp, vq, d = p * (1 - p), q * (1 - q), F.try_divide(both, n) - p * q
     top = F.when(d >= 0, F.least(p * (1 - q), (1 - p) * q)).otherwise(F.least(p * q, (1 - p) * (1 - q)))
     clip = lambda x, lo: F.least(F.greatest(x, F.lit(lo)), F.lit(1.0))
-    value = F.struct(clip(d / top, -1.0).alias("d_prime"), clip(d * d / (vp * vq), 0.0).alias("r_squared"), n.cast("long").alias("molecules"))
+    value = F.struct(clip(F.try_divide(d, top), -1.0).alias("d_prime"), clip(F.try_divide(d * d, vp * vq), 0.0).alias("r_squared"), n.cast("long").alias("molecules"))
     return F.when((n > 0) & (vp > 0) & (vq > 0) & (top > 0), value)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from strandmill.functions import aa, consequence, dna
 from strandmill.operators.intervals import interval_join
 from strandmill.operators.reference import lookup
+from strandmill.operators.transcripts import coding_sequences, transcript_offsets
 
 
 def with_bounds(genes: DataFrame) -> DataFrame:
@@ -68,6 +69,12 @@ def annotate_codons(combos: DataFrame, reference: DataFrame, table: int = 11, pr
     df = df.withColumn("mut_seq", _mutated(low, F.col("ref_seq"), snvs))
     df = df.withColumn("ref_codon", dna.oriented(F.col("ref_seq"), strand)).withColumn("alt_codon", dna.oriented(F.col("mut_seq"), strand))
     df = df.withColumn("single_codons", F.transform(snvs, lambda s: dna.oriented(F.overlay(F.col("ref_seq"), s["alt"], (s["pos"] - low + 1).cast("int"), F.lit(1)), strand)))
+    return describe_codons(df.drop("ref_seq", "mut_seq"), table, offset)
+
+
+def describe_codons(df: DataFrame, table: int, offset: Column) -> DataFrame:
+    """What follows from ref_codon, alt_codon, single_codons, snvs, strand and aa_local."""
+    strand, snvs = F.col("strand"), F.col("snvs")
     df = df.withColumn("ref_aa", dna.codon_residue(F.col("ref_codon"), table)).withColumn("alt_aa", dna.codon_residue(F.col("alt_codon"), table))
     df = df.withColumn("single_aas", F.transform("single_codons", lambda c: dna.codon_residue(c, table)))
     df = df.withColumn("aa_pos", F.col("aa_local") + offset)
@@ -85,7 +92,26 @@ def annotate_codons(combos: DataFrame, reference: DataFrame, table: int = 11, pr
     base = lambda x: F.when(strand == "-", dna.complement(x)).otherwise(x)
     df = df.withColumn("hgvs_c", consequence.hgvs_substitution(F.transform(snvs, lambda s: F.struct((s["cds"] + offset * 3).alias("pos"), F.upper(base(s["ref"])).alias("ref"), F.upper(base(s["alt"])).alias("alt"))), "c."))
     no = F.lit(False), F.lit(None).cast("string")
-    return df.withColumn("so_term", consequence.so_term(F.col("change_type"), *no, F.lit(1), F.lit(1))).withColumn("impact", consequence.so_impact(F.col("change_type"), *no)).drop("ref_seq", "mut_seq", "single_codons")
+    return df.withColumn("so_term", consequence.so_term(F.col("change_type"), *no, F.lit(1), F.lit(1))).withColumn("impact", consequence.so_impact(F.col("change_type"), *no)).drop("single_codons")
+
+
+def place_on_transcripts(snvs: DataFrame, segments: DataFrame) -> DataFrame:
+    """A row per SNV and codon of a spliced transcript it lies in: codon_start holds the codon's number; a base two segments share lies in two."""
+    rows = transcript_offsets(snvs, segments)
+    k = F.floor(F.col("offset") / 3).cast("long")
+    return rows.withColumn("codon_start", k).withColumn("aa_local", k + 1).withColumn("cds_local", F.col("offset") + 1)
+
+
+def transcript_mnv(snvs: DataFrame, segments: DataFrame, reference: DataFrame, table: int = 11) -> DataFrame:
+    """codon_mnv for spliced transcripts: codons are cut from the joined coding sequence, so they may cross junctions."""
+    combos = alternatives(codon_groups(place_on_transcripts(snvs, segments)))
+    df = combos.join(coding_sequences(segments, reference), "gene_id")
+    at, strand = F.col("codon_start") * 3, F.col("strand")
+    base = lambda x: F.when(strand == "-", dna.complement(x)).otherwise(x)
+    put = lambda c, s: F.overlay(c, base(s["alt"]), (s["cds"] - at).cast("int"), F.lit(1))
+    df = df.withColumn("ref_codon", F.substr("cds", (at + 1).cast("int"), F.lit(3))).where(F.length("ref_codon") == 3).drop("cds")
+    df = df.withColumn("alt_codon", F.aggregate("snvs", F.col("ref_codon"), put)).withColumn("single_codons", F.transform("snvs", lambda s: put(F.col("ref_codon"), s)))
+    return describe_codons(df, table, F.lit(0))
 
 
 def codon_mnv(snvs: DataFrame, genes: DataFrame, reference: DataFrame, table: int = 11) -> DataFrame:

@@ -13,7 +13,8 @@ from strandmill.functions.dna import oriented
 from strandmill.operators.intervals import interval_join
 from strandmill.operators.reference import intervals_sequence
 
-ORDER = Window.partitionBy("gene_id").orderBy("seg_idx")
+def _order():
+    return Window.partitionBy("gene_id").orderBy("seg_idx")
 
 
 def order_segments(rows: DataFrame) -> DataFrame:
@@ -39,7 +40,7 @@ def build_transcripts(cds: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def with_offsets(segments: DataFrame) -> DataFrame:
     """segments with offset0: bases of the transcript before the segment (a running sum)."""
-    before = F.sum(F.col("end") - F.col("start") + 1).over(ORDER.rowsBetween(Window.unboundedPreceding, -1))
+    before = F.sum(F.col("end") - F.col("start") + 1).over(_order().rowsBetween(Window.unboundedPreceding, -1))
     return segments.withColumn("offset0", F.coalesce(before, F.lit(0)).cast("long"))
 
 
@@ -53,7 +54,7 @@ def transcript_offsets(positions: DataFrame, segments: DataFrame) -> DataFrame:
 def introns(segments: DataFrame) -> DataFrame:
     """gene_id, contig, strand, intron (number from 1), start, end, where a real gap separates neighbouring segments."""
     plus = F.col("strand") == "+"
-    nxt = F.struct(F.lead("start").over(ORDER).alias("s"), F.lead("end").over(ORDER).alias("e"))
+    nxt = F.struct(F.lead("start").over(_order()).alias("s"), F.lead("end").over(_order()).alias("e"))
     rows = segments.withColumn("_n", nxt).where("_n.s is not null")
     rows = rows.withColumn("i_start", F.when(plus, F.col("end") + 1).otherwise(F.col("_n.e") + 1)).withColumn("i_end", F.when(plus, F.col("_n.s") - 1).otherwise(F.col("start") - 1))
     return rows.where("i_start <= i_end").select("gene_id", "contig", "strand", (F.col("seg_idx") + 1).cast("int").alias("intron"), F.col("i_start").alias("start"), F.col("i_end").alias("end"))
