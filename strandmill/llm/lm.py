@@ -74,7 +74,7 @@ class Vocabulary:
         self.base = np.log10((self.counts + SMOOTH) / base)
         self.base_log_total = float(np.log10(base))
         rest = self.total - int(self.counts[: self.inside].sum())
-        self.unknown_log_total = float(np.log10(rest + SMOOTH * (self.distinct - self.inside + 1)))
+        self.unknown_log_total = float(np.log10(rest + SMOOTH * (max(0, self.distinct - self.inside) + 1)))
         self.within = np.log10(self.counts + SMOOTH) - self.unknown_log_total
         p = np.empty(self.size)
         p[BEGIN], p[UNKNOWN], p[FIRST:] = 0, rest + SMOOTH, self.counts[: self.inside] + SMOOTH
