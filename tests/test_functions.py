@@ -48,7 +48,7 @@ def test_labels_round_trip_and_normalise(spark):
     e = alleles.with_event(df).withColumn("c", F.explode("components")).withColumn("l", alleles.label(F.col("c")))
     assert all(r.c == r.b for r in e.withColumn("b", alleles.parse_label(F.col("l"))).collect())
     n = {(r.pos, r.ref, r.alt) for r in alleles.normalise(spark.createDataFrame([(5, "CAAG", "CAG"), (7, "GTT", "GAT"), (3, "A", "C")], "pos long, ref string, alt string")).collect()}
-    assert n == {(5, "CAA", "CA"), (8, "T", "A"), (3, "A", "C")} or (3, "A", "C") in n
+    assert n == {(7, "AG", "G"), (8, "T", "A"), (3, "A", "C")}
 
 
 def test_fisher_and_linkage(spark):

@@ -45,9 +45,11 @@ def test_entry(spark):
 
 
 def test_interval_join_is_not_nested_loops(spark):
-    from strandmill.operators.codons import place_snvs
-    from strandmill.plans.fixture import Genome
-
-    g = Genome(spark, SF)
-    plan = place_snvs(g.snvs(), g.genes())._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastNestedLoopJoin" not in plan.replace("BroadcastNestedLoopJoin BuildRight, Cross", "") or "HashJoin" in plan or "SortMergeJoin" in plan
+    from strandmill.operators.intervals import interval_join
+
+    left = spark.createDataFrame([("c", i * 700, i * 700 + 900, i) for i in range(50)], "contig string, a long, b long, i int")
+    right = spark.createDataFrame([("c", j * 500, j * 500 + 3000, j) for j in range(60)], "contig string, x long, y long, j int")
+    found = interval_join(left, right, "contig", "a", "b", "x", "y")
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    want = sorted((i, j) for i in range(50) for j in range(60) if i * 700 <= j * 500 + 3000 and j * 500 <= i * 700 + 900)
+    assert sorted((r.i, r.j) for r in found.collect()) == want
