@@ -1,7 +1,6 @@
 """The pipeline against a plain-Python version on a small folder."""
 
 import re
-import zlib
 from collections import Counter
 
 import pytest
@@ -55,4 +54,3 @@ def test_run_matches_stages(spark, folder):
     assert corpus_pipeline.ORACLE_SQL is None
     got = corpus_pipeline.run(spark, at)
     assert got.count() == corpus_pipeline.run(spark, at).count() > 0
-    assert zlib.crc32(b"x") >= 0
