@@ -15,8 +15,10 @@ once a task. Frequent tokens, found over all documents (at most
 HEAVY_TOKENS of them, broadcast), come last in the order, and their posting
 lists are split. A long list is not paired out: its members meet its first
 pivots, which connects a group of near copies; then a sweep pairs exactly those
-members of long lists that are still in different components. So no link is
-lost, and there is no cap on candidates.
+members of long lists that are still in different components. Split lists count
+as long however few members a part has: parts follow the copies of a token, of
+which exact ones are a single class. So no link is lost, and there is no cap on
+candidates.
 
 Tokens are 64-bit hashes of n-grams of whole texts, classes 64-bit hashes of
 sets; equality of hashes stands for equality.
@@ -177,7 +179,7 @@ def heavy_tokens(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def postings(docs: DataFrame, n: int, num: int, den: int, heavy: tuple[np.ndarray, np.ndarray], list_rows: int = LIST_ROWS) -> DataFrame:
-    """token, sub (part of a split list), cls, n, pos: every class under its prefix tokens."""
+    """token, sub (0, or the part of a split list, from 1), cls, n, pos: every class under its prefix tokens."""
     sent = docs.sparkSession.sparkContext.broadcast(heavy)
     schema = pa.schema([("token", pa.int64()), ("sub", pa.int32()), ("cls", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
 
@@ -206,7 +208,7 @@ def postings(docs: DataFrame, n: int, num: int, den: int, heavy: tuple[np.ndarra
                     order = np.argsort(often, kind="stable")[:p]
                     t, at, often = t[order], at[order], often[order]
                     parts[often] = -(-count[at[often]] // list_rows)
-                held.append((t[:p], ((c & 0x7FFFFFFF) % parts).astype(np.int32), np.full(p, c, np.int64), np.full(p, s, np.int32), np.arange(p, dtype=np.int32)))
+                held.append((t[:p], np.where(parts > 1, (c & 0x7FFFFFFF) % parts + 1, 0).astype(np.int32), np.full(p, c, np.int64), np.full(p, s, np.int32), np.arange(p, dtype=np.int32)))
                 rows += p
                 if rows > 50_000:
                     yield flush(held)
@@ -242,7 +244,7 @@ CANDIDATE_DDL = "kind byte, a long, b long, n int, pos int"
 
 
 def scan_lists(posted: DataFrame, num: int, den: int, short: int = SHORT_LIST, pivots: int = PIVOTS) -> DataFrame:
-    """CANDIDATE rows of posting lists: kind 0 pairs (a < b), kind 1 members of long lists (a token, b class), kind 2 pivots of split lists."""
+    """CANDIDATE rows of posting lists: kind 0 pairs (a < b), kind 1 members of long lists and of all parts of split ones (a token, b class), kind 2 their pivots."""
 
     def task(batches):
         held, rows, open_ = [], 0, None  # open_: (token, sub, pivots) of a long list that goes on
@@ -284,7 +286,7 @@ def scan_lists(posted: DataFrame, num: int, den: int, short: int = SHORT_LIST, p
                 a, b = _pairs(c, i, i + d)
                 pa_.append(a)
                 pb.append(b)
-            for k in np.flatnonzero((size > short) | ((np.arange(len(size)) == 0) & goes_on)):
+            for k in np.flatnonzero((size > short) | (sub[first] > 0) | ((np.arange(len(size)) == 0) & goes_on)):
                 lo, hi = first[k], first[k] + size[k]
                 if lo >= stop:
                     continue
@@ -293,7 +295,7 @@ def scan_lists(posted: DataFrame, num: int, den: int, short: int = SHORT_LIST, p
                     piv = open_[2]
                 else:
                     piv = tuple(x[:pivots] for x in mine)
-                    s = len(piv[0]) // 2
+                    s = (len(piv[0]) + 1) // 2
                     out.append(pa.RecordBatch.from_arrays([pa.array(np.full(s, 2, np.int8)), pa.array(np.full(s, tok[lo])), pa.array(piv[0][:s]), pa.array(piv[1][:s]), pa.array(piv[2][:s])], schema=CANDIDATE))
                 open_ = (tok[lo], sub[lo], piv)
                 for q in range(len(piv[0])):

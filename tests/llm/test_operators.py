@@ -132,6 +132,16 @@ def test_ngram_join_long_lists(spark):
         assert sorted(got) == sorted(brute_components(rows, 3, 90))
 
 
+def test_ngram_join_copies_split_lists(spark):
+    """Copies of one text split the lists into parts that hold a class or two; near copies in other parts are linked all the same."""
+    base = [f"b{i}" for i in range(200)]
+    rows = [(d, " ".join(base), "en", "a") for d in range(100)]
+    rows += [(200 + d, " ".join([*base[: 20 * d], f"edit{d}", *base[20 * d + 1 :]]), "en", "a") for d in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.link_documents(df, 3, 90, 100, list_rows=8).collect()]
+    assert sorted(got) == sorted(brute_components(rows, 3, 90))
+
+
 def test_ngram_join_empty(none):
     assert ngram_join.link_documents(none).count() == 0
 
