@@ -1,20 +1,26 @@
 """LM scoring: a log-bilinear neural model trained in numpy with noise-contrastive estimation.
 
-Word counts cover all training documents. The most frequent words form the
-model's vocabulary; all others share one unknown class, whose words are told
-apart by their smoothed counts. The representation of the next word is
-predicted from the representations of the two words before it through diagonal
-context matrices; each task trains on all its training documents by minibatch
-NCE with noise from the unigram distribution, and the tasks' parameters are
-averaged by their tokens.
-
-Scores are normalised: with both context terms in the logit, the normaliser of
+Word counts cover all training documents. Every word that occurs LEAST times
+(and the most frequent ones of a small corpus) is in the model's vocabulary,
+which so grows with the training documents without a cap; all others share one
+unknown class, whose words are told apart by their smoothed counts. The
+representation of the next word is predicted from the representations of the
+two words before it through diagonal context matrices; each task trains on all
+its training documents by minibatch NCE with noise from the unigram
+distribution, and the tasks' parameters are averaged word by word, by how often
+each task used the word.
+
+Scores are normalised. Words are dealt to classes of about the square root of
+the vocabulary by their rank; classes have vectors and NCE of their own, and a
+word's probability is its class's among the classes times its own within the
+class, so a token costs two sums of that length. A vocabulary of at most DENSE
+words is one class: with both context terms in the logit, the normaliser of
 every context pair is one entry of a matrix product of the exponentiated terms,
 so a token's log-probability is four table look-ups.
 
-Counts of frequent words (at most TOP_WORDS) are broadcast; the other words of
-a document are joined to their counts, none of them holding more than
-1/TOP_WORDS of all tokens.
+Counts of frequent words (those of the model, and TOP_WORDS at least) are
+broadcast; the other words of a document are joined to their counts, none of
+them holding more than 1/TOP_WORDS of all tokens.
 
 Defined results: null text is empty and consists of the end token alone; rows
 are scored each for itself; with no training document every count is 0; null
@@ -34,8 +40,8 @@ from pyspark.sql import functions as F
 
 from strandmill.llm.common import ascii_words, held_out, materialize, text_bytes
 
-#: Words whose counts are broadcast; model vocabulary, width, noise words a batch, tokens a batch, learning rate.
-TOP_WORDS, VOCAB, WIDTH, NOISE, BATCH, RATE = 300_000, 1024, 24, 24, 4096, 0.15
+#: Words whose counts are broadcast at least; occurrences that bring a word into the model, words of one class at most; width, noise words a batch, tokens a batch, learning rate.
+TOP_WORDS, LEAST, DENSE, WIDTH, NOISE, BATCH, RATE = 300_000, 16, 1024, 24, 24, 4096, 0.15
 BEGIN, UNKNOWN, FIRST = 0, 1, 2
 END = b""
 COUNTER_WORDS = 300_000
@@ -64,12 +70,11 @@ def count_words(train: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """Broadcast side: index of the top words, their counts, and totals over all training tokens."""
+    """Broadcast side: index of the top words, the first of them the model's, their counts, and totals over all training tokens."""
 
-    def __init__(self, words: list[bytes], counts: list[int], total: int, distinct: int, vocab: int = VOCAB):
+    def __init__(self, words: list[bytes], counts: list[int], total: int, distinct: int, inside: int):
         self.words, self.counts, self.total, self.distinct = words, np.array(counts, np.int64), total, distinct
-        self.size = min(vocab, len(words) + FIRST)
-        self.inside = self.size - FIRST
+        self.inside, self.size = inside, inside + FIRST
         base = self.total + SMOOTH * (self.distinct + 1)
         self.base = np.log10((self.counts + SMOOTH) / base)
         self.base_log_total = float(np.log10(base))
@@ -98,44 +103,54 @@ class Vocabulary:
 
 
 class LogBilinear:
-    """Parameters: word vectors for context and target, two diagonal context matrices, biases."""
+    """Parameters: word vectors for context and target, two diagonal context matrices, biases. Classes are targets behind the words."""
 
-    def __init__(self, unigram: np.ndarray, width: int = WIDTH, seed: int = 3):
+    def __init__(self, unigram: np.ndarray, width: int = WIDTH, seed: int = 3, dense: int = DENSE):
         rng, v = np.random.default_rng(seed), len(unigram)
+        self.block = v if v <= dense else int(np.ceil(np.sqrt(v)))
+        levels = [unigram] if v <= self.block else [unigram, np.add.reduceat(unigram, np.arange(0, v, self.block))]
+        out = np.concatenate(levels)
         self.p = {
             "r": rng.normal(0, 0.3, (v, width)).astype(np.float32),
-            "q": rng.normal(0, 0.1, (v, width)).astype(np.float32),
+            "q": rng.normal(0, 0.1, (len(out), width)).astype(np.float32),
             "c": np.ones((2, width), np.float32) * np.array([[1.0], [0.5]], np.float32),
-            "b": np.log(np.maximum(unigram, 1e-12)).astype(np.float32),
+            "b": np.log(np.maximum(out, 1e-12)).astype(np.float32),
         }
-        self.noise = unigram
+        self.log_noise = self.p["b"].copy()
+        self.steps = [np.cumsum(u) / u.sum() for u in levels]
         self.sq = {k: np.full_like(x, 1e-2) for k, x in self.p.items()}
+        self.uses = np.zeros(len(out), np.int64)
+        self.ready = None
 
     def step(self, ctx: np.ndarray, target: np.ndarray, rng: np.random.Generator, noise: int = NOISE, rate: float = RATE) -> None:
-        """One NCE step. ctx: (n, 2) model ids, nearest first; noise words are shared by the batch."""
-        p, v = self.p, len(self.noise)
-        k = rng.choice(v, noise, p=self.noise)
+        """One NCE step of words and of classes. ctx: (n, 2) model ids, nearest first; noise words are shared by the batch."""
+        p, v = self.p, len(self.p["r"])
         near, far = p["r"][ctx[:, 0]], p["r"][ctx[:, 1]]
         h = near * p["c"][0] + far * p["c"][1]
-        log_kn = np.log(noise * np.maximum(self.noise, 1e-12)).astype(np.float32)
-        st = np.einsum("nd,nd->n", h, p["q"][target]) + p["b"][target] - log_kn[target]
-        sn = h @ p["q"][k].T + p["b"][k] - log_kn[k]
-        gt = (1 / (1 + np.exp(-np.clip(st, -30, 30))) - 1).astype(np.float32)  # of the loss by the score
-        gn = (1 / (1 + np.exp(-np.clip(sn, -30, 30)))).astype(np.float32)
-        gh = gt[:, None] * p["q"][target] + gn @ p["q"][k]
-        gq = _rows(target, gt[:, None] * h, v)
-        np.add.at(gq, k, gn.T @ h)
-        gb = np.bincount(target, gt, v)
-        np.add.at(gb, k, gn.sum(0))
-        gr = _rows(ctx[:, 0], gh * p["c"][0], v) + _rows(ctx[:, 1], gh * p["c"][1], v)
+        gh, at, gq = np.zeros_like(h), [], []
+        for level, steps in enumerate(self.steps):
+            goal = target if not level else v + target // self.block
+            k = level * v + np.minimum(np.searchsorted(steps, rng.random(noise), side="right"), len(steps) - 1)
+            log_kn = np.float32(np.log(noise))
+            st = np.einsum("nd,nd->n", h, p["q"][goal]) + p["b"][goal] - self.log_noise[goal] - log_kn
+            sn = h @ p["q"][k].T + p["b"][k] - self.log_noise[k] - log_kn
+            gt = (1 / (1 + np.exp(-np.clip(st, -30, 30))) - 1).astype(np.float32)  # of the loss by the score
+            gn = (1 / (1 + np.exp(-np.clip(sn, -30, 30)))).astype(np.float32)
+            gh += gt[:, None] * p["q"][goal] + gn @ p["q"][k]
+            at += [goal, k]
+            gq += [np.column_stack((gt[:, None] * h, gt)), np.column_stack((gn.T @ h, gn.sum(0)))]
+        at, gq, times = _rows(np.concatenate(at), np.concatenate(gq))
+        near_far, gr, used = _rows(ctx.T.ravel(), np.concatenate((gh * p["c"][0], gh * p["c"][1])))
         gc = np.stack(((gh * near).sum(0), (gh * far).sum(0)))
-        for name, g in (("q", gq), ("b", gb), ("r", gr), ("c", gc)):
+        self.uses[at] += times
+        self.uses[near_far] += used
+        for name, rows, g in (("q", at, gq[:, :-1]), ("b", at, gq[:, -1]), ("r", near_far, gr), ("c", slice(None), gc)):
             g = (g / np.float32(np.sqrt(len(target)))).astype(np.float32)
-            self.sq[name] += g * g
-            p[name] -= np.float32(rate) * g / np.sqrt(self.sq[name])
+            self.sq[name][rows] += g * g
+            p[name][rows] -= np.float32(rate) * g / np.sqrt(self.sq[name][rows])
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(near, far, norm): log10 p(w | near a, far b) = near[a, w] + far[b, w] - norm[a, b]; the begin mark has probability 0."""
+        """(near, far, norm) of a single class: log10 p(w | near a, far b) = near[a, w] + far[b, w] - norm[a, b]; the begin mark has probability 0."""
         p = {k: x.astype(np.float64) for k, x in self.p.items()}
         near = (p["r"] * p["c"][0]) @ p["q"].T + p["b"]
         far = (p["r"] * p["c"][1]) @ p["q"].T
@@ -144,15 +159,45 @@ class LogBilinear:
         norm = np.log(np.exp(near - a) @ np.exp(far - b).T) + a + b.T
         return tuple((x / np.log(10)).astype(np.float32) for x in (near, far, norm))
 
+    def log_probs(self, ctx: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """log10 p of each target after its context."""
+        v, one = len(self.p["r"]), len(self.steps) == 1
+        if self.ready is None:  # the parameters are final
+            self.ready = self.tables() if one else np.column_stack((self.p["q"], self.p["b"]))
+            if not one:
+                self.ready[BEGIN, -1] = -1e4
+        if one:
+            near, far, norm = self.ready
+            return near[ctx[:, 0], target] + far[ctx[:, 1], target] - norm[ctx[:, 0], ctx[:, 1]]
+        h = self.p["r"][ctx[:, 0]] * self.p["c"][0] + self.p["r"][ctx[:, 1]] * self.p["c"][1]
+        h = np.column_stack((h, np.ones(len(h), np.float32)))
+        group = target // self.block
+        out = np.einsum("nd,nd->n", h, self.ready[target] + self.ready[v + group]) - _log_total(h, self.ready[v:])
+        order = np.argsort(group, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+            if len(at):
+                s = int(group[at[0]]) * self.block
+                out[at] -= _log_total(h[at], self.ready[s : min(s + self.block, v)])
+        return out / np.float32(np.log(10))
+
+
+def _log_total(h: np.ndarray, q: np.ndarray, rows: int = 2048) -> np.ndarray:
+    """Logarithm of the sum of exp(h . q) over the rows of q."""
+    out = np.empty(len(h), np.float32)
+    for s in range(0, len(h), rows):
+        x = h[s : s + rows] @ q.T
+        top = x.max(1, keepdims=True)
+        x -= top
+        out[s : s + rows] = np.log(np.exp(x, out=x).sum(1)) + top[:, 0]
+    return out
+
 
-def _rows(at: np.ndarray, g: np.ndarray, v: int) -> np.ndarray:
-    """Sums of the rows of g by index."""
+def _rows(at: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct indices, the sums of their rows of g, and how often they occur."""
     order = np.argsort(at, kind="stable")
     at = at[order]
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    out = np.zeros((v, g.shape[1]), np.float32)
-    out[at[first]] = np.add.reduceat(g[order], first, axis=0)
-    return out
+    return at[first], np.add.reduceat(g[order], first, axis=0), np.diff(np.append(first, len(at)))
 
 
 def contexts(ids: np.ndarray) -> np.ndarray:
@@ -161,16 +206,17 @@ def contexts(ids: np.ndarray) -> np.ndarray:
     return np.stack((pad[1:-1], pad[:-2]), 1)
 
 
-def train_model(train: DataFrame, vocabulary: Vocabulary) -> LogBilinear:
-    """One NCE pass of every task over its texts; parameters averaged by tokens."""
+def train_model(train: DataFrame, vocabulary: Vocabulary, dense: int = DENSE) -> LogBilinear:
+    """One NCE pass of every task over its texts. A task sends the rows that it used: word or class (-1: context matrices), uses, values."""
     spark = train.sparkSession
-    model = LogBilinear(vocabulary.unigram)
-    sent = spark.sparkContext.broadcast((vocabulary, model))
-    names = list(model.p)
+    model = LogBilinear(vocabulary.unigram, dense=dense)
+    sent = spark.sparkContext.broadcast(vocabulary)
+    v, width = len(model.p["r"]), 2 * WIDTH + 1
+    schema = pa.schema([("id", pa.int32()), ("n", pa.int64()), ("w", pa.binary())])
 
     def task(batches):
-        vocab, m = sent.value
-        m = LogBilinear(vocab.unigram)
+        vocab = sent.value
+        m = LogBilinear(vocab.unigram, dense=dense)
         rng, ctx, tgt, held, n = np.random.default_rng(TaskContext.get().partitionId()), [], [], 0, 0
         for batch in batches:
             for text in text_bytes(batch.column("text")):
@@ -188,63 +234,91 @@ def train_model(train: DataFrame, vocabulary: Vocabulary) -> LogBilinear:
             m.step(np.concatenate(ctx), np.concatenate(tgt), rng)
             n += held
         if n:
-            flat = np.concatenate([m.p[k].ravel() for k in names]).astype(np.float64) * n
-            for i, part in enumerate(np.array_split(flat, 64)):
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([n], pa.int64()), pa.array([part], pa.list_(pa.float64()))], names=["i", "n", "w"])
-
-    # the parts of equal number are added up element by element, in 64 keys: each task sends one short array a key
-    parts = train.select("text").mapInArrow(task, "i int, n long, w array<double>")
-
-    def add(key, pdf):
-        import pandas as pd
-
-        return pd.DataFrame({"i": [int(key[0])], "n": [int(pdf["n"].sum())], "w": [np.sum(np.stack(pdf["w"].to_list()), 0)]})
-
-    rows = parts.groupBy("i").applyInPandas(add, "i int, n long, w array<double>").orderBy("i").collect()
-    if rows:
-        flat, at = np.concatenate([np.array(r.w) for r in rows]) / rows[0].n, 0
-        for k in names:
-            model.p[k] = flat[at : at + model.p[k].size].reshape(model.p[k].shape).astype(np.float32)
-            at += model.p[k].size
+            yield pack(np.array([-1]), np.array([n]), np.column_stack((m.p["c"].reshape(1, -1), [[0.0]])))
+            used = np.flatnonzero(m.uses)
+            for s in range(0, len(used), 10_000):
+                at = used[s : s + 10_000]
+                r = np.zeros((len(at), WIDTH), np.float32)
+                r[at < v] = m.p["r"][at[at < v]]
+                yield pack(at, m.uses[at], np.column_stack((r, m.p["q"][at], m.p["b"][at])))
+
+    def pack(at, n, w):
+        w = np.ascontiguousarray(w, np.float32)
+        return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n.astype(np.int64)), pa.array([x.tobytes() for x in w], pa.binary())], schema=schema)
+
+    def add(batches):
+        held, rows = [], 0
+
+        def merged():
+            at, w, _ = _rows(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
+            return [(at, w)], len(at)
+
+        limit = 50_000
+        for batch in batches:
+            if batch.num_rows:
+                n = batch.column("n").to_numpy().astype(np.float64)[:, None]
+                w = np.frombuffer(b"".join(batch.column("w").to_pylist()), np.float32).reshape(-1, width)
+                held.append((batch.column("id").to_numpy(), np.column_stack((w * n, n))))
+                rows += batch.num_rows
+                if rows > limit:
+                    held, rows = merged()
+                    limit = 50_000 + 2 * rows
+        if held:
+            (at, w), = merged()[0]
+            yield pack(at, w[:, -1], w[:, :-1] / w[:, -1:])
+
+    ddl = "id int, n long, w binary"
+    rows = materialize(train.select("text").mapInArrow(task, ddl).repartition("id").mapInArrow(add, ddl), "parameters").select("id", "w").toArrow()
+    if rows.num_rows:
+        at = rows.column("id").to_numpy()
+        w = np.frombuffer(b"".join(rows.column("w").to_pylist()), np.float32).reshape(-1, width)
+        word, target = (at >= 0) & (at < v), at >= 0
+        model.p["r"][at[word]] = w[word, :WIDTH]
+        model.p["q"][at[target]], model.p["b"][at[target]] = w[target, WIDTH:-1], w[target, -1]
+        model.p["c"] = w[at < 0][0, :-1].reshape(2, WIDTH)
+    model.sq = model.uses = model.log_noise = None
     sent.unpersist()
     return model
 
 
-def score_documents(docs: DataFrame, folds: int = 10, top_words: int = TOP_WORDS) -> DataFrame:
+def score_documents(docs: DataFrame, folds: int = 10, top_words: int = TOP_WORDS, least: int = LEAST, dense: int = DENSE) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), folds).alias("held_out"), "text")
     train = marked.where(~F.col("held_out"))
     words = count_words(train)
-    total = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    top = words.orderBy(F.desc("n"), "word").limit(top_words).toArrow()
+    total = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), F.count(F.when(F.col("n") >= least, 1)).alias("often")).first()
+    inside = max(total.often, min(total.v, dense - FIRST))
+    top = words.orderBy(F.desc("n"), "word").limit(max(top_words, inside)).toArrow()
     names, counts = top.column("word").to_pylist(), top.column("n").to_pylist()
     if END not in names:  # no training document, or more frequent words than top_words
         names, counts = [*names, END], [*counts, 0]
-    vocab = Vocabulary(names, counts, total.n or 0, total.v)
-    model = train_model(train, vocab)
+    vocab = Vocabulary(names, counts, total.n or 0, total.v, inside)
+    model = train_model(train, vocab, dense)
     sent = spark.sparkContext.broadcast((vocab, model))
     schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("word", pa.binary()), ("tf", pa.int64())])
 
     def task(batches):
         v, m = sent.value
-        near, far, norm = m.tables()
         for batch in batches:
-            main, tail = [], []
+            main, tail, ctx, tgt, sizes, within = [], [], [], [], [], []
             for rid, doc, held, text in zip(*(batch.column(c).to_pylist() for c in ("rid", "doc_id", "held_out")), text_bytes(batch.column("text")), strict=True):
                 tokens = [*ascii_words(text), END]
                 ids = v.ids(tokens)
                 mid = v.model_ids(ids)
-                score = 0.0
-                for s in range(0, len(mid), 1 << 16):
-                    pad = np.concatenate((np.full(2, BEGIN), mid))[s : s + (1 << 16) + 2]
-                    a, b, w = pad[1:-1], pad[:-2], pad[2:]
-                    score += float((near[a, w] + far[b, w] - norm[a, b]).sum(dtype=np.float64))
+                ctx.append(contexts(mid))
+                tgt.append(mid)
+                sizes.append(len(mid))
                 known = ids[ids >= 0]
-                score += float(v.within[known[known >= v.inside]].sum())
-                main.append((rid, doc, held, len(tokens), int((v.counts[known] > 0).sum()), float(v.base[known].sum()), score))
+                within.append(float(v.within[known[known >= v.inside]].sum()))
+                main.append((rid, doc, held, len(tokens), int((v.counts[known] > 0).sum()), float(v.base[known].sum())))
                 if len(known) < len(ids):
                     tail.append((rid, Counter(tokens[i] for i in np.flatnonzero(ids < 0))))
+            if main:
+                ctx, tgt = np.concatenate(ctx), np.concatenate(tgt)
+                logs = np.concatenate([m.log_probs(ctx[s : s + (1 << 16)], tgt[s : s + (1 << 16)]) for s in range(0, len(tgt), 1 << 16)])
+                score = np.bincount(np.repeat(np.arange(len(sizes)), sizes), logs) + within
+                main = [(*x, y) for x, y in zip(main, score.tolist(), strict=True)]
             if main:
                 cols = [pa.array(list(c), t.type) for c, t in zip(zip(*main, strict=True), schema, strict=False)]
                 yield pa.RecordBatch.from_arrays([*cols, pa.nulls(len(main), pa.binary()), pa.nulls(len(main), pa.int64())], schema=schema)

@@ -191,6 +191,33 @@ def test_lm_is_normalised():
         assert abs((10.0 ** (near[a].astype(float) + far[b] - norm_[a, b])).sum() - 1) < 1e-3
 
 
+def test_lm_classes_are_normalised():
+    m = lm.LogBilinear(np.array([0, *[1.0] * 9]) / 9, width=4, dense=5)
+    rng = np.random.default_rng(0)
+    ctx, tgt = rng.integers(0, 10, (500, 2)), rng.integers(1, 10, 500)
+    for _ in range(20):
+        m.step(ctx, tgt, rng)
+    assert m.block == 4 and len(m.p["q"]) == 13
+    for a, b in itertools.product(range(10), repeat=2):
+        p = 10.0 ** m.log_probs(np.array([[a, b]] * 10), np.arange(10)).astype(float)
+        assert abs(p.sum() - 1) < 1e-3 and p[0] == 0
+
+
+def test_lm_vocabulary_grows(spark):
+    """Words behind the first 1022 have vectors of their own: one that always follows another is expected there."""
+    from collections import Counter
+
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"a{j} b{j}" for j in rng.integers(0, 1000, 100))) for i in range(3000)]
+    rows += [(100_000 + 2 * i + k, f"a{i} b{(i + 500 * k) % 1000}") for i in range(1000) for k in range(2)]
+    held = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 10 == 0}
+    train = Counter(w for i, t in rows if i not in held for w in [*t.split(), ""])
+    late = set(sorted(train, key=lambda w: (-train[w], w))[1022:])
+    got = {r.doc_id: r.score for r in lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    mean = lambda k: np.mean([got[i] for i, t in rows if i >= 100_000 and i % 2 == k and i in held and set(t.split()) <= late])
+    assert mean(0) > mean(1) + 0.5
+
+
 def test_lm_empty(none):
     assert lm.score_documents(none).count() == 0
 
