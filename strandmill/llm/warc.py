@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from strandmill.llm.common import materialize, scratch_path, skew_safe_join, text_bytes
 
 MAGIC = b"\x1f\x8b\x08"
-#: Bytes of one range, of one read, and of the start of a member that is inflated to validate it.
-SPLIT_BYTES, READ_BYTES, PEEK_BYTES = 8 << 20, 1 << 20, 4096
+#: Bytes of one range, of one read, and of the start of a member that is inflated to validate it; pages that are broadcast at most.
+SPLIT_BYTES, READ_BYTES, PEEK_BYTES, BROADCAST_PAGES = 8 << 20, 1 << 20, 4096, 100_000
 RECORD = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string())])
 RECORD_DDL = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
 
@@ -189,12 +189,12 @@ def digest_rows(pages: DataFrame) -> DataFrame:
 
 
 def decide_types(digests: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """page_id, digest, refers_to, revisit per distinct page_id and digest: the largest page_id of equal payloads of at least min_bytes answers."""
+    """page_id, digest, refers_to, revisit, k (rows) per distinct page_id and digest: the largest page_id of equal payloads of at least min_bytes answers."""
     one = materialize(digests.groupBy("digest", "page_id", "bytes").agg(F.count(F.lit(1)).alias("k")), "pages")
     groups = one.where(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("answer"), F.count(F.lit(1)).alias("n"), F.sum("k").alias("rows"))
     groups = materialize(groups.where("rows > 1"), "groups")
     rows = skew_safe_join(one, groups, "digest", "n", total=one.count())
-    return rows.select("page_id", "digest", F.col("answer").alias("refers_to"), F.coalesce(~F.col("answer").eqNullSafe(F.col("page_id")) & F.col("n").isNotNull(), F.lit(False)).alias("revisit"), F.coalesce("rows", F.lit(1)).alias("rows"))
+    return rows.select("page_id", "digest", F.col("answer").alias("refers_to"), F.coalesce(~F.col("answer").eqNullSafe(F.col("page_id")) & F.col("n").isNotNull(), F.lit(False)).alias("revisit"), "k")
 
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, level: int = 3) -> DataFrame:
@@ -205,22 +205,26 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, level: int
     payload = F.coalesce(F.col("html"), F.lit(""))
     own = pages.select("page_id", "url", payload.alias("html"), F.unhex(F.sha1(payload.cast("binary"))).alias("digest"))
     same = F.col("a.page_id").eqNullSafe(F.col("b.page_id")) & (F.col("a.digest") == F.col("b.digest"))
-    joined = own.alias("a").join(types.alias("b"), same).select("a.page_id", "a.url", "a.html", "a.digest", "b.refers_to", "b.revisit", "b.rows")
+    meet = lambda of: own.alias("a").join(of.alias("b"), same).select("a.page_id", "a.url", "a.html", "a.digest", "b.refers_to", "b.revisit")
+    # rows that repeat the page_id and payload of an answer are written once with a number: the first answers, wherever they meet
+    repeats = materialize(types.where("k > 1 and not revisit"), "repeats")
+    n = repeats.count()
+    joined = meet(types.where("k = 1 or revisit") if n else types)
+    if n:
+        rows = materialize(meet(F.broadcast(repeats) if n <= BROADCAST_PAGES else repeats).withColumn("rid", F.monotonically_increasing_id()), "repeated")
+        first = rows.groupBy("page_id", "digest").agg(F.min("rid").alias("rid")).select("rid", F.lit(False).alias("again"))
+        joined = joined.unionByName(rows.join(first, "rid", "left").withColumn("revisit", F.coalesce("again", F.lit(True))).drop("rid", "again"))
 
     def task(batches):
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         system, path = _open(folder)
         name, temp = f"{path}/part-{part:06d}.warc.gz", f"{path}/.part-{part:06d}-{attempt}"
-        out, size, answered = None, 0, set()
+        out, size = None, 0
         for batch in batches:
-            ids, urls, refers, revisits, rows, digests = (batch.column(c).to_pylist() for c in ("page_id", "url", "refers_to", "revisit", "rows", "digest"))
+            ids, urls, refers, revisits = (batch.column(c).to_pylist() for c in ("page_id", "url", "refers_to", "revisit"))
             for i, html in enumerate(text_bytes(batch.column("html"))):
                 out = out or system.open_output_stream(temp)
-                again = revisits[i]
-                if rows[i] > 1 and not again:  # rows that repeat page_id and payload meet in one task: the first answers
-                    again = (ids[i], digests[i]) in answered
-                    answered.add((ids[i], digests[i]))
-                data = gzip_member(make_record(ids[i], urls[i], html, (refers[i],) if again and min_bytes <= len(html) else None), level)
+                data = gzip_member(make_record(ids[i], urls[i], html, (refers[i],) if revisits[i] and min_bytes <= len(html) else None), level)
                 out.write(data)
                 size += len(data)
         if out:

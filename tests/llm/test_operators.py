@@ -269,6 +269,26 @@ def test_warc(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_repeated_answer(spark):
+    """Rows that repeat the page_id and payload of the answer, in several tasks: one response, the others refer to it."""
+    same = "<p>" + " ".join(hashlib.sha256(b"%d" % i).hexdigest() for i in range(500)) + "</p>"
+    rows = [(9, f"u{i % 3}", same, 0) for i in range(40)] + [(1, "v", same, 0), (None, "x", "<p>null</p>", 0), (None, "x", "<p>null</p>", 0), (2, "y", "<p>other</p>", 0)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, payload_bytes int").repartition(4)
+    split = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.0", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k"}
+    for k, v in split.items():
+        spark.conf.set(k, v)
+    try:
+        got = warc.round_trip(df).collect()
+    finally:
+        for k in split:
+            spark.conf.unset(k)
+    assert sorted((str(r.page_id), r.url) for r in got) == sorted((str(i), u) for i, u, *_ in rows)
+    for page, n in ((9, 40), (None, 2), (2, 1)):
+        mine = [r for r in got if r.page_id == page]
+        assert len(mine) == n and sum(r.record_type == "response" for r in mine) == 1
+    assert all(r.refers_to == 9 for r in got if r.page_id in (1, 9) and r.record_type == "revisit")
+
+
 def test_warc_magic_inside_records():
     """Members that hold whole members, stored uncompressed: ranges that start inside don't take them for their own."""
     inner = warc.gzip_member(warc.make_record(7, "u", b"inner", None))
