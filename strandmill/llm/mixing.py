@@ -153,8 +153,8 @@ def deal_blocks(cuts: DataFrame, shards: int, block_bits: int, seed: int = 7) ->
 
 
 def mix(docs: DataFrame, source: str = "source", weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, seed: str = "mix") -> tuple[DataFrame, DataFrame]:
-    """(keyed, cuts): the slim table src, doc_id, size, key of all rows, and the plan with its cuts."""
-    keyed = materialize(docs.select(F.col(source).cast("string").alias("src"), "doc_id", word_count(F.col("text")).alias("size"), order_key(seed, F.col(source), F.col("doc_id")).alias("key")), "sizes")
+    """(keyed, cuts): the slim table src, doc_id, size, key, rid (a number) of all rows, and the plan with its cuts."""
+    keyed = materialize(docs.select(F.col(source).cast("string").alias("src"), "doc_id", word_count(F.col("text")).alias("size"), order_key(seed, F.col(source), F.col("doc_id")).alias("key"), F.monotonically_increasing_id().alias("rid")), "sizes")
     sizes = materialize(keyed.groupBy("src").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), "totals")
     return keyed, find_cuts(keyed, plan_sources(sizes, weights, cap))
 
@@ -176,7 +176,25 @@ def mix_counts(docs: DataFrame, source: str = "source", weights: tuple[float, ..
 
 def mix_rows(docs: DataFrame, shards: int | None = None, source: str = "source", weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, seed: str = "mix") -> DataFrame:
     """The mix itself: the columns of docs and shard, a row per draw, each shard in a shuffled order of its own."""
+    _, cuts = mix(docs, source, weights, cap, seed)
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.col(source).cast("string").alias("s"), F.col("doc_id").alias("id"), order_key(seed, F.col(source), F.col("doc_id")).alias("key"))
+    return deal_rows(own, cuts, shards, seed)
+
+
+def dealt_counts(docs: DataFrame, shards: int | None = None, source: str = "source", weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, seed: str = "mix") -> DataFrame:
+    """Per row of docs: doc_id, size, source_size, target, taken, times, key, as counted from the draws that the shards of the mix hold."""
     keyed, cuts = mix(docs, source, weights, cap, seed)
+    own = keyed.select(F.struct("rid").alias("row"), F.col("src").alias("s"), F.col("doc_id").alias("id"), "key")
+    drawn = materialize(deal_rows(own, cuts, shards, seed), "draws")
+    times = drawn.where("shard is not null").groupBy("rid").agg(F.count(F.lit(1)).alias("k"))
+    side = (F.broadcast(cuts) if cuts.count() <= DRIVER_SOURCES else cuts).alias("p")
+    rows = keyed.join(side, keyed["src"].eqNullSafe(F.col("p.src"))).join(times, "rid", "left")
+    k = F.coalesce("k", F.lit(0)).cast("long")
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * k).alias("taken"), k.alias("times"), "key")
+
+
+def deal_rows(own: DataFrame, cuts: DataFrame, shards: int | None, seed: str) -> DataFrame:
+    """Fields of row and shard, a row per draw of own (row, s, id, key)."""
     n = cuts.count()
     words = cuts.agg(F.sum("target")).first()[0] or 0
     shards = shards or min(SHARDS, max(16, -(-int(words) // SHARD_WORDS)))
@@ -184,7 +202,6 @@ def mix_rows(docs: DataFrame, shards: int | None = None, source: str = "source",
     bits = max(1, min(max(BLOCK_BITS, int(np.log2(16 * shards))), int(np.log2(max(2, 2_000_000 // max(1, n))))))
     deal = deal_blocks(cuts, shards, bits)
     side = (F.broadcast(cuts) if n <= DRIVER_SOURCES else cuts).select("src", "sid", "source_size", "passes", "cut", "cut_id").alias("p")
-    own = docs.select(F.struct(*docs.columns).alias("row"), F.col(source).cast("string").alias("s"), F.col("doc_id").alias("id"), order_key(seed, F.col(source), F.col("doc_id")).alias("key"))
     rows = own.join(side, F.col("s").eqNullSafe(F.col("p.src"))).withColumn("times", draws(F.col("key"), F.col("id")))
     copies = rows.where("times > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("times").cast("int") - 1)))
     at = copies.withColumn("draw", F.col("pass") * (1 << bits) + F.shiftright("key", KEY_BITS - bits))

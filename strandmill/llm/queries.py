@@ -51,7 +51,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_counts(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "times")
+    return mixing.dealt_counts(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "times")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -346,6 +346,17 @@ def test_mix_rows_are_the_draws(spark, docs):
     assert Counter(str(r.doc_id) for r in got.collect()) == want
 
 
+def test_mixing_query_deals_shards(spark, docs, tmp_path, monkeypatch):
+    from strandmill.llm import queries
+
+    trees, tree = [], mixing.split_tree
+    monkeypatch.setattr(mixing, "split_tree", lambda *a: trees.append(tree(*a)) or trees[-1])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op10_mixing(spark, str(tmp_path))
+    want = mixing.mix_counts(docs).select(got.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and len(trees) == 1 and trees[0].sum() > 0
+
+
 def test_split_tree():
     quotas = np.array([100, 3, 0, 57])
     deal = mixing.split_tree(quotas, 7)
