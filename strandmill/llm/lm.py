@@ -1,26 +1,29 @@
 """LM scoring: a log-bilinear neural model trained in numpy with noise-contrastive estimation.
 
-Word counts cover all training documents. Every word that occurs LEAST times
-(and the most frequent ones of a small corpus) is in the model's vocabulary,
-which so grows with the training documents without a cap; all others share one
-unknown class, whose words are told apart by their smoothed counts. The
-representation of the next word is predicted from the representations of the
-two words before it through diagonal context matrices; each task trains on all
-its training documents by minibatch NCE with noise from the unigram
-distribution, and the tasks' parameters are averaged word by word, by how often
-each task used the word.
-
-Scores are normalised. Words are dealt to classes of about the square root of
-the vocabulary by their rank; classes have vectors and NCE of their own, and a
-word's probability is its class's among the classes times its own within the
-class, so a token costs two sums of that length. A vocabulary of at most DENSE
-words is one class: with both context terms in the logit, the normaliser of
-every context pair is one entry of a matrix product of the exponentiated terms,
-so a token's log-probability is four table look-ups.
-
-Counts of frequent words (those of the model, and TOP_WORDS at least) are
-broadcast; the other words of a document are joined to their counts, none of
-them holding more than 1/TOP_WORDS of all tokens.
+Word counts cover all training documents. The model's vocabulary is the most
+frequent VOCAB_SCALE * sqrt(training tokens) words (and as many as a single
+class holds at least), so it grows with the corpus while a token's cost grows
+by the sixth root of it; all other words share one unknown class, whose words
+are told apart by their smoothed counts. The representation of the next word is
+predicted from the representations of the two words before it through diagonal
+context matrices; each task trains on all its training documents by minibatch
+NCE with noise from the unigram distribution (several passes where it has few
+tokens), and the tasks' parameters are averaged word by word, by how often each
+task used the word. A task sends the words that it used USES times, so what is
+sent is bounded by its own tokens.
+
+Scores are normalised. Words are dealt by rank to the leaves of a tree of up to
+three levels with equal branching; every level has vectors and NCE of its own,
+and a word's probability is the product of its nodes' probabilities among their
+siblings, so a token costs three sums of the cube root of the vocabulary. A
+vocabulary of at most DENSE words is one class: with both context terms in the
+logit, the normaliser of every context pair is one entry of a matrix product of
+the exponentiated terms, so a token's log-probability is four table look-ups.
+
+Counts of frequent words (those of the model, and the words that are frequent
+enough for at most TOP_WORDS of them) are broadcast; the other words of a
+document are joined to their counts, none of them holding more than 1/TOP_WORDS
+of all tokens.
 
 Defined results: null text is empty and consists of the end token alone; rows
 are scored each for itself; with no training document every count is 0; null
@@ -40,8 +43,10 @@ from pyspark.sql import functions as F
 
 from strandmill.llm.common import ascii_words, held_out, materialize, text_bytes
 
-#: Words whose counts are broadcast at least; occurrences that bring a word into the model, words of one class at most; width, noise words a batch, tokens a batch, learning rate.
-TOP_WORDS, LEAST, DENSE, WIDTH, NOISE, BATCH, RATE = 300_000, 16, 1024, 24, 24, 4096, 0.15
+#: Words whose counts are broadcast at most, beside the model's; words of the model by the root of the training tokens; words of one class at most.
+TOP_WORDS, VOCAB_SCALE, DENSE = 300_000, 2.0, 1024
+#: Width, noise words a batch, tokens a batch, learning rate; tokens that a task trains on at least, by up to PASSES passes; uses that make a task send a word.
+WIDTH, NOISE, BATCH, RATE, PASS_TOKENS, PASSES, USES = 24, 48, 1024, 0.3, 2_000_000, 8, 4
 BEGIN, UNKNOWN, FIRST = 0, 1, 2
 END = b""
 COUNTER_WORDS = 300_000
@@ -103,12 +108,16 @@ class Vocabulary:
 
 
 class LogBilinear:
-    """Parameters: word vectors for context and target, two diagonal context matrices, biases. Classes are targets behind the words."""
+    """Parameters: word vectors for context and target, two diagonal context matrices, biases. Inner nodes are targets behind the words."""
 
     def __init__(self, unigram: np.ndarray, width: int = WIDTH, seed: int = 3, dense: int = DENSE):
         rng, v = np.random.default_rng(seed), len(unigram)
-        self.block = v if v <= dense else int(np.ceil(np.sqrt(v)))
-        levels = [unigram] if v <= self.block else [unigram, np.add.reduceat(unigram, np.arange(0, v, self.block))]
+        depth = 1 if v <= dense else 2 if v <= 4 * dense else 3
+        self.branch = v if depth == 1 else int(np.ceil(v ** (1 / depth)))
+        #: Words below a node of each level, from the leaves up, and the number of targets before the level.
+        self.span = [self.branch**j for j in range(depth)]
+        levels = [np.add.reduceat(unigram, np.arange(0, v, n)) for n in self.span]
+        self.before = np.cumsum([0, *map(len, levels)])
         out = np.concatenate(levels)
         self.p = {
             "r": rng.normal(0, 0.3, (v, width)).astype(np.float32),
@@ -123,20 +132,23 @@ class LogBilinear:
         self.ready = None
 
     def step(self, ctx: np.ndarray, target: np.ndarray, rng: np.random.Generator, noise: int = NOISE, rate: float = RATE) -> None:
-        """One NCE step of words and of classes. ctx: (n, 2) model ids, nearest first; noise words are shared by the batch."""
-        p, v = self.p, len(self.p["r"])
+        """One NCE step of all levels. ctx: (n, 2) model ids, nearest first; noise words are shared by the batch."""
+        p = self.p
         near, far = p["r"][ctx[:, 0]], p["r"][ctx[:, 1]]
         h = near * p["c"][0] + far * p["c"][1]
         gh, at, gq = np.zeros_like(h), [], []
-        for level, steps in enumerate(self.steps):
-            goal = target if not level else v + target // self.block
-            k = level * v + np.minimum(np.searchsorted(steps, rng.random(noise), side="right"), len(steps) - 1)
-            log_kn = np.float32(np.log(noise))
-            st = np.einsum("nd,nd->n", h, p["q"][goal]) + p["b"][goal] - self.log_noise[goal] - log_kn
-            sn = h @ p["q"][k].T + p["b"][k] - self.log_noise[k] - log_kn
+        log_kn = np.float32(np.log(noise))
+        for span, before, steps in zip(self.span, self.before, self.steps, strict=False):
+            goal = target // span + before
+            k = before + np.minimum(np.searchsorted(steps, rng.random(noise), side="right"), len(steps) - 1)
+            qg, qk = p["q"][goal], p["q"][k]
+            st = np.einsum("nd,nd->n", h, qg) + (p["b"][goal] - self.log_noise[goal] - log_kn)
+            sn = h @ qk.T
+            sn += p["b"][k] - self.log_noise[k] - log_kn
             gt = (1 / (1 + np.exp(-np.clip(st, -30, 30))) - 1).astype(np.float32)  # of the loss by the score
-            gn = (1 / (1 + np.exp(-np.clip(sn, -30, 30)))).astype(np.float32)
-            gh += gt[:, None] * p["q"][goal] + gn @ p["q"][k]
+            gn = 1 / (1 + np.exp(np.clip(np.negative(sn, out=sn), -30, 30)))
+            gh += gt[:, None] * qg
+            gh += gn @ qk
             at += [goal, k]
             gq += [np.column_stack((gt[:, None] * h, gt)), np.column_stack((gn.T @ h, gn.sum(0)))]
         at, gq, times = _rows(np.concatenate(at), np.concatenate(gq))
@@ -146,8 +158,9 @@ class LogBilinear:
         self.uses[near_far] += used
         for name, rows, g in (("q", at, gq[:, :-1]), ("b", at, gq[:, -1]), ("r", near_far, gr), ("c", slice(None), gc)):
             g = (g / np.float32(np.sqrt(len(target)))).astype(np.float32)
-            self.sq[name][rows] += g * g
-            p[name][rows] -= np.float32(rate) * g / np.sqrt(self.sq[name][rows])
+            sq = self.sq[name][rows] + g * g
+            self.sq[name][rows] = sq
+            p[name][rows] -= np.float32(rate) * g / np.sqrt(sq)
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(near, far, norm) of a single class: log10 p(w | near a, far b) = near[a, w] + far[b, w] - norm[a, b]; the begin mark has probability 0."""
@@ -161,7 +174,7 @@ class LogBilinear:
 
     def log_probs(self, ctx: np.ndarray, target: np.ndarray) -> np.ndarray:
         """log10 p of each target after its context."""
-        v, one = len(self.p["r"]), len(self.steps) == 1
+        one = len(self.span) == 1
         if self.ready is None:  # the parameters are final
             self.ready = self.tables() if one else np.column_stack((self.p["q"], self.p["b"]))
             if not one:
@@ -169,16 +182,24 @@ class LogBilinear:
         if one:
             near, far, norm = self.ready
             return near[ctx[:, 0], target] + far[ctx[:, 1], target] - norm[ctx[:, 0], ctx[:, 1]]
+        order = np.argsort(target, kind="stable")  # siblings lie side by side at every level
+        ctx, target = ctx[order], target[order]
         h = self.p["r"][ctx[:, 0]] * self.p["c"][0] + self.p["r"][ctx[:, 1]] * self.p["c"][1]
         h = np.column_stack((h, np.ones(len(h), np.float32)))
-        group = target // self.block
-        out = np.einsum("nd,nd->n", h, self.ready[target] + self.ready[v + group]) - _log_total(h, self.ready[v:])
-        order = np.argsort(group, kind="stable")
-        for at in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
-            if len(at):
-                s = int(group[at[0]]) * self.block
-                out[at] -= _log_total(h[at], self.ready[s : min(s + self.block, v)])
-        return out / np.float32(np.log(10))
+        nodes = self.ready[target]
+        for span, before in list(zip(self.span, self.before, strict=False))[1:]:
+            nodes = nodes + self.ready[target // span + before]
+        logs = np.einsum("nd,nd->n", h, nodes)
+        for j, (span, before) in enumerate(zip(self.span, self.before, strict=False)):
+            last, end = j + 1 == len(self.span), self.before[j + 1]
+            group = target // (span * self.branch) if not last else np.zeros(len(target), target.dtype)
+            first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+            for lo, hi in zip(first, np.append(first[1:], len(group)), strict=True):
+                s = before + int(group[lo]) * self.branch
+                logs[lo:hi] -= _log_total(h[lo:hi], self.ready[s : end if last else min(s + self.branch, end)])
+        out = np.empty(len(logs), np.float32)
+        out[order] = logs / np.float32(np.log(10))
+        return out
 
 
 def _log_total(h: np.ndarray, q: np.ndarray, rows: int = 2048) -> np.ndarray:
@@ -194,7 +215,7 @@ def _log_total(h: np.ndarray, q: np.ndarray, rows: int = 2048) -> np.ndarray:
 
 def _rows(at: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct indices, the sums of their rows of g, and how often they occur."""
-    order = np.argsort(at, kind="stable")
+    order = np.argsort(at)
     at = at[order]
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
     return at[first], np.add.reduceat(g[order], first, axis=0), np.diff(np.append(first, len(at)))
@@ -207,7 +228,7 @@ def contexts(ids: np.ndarray) -> np.ndarray:
 
 
 def train_model(train: DataFrame, vocabulary: Vocabulary, dense: int = DENSE) -> LogBilinear:
-    """One NCE pass of every task over its texts. A task sends the rows that it used: word or class (-1: context matrices), uses, values."""
+    """NCE over the texts of every task. A task sends the rows that it used: word or node (-1: context matrices), uses, values."""
     spark = train.sparkSession
     model = LogBilinear(vocabulary.unigram, dense=dense)
     sent = spark.sparkContext.broadcast(vocabulary)
@@ -217,25 +238,37 @@ def train_model(train: DataFrame, vocabulary: Vocabulary, dense: int = DENSE) ->
     def task(batches):
         vocab = sent.value
         m = LogBilinear(vocab.unigram, dense=dense)
-        rng, ctx, tgt, held, n = np.random.default_rng(TaskContext.get().partitionId()), [], [], 0, 0
+        rng, ctx, tgt, held, n, again = np.random.default_rng(TaskContext.get().partitionId()), [], [], 0, 0, []
+
+        def learn():
+            c, t = np.concatenate(ctx), np.concatenate(tgt)
+            for s in range(0, len(t), BATCH):
+                m.step(c[s : s + BATCH], t[s : s + BATCH], rng)
+            if n <= PASS_TOKENS:
+                again.append((c, t))
+            else:
+                again.clear()
+            return len(t)
+
         for batch in batches:
             for text in text_bytes(batch.column("text")):
                 ids = vocab.model_ids(vocab.ids([*ascii_words(text), END]))
+                near = contexts(ids)
                 for s in range(0, len(ids), 1 << 16):
-                    ctx.append(contexts(ids)[s : s + (1 << 16)])
+                    ctx.append(near[s : s + (1 << 16)])
                     tgt.append(ids[s : s + (1 << 16)])
                     held += len(tgt[-1])
-                if held >= BATCH:
-                    c, t = np.concatenate(ctx), np.concatenate(tgt)
-                    for s in range(0, len(t), BATCH):
-                        m.step(c[s : s + BATCH], t[s : s + BATCH], rng)
-                    n, ctx, tgt, held = n + len(t), [], [], 0
+                    if held >= 16 * BATCH:
+                        n, ctx, tgt, held = n + learn(), [], [], 0
         if held:
-            m.step(np.concatenate(ctx), np.concatenate(tgt), rng)
-            n += held
+            n += learn()
         if n:
+            for _ in range(min(PASSES, -(-PASS_TOKENS // n)) - 1 if n <= PASS_TOKENS else 0):
+                for c, t in again:
+                    for s in range(0, len(t), BATCH):
+                        m.step(c[s : s + BATCH], t[s : s + BATCH], rng)
             yield pack(np.array([-1]), np.array([n]), np.column_stack((m.p["c"].reshape(1, -1), [[0.0]])))
-            used = np.flatnonzero(m.uses)
+            used = np.flatnonzero(m.uses >= USES)
             for s in range(0, len(used), 10_000):
                 at = used[s : s + 10_000]
                 r = np.zeros((len(at), WIDTH), np.float32)
@@ -281,18 +314,34 @@ def train_model(train: DataFrame, vocabulary: Vocabulary, dense: int = DENSE) ->
     return model
 
 
-def score_documents(docs: DataFrame, folds: int = 10, top_words: int = TOP_WORDS, least: int = LEAST, dense: int = DENSE) -> DataFrame:
+def frequent_words(words: DataFrame, most: int) -> tuple[list[bytes], list[int]]:
+    """Words, most frequent first, that occur often enough for at most `most` of them to do so, whatever the ties; no task holds more than it sends."""
+    step = F.floor(F.log2("n") * 16).cast("int")
+    least, room = 1, most
+    for r in words.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("top")).orderBy(F.desc("step")).collect():
+        room -= r.k
+        if room < 0:
+            least = r.top + 1
+            break
+    top = words.where(F.col("n") >= least).toArrow()
+    names, counts = top.column("word").to_pylist(), top.column("n").to_pylist()
+    order = sorted(range(len(names)), key=lambda i: (-counts[i], names[i]))
+    return [names[i] for i in order], [counts[i] for i in order]
+
+
+def score_documents(docs: DataFrame, folds: int = 10, top_words: int = TOP_WORDS, vocab_scale: float = VOCAB_SCALE, dense: int = DENSE) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), folds).alias("held_out"), "text")
     train = marked.where(~F.col("held_out"))
     words = count_words(train)
-    total = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), F.count(F.when(F.col("n") >= least, 1)).alias("often")).first()
-    inside = max(total.often, min(total.v, dense - FIRST))
-    top = words.orderBy(F.desc("n"), "word").limit(max(top_words, inside)).toArrow()
-    names, counts = top.column("word").to_pylist(), top.column("n").to_pylist()
-    if END not in names:  # no training document, or more frequent words than top_words
-        names, counts = [*names, END], [*counts, 0]
+    total = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
+    wanted = min(total.v, max(dense - FIRST, int(vocab_scale * np.sqrt(total.n or 0))))
+    names, counts = frequent_words(words, max(top_words, wanted))
+    inside = min(wanted, len(names))
+    if END not in names:  # no training document, or too many words as frequent as the end
+        known = words.where(F.col("word") == F.lit(END)).first()
+        names, counts = [*names, END], [*counts, known.n if known else 0]
     vocab = Vocabulary(names, counts, total.n or 0, total.v, inside)
     model = train_model(train, vocab, dense)
     sent = spark.sparkContext.broadcast((vocab, model))

@@ -162,8 +162,8 @@ def test_language_rank_distance():
     assert p.predict(b"AB aaab") [0] == "x" and p.predict(b"zy")[0] == "y" and p.predict(b"99") == ("und", 0.0)
 
 
-@pytest.mark.parametrize("top", [5, 1000])
-def test_lm_base_counts(docs, top):
+@pytest.mark.parametrize("top,dense", [(5, 4), (1000, 1024)])
+def test_lm_base_counts(docs, top, dense):
     from collections import Counter
 
     train = Counter()
@@ -171,7 +171,7 @@ def test_lm_base_counts(docs, top):
         if i is None or zlib.crc32(str(i).encode()) % 10:
             train.update([*(t or "").encode().lower().split(), b""])
     total, v = sum(train.values()), len(train)
-    got = sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in lm.score_documents(docs, top_words=top).collect()), key=str)
+    got = sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in lm.score_documents(docs, top_words=top, dense=dense).collect()), key=str)
     want = []
     for i, t, *_ in ROWS:
         toks = [*(t or "").encode().lower().split(), b""]
@@ -197,12 +197,33 @@ def test_lm_classes_are_normalised():
     ctx, tgt = rng.integers(0, 10, (500, 2)), rng.integers(1, 10, 500)
     for _ in range(20):
         m.step(ctx, tgt, rng)
-    assert m.block == 4 and len(m.p["q"]) == 13
+    assert m.branch == 4 and len(m.p["q"]) == 13
     for a, b in itertools.product(range(10), repeat=2):
         p = 10.0 ** m.log_probs(np.array([[a, b]] * 10), np.arange(10)).astype(float)
         assert abs(p.sum() - 1) < 1e-3 and p[0] == 0
 
 
+def test_lm_tree_is_normalised():
+    """Three levels, the last groups of each not full."""
+    m = lm.LogBilinear(np.array([0, *[1.0] * 29]) / 29, width=4, dense=5)
+    rng = np.random.default_rng(0)
+    ctx, tgt = rng.integers(0, 30, (500, 2)), rng.integers(1, 30, 500)
+    for _ in range(20):
+        m.step(ctx, tgt, rng)
+    assert len(m.span) == 3 and m.branch == 4
+    for a, b in ((0, 0), (3, 29), (17, 5)):
+        p = 10.0 ** m.log_probs(np.array([[a, b]] * 30), np.arange(30)).astype(float)
+        assert abs(p.sum() - 1) < 1e-3 and p[0] == 0
+
+
+def test_lm_beats_counts(spark):
+    """Texts in one of four invented languages: the words before tell which, so the model is far above the counts on held-out texts."""
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(f"l{i % 4}w{j}" for j in rng.integers(0, 300, 80))) for i in range(4000)]
+    got = [r for r in lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.held_out]
+    assert sum(r.score - r.base_score for r in got) / sum(r.n_tokens for r in got) > 0.3
+
+
 def test_lm_vocabulary_grows(spark):
     """Words behind the first 1022 have vectors of their own: one that always follows another is expected there."""
     from collections import Counter
