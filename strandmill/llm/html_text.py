@@ -1,25 +1,34 @@
 """Main-text extraction by tag-path ratios.
 
-A page is tokenised once into blocks, each with its root-to-leaf tag path.
-Per path, text length and punctuation are aggregated over its blocks and
-divided by their number (links count against a path); both ratios are smoothed
-over the paths in page order, fused by multiplication, and paths above a
-threshold are content paths. The content region is the smallest element that
-holds the content paths, an article or main element around the heaviest one
-going first; all blocks of the region stay, whatever their own length, but for
-navigation, notices, adverts, forms, comments and other boilerplate elements.
+A page is tokenised once into blocks, each with its root-to-leaf tag path (an
+interned number). Per path, text length outside links and punctuation are
+aggregated over its blocks and divided by their number; both ratios are
+smoothed over the blocks in page order and averaged per path again, fused by
+multiplication, and the paths that reach a share of the page's mean are content
+paths: a heading or a short line between paragraphs is lifted by its
+neighbours, a menu is not. Content nodes are the blocks of content paths, and
+the plain (not mostly linked) blocks that lie among them in their container.
+An article or main element that holds most of the content text bounds the
+selection; elsewhere it plays no part.
+
+Before that, elements that are boilerplate by their tag or role go (navigation,
+asides, footers, hidden ones), and those whose class or id says so: a whole
+class name, or one made of such words and neutral ones. A class name or form
+that wraps nearly all text is ignored.
 
 Each page is extracted whole, by itself, in a task; nothing is shuffled.
 
 Defined results: null or empty html, or a page without text, gives the empty
 text; repeated rows give equal results; unclosed and stray tags follow the
-usual implied-end rules; other columns are ignored.
+usual implied-end rules; elements nested deeper than MAX_DEPTH count as part of
+the one above, their text stays; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +36,7 @@ from pyspark.sql import DataFrame
 
 from strandmill.llm.common import text_bytes
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>", re.S)
 ATTRIBUTE = re.compile(r"([\w:-]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 SPACES = re.compile(r"\s+")
 PUNCTUATION = re.compile(r"[.,;:!?。、，！？]")
@@ -35,6 +44,8 @@ PUNCTUATION = re.compile(r"[.,;:!?。、，！？]")
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe object svg math canvas audio video textarea xmp noembed noframes".split())
+FOREIGN = frozenset("svg math canvas audio video object noscript template noembed noframes".split())
+RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 CLOSES = {  # a start tag that ends an open element, up to the given borders
     **{t: ({"p"}, frozenset()) for t in "address article aside blockquote details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section table ul".split()},
@@ -53,42 +64,68 @@ CLOSES = {  # a start tag that ends an open element, up to the given borders
 OUT_TAGS = frozenset("nav aside footer form button select option fieldset dialog menu head title".split())
 OUT_ROLES = frozenset("navigation banner complementary contentinfo search form dialog alert menu menubar toolbar".split())
 OUT_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion related reply replies respond share sharing sidebar sidebars signup social sponsor sponsored subscribe subscription toolbar widget widgets".split())
+#: Words that say nothing in a class name beside those.
+NEUTRAL_WORDS = frozenset("area bar block body bottom box buttons container content form group head header holder id inner item items left link links list main module nav outer panel right row section site slot text title top unit wrap wrapper".split())
 WORDS = re.compile(r"[a-z]+")
-#: Width of the smoothing over paths, and the share of the mean fused ratio that a content path reaches.
-SIGMA, THRESHOLD = 1.0, 1.0
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Width of the smoothing over blocks, share of the mean fused ratio that a content path reaches, share of linked text from which a path is a link list,
+#: share of the text that makes an element a wrapper of the page, and levels of nesting that are told apart (browsers stop there as well).
+SIGMA, THRESHOLD, LINKED, WRAPPED, MAX_DEPTH = 1.0, 0.2, 0.5, 0.9, 512
+COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies respond".split())
+HARD, SOFT, COMMENTS = 2, 1, 3
 
 
 class Node:
-    __slots__ = ("tag", "parent", "path", "out", "block", "order")
-
-    def __init__(self, tag: str, parent: Node | None, attributes: str = "", order: int = 0):
-        self.tag, self.parent, self.order = tag, parent, order
-        self.out = (parent.out if parent else False) or tag in OUT_TAGS or boilerplate(tag, attributes, parent)
-        self.block = tag not in INLINE
-        label = tag
-        if attributes and self.block and (m := re.search(r"class\s*=\s*[\"']?\s*([\w-]+)", attributes)):
-            label += "." + m[1]
-        self.path = (parent.path if parent else "") + ("/" + label if self.block else "")
+    """An open element. out: HARD if it or one around it is boilerplate by tag or role; soft: the outermost element around it that is boilerplate by name."""
+
+    __slots__ = ("tag", "parent", "path", "out", "soft", "soft_here", "block")  # soft_here: this one is
+
+    def __init__(self, tag: str, parent: Node | None, attributes: str, paths: dict):
+        self.tag, self.parent, self.block = tag, parent, tag not in INLINE
+        own = boilerplate(tag, attributes, parent)
+        self.out = own == HARD or (parent is not None and parent.out)
+        self.soft_here = own if own in (SOFT, COMMENTS) else 0
+        self.soft = (parent.soft if parent else None) or (self if self.soft_here else None)
+        self.path = parent.path if parent else 0
+        if self.block:
+            label = tag
+            if attributes and (m := re.search(r"class\s*=\s*[\"']?\s*([\w-]+)", attributes)):
+                label += "." + m[1]
+            self.path = paths.setdefault((self.path, label), len(paths) + 1)
+
+
+def out_name(value: str) -> bool:
+    """One of the class names or ids is a boilerplate word, or is made of them and neutral words only."""
+    for name in value.split():
+        words = WORDS.findall(name)
+        if not OUT_WORDS.isdisjoint(words) and all(w in OUT_WORDS or w in NEUTRAL_WORDS for w in words):
+            return True
+    return False
 
 
-def boilerplate(tag: str, attributes: str, parent: Node | None) -> bool:
-    """An element that is no main text by its attributes, or a page header outside an article."""
+def boilerplate(tag: str, attributes: str, parent: Node | None) -> int:
+    """HARD for an element that is no main text by its tag, role or visibility, or a page header outside an article; SOFT or COMMENTS by its name, SOFT for a form."""
+    if tag == "form":
+        return SOFT
+    if tag in OUT_TAGS:
+        return HARD
     if tag == "header":
         up = parent
         while up and up.tag not in ("article", "main"):
             up = up.parent
-        return up is None
+        return 0 if up else HARD
     if not attributes or "=" not in attributes and "hidden" not in attributes:
-        return False
+        return 0
     if tag in ("body", "html", "article", "main"):
-        return False
+        return 0
+    soft = 0
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "role" and value in OUT_ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-        if name in ("class", "id") and not OUT_WORDS.isdisjoint(WORDS.findall(value)):
-            return True
-    return False
+            return HARD
+        if name in ("class", "id") and out_name(value):
+            soft = SOFT if COMMENT_WORDS.isdisjoint(WORDS.findall(value)) and soft != COMMENTS else COMMENTS
+    return soft
 
 
 class Block:
@@ -97,11 +134,16 @@ class Block:
     def __init__(self, node: Node, text: str, link: int):
         self.node, self.text, self.link = node, text, link
 
+    @property
+    def plain(self) -> int:
+        return max(0, len(self.text) - self.link)
+
 
 def blocks(page: str) -> list[Block]:
     """Text blocks of a page in order, with their innermost block element and the length of text in links."""
-    root = Node("", None)
-    stack, out, parts, link, at, count = [root], [], [], 0, 0, 0
+    paths: dict = {}
+    root = Node("", None, "", paths)
+    stack, open_, out, parts, link, at = [root], Counter(), [], [], 0, 0
 
     def flush() -> None:
         nonlocal parts, link
@@ -118,6 +160,7 @@ def blocks(page: str) -> list[Block]:
         """Ends open elements down to that depth."""
         if any(n.block for n in stack[upto:]):
             flush()
+        open_.subtract(n.tag for n in stack[upto:])
         del stack[upto:]
 
     end = len(page)
@@ -125,7 +168,7 @@ def blocks(page: str) -> list[Block]:
         m = TOKEN.search(page, at)
         text = page[at : m.start() if m else end]
         if text:
-            if not text.isspace() and any(n.tag == "a" for n in stack):
+            if open_["a"] > 0 and not text.isspace():
                 link += len(text)
             parts.append(text)
         if not m:
@@ -135,9 +178,9 @@ def blocks(page: str) -> list[Block]:
             parts.append(html.escape(m[1]))
         if not m[3]:
             continue
-        tag = m[3].lower()
+        tag, given = m[3].lower(), m[4] or ""
         if m[2]:  # an end tag: of the innermost open element of that name, if there is one
-            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
+            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0) if open_[tag] > 0 else 0
             if k and not (tag in INLINE and any(n.block for n in stack[k + 1 :])):
                 close(k)
             elif tag == "br":
@@ -146,16 +189,17 @@ def blocks(page: str) -> list[Block]:
                 flush()
             continue
         if tag in RAW:
-            raw_end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = raw_end.end() if raw_end else end
+            if not (given.endswith("/") and tag in FOREIGN):
+                raw_end = RAW_END[tag].search(page, at)
+                at = raw_end.end() if raw_end else at if tag in FOREIGN else end
             if tag not in ("svg", "math"):
                 parts.append(" ")
             continue
         if tag in VOID:
             if tag == "hr":
                 flush()
-            else:
-                parts.append(" " if tag in ("br", "wbr") and tag == "br" else "")
+            elif tag == "br":
+                parts.append(" ")
             continue
         ends, border = CLOSES.get(tag, ((), ()))
         if ends:
@@ -173,62 +217,111 @@ def blocks(page: str) -> list[Block]:
             while len(stack) > 1 and not stack[-1].block:  # unclosed formatting ends where a block starts
                 if stack[-1].tag == "a":
                     break
-                stack.pop()
+                open_[stack.pop().tag] -= 1
             flush()
-        count += 1
-        if not (m[4] or "").endswith("/") or tag not in VOID:
-            stack.append(Node(tag, stack[-1], m[4] or "", count))
+        if len(stack) <= MAX_DEPTH:
+            stack.append(Node(tag, stack[-1], given, paths))
+            open_[tag] += 1
     flush()
     return out
 
 
-def content_paths(found: list[Block]) -> dict[str, float]:
-    """Fused, smoothed ratios of the paths that reach the threshold."""
-    order: dict[str, int] = {}
-    for b in found:
-        order.setdefault(b.node.path, len(order))
-    n = np.zeros((3, len(order)))  # blocks, text outside links, punctuation
-    for b in found:
-        k = order[b.node.path]
-        n[:, k] += (1, max(0, len(b.text) - b.link), len(PUNCTUATION.findall(b.text)))
-    ratios = n[1:] / n[0]
+def fused_ratios(found: list[Block]) -> dict[int, float]:
+    """Fused ratio of each path: mean text length outside links and mean punctuation of its blocks, each smoothed over the blocks in page order."""
+    index: dict[int, int] = {}
+    at = np.array([index.setdefault(b.node.path, len(index)) for b in found])
+    n = np.bincount(at)
+    values = np.array([[b.plain for b in found], [len(PUNCTUATION.findall(b.text)) for b in found]], float)
     span = np.arange(-2, 3)
     kernel = np.exp(-(span**2) / (2 * SIGMA**2))
-    width = np.convolve(np.ones(len(order)), kernel, "same")[: len(order)] if len(order) >= 5 else None
-    if width is not None:
-        ratios = np.stack([np.convolve(r, kernel, "same") / width for r in ratios])
-    fused = ratios[0] * (ratios[1] + 0.1)
-    least = THRESHOLD * fused.mean() if len(fused) else 0
-    paths = list(order)
-    weight = n[1]
-    chosen = {p: float(weight[k]) for p, k in order.items() if fused[k] >= least and weight[k] > 0}
-    return chosen or {paths[int(weight.argmax())]: float(weight.max())} if paths else {}
+    width = np.convolve(np.ones(len(at)), kernel)[2:-2]
+    fused = np.ones(len(n))
+    for row, floor in zip(values, (0.0, 0.1), strict=True):
+        ratio = np.bincount(at, row) / n
+        fused *= np.bincount(at, np.convolve(ratio[at], kernel)[2:-2] / width) / n + floor
+    return {p: float(fused[k]) for p, k in index.items()}
+
+
+def content_paths(found: list[Block]) -> set[int]:
+    """Paths whose fused ratio reaches THRESHOLD of the mean over the blocks."""
+    fused = fused_ratios(found)
+    least = THRESHOLD * sum(fused[b.node.path] for b in found) / len(found)
+    return {p for p, x in fused.items() if x >= least and x > 0} or set(fused)
+
+
+def _outermost(node: Node, unheeded: set) -> Node | None:
+    """The outermost element around a node that is boilerplate by name and isn't unheeded."""
+    if node.soft is None:
+        return None
+    out = None
+    while node is not None and node.soft is not None:
+        if node.soft_here and node not in unheeded:
+            out = node
+        node = node.parent
+    return out
 
 
-def extract(page: str | None) -> str:
-    """Main text of one page: blocks joined by an empty line."""
-    if not page:
-        return ""
-    found = [b for b in blocks(page) if not b.node.out]
-    if not found:
-        return ""
+def drop_boilerplate(found: list[Block]) -> list[Block]:
+    """Blocks outside boilerplate. While no sentence stands outside, a form, or a name (none of comments) that wraps WRAPPED of the text, goes unheeded."""
+    found = [b for b in found if not b.node.out]
+    unheeded: set = set()
+    while True:
+        owner = [_outermost(b.node, unheeded) for b in found]
+        inside = Counter()
+        for b, o in zip(found, owner, strict=True):
+            if o is not None and (o.tag == "form" or o.soft_here == SOFT):
+                inside[o] += b.plain
+        spoken = any(o is None and b.plain >= 25 and PUNCTUATION.search(b.text) for b, o in zip(found, owner, strict=True))
+        if spoken or not inside:
+            break
+        big, n = inside.most_common(1)[0]
+        if n < WRAPPED * sum(b.plain for b in found):
+            break
+        unheeded.add(big)
+    return [b for b, o in zip(found, owner, strict=True) if o is None]
+
+
+def within(node: Node, region: Node) -> bool:
+    while node and node is not region:
+        node = node.parent
+    return node is region
+
+
+def select(found: list[Block]) -> list[Block]:
+    """The content nodes among blocks that are no boilerplate."""
     chosen = content_paths(found)
-    best = max((b for b in found if b.node.path in chosen), key=lambda b: len(b.text) - b.link)
+    content = [b for b in found if b.node.path in chosen]
+    linked, length = Counter(), Counter()
+    for b in found:
+        linked[b.node.path] += min(b.link, len(b.text))
+        length[b.node.path] += len(b.text)
+    is_list = lambda b: linked[b.node.path] >= LINKED * length[b.node.path]
+    best = max(content, key=lambda b: b.plain)
     region = best.node
     while region and region.tag not in ("article", "main"):
         region = region.parent
-    if region:
-        prefix = region.path
-    else:  # the smallest element whose path holds all content paths
-        steps = [p.split("/") for p in chosen]
-        k = 0
-        while all(len(s) > k + 1 for s in steps) and len({s[k] for s in steps}) == 1:
-            k += 1
-        prefix = "/".join(steps[0][:k])
-        if len(chosen) == 1:
-            prefix = next(iter(chosen)).rpartition("/")[0]
-    inside = [b.text for b in found if (b.node.path + "/").startswith(prefix + "/")]
-    return "\n\n".join(inside)
+    if region and 2 * sum(b.plain for b in content if within(b.node, region)) > sum(b.plain for b in content):
+        return [b for b in found if within(b.node, region) and not (is_list(b) and b.node.path not in chosen)]
+    # the container of the heaviest path: what lies among its content blocks stays too
+    weight = Counter()
+    for b in content:
+        weight[b.node.path] += b.plain
+    path = weight.most_common(1)[0][0]
+    own = [b.node for b in content if b.node.path == path]
+    container = own[0].parent or own[0]
+    while not all(within(n, container) for n in own):
+        container = container.parent
+    places = [i for i, b in enumerate(found) if b.node.path in chosen and within(b.node, container)]
+    lo, hi = (places[0], places[-1]) if places else (0, -1)
+    while lo > 0 and found[lo - 1].node.tag in HEADINGS and not is_list(found[lo - 1]):
+        lo -= 1
+    return [b for i, b in enumerate(found) if b.node.path in chosen and not is_list(b) or lo <= i <= hi and not is_list(b)]
+
+
+def extract(page: str | None) -> str:
+    """Main text of one page: blocks joined by an empty line."""
+    found = drop_boilerplate(blocks(page)) if page else []
+    return "\n\n".join(b.text for b in select(found)) if found else ""
 
 
 OUT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])

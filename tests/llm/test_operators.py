@@ -274,6 +274,36 @@ def test_html(spark):
     assert {(2, 0), (None, 0), (3, 299_999), (5, 15)} <= got
 
 
+SAID = "A sentence of the article, which is long enough to count. " * 2
+LAYOUTS = [
+    f'<div class="layout has-sidebar"><article><p>{SAID}</article></div>',
+    f'<div id="no-sidebar"><p>{SAID}</div>',
+    f'<div class="social-science"><p>{SAID}</div>',
+    f'<form id="aspnetForm"><nav>Menu</nav><div><p>{SAID}</div></form>',
+    f"<div><svg width='1'/><p>{SAID}</div>",
+    f"<div><video/><p class='ad-hoc-note'>{SAID}</div><div class='cookie-banner'>We use cookies, always. {SAID}</div>",
+]
+MENU = "<ul><li><a href=1>Home</a><li><a href=2>News</a><li><a href=3>Mail</a></ul>"
+BESIDE = f"<div>{MENU}<h1>Head</h1><div><p>{SAID}</p><h2>Part</h2><ul><li>one<li>two<li>three<li>four<li>five</ul><p>{SAID}</p></div>{MENU}</div>"
+
+
+def test_html_layouts():
+    for page in LAYOUTS:
+        assert html_text.extract(page) == SAID.strip(), page
+    assert html_text.extract(f'<p>{SAID}<a href=foo">kept text</a></p>') == SAID + "kept text"
+    assert html_text.extract("<div>" * 100_000 + SAID) == SAID.strip()
+    assert html_text.extract("<b><i>" * 20_000 + SAID + "</u></b>" * 20_000) == SAID.strip()
+
+
+def test_html_ratios_select(monkeypatch):
+    """An unmarked menu goes by its path's ratio, the heading and the list among paragraphs stay; without ratios the menu comes back."""
+    want = "\n\n".join(["Head", SAID.strip(), "Part", "one", "two", "three", "four", "five", SAID.strip()])
+    plain = BESIDE.replace("<a ", "<span ").replace("</a>", "</span>")  # not even links tell
+    assert html_text.extract(BESIDE) == want == html_text.extract(plain)
+    monkeypatch.setattr(html_text, "content_paths", lambda found: {b.node.path for b in found})
+    assert "Home" in html_text.extract(plain)
+
+
 def test_warc(spark):
     rows = [(i, f"http://x/{i}?q=é", f"<p>{i % 7}</p>" * (1 + i % 3), 0) for i in range(60)]
     rows += [(61, None, None, 0), (62, "u", "", 0), (5, "again", rows[5][2], 0), (None, "u", rows[6][2], 0), (63, "u", "x" * 300_000, 0)]
