@@ -1,21 +1,28 @@
 """Variable-capacity best-fit packing of documents into sequences of several permitted lengths.
 
 Pieces are dealt by hash into groups of a bounded number of pieces; each group
-is packed by best-fit decreasing with numpy-free bookkeeping (sorted residuals).
-A group is packed once for every largest length that may be opened; a new bin
-opens at the length of least cost for the piece, bins are finally downsized to
-the smallest length that holds their contents, and the cheapest of the plans is
-kept. Cost of a bin: its length plus a fixed overhead for a sequence.
+is packed by best-fit decreasing: a piece goes to the open bin with the least
+room that holds it. Where none does, a new bin opens at the permitted length of
+least expected cost per word: for each length the pieces still to come are
+filled in greedily, and the cost of the bin, downsized to that content, is
+divided by the content. So a length is only opened if what is left can use it.
+Bins are finally downsized to the smallest length that holds their contents. A
+group is packed once for every largest length that may be opened, and the
+cheapest of the plans is kept. Cost of a bin: its length plus a fixed overhead
+for a sequence.
 
 Documents longer than the largest length are cut into pieces of that length and
 a rest; nothing is dropped. Defined results: null text is empty; a document of
 size 0 gives one piece of size 0 in no bin (bin_id null, capacity 0); repeated
-rows are packed each for itself; an empty table gives no rows.
+rows, and rows without an identifier, are packed each for itself; among pieces
+of one length the smaller identifier goes first, null last; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -33,19 +40,44 @@ def _cost(capacity: int, overhead: int) -> int:
     return capacity + overhead
 
 
+def opening(i: int, falling: list[int], sizes: list[int], rest: list[int], fits: list[int], capacities: tuple[int, ...], overhead: int) -> int:
+    """The length of least expected cost per word for a bin that opens with piece i.
+
+    sizes are in decreasing order, falling are their negatives, rest[j] is the
+    sum of sizes[j:]; fits are the lengths that may be opened.
+    """
+    best = None
+    for c in fits:
+        room, j = c - sizes[i], i + 1
+        while True:
+            j = bisect_left(falling, -room, j)  # the largest of the pieces to come that fits
+            if j == len(sizes):
+                break
+            if rest[j] <= room:
+                room -= rest[j]
+                break
+            room -= sizes[j]
+            j += 1
+        fill = c - room
+        cost = _cost(next(x for x in capacities if x >= fill), overhead) / fill
+        if best is None or cost < best[0]:
+            best = (cost, c)
+    return best[1]
+
+
 def best_fit(sizes: list[int], allowed: tuple[int, ...], capacities: tuple[int, ...], overhead: int) -> tuple[int, list[int], list[int]]:
-    """(cost, bin of each piece, capacity of each bin). New bins open at the allowed length of least cost per word of an
-    expected full bin, at least the piece's size; sizes are in decreasing order."""
+    """(cost, bin of each piece, capacity of each bin). sizes are positive and in decreasing order; only allowed lengths are opened where they hold the piece."""
     free: list[tuple[int, int]] = []  # (room left, bin), sorted
     opened: list[int] = []
     where = []
-    for s in sizes:
+    falling, rest = [-s for s in sizes], list(accumulate(reversed(sizes), initial=0))[::-1]
+    for i, s in enumerate(sizes):
         k = bisect_left(free, (s, -1))
         if k < len(free):
             room, b = free.pop(k)
         else:
             fits = [c for c in allowed if c >= s] or [min(c for c in capacities if c >= s)]
-            room = min(fits, key=lambda c: (_cost(c, overhead) / c, c))
+            room = opening(i, falling, sizes, rest, fits, capacities, overhead)
             b = len(opened)
             opened.append(room)
         where.append(b)

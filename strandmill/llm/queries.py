@@ -78,15 +78,15 @@ def _secrets_sql() -> str:
     kinds = []
     for k, (kind, pattern, group, least) in enumerate((*secrets.BASE, secrets.WIDE)):
         p = pattern.replace("'", "''")
-        kinds.append(f"SELECT doc_id, owner, '{kind}' AS kind, {k} AS k, {least} AS least, unnest(regexp_extract_all(text, '{p}')) AS m, unnest(regexp_extract_all(text, '{p}', {group})) AS v, unnest(list_slice(string_split_regex(text, '{p}'), 1, len(regexp_extract_all(text, '{p}')))) AS g, generate_subscripts(regexp_extract_all(text, '{p}'), 1) AS i FROM d WHERE regexp_matches(text, '{p}')")
+        kinds.append(f"SELECT doc_id, owner, repo, '{kind}' AS kind, {k} AS k, {least} AS least, unnest(regexp_extract_all(text, '{p}')) AS m, unnest(regexp_extract_all(text, '{p}', {group})) AS v, unnest(list_slice(string_split_regex(text, '{p}'), 1, len(regexp_extract_all(text, '{p}')))) AS g, generate_subscripts(regexp_extract_all(text, '{p}'), 1) AS i FROM d WHERE regexp_matches(text, '{p}')")
     return f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce('s' || source, '-') AS owner FROM documents),
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce('s' || source, '-') AS owner, coalesce('s' || source, '-') || '|' || coalesce('l' || lang, '-') AS repo FROM documents),
 f AS ({" UNION ALL ".join(kinds)}),
 e AS (SELECT *, sum(length(g) + length(m)) OVER (PARTITION BY doc_id, k ORDER BY i) AS stop FROM f),
-s AS (SELECT doc_id, owner, kind, k, stop - length(m) AS start, stop, sha256(v) AS hash FROM e WHERE length(v) >= least AND (kind <> 'live' OR (regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')))),
+s AS (SELECT doc_id, owner, repo, kind, k, stop - length(m) AS start, stop, sha256(v) AS hash FROM e WHERE length(v) >= least AND (kind <> 'live' OR (len(list_filter(string_split_regex(v, '[/_-]'), x -> length(x) >= {secrets.RUN} AND regexp_matches(x, '[0-9]') AND regexp_matches(x, '[A-Za-z]'))) > 0 AND round(-list_sum(list_transform(list_distinct(string_split(v, '')), c -> (length(v) - length(replace(v, c, ''))) / length(v)::double * log2((length(v) - length(replace(v, c, ''))) / length(v)::double))), 6) >= {secrets.ENTROPY}))),
 t AS (SELECT * FROM s WHERE kind <> 'live' OR NOT EXISTS (SELECT 1 FROM s b WHERE b.doc_id = s.doc_id AND b.kind <> 'live' AND b.start < s.stop AND s.start < b.stop)),
-o AS (SELECT hash, count(DISTINCT owner) AS n FROM t GROUP BY hash),
-j AS (SELECT t.*, o.n <= 1 AS live, t.kind || ':' || cast(cast(t.start AS bigint) AS varchar) || ':' || cast(cast(t.stop AS bigint) AS varchar) AS span FROM t JOIN o ON o.hash = t.hash WHERE t.kind <> 'live' OR o.n <= 1),
+o AS (SELECT hash, count(DISTINCT owner) <= 1 AND count(DISTINCT repo) <= 2 AND count(*) <= 20 AS few FROM t GROUP BY hash),
+j AS (SELECT t.*, o.few AS live, t.kind || ':' || cast(cast(t.start AS bigint) AS varchar) || ':' || cast(cast(t.stop AS bigint) AS varchar) AS span FROM t JOIN o ON o.hash = t.hash WHERE t.kind <> 'live' OR o.few),
 a AS (SELECT doc_id, count(CASE WHEN kind = 'assign' THEN 1 END) AS n_assign, count(CASE WHEN kind = 'access' THEN 1 END) AS n_access, count(CASE WHEN kind = 'hex' THEN 1 END) AS n_hex, string_agg(CASE WHEN kind <> 'live' THEN span END, ',' ORDER BY start, k) AS base, string_agg(span, ',' ORDER BY start, k) AS spans, count(CASE WHEN live THEN 1 END) AS n_live_looking, count(CASE WHEN NOT live THEN 1 END) AS n_copied FROM j GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live_looking, 0) AS n_live_looking, coalesce(n_copied, 0) AS n_copied
 FROM d LEFT JOIN a ON a.doc_id = d.doc_id

@@ -2,11 +2,13 @@
 
 Every text is searched for base patterns (assignments, access keys, long hex
 runs) and for a wider candidate pattern (long tokens that mix letters and
-digits). Only hashes of the candidates are kept. They are aggregated over the
-corpus by distinct owners and distinct repositories: a value that several
-owners hold is a copied example, one that a single owner holds looks live. Base
-findings always stay; of the wider candidates, those specific to one owner are
-added as kind "live".
+digits, have the entropy of a random value and hold a long unbroken run, so
+that paths and identifiers of short words are none). Only hashes of the
+candidates are kept. They are aggregated over the corpus by distinct owners,
+distinct repositories and rows: a value that several owners hold, or several
+repositories of one owner, or many rows, is a copied example; one that is
+specific to an owner looks live. Base findings always stay; of the wider
+candidates, the live-looking ones are added as kind "live".
 
 Only DataFrame functions are used: a pattern's matches and the gaps between
 them (split by the same pattern) give positions by a running sum in each text.
@@ -33,6 +35,8 @@ BASE = (
 )
 #: The wider candidates: at least this many characters with a letter and a digit.
 WIDE = ("live", r"[A-Za-z0-9+/_=-]{20,}", 0, 20)
+#: Live-looking candidates: least entropy in bits a character, least length of an unbroken run that mixes letters and digits.
+ENTROPY, RUN = 3.0, 16
 #: A cheap test that no text with a match fails, so that most texts are never split.
 PROBE = {
     "assign": r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]",
@@ -43,6 +47,19 @@ PROBE = {
 KINDS = tuple(k for k, *_ in (*BASE, WIDE))
 
 
+def entropy(value: Column) -> Column:
+    """Shannon entropy of the characters of a text, bits a character, rounded."""
+    n = F.length(value).cast("double")
+    share = lambda c: (F.length(value) - F.length(F.replace(value, c, F.lit("")))) / n
+    return F.round(F.aggregate(F.array_distinct(F.split(value, "")), F.lit(0.0), lambda a, c: a - F.when(c != "", share(c) * F.log2(share(c))).otherwise(0.0)), 6)
+
+
+def looks_random(value: Column) -> Column:
+    """Entropy and an unbroken run as a generated value has them."""
+    run = F.exists(F.split(value, "[/_-]"), lambda x: (F.length(x) >= RUN) & x.rlike("[0-9]") & x.rlike("[A-Za-z]"))
+    return run & (entropy(value) >= ENTROPY)
+
+
 def _hits(text: Column, kind: str, pattern: str, group: int) -> Column:
     """Array of (gap, length, value) of all matches; gap: code points since the last match."""
     gaps = F.slice(F.split(text, pattern, -1), 1, F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))
@@ -69,8 +86,8 @@ def candidates(docs: DataFrame, owner: str, repositories: list[str]) -> tuple[Da
     each = Window.partitionBy("rid", "k").orderBy("i")
     end = F.sum(F.col("h.gap") + F.col("h.len")).over(each)
     value = F.col("h.value")
-    spans = one.withColumn("end", end).select("rid", "owner", "repo", "kind", "k", (F.col("end") - F.col("h.len")).alias("start"), "end", F.sha2(value, 256).alias("hash"), (F.length(value) >= F.col("least")).alias("ok"), (value.rlike("[0-9]") & value.rlike("[A-Za-z]")).alias("mixed"))
-    spans = spans.where("ok and (kind <> 'live' or mixed)").drop("ok", "mixed")
+    spans = one.withColumn("end", end).select("rid", "owner", "repo", "kind", "k", (F.col("end") - F.col("h.len")).alias("start"), "end", F.sha2(value, 256).alias("hash"), (F.length(value) >= F.col("least")).alias("ok"), ((F.col("kind") != "live") | looks_random(value)).alias("mixed"))
+    spans = spans.where("ok and mixed").drop("ok", "mixed")
     # a wide candidate that a base finding of the same text overlaps is the same secret: the base one speaks for it
     base_end = F.max(F.when(F.col("kind") != "live", F.col("end"))).over(Window.partitionBy("rid").orderBy("start", "k").rowsBetween(Window.unboundedPreceding, 0))
     next_base = F.min(F.when(F.col("kind") != "live", F.col("start"))).over(Window.partitionBy("rid").orderBy("start", "k").rowsBetween(0, Window.unboundedFollowing))
@@ -85,15 +102,16 @@ def ownership(spans: DataFrame) -> DataFrame:
     return owners.groupBy("hash").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("repos").alias("n_repos"), F.sum("n").alias("n_rows"))
 
 
-def scan_secrets(docs: DataFrame, owner: str = "source", repositories: tuple[str, ...] = ("lang",), live_owners: int = 1) -> DataFrame:
-    """One row per row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied.
+def scan_secrets(docs: DataFrame, owner: str = "source", repositories: tuple[str, ...] = ("lang",), live_owners: int = 1, live_repos: int = 2, live_rows: int = 20) -> DataFrame:
+    """One row per row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live_looking, n_copied.
 
-    n_live counts base and added findings that at most live_owners owners hold,
-    n_copied the base findings that more owners hold.
+    n_live_looking counts base and added findings that at most live_owners
+    owners, live_repos repositories and live_rows findings hold, n_copied the
+    base findings that more hold.
     """
     rows, spans = candidates(docs, owner, list(repositories))
     freq = materialize(ownership(spans), "ownership")
-    judged = skew_safe_join(spans, freq, "hash", "n_rows", total=spans.count()).withColumn("live", F.col("n_owners") <= live_owners)
+    judged = skew_safe_join(spans, freq, "hash", "n_rows", total=spans.count()).withColumn("live", (F.col("n_owners") <= live_owners) & (F.col("n_repos") <= live_repos) & (F.col("n_rows") <= live_rows))
     judged = judged.where("kind <> 'live' or live")
     at = F.struct("start", "k", F.concat_ws(":", "kind", F.col("start").cast("string"), F.col("end").cast("string")).alias("s"))
     count = lambda what: F.count(F.when(what, 1))
