@@ -18,16 +18,37 @@ HEAVY_SHARE = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local one of our own, which only a local master may use."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="strandmill-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/strandmill/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """Folder of all scratch tables of this application."""
+    return f"{shared_dir(spark)}/strandmill/{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes the scratch tables of this application; results that weren't written elsewhere can't be read afterwards."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or the first variant of it that is no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
@@ -105,12 +126,13 @@ def keep_rows(docs: DataFrame, decided: DataFrame, broadcast_rows: int = 500_000
     same = (F.col("l.__id").eqNullSafe(F.col("k.__id"))) & (F.col("l.__th") == F.col("k.__th"))
     twins = materialize(lost.alias("l").join(kept.alias("k"), same, "left_semi"), "twins")
     send = F.broadcast if decided.where("not kept").count() <= broadcast_rows else (lambda x: x)
-    keyed = docs.withColumn("__key", text_key())
-    on = lambda side: keyed["doc_id"].eqNullSafe(side["__id"]) & (keyed["__key"] == side["__th"])
+    key, row = fresh(docs, "__key"), fresh(docs, "__row")
+    keyed = docs.withColumn(key, text_key())
+    on = lambda side: keyed["doc_id"].eqNullSafe(side["__id"]) & (keyed[key] == side["__th"])
     gone = send(lost)
     rest = keyed.join(gone, on(gone), "left_anti").select(*docs.columns)
     if twins.isEmpty():
         return rest
     both = keyed.join(twins, on(twins), "left_semi")
-    one = both.groupBy("doc_id", "__key").agg(F.min_by(F.struct(*docs.columns), F.to_json(F.struct(*docs.columns))).alias("__row"))
-    return rest.unionByName(one.select("__row.*"))
+    one = both.groupBy("doc_id", key).agg(F.min_by(F.struct(*docs.columns), F.to_json(F.struct(*docs.columns))).alias(row))
+    return rest.unionByName(one.select(f"{row}.*"))

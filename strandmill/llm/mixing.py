@@ -6,8 +6,10 @@ key of the md5 of its identifiers) and cut into blocks of that order. A target
 is met by whole passes over the source and a prefix of the order for the rest.
 The drawn blocks of all sources form the root of a binary tree over the output
 shards; every node draws its left child's exact block quotas from a
-multivariate hypergeometric distribution. Shards then own disjoint runs of
-permuted blocks and are shuffled locally by a second key.
+multivariate hypergeometric distribution, down to subtrees on the driver and
+below them in tasks. Shards then own disjoint runs of permuted blocks, which an
+equi-join deals to them, one partition a shard, and are shuffled locally by a
+second key.
 
 The prefix is found by narrowing: words are summed per sub-range of the order,
 the range in which a source's rest ends is cut again, so no source is ever
@@ -22,6 +24,7 @@ table gives an empty mix. Seeds are fixed, so reruns agree.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +35,9 @@ KEY_BITS, STEP_BITS, LEAF_ROWS = 60, 10, 4096
 #: Sources up to which weights and quotas are computed on the driver (some 50 bytes each); beyond, tables are used.
 DRIVER_SOURCES = 100_000
 #: Least bits of a source's blocks; words of an output shard and shards at most, where their number isn't given (layout only: nothing is left out).
-BLOCK_BITS, SHARD_WORDS, SHARDS = 8, 20_000_000, 65_536
+BLOCK_BITS, SHARD_WORDS, SHARDS = 8, 8_000_000, 65_536
+#: Shards times sources of a tree that the driver splits itself, and rows of a dealt table that are broadcast at most.
+DRIVER_CELLS, BROADCAST_ROWS = 2_000_000, 500_000
 PLAN = "src string, sid long, weight double, source_size long, n long, target double"
 
 
@@ -123,33 +128,68 @@ def find_cuts(keyed: DataFrame, plan: DataFrame) -> DataFrame:
     return state.select("src", "sid", "weight", "source_size", "n", "target", "passes", cut.cast("long").alias("cut"), F.when(none, F.lit(2**63 - 1)).otherwise(F.col("end.id")).alias("cut_id"))
 
 
-def split_tree(quotas: np.ndarray, shards: int, seed: int = 7) -> np.ndarray:
-    """Matrix (shards, sources) of block quotas: rows have the same sum to within one, columns sum to quotas."""
-    out = np.zeros((shards, len(quotas)), np.int64)
-    rng = np.random.Generator(np.random.PCG64(seed))
-    total = int(quotas.sum())
-    edge = [total * i // shards for i in range(shards + 1)]
-    todo = [(0, shards, quotas.astype(np.int64))]
+def subtree(have: np.ndarray, total: int, shards: int, lo: int, hi: int, seed: int, leaf: int = 1):
+    """(first shard, end, block quotas) of the nodes of at most leaf shards below the node of the shards lo to hi - 1, in shard order.
+
+    A node draws its left child's quotas from the multivariate hypergeometric
+    distribution by a seed of its own, so driver and tasks draw alike. total:
+    blocks of the whole tree, which its shards share to within one.
+    """
+    todo = [(lo, hi, have)]
     while todo:
         lo, hi, have = todo.pop()
-        if hi - lo == 1:
-            out[lo] = have
+        if hi - lo <= leaf:
+            yield lo, hi, have
             continue
         mid = (lo + hi) // 2
-        left = rng.multivariate_hypergeometric(have, edge[mid] - edge[lo], method="marginals")
-        todo += [(lo, mid, left), (mid, hi, have - left)]
-    return out
+        rng = np.random.Generator(np.random.PCG64([seed, lo, hi]))
+        left = rng.multivariate_hypergeometric(have, total * mid // shards - total * lo // shards, method="marginals")
+        todo += [(mid, hi, have - left), (lo, mid, left)]
+
+
+def split_tree(quotas: np.ndarray, shards: int, seed: int = 7) -> np.ndarray:
+    """Matrix (shards, sources) of block quotas: rows have the same sum to within one, columns sum to quotas."""
+    quotas = quotas.astype(np.int64)
+    return np.stack([have for _, _, have in subtree(quotas, int(quotas.sum()), shards, 0, shards, seed)])
 
 
-def deal_blocks(cuts: DataFrame, shards: int, block_bits: int, seed: int = 7) -> DataFrame:
-    """Rows (sid, from, to, shard): which draws of a source's permuted blocks a shard owns. Bounded: the caller chooses block_bits by the number of sources."""
+def deal_blocks(cuts: DataFrame, shards: int, block_bits: int, seed: int = 7, driver_cells: int = DRIVER_CELLS) -> DataFrame:
+    """Rows (sid, from, to, shard): which draws of a source's permuted blocks a shard owns.
+
+    One number a source passes the driver. A tree of more than driver_cells
+    shards times sources is split there down to a few subtrees only, which
+    tasks split further.
+    """
     spark, size = cuts.sparkSession, 1 << block_bits
-    rows = cuts.select("sid", "passes", F.shiftright("cut", KEY_BITS - block_bits).alias("last"), "cut", "source_size").orderBy("sid").collect()
-    quotas = np.array([0 if not r.source_size else r.passes * size + (r.last + 1 if r.cut >= 0 else 0) for r in rows], np.int64)
-    deal = split_tree(quotas, shards, seed) if len(rows) and quotas.sum() else np.zeros((shards, len(rows)), np.int64)
-    ends = deal.cumsum(0)
-    out = [(rows[j].sid, int(ends[i, j] - deal[i, j]), int(ends[i, j]), i) for i in range(shards) for j in range(len(rows)) if deal[i, j]]
-    return spark.createDataFrame(out, "sid long, from long, to long, shard int")
+    ddl = "sid long, from long, to long, shard int"
+    quota = F.when(F.col("source_size") > 0, F.col("passes") * size + F.when(F.col("cut") >= 0, F.shiftright("cut", KEY_BITS - block_bits) + 1).otherwise(0)).otherwise(0)
+    rows = cuts.select("sid", quota.alias("q")).where("q > 0").orderBy("sid").collect()
+    sids, quotas = np.array([r.sid for r in rows], np.int64), np.array([r.q for r in rows], np.int64)
+    total = int(quotas.sum())
+    if not total:
+        return spark.createDataFrame([], ddl)
+    if shards * len(rows) <= driver_cells:
+        deal = split_tree(quotas, shards, seed)
+        ends = deal.cumsum(0)
+        at, own = np.nonzero(deal)
+        out = zip(sids[own].tolist(), (ends - deal)[at, own].tolist(), ends[at, own].tolist(), at.tolist(), strict=True)
+        return spark.createDataFrame(list(out), ddl)
+    parts, before = [], np.zeros(len(quotas), np.int64)
+    for lo, hi, have in subtree(quotas, total, shards, 0, shards, seed, leaf=max(1, -(-shards // max(2, driver_cells // len(rows) // 2)))):
+        parts.append((lo, hi, have.tobytes(), before.tobytes()))
+        before = before + have
+    schema = pa.schema([("sid", pa.int64()), ("from", pa.int64()), ("to", pa.int64()), ("shard", pa.int32())])
+
+    def task(batches):
+        for batch in batches:
+            for lo, hi, have, start in zip(*(batch.column(c).to_pylist() for c in ("lo", "hi", "have", "start")), strict=True):
+                start = np.frombuffer(start, np.int64)
+                for shard, _, own in subtree(np.frombuffer(have, np.int64), total, shards, lo, hi, seed):
+                    k = np.flatnonzero(own)
+                    yield pa.RecordBatch.from_arrays([pa.array(sids[k]), pa.array(start[k]), pa.array((start + own)[k]), pa.array(np.full(len(k), shard, np.int32))], schema=schema)
+                    start = start + own
+
+    return spark.createDataFrame(parts, "lo int, hi int, have binary, start binary").repartition(min(len(parts), 64)).mapInArrow(task, ddl)
 
 
 def mix(docs: DataFrame, source: str = "source", weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, seed: str = "mix") -> tuple[DataFrame, DataFrame]:
@@ -174,19 +214,21 @@ def mix_counts(docs: DataFrame, source: str = "source", weights: tuple[float, ..
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * draws(F.col("key"), F.col("doc_id"))).alias("taken"), draws(F.col("key"), F.col("doc_id")).alias("times"), "key")
 
 
-def mix_rows(docs: DataFrame, shards: int | None = None, source: str = "source", weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, seed: str = "mix") -> DataFrame:
-    """The mix itself: the columns of docs and shard, a row per draw, each shard in a shuffled order of its own."""
+def mix_rows(docs: DataFrame, shards: int | None = None, source: str = "source", weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, seed: str = "mix", shard_column: str | None = "shard") -> DataFrame:
+    """The mix itself: the columns of docs, a row per draw, and its shard under shard_column (None: without it); each shard is one partition in a shuffled order of its own."""
+    if shard_column and shard_column.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"the table has a column {shard_column} already; name another shard_column")
     _, cuts = mix(docs, source, weights, cap, seed)
     own = docs.select(F.struct(*docs.columns).alias("row"), F.col(source).cast("string").alias("s"), F.col("doc_id").alias("id"), order_key(seed, F.col(source), F.col("doc_id")).alias("key"))
-    return deal_rows(own, cuts, shards, seed)
+    return deal_rows(own, cuts, shards, seed).select("row.*", *([F.col("shard").alias(shard_column)] if shard_column else []))
 
 
 def dealt_counts(docs: DataFrame, shards: int | None = None, source: str = "source", weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, seed: str = "mix") -> DataFrame:
     """Per row of docs: doc_id, size, source_size, target, taken, times, key, as counted from the draws that the shards of the mix hold."""
     keyed, cuts = mix(docs, source, weights, cap, seed)
     own = keyed.select(F.struct("rid").alias("row"), F.col("src").alias("s"), F.col("doc_id").alias("id"), "key")
-    drawn = materialize(deal_rows(own, cuts, shards, seed), "draws")
-    times = drawn.where("shard is not null").groupBy("rid").agg(F.count(F.lit(1)).alias("k"))
+    drawn = materialize(deal_rows(own, cuts, shards, seed).select("row.rid", "shard"), "draws")
+    times = drawn.groupBy("rid").agg(F.count(F.lit(1)).alias("k"))
     side = (F.broadcast(cuts) if cuts.count() <= DRIVER_SOURCES else cuts).alias("p")
     rows = keyed.join(side, keyed["src"].eqNullSafe(F.col("p.src"))).join(times, "rid", "left")
     k = F.coalesce("k", F.lit(0)).cast("long")
@@ -194,18 +236,17 @@ def dealt_counts(docs: DataFrame, shards: int | None = None, source: str = "sour
 
 
 def deal_rows(own: DataFrame, cuts: DataFrame, shards: int | None, seed: str) -> DataFrame:
-    """Fields of row and shard, a row per draw of own (row, s, id, key)."""
+    """row and shard, a row per draw of own (row, s, id, key): a shard is a partition, shuffled within."""
     n = cuts.count()
     words = cuts.agg(F.sum("target")).first()[0] or 0
     shards = shards or min(SHARDS, max(16, -(-int(words) // SHARD_WORDS)))
     # blocks fine enough for the shards to differ, and some two million of all sources at most
     bits = max(1, min(max(BLOCK_BITS, int(np.log2(16 * shards))), int(np.log2(max(2, 2_000_000 // max(1, n))))))
-    deal = deal_blocks(cuts, shards, bits)
+    deal = materialize(deal_blocks(cuts, shards, bits).select(F.col("sid").alias("_sid"), F.explode(F.sequence("from", F.col("to") - 1)).alias("_draw"), "shard"), "deal")
     side = (F.broadcast(cuts) if n <= DRIVER_SOURCES else cuts).select("src", "sid", "source_size", "passes", "cut", "cut_id").alias("p")
     rows = own.join(side, F.col("s").eqNullSafe(F.col("p.src"))).withColumn("times", draws(F.col("key"), F.col("id")))
     copies = rows.where("times > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("times").cast("int") - 1)))
     at = copies.withColumn("draw", F.col("pass") * (1 << bits) + F.shiftright("key", KEY_BITS - bits))
-    runs = deal.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("to", "shard"))).alias("runs"))  # at most one run a shard
-    dealt = at.join(F.broadcast(runs) if n * shards <= 2_000_000 else runs, "sid").withColumn("shard", F.filter("runs", lambda x: x["to"] > F.col("draw"))[0]["shard"])
+    dealt = at.join(F.broadcast(deal) if deal.count() <= BROADCAST_ROWS else deal, (F.col("sid") == F.col("_sid")) & (F.col("draw") == F.col("_draw")))
     local = order_key(seed + "-local", F.col("id"), F.col("pass"))
-    return dealt.withColumn("local", local).repartition(shards, "shard").sortWithinPartitions("shard", "local").select("row.*", "shard")
+    return dealt.withColumn("local", local).repartitionById(shards, F.col("shard")).sortWithinPartitions("local").select("row", "shard")

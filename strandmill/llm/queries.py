@@ -93,5 +93,50 @@ FROM d LEFT JOIN a ON a.doc_id = d.doc_id
 """
 
 
+#: The contract's sets, all pairs that share a shingle, and the transitive closure of the links.
+NGRAM_JOIN_SQL = r"""
+WITH RECURSIVE t AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+s AS (SELECT rid, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct([array_to_string(w[i:i + 2], ' ') for i in range(1, len(w) - 1)]) END AS g FROM t),
+c AS (SELECT min(rid) AS cid, list_sort(g) AS g, len(g) AS n FROM s WHERE len(g) > 0 GROUP BY list_sort(g)),
+m AS (SELECT s.rid, c.cid FROM s JOIN c ON c.g = list_sort(s.g)),
+u AS (SELECT cid, n, unnest(g) AS x FROM c),
+r AS (SELECT x, count(*) AS k FROM u GROUP BY x),
+o AS (SELECT u.cid, u.n, u.x, row_number() OVER (PARTITION BY u.cid ORDER BY r.k, u.x) AS pos FROM u JOIN r ON r.x = u.x),
+p AS (SELECT * FROM o WHERE pos <= n - (90 * n + 99) // 100 + 1),
+q AS (SELECT DISTINCT a.cid AS a, b.cid AS b FROM p a JOIN p b ON a.x = b.x AND a.cid < b.cid AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)),
+l AS (SELECT q.a, q.b FROM q JOIN c x ON x.cid = q.a JOIN c y ON y.cid = q.b WHERE 100 * len(list_intersect(x.g, y.g)) >= 90 * (x.n + y.n - len(list_intersect(x.g, y.g)))),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+h(a, b) AS (SELECT cid, cid FROM c UNION SELECT h.a, e.b FROM h JOIN e ON e.a = h.b),
+k AS (SELECT h.a AS cid, min(s.doc_id) AS component_id FROM h JOIN m ON m.cid = h.b JOIN s ON s.rid = m.rid GROUP BY h.a)
+SELECT s.doc_id, cast(len(s.g) AS bigint) AS n_shingles, coalesce(k.component_id, s.doc_id) AS component_id FROM s LEFT JOIN m ON m.rid = s.rid LEFT JOIN k ON k.cid = m.cid
+"""
+
+#: Base 32 of the 40 hexadecimal digits: the five bits from place 5 * i lie in the digits 5 * i // 4 and the next.
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html) AS n, sha1(html) AS h, html FROM p),
+x AS (SELECT page_id, n, html, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast((((instr('0123456789abcdef', substr(h, 5 * i // 4 + 1, 1)) - 1) * 16 + instr('0123456789abcdef', substr(h || '0', 5 * i // 4 + 2, 1)) - 1) >> (3 - i % 4)) & 31 AS int) + 1, 1) for i in range(0, 32)], '') AS digest FROM d),
+g AS (SELECT html, max(page_id) AS answer FROM p GROUP BY html)
+SELECT x.page_id, cast(x.n AS bigint) AS payload_bytes, x.digest AS payload_digest, CASE WHEN x.page_id = g.answer THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN x.page_id <> g.answer THEN g.answer END AS refers_to
+FROM x JOIN g ON g.html = x.html
+"""
+
+#: Capped sources are the first ones by limit over weight; each rank is tried as the first one that isn't capped. Draws follow the hashed order.
+MIXING_SQL = r"""
+WITH d AS (SELECT doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS bigint) AS size, cast('0x' || substr(md5('mix' || chr(31) || coalesce(source, chr(0)) || chr(31) || coalesce(cast(doc_id AS varchar), chr(0))), 1, 15) AS bigint) AS key FROM documents),
+s AS (SELECT source, cast(sum(size) AS bigint) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS r FROM d GROUP BY source),
+w AS (SELECT *, cast((r - 1) % 3 + 1 AS double) AS weight, 3.0::double * source_size AS lim FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY lim / weight, r) AS k, coalesce(sum(lim) OVER (ORDER BY lim / weight, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held, sum(weight) OVER (ORDER BY lim / weight, r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS free, sum(source_size) OVER () AS total FROM w),
+c AS (SELECT k, greatest(0.0::double, cast(total AS double) - held) / free AS rate FROM o WHERE greatest(0.0::double, cast(total AS double) - held) / free * weight <= lim ORDER BY k LIMIT 1),
+t AS (SELECT o.source, o.source_size, CASE WHEN c.k IS NULL OR o.k < c.k THEN o.lim ELSE c.rate * o.weight END AS target FROM o LEFT JOIN c ON true),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN cast(floor(target / source_size) AS bigint) ELSE 0 END AS passes FROM t),
+i AS (SELECT source, key, doc_id, sum(size) AS size FROM d GROUP BY source, key, doc_id),
+m AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key, doc_id NULLS FIRST) - size / 2 AS mid FROM i),
+x AS (SELECT m.source, m.key, m.doc_id, p.source_size, p.target, CASE WHEN p.source_size > 0 THEN p.passes + CASE WHEN p.target - p.passes * p.source_size > 0 AND m.mid <= p.target - p.passes * p.source_size THEN 1 ELSE 0 END ELSE 0 END AS times FROM m JOIN p ON p.source IS NOT DISTINCT FROM m.source)
+SELECT d.doc_id, d.size, x.source_size, x.target, cast(d.size * x.times AS bigint) AS taken, cast(x.times AS bigint) AS times
+FROM d JOIN x ON x.source IS NOT DISTINCT FROM d.source AND x.key = d.key AND x.doc_id IS NOT DISTINCT FROM d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_top_k": TOP_K_SQL, "op3_secrets": _secrets_sql(), "op6_exact_dedup": EXACT_DEDUP_SQL}
+    return {"op1_top_k": TOP_K_SQL, "op3_secrets": _secrets_sql(), "op4_ngram_join": NGRAM_JOIN_SQL, "op6_exact_dedup": EXACT_DEDUP_SQL, "op9_warc": WARC_SQL, "op10_mixing": MIXING_SQL}

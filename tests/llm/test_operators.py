@@ -423,6 +423,34 @@ def test_split_tree():
     assert (deal.sum(0) == quotas).all() and set(deal.sum(1)) <= {160 // 7, 160 // 7 + 1} and (deal == mixing.split_tree(quotas, 7)).all()
 
 
+def test_subtrees_in_tasks_equal_the_driver(spark):
+    cuts = spark.createDataFrame([(i, "abc"[i % 3], 10, i % 3, (i * 37 % 256) << 52) for i in range(40)], "sid long, src string, source_size long, passes long, cut long")
+    a, b = (sorted(map(tuple, mixing.deal_blocks(cuts, 50, 8, driver_cells=c).collect())) for c in (10**6, 400))
+    assert a == b and sum(r[2] - r[1] for r in a) == sum((i % 3) * 256 + i * 37 % 256 + 1 for i in range(40))
+    loads = [sum(r[2] - r[1] for r in a if r[3] == s) for s in range(50)]
+    assert max(loads) - min(loads) <= 1
+
+
+def test_mix_rows_name_clash(spark, docs):
+    import pyspark.sql.functions as F
+
+    odd = docs.withColumn("shard", F.lit("mine"))
+    with pytest.raises(ValueError):
+        mixing.mix_rows(odd)
+    got = mixing.mix_rows(odd, shard_column=None)
+    assert got.columns == odd.columns and {r.shard for r in got.collect()} == {"mine"}
+    per = mixing.mix_rows(docs, shards=5).select("shard", F.spark_partition_id().alias("p")).collect()
+    assert all(r.shard == r.p for r in per)
+
+
+def test_keep_rows_leaves_clashing_columns(docs):
+    import pyspark.sql.functions as F
+
+    odd = docs.withColumn("__key", F.lit(7)).withColumn("__id", F.lit("x")).withColumn("__th", F.lit(1)).withColumn("__row", F.lit(2))
+    for out in (exact_dedup.drop_copies(odd), ngram_join.drop_near_copies(odd)):
+        assert out.columns == odd.columns and {(r["__key"], r["__id"], r["__th"], r["__row"]) for r in out.collect()} == {(7, "x", 1, 2)}
+
+
 def test_packing(docs, none, spark):
     got = packing.pack_documents(docs, capacities=(8, 16, 64), overhead=1).collect()
     words = sorted((str(i), len((t or "").encode().split())) for i, t, *_ in ROWS)
