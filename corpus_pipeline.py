@@ -1,4 +1,11 @@
-"""The corpus pipeline: language ID, exact dedup, near dedup, mixing, packing. Each stage works on all that the last one kept."""
+"""The corpus pipeline: language ID, exact dedup, near dedup, mixing, packing. Each stage works on all that the last one kept.
+
+Defined results: null texts and texts without a letter go in the first stage;
+of copies the smallest doc_id stays, a null one counting as larger than all
+others, and of rows that repeat doc_id and text the one that is first as JSON;
+a null source is a source of its own; an empty table gives no rows; further
+columns, whatever their names, are kept up to the last stage.
+"""
 
 from __future__ import annotations
 
@@ -24,8 +31,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per draw of the mix, dealt to shards and shuffled within them."""
-    return mixing.mix_rows(docs).select(*docs.columns)
+    """A row per draw of the mix, dealt to shards and shuffled within them; sources of size 0 are not drawn."""
+    return mixing.mix_rows(docs, shard_column=None)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
