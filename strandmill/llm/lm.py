@@ -132,15 +132,16 @@ class LogBilinear:
         self.ready = None
 
     def step(self, ctx: np.ndarray, target: np.ndarray, rng: np.random.Generator, noise: int = NOISE, rate: float = RATE) -> None:
-        """One NCE step of all levels. ctx: (n, 2) model ids, nearest first; noise words are shared by the batch."""
+        """One NCE step of all levels. ctx: (n, 2) model ids, nearest first; noise words are shared by the batch, half as many a level up."""
         p = self.p
         near, far = p["r"][ctx[:, 0]], p["r"][ctx[:, 1]]
         h = near * p["c"][0] + far * p["c"][1]
         gh, at, gq = np.zeros_like(h), [], []
-        log_kn = np.float32(np.log(noise))
-        for span, before, steps in zip(self.span, self.before, self.steps, strict=False):
+        for j, (span, before, steps) in enumerate(zip(self.span, self.before, self.steps, strict=False)):
+            n = max(8, noise >> j)  # upper levels have fewer nodes to tell apart
+            log_kn = np.float32(np.log(n))
             goal = target // span + before
-            k = before + np.minimum(np.searchsorted(steps, rng.random(noise), side="right"), len(steps) - 1)
+            k = before + np.minimum(np.searchsorted(steps, rng.random(n), side="right"), len(steps) - 1)
             qg, qk = p["q"][goal], p["q"][k]
             st = np.einsum("nd,nd->n", h, qg) + (p["b"][goal] - self.log_noise[goal] - log_kn)
             sn = h @ qk.T

@@ -83,7 +83,7 @@ def _secrets_sql() -> str:
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce('s' || source, '-') AS owner, coalesce('s' || source, '-') || '|' || coalesce('l' || lang, '-') AS repo FROM documents),
 f AS ({" UNION ALL ".join(kinds)}),
 e AS (SELECT *, sum(length(g) + length(m)) OVER (PARTITION BY doc_id, k ORDER BY i) AS stop FROM f),
-s AS (SELECT doc_id, owner, repo, kind, k, stop - length(m) AS start, stop, sha256(v) AS hash FROM e WHERE length(v) >= least AND (kind <> 'live' OR (len(list_filter(string_split_regex(v, '[/_-]'), x -> length(x) >= {secrets.RUN} AND regexp_matches(x, '[0-9]') AND regexp_matches(x, '[A-Za-z]'))) > 0 AND round(-list_sum(list_transform(list_distinct(string_split(v, '')), c -> (length(v) - length(replace(v, c, ''))) / length(v)::double * log2((length(v) - length(replace(v, c, ''))) / length(v)::double))), 6) >= {secrets.ENTROPY}))),
+s AS (SELECT doc_id, owner, repo, kind, k, stop - length(m) AS start, stop, sha256(v) AS hash FROM e WHERE length(v) >= least AND (kind <> 'live' OR (len(list_filter(string_split_regex(v, '[/_-]'), lambda x: length(x) >= {secrets.RUN} AND regexp_matches(x, '[0-9]') AND regexp_matches(x, '[A-Za-z]'))) > 0 AND round(-list_sum(list_transform(list_distinct(string_split(v, '')), lambda c: (length(v) - length(replace(v, c, ''))) / length(v)::double * log2((length(v) - length(replace(v, c, ''))) / length(v)::double))), 6) >= {secrets.ENTROPY}))),
 t AS (SELECT * FROM s WHERE kind <> 'live' OR NOT EXISTS (SELECT 1 FROM s b WHERE b.doc_id = s.doc_id AND b.kind <> 'live' AND b.start < s.stop AND s.start < b.stop)),
 o AS (SELECT hash, count(DISTINCT owner) <= 1 AND count(DISTINCT repo) <= 2 AND count(*) <= 20 AS few FROM t GROUP BY hash),
 j AS (SELECT t.*, o.few AS live, t.kind || ':' || cast(cast(t.start AS bigint) AS varchar) || ':' || cast(cast(t.stop AS bigint) AS varchar) AS span FROM t JOIN o ON o.hash = t.hash WHERE t.kind <> 'live' OR o.few),
@@ -95,10 +95,10 @@ FROM d LEFT JOIN a ON a.doc_id = d.doc_id
 
 #: The contract's sets, all pairs that share a shingle, and the transitive closure of the links.
 NGRAM_JOIN_SQL = r"""
-WITH RECURSIVE t AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
-s AS (SELECT rid, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct([array_to_string(w[i:i + 2], ' ') for i in range(1, len(w) - 1)]) END AS g FROM t),
-c AS (SELECT min(rid) AS cid, list_sort(g) AS g, len(g) AS n FROM s WHERE len(g) > 0 GROUP BY list_sort(g)),
-m AS (SELECT s.rid, c.cid FROM s JOIN c ON c.g = list_sort(s.g)),
+WITH RECURSIVE t AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT rid, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct([array_to_string(w[i:i + 2], ' ') for i in range(1, len(w) - 1)])) END AS g FROM t),
+c AS (SELECT min(rid) AS cid, g, len(g) AS n FROM s WHERE len(g) > 0 GROUP BY g),
+m AS (SELECT s.rid, c.cid FROM s JOIN c ON c.g = s.g),
 u AS (SELECT cid, n, unnest(g) AS x FROM c),
 r AS (SELECT x, count(*) AS k FROM u GROUP BY x),
 o AS (SELECT u.cid, u.n, u.x, row_number() OVER (PARTITION BY u.cid ORDER BY r.k, u.x) AS pos FROM u JOIN r ON r.x = u.x),
