@@ -134,34 +134,41 @@ class LogBilinear:
     def step(self, ctx: np.ndarray, target: np.ndarray, rng: np.random.Generator, noise: int = NOISE, rate: float = RATE) -> None:
         """One NCE step of all levels. ctx: (n, 2) model ids, nearest first; noise words are shared by the batch, half as many a level up."""
         p = self.p
-        near, far = p["r"][ctx[:, 0]], p["r"][ctx[:, 1]]
+        near, far = p["r"].take(ctx[:, 0], 0), p["r"].take(ctx[:, 1], 0)
         h = near * p["c"][0] + far * p["c"][1]
         gh, at, gq = np.zeros_like(h), [], []
-        for j, (span, before, steps) in enumerate(zip(self.span, self.before, self.steps, strict=False)):
-            n = max(8, noise >> j)  # upper levels have fewer nodes to tell apart
-            log_kn = np.float32(np.log(n))
-            goal = target // span + before
-            k = before + np.minimum(np.searchsorted(steps, rng.random(n), side="right"), len(steps) - 1)
-            qg, qk = p["q"][goal], p["q"][k]
-            st = np.einsum("nd,nd->n", h, qg) + (p["b"][goal] - self.log_noise[goal] - log_kn)
-            sn = h @ qk.T
-            sn += p["b"][k] - self.log_noise[k] - log_kn
-            gt = (1 / (1 + np.exp(-np.clip(st, -30, 30))) - 1).astype(np.float32)  # of the loss by the score
-            gn = 1 / (1 + np.exp(np.clip(np.negative(sn, out=sn), -30, 30)))
-            gh += gt[:, None] * qg
-            gh += gn @ qk
-            at += [goal, k]
-            gq += [np.column_stack((gt[:, None] * h, gt)), np.column_stack((gn.T @ h, gn.sum(0)))]
+        with np.errstate(over="ignore"):  # an infinite weight is a probability of 0
+            for j, (span, before, steps) in enumerate(zip(self.span, self.before, self.steps, strict=False)):
+                n = max(8, noise >> j)  # upper levels have fewer nodes to tell apart
+                log_kn = np.float32(np.log(n))
+                goal = target // span + before
+                k = before + np.minimum(np.searchsorted(steps, rng.random(n), side="right"), len(steps) - 1)
+                qg, qk = p["q"].take(goal, 0), p["q"].take(k, 0)
+                st = np.einsum("nd,nd->n", h, qg) + (p["b"].take(goal) - self.log_noise.take(goal) - log_kn)
+                gn = h @ qk.T
+                gn += p["b"].take(k) - self.log_noise.take(k) - log_kn
+                np.exp(np.negative(gn, out=gn), out=gn)
+                gn += 1
+                np.reciprocal(gn, out=gn)
+                gt = (1 / (1 + np.exp(-st)) - 1).astype(np.float32)[:, None]  # of the loss by the score
+                gh += gt * qg
+                gh += gn @ qk
+                at += [goal, k]
+                gq += [np.concatenate((gt * h, gt), 1), np.concatenate((gn.T @ h, gn.sum(0)[:, None]), 1)]
         at, gq, times = _rows(np.concatenate(at), np.concatenate(gq))
-        near_far, gr, used = _rows(ctx.T.ravel(), np.concatenate((gh * p["c"][0], gh * p["c"][1])))
-        gc = np.stack(((gh * near).sum(0), (gh * far).sum(0)))
+        near_far, gr, used = _rows(np.concatenate((ctx[:, 0], ctx[:, 1])), np.concatenate((gh * p["c"][0], gh * p["c"][1])))
+        gc = np.stack((np.einsum("nd,nd->d", gh, near), np.einsum("nd,nd->d", gh, far)))
         self.uses[at] += times
         self.uses[near_far] += used
-        for name, rows, g in (("q", at, gq[:, :-1]), ("b", at, gq[:, -1]), ("r", near_far, gr), ("c", slice(None), gc)):
-            g = (g / np.float32(np.sqrt(len(target)))).astype(np.float32)
-            sq = self.sq[name][rows] + g * g
+        for name, rows, g in (("q", at, gq[:, :-1]), ("b", at, gq[:, -1]), ("r", near_far, gr), ("c", np.arange(2), gc)):
+            g = g * np.float32(1 / np.sqrt(len(target)))
+            sq = self.sq[name].take(rows, 0)
+            sq += g * g
             self.sq[name][rows] = sq
-            p[name][rows] -= np.float32(rate) * g / np.sqrt(sq)
+            np.divide(g, np.sqrt(sq, out=sq), out=sq)
+            sq *= np.float32(-rate)
+            sq += p[name].take(rows, 0)
+            p[name][rows] = sq
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(near, far, norm) of a single class: log10 p(w | near a, far b) = near[a, w] + far[b, w] - norm[a, b]; the begin mark has probability 0."""
@@ -185,11 +192,11 @@ class LogBilinear:
             return near[ctx[:, 0], target] + far[ctx[:, 1], target] - norm[ctx[:, 0], ctx[:, 1]]
         order = np.argsort(target, kind="stable")  # siblings lie side by side at every level
         ctx, target = ctx[order], target[order]
-        h = self.p["r"][ctx[:, 0]] * self.p["c"][0] + self.p["r"][ctx[:, 1]] * self.p["c"][1]
+        h = self.p["r"].take(ctx[:, 0], 0) * self.p["c"][0] + self.p["r"].take(ctx[:, 1], 0) * self.p["c"][1]
         h = np.column_stack((h, np.ones(len(h), np.float32)))
-        nodes = self.ready[target]
+        nodes = self.ready.take(target, 0)
         for span, before in list(zip(self.span, self.before, strict=False))[1:]:
-            nodes = nodes + self.ready[target // span + before]
+            nodes += self.ready.take(target // span + before, 0)
         logs = np.einsum("nd,nd->n", h, nodes)
         for j, (span, before) in enumerate(zip(self.span, self.before, strict=False)):
             last, end = j + 1 == len(self.span), self.before[j + 1]
@@ -206,20 +213,25 @@ class LogBilinear:
 def _log_total(h: np.ndarray, q: np.ndarray, rows: int = 2048) -> np.ndarray:
     """Logarithm of the sum of exp(h . q) over the rows of q."""
     out = np.empty(len(h), np.float32)
-    for s in range(0, len(h), rows):
-        x = h[s : s + rows] @ q.T
-        top = x.max(1, keepdims=True)
-        x -= top
-        out[s : s + rows] = np.log(np.exp(x, out=x).sum(1)) + top[:, 0]
+    with np.errstate(over="ignore", divide="ignore"):
+        for s in range(0, len(h), rows):
+            x = h[s : s + rows] @ q.T
+            total = np.exp(x).sum(1)
+            if not (np.isfinite(total) & (total > 0)).all():  # out of range: relative to the largest
+                top = x.max(1)
+                out[s : s + rows] = np.log(np.exp(x - top[:, None]).sum(1)) + top
+            else:
+                out[s : s + rows] = np.log(total)
     return out
 
 
 def _rows(at: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct indices, the sums of their rows of g, and how often they occur."""
     order = np.argsort(at)
-    at = at[order]
+    at = at.take(order)
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    return at[first], np.add.reduceat(g[order], first, axis=0), np.diff(np.append(first, len(at)))
+    sums = np.add.reduceat(np.ascontiguousarray(g.take(order, 0).T), first, axis=1)  # long rows add up faster than many short ones
+    return at.take(first), np.ascontiguousarray(sums.T), np.diff(np.append(first, len(at)))
 
 
 def contexts(ids: np.ndarray) -> np.ndarray:
