@@ -19,6 +19,16 @@ class EngineError(ValueError):
         return json.dumps({"code": self.code, "message": str(self), "exit_code": self.exit_code})
 
 
+def guards(rows, checks: list, columns: list[str]) -> None:
+    """Tests (violation, message, code) in one pass over rows; the first violated one raises with examples of columns."""
+    from pyspark.sql import functions as F
+
+    hit = rows.agg(*(F.max(F.when(bad, 1)).alias(f"g{i}") for i, (bad, *_) in enumerate(checks))).first()
+    for (bad, message, code), seen in zip(checks, hit, strict=True):
+        if seen:
+            guard(rows.where(bad).select(*columns), message, code)
+
+
 def guard(violations, message: str, code: str = "E100", limit: int = 5) -> None:
     """Raises with up to limit example rows if the DataFrame of violations has any."""
     found = violations.limit(limit).collect()

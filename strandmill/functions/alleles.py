@@ -84,6 +84,11 @@ def with_event(df, pos: str = "pos", ref: str = "ref", alt: str = "alt"):
     return df.withColumn("_event", event_of(F.col(pos), F.col(ref), F.col(alt))).select("*", "_event.*").drop("_event")
 
 
+def substitution_components(components: Column) -> Column:
+    """The components of an allele that is made of substitutions only, else none."""
+    return F.when(F.forall(components, lambda c: c["kind"] == "SNV"), components).otherwise(F.expr(NONE))
+
+
 def label(c: Column) -> Column:
     """Text of a component: SNV:p:R>A, INS:p:+S, DEL:p:S or DEL:p-q:S, others KIND:p:R>A."""
     pos, end = c["pos"].cast("string"), (c["pos"] + F.length(c["ref"]) - 1).cast("string")

@@ -44,18 +44,23 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def codon_map(table: int) -> Column:
-    bases = "TCAG"
-    codons = [x + y + z for x in bases for y in bases for z in bases]
-    return F.create_map(*(F.lit(v) for pair in zip(codons, GENETIC_CODES[table], strict=True) for v in pair))
+def _residue(codon: Column, table: int) -> Column:
+    """Residue of an upper-case codon in T, C, A and G: its place among the 64."""
+    at = lambda i: F.instr(F.lit("TCAG"), F.substr(codon, F.lit(i), F.lit(1)))
+    place = let(F.struct(at(1).alias("x"), at(2).alias("y"), at(3).alias("z")), lambda p: F.when((p["x"] > 0) & (p["y"] > 0) & (p["z"] > 0), p["x"] * 16 + p["y"] * 4 + p["z"] - 20))
+    return F.when(F.length(codon) == 3, F.coalesce(F.substr(F.lit(GENETIC_CODES[table]), place, F.lit(1)), F.lit("X"))).otherwise("X")
+
+
+def _dna(seq: Column) -> Column:
+    return F.translate(F.upper(seq), "U", "T")
 
 
 def codon_residue(codon: Column, table: int = 11) -> Column:
     """One-letter residue of a codon, X where it is ambiguous or not three bases."""
-    return F.coalesce(F.element_at(codon_map(table), F.translate(F.upper(codon), "U", "T")), F.lit("X"))
+    return _residue(_dna(codon), table)
 
 
 def translate(cds: Column, table: int = 11) -> Column:
     """Protein of every whole codon of a coding sequence."""
     n = F.floor(F.length(cds) / 3)
-    return F.array_join(F.transform(count_to(n), lambda i: codon_residue(F.substr(cds, (i - 1) * 3 + 1, F.lit(3)), table)), "")
+    return let(_dna(cds), lambda s: F.array_join(F.transform(count_to(n), lambda i: _residue(F.substr(s, (i - 1) * 3 + 1, F.lit(3)), table)), ""))

@@ -5,31 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from strandmill.functions.dna import count_to
+from strandmill.functions.dna import count_to, let
 
 TOLERANCE = 1e-7
 
 
-def log_factorial(n: Column) -> Column:
-    return F.aggregate(count_to(n), F.lit(0.0), lambda a, i: a + F.log(i.cast("double")))
-
-
 def fisher_exact(a: Column, b: Column, c: Column, d: Column) -> Column:
-    """Two-tailed p of the table ((a, b), (c, d)): tables no likelier than the observed one, judged relatively."""
-    total = a + b + c + d
-    # ln(k!) for k = 0..total, once a row
-    tab = F.aggregate(count_to(total), F.array(F.lit(0.0)), lambda t, i: F.concat(t, F.array(F.element_at(t, -1) + F.log(i.cast("double")))))
-    row = F.struct(tab.alias("t"), a.cast("int").alias("a"), (a + b).cast("int").alias("r1"), (c + d).cast("int").alias("r2"), (a + c).cast("int").alias("c1"), total.cast("int").alias("n"))
+    """Two-tailed p of the table ((a, b), (c, d)): tables no likelier than the observed one, judged relatively.
+
+    Tables are weighed against the observed one by the ratio of neighbours, up
+    and down from it, so a row costs as many steps as it has tables.
+    """
+    row = F.struct(a.cast("double").alias("a"), (a + b).cast("double").alias("r1"), (c + d).cast("double").alias("r2"), (a + c).cast("double").alias("c1"))
 
     def p_of(x: Column) -> Column:
-        lf = lambda k: F.get(x["t"], k)
-        choose = lambda n, k: lf(n) - lf(k) - lf(n - k)
-        prob = lambda k: F.exp(choose(x["r1"], k) + choose(x["r2"], x["c1"] - k) - choose(x["n"], x["c1"]))
-        lo, hi = F.greatest(x["c1"] - x["r2"], F.lit(0)), F.least(x["r1"], x["c1"])
-        seen = prob(x["a"])
-        return F.least(F.aggregate(F.sequence(lo, hi), F.lit(0.0), lambda s, k: s + F.when(prob(k) <= seen * (1 + TOLERANCE), prob(k)).otherwise(0.0)), F.lit(1.0))
-
-    return F.transform(F.array(row), p_of)[0]
+        zero = F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("le"), F.lit(0.0).alias("all"))
+
+        def add(s: Column, w: Column) -> Column:
+            return F.struct(w.alias("w"), (s["le"] + F.when(w <= 1 + TOLERANCE, w).otherwise(0.0)).alias("le"), (s["all"] + w).alias("all"))
+
+        up_n = F.least(x["r1"], x["c1"]) - x["a"]
+        down_n = x["a"] - F.greatest(x["c1"] - x["r2"], F.lit(0.0))
+        up = lambda s, i: add(s, s["w"] * (x["r1"] - (x["a"] + i - 1)) * (x["c1"] - (x["a"] + i - 1)) / ((x["a"] + i) * (x["r2"] - x["c1"] + x["a"] + i)))
+        down = lambda s, i: add(s, s["w"] * (x["a"] - i + 1) * (x["r2"] - x["c1"] + x["a"] - i + 1) / ((x["r1"] - (x["a"] - i)) * (x["c1"] - (x["a"] - i))))
+        both = F.struct(F.aggregate(count_to(up_n), zero, up).alias("u"), F.aggregate(count_to(down_n), zero, down).alias("d"))
+        return let(both, lambda t: F.least((1 + t["u"]["le"] + t["d"]["le"]) / (1 + t["u"]["all"] + t["d"]["all"]), F.lit(1.0)))
+
+    return let(row, p_of)
 
 
 def linkage(both: Column, first: Column, second: Column, neither: Column) -> Column:

@@ -5,7 +5,7 @@ indels carry pos, ref, alt and, from with_event, components.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandmill.functions.aa import three_letter
@@ -44,27 +44,59 @@ def passes_gate(observed: Column, declared: Column, least: float = 0.5) -> Colum
     return F.coalesce(observed, declared, F.lit(float("inf"))) >= least
 
 
+def upstream_key(components: Column, strand: Column) -> Column:
+    """Place of an indel in transcript order: it is upstream of a codon if this is below codon_key of the codon."""
+    last = F.array_max(F.transform(components, lambda c: c["pos"] + F.greatest(F.length(c["ref"]) - 1, F.lit(0))))
+    first = F.array_min(F.transform(components, lambda c: F.when(c["kind"] == "INS", c["pos"] + 1).otherwise(c["pos"])))
+    return F.when(strand == "-", -first).otherwise(last)
+
+
+def codon_key(strand: Column, codon_start: Column) -> Column:
+    return F.when(strand == "-", -(codon_start + 2)).otherwise(codon_start)
+
+
 def frame_states(codons: DataFrame, placed: DataFrame, least: float = 0.5) -> DataFrame:
-    """Per codon (gene_id, codon_start): shift (summed upstream deltas that pass the gate), frameshift, overlap.
+    """Per codon (gene_id, strand, codon_start): shift (summed upstream deltas that pass the gate), frameshift, overlap.
 
-    codons: gene_id, strand, codon_start. placed: place_indels with af. Codons
-    and indels meet by gene; the theta condition is residual, and the result is
-    aggregated at once.
+    placed: place_indels with af, and observed (the frequency the reads show)
+    where it is known. Codons and indels of a gene are put in one transcript
+    order and the shift is a running sum, so a gene of many of both is sorted,
+    not multiplied; overlaps meet by bins.
     """
-    own = placed.select("gene_id", "components", "af", coding_delta(F.col("components"), F.col("g_start"), F.col("g_end")).alias("delta"))
+    seen = F.col("observed") if "observed" in placed.columns else F.lit(None).cast("double")
+    delta = F.when(passes_gate(seen, F.col("af"), least) & (F.size("components") > 0), coding_delta(F.col("components"), F.col("g_start"), F.col("g_end"))).otherwise(0)
+    events = placed.select("gene_id", F.col("strand"), F.lit(None).cast("long").alias("codon_start"), upstream_key(F.col("components"), F.col("strand")).cast("long").alias("_o"), delta.cast("long").alias("_d"))
+    rows = codons.select("gene_id", "strand", "codon_start").withColumn("_o", codon_key(F.col("strand"), F.col("codon_start")).cast("long")).withColumn("_d", F.lit(0).cast("long"))
+    before = Window.partitionBy("gene_id").orderBy("_o").rangeBetween(Window.unboundedPreceding, -1)
+    out = rows.unionByName(events).withColumn("shift", F.coalesce(F.sum("_d").over(before), F.lit(0))).where("codon_start is not null").drop("_o", "_d")
+    span = placed.select("gene_id", "components", F.array_min(F.transform("components", lambda c: c["pos"])).alias("_lo"), F.array_max(F.transform("components", lambda c: c["pos"] + F.greatest(F.length(c["ref"]) - 1, F.lit(0)))).alias("_hi"))
     low, high = F.col("codon_start"), F.col("codon_start") + 2
-    rows = codons.join(own, "gene_id", "left")
-    up = is_upstream(F.col("components"), F.col("strand"), low, high) & passes_gate(F.lit(None).cast("double"), F.col("af"), least)
-    over = F.exists("components", lambda c: overlaps(c, low, high))
-    out = rows.groupBy(*codons.columns).agg(F.sum(F.when(up, F.col("delta")).otherwise(0)).alias("shift"), F.max(F.coalesce(over, F.lit(False))).alias("overlap"))
-    return out.withColumn("shift", F.coalesce("shift", F.lit(0)).cast("long")).withColumn("frameshift", F.pmod("shift", F.lit(3)) != 0)
+    hit = interval_join(codons.select("gene_id", "codon_start").withColumn("_end", high), span, "gene_id", "codon_start", "_end", "_lo", "_hi").where(F.exists("components", lambda c: overlaps(c, low, high)))
+    flags = hit.select("gene_id", "codon_start").distinct().withColumn("overlap", F.lit(True))
+    out = out.join(flags, ["gene_id", "codon_start"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(False)))
+    return out.select("gene_id", "strand", "codon_start", "shift", "overlap").withColumn("frameshift", F.pmod("shift", F.lit(3)) != 0)
+
+
+def suppress_trans(states: DataFrame, trans: DataFrame) -> DataFrame:
+    """frame_states without the deltas of indels that the reads put on other molecules. trans: gene_id, codon_start, delta, a row per such indel upstream of the codon."""
+    gone = trans.groupBy("gene_id", "codon_start").agg(F.sum("delta").alias("_gone"))
+    out = states.join(gone, ["gene_id", "codon_start"], "left").withColumn("shift", F.col("shift") - F.coalesce("_gone", F.lit(0))).drop("_gone")
+    return out.withColumn("frameshift", F.pmod("shift", F.lit(3)) != 0)
 
 
 def apply_to_feature(seq: Column, start: Column, components: Column) -> Column:
-    """Genomic sequence of a feature with simple insertions and deletions put in, last position first; null for symbolic or conflicting ones."""
+    """Genomic sequence of a feature with simple insertions and deletions put in, last position first; null for symbolic or conflicting ones.
+
+    Components conflict where a substitution or an insertion's anchor lies in
+    deleted bases, or two at one place differ.
+    """
+    gone = F.flatten(F.transform(F.filter(components, lambda c: c["kind"] == "DEL"), lambda c: F.sequence(c["pos"], c["pos"] + F.length(c["ref"]) - 1)))
+    put = F.filter(components, lambda c: c["kind"].isin("SNV", "INS"))
+    places = F.transform(put, lambda c: F.struct(c["kind"].alias("kind"), c["pos"].alias("pos")))
+    clash = F.exists(put, lambda c: F.array_contains(gone, c["pos"])) | (F.size(F.array_distinct(places)) < F.size(F.array_distinct(F.transform(put, lambda c: F.struct(c["kind"].alias("kind"), c["pos"].alias("pos"), F.upper(c["alt"]).alias("alt"))))))
     last_first = F.reverse(F.array_sort(F.transform(components, lambda c: F.struct(c["pos"].alias("pos"), c["kind"].alias("kind"), c["ref"].alias("ref"), c["alt"].alias("alt")))))
 
-    def put(s: Column, c: Column) -> Column:
+    def apply(s: Column, c: Column) -> Column:
         k = (c["pos"] - start + 1).cast("int")  # 1-based place of the component in the feature
         cut_from, cut_to = F.greatest(k, F.lit(1)), F.least(k + F.length(c["ref"]), F.length(s) + 1)
         gone = F.concat(F.substr(s, F.lit(1), cut_from - 1), F.substr(s, cut_to, F.length(s)))
@@ -74,7 +106,7 @@ def apply_to_feature(seq: Column, start: Column, components: Column) -> Column:
             .when(c["kind"] == "DEL", F.when(cut_to > cut_from, gone).otherwise(s))
         )
 
-    return F.aggregate(last_first, seq, put)
+    return F.when(~clash, F.aggregate(last_first, seq, apply))
 
 
 def protein_change(ref: Column, alt: Column, offset: Column, frameshift: Column) -> Column:

@@ -18,8 +18,8 @@ def interval_join(left: DataFrame, right: DataFrame, key: str, l_start: str, l_e
     Both sides are dealt to the bins they touch and meet by an equi-join on key
     and bin, so the plan is a shuffled join rather than nested loops; a pair is
     emitted only in the bin that holds the start of its overlap, so no distinct
-    is needed. how: inner, left_semi or left_anti (the latter two by a left row
-    number).
+    is needed. how: inner, left_semi or left_anti (the latter two by the distinct
+    spans of the left side).
     """
     if how == "inner":
         lhs = left.withColumn("_bin", F.explode(bins(F.col(l_start), F.col(l_end), size)))
@@ -27,10 +27,10 @@ def interval_join(left: DataFrame, right: DataFrame, key: str, l_start: str, l_e
         hit = (F.col(l_start) <= F.col(r_end)) & (F.col(r_start) <= F.col(l_end))
         first = F.col("_bin") == F.floor(F.greatest(l_start, r_start) / size)
         return lhs.join(rhs, (F.col(key) == F.col("_key")) & (F.col("_bin") == F.col("_rbin")) & hit & first).drop("_bin", "_rbin", "_key")
-    # a semi or anti join needs each left row once: overlap becomes point-free by joining on the bins of the left row
-    rid = [F.xxhash64(*(F.col(c) for c in left.columns)).alias("_id")]
-    hits = interval_join(left.select("*", *rid).select("_id", key, l_start, l_end), right.select(key, r_start, r_end), key, l_start, l_end, r_start, r_end, "inner", size).select("_id").distinct()
-    return left.select("*", *rid).join(hits, "_id", how).drop("_id")
+    # a semi or anti join asks for a left row's span only: equal spans have equal answers, and are compared as they are
+    span = left.select(key, l_start, l_end).distinct()
+    hits = interval_join(span, right.select(key, r_start, r_end), key, l_start, l_end, r_start, r_end, "inner", size).select(key, l_start, l_end).distinct()
+    return left.join(hits, [key, l_start, l_end], how).select(*left.columns)
 
 
 def islands(df: DataFrame, keys: list[str], start: str, end: str, slack: int = 0, order: list[str] | None = None) -> DataFrame:

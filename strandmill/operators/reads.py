@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandmill.functions.alleles import observed_span
 from strandmill.functions.stats import linkage
+from strandmill.operators.intervals import interval_join
 
 #: Flag bits of records that are never counted: secondary, failed, duplicate, supplementary.
 SKIP_FLAGS, REVERSE, FIRST_LAST = 0xF00, 0x10, 0xC0
@@ -27,19 +29,23 @@ def molecule_key(pair_aware: bool = True) -> Column:
     return F.when(F.col("qname").isNull() | (F.col("qname") == "*"), alone).otherwise(F.col("qname") if pair_aware else record)
 
 
-def cigar_blocks(reads: DataFrame) -> DataFrame:
-    """A row per CIGAR operation: op, n, q0 (0-based query start), r0 (reference position)."""
-    lens = F.transform(F.regexp_extract_all("cigar", F.lit(r"(\d+)[MIDNSHP=X]"), F.lit(1)), lambda x: x.cast("int"))
-    ops = F.regexp_extract_all("cigar", F.lit(r"\d+([MIDNSHP=X])"), F.lit(1))
-    zipped = F.arrays_zip(ops.alias("op"), lens.alias("n"))
-    init = F.struct(F.lit(0).alias("q"), F.col("start").cast("long").alias("r"), F.expr("cast(array() as array<struct<op:string,n:int,q0:int,r0:bigint>>)").alias("out"))
+def cigar_ops(cigar: Column, start: Column) -> Column:
+    """Array of (op, n, q0, r0) of a CIGAR text: 0-based query start and reference position of each operation."""
+    lens = F.transform(F.regexp_extract_all(cigar, F.lit(r"(\d+)[MIDNSHP=X]"), F.lit(1)), lambda x: x.cast("int"))
+    zipped = F.arrays_zip(F.regexp_extract_all(cigar, F.lit(r"\d+([MIDNSHP=X])"), F.lit(1)).alias("op"), lens.alias("n"))
+    init = F.struct(F.lit(0).alias("q"), start.cast("long").alias("r"), F.expr("cast(array() as array<struct<op:string,n:int,q0:int,r0:bigint>>)").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         takes = lambda s: F.when(x["op"].isin(*s), x["n"]).otherwise(0)
         row = F.struct(x["op"].alias("op"), x["n"].alias("n"), acc["q"].alias("q0"), acc["r"].alias("r0"))
         return F.struct((acc["q"] + takes("MIS=X")).alias("q"), (acc["r"] + takes("MDN=X")).alias("r"), F.concat(acc["out"], F.array(row)).alias("out"))
 
-    return reads.withColumn("_b", F.explode(F.aggregate(zipped, init, step, lambda a: a["out"]))).select(*reads.columns, "_b.*")
+    return F.aggregate(zipped, init, step, lambda a: a["out"])
+
+
+def cigar_blocks(reads: DataFrame) -> DataFrame:
+    """A row per CIGAR operation: op, n, q0 (0-based query start), r0 (reference position)."""
+    return reads.withColumn("_b", F.explode(cigar_ops(F.col("cigar"), F.col("start")))).select(*reads.columns, "_b.*")
 
 
 def observe_sites(reads: DataFrame, sites: DataFrame, pair_aware: bool = True, bin_size: int = 1024) -> DataFrame:
@@ -161,30 +167,109 @@ def codon_linkage(counts: DataFrame, keys: list[str]) -> DataFrame:
     return weakest.select(*keys, "w.*")
 
 
-def indel_support(read_spans: DataFrame, keys: list[str]) -> DataFrame:
-    """Per indel: molecules that show it by strand and depth. read_spans: keys, molecule, is_reverse, supports, covers; a molecule any of whose records contradicts is no support."""
-    per = read_spans.groupBy(*keys, "molecule").agg(F.max("supports").alias("s"), F.max(F.col("covers") & ~F.col("supports")).alias("against"), F.max("covers").alias("c"), F.max(F.col("supports") & ~F.col("is_reverse")).alias("f"), F.max(F.col("supports") & F.col("is_reverse")).alias("r"))
-    good = F.col("s") & ~F.col("against")
+def observe_alleles(reads: DataFrame, variants: DataFrame, pair_aware: bool = True) -> DataFrame:
+    """What each read says about each variant over the variant's own span, a row per pair that overlap.
+
+    variants: contig, pos, ref, alt, components, and keys (kept). Added:
+    molecule, read_id, is_reverse; anchor_q (quality at pos, null if unaligned);
+    seen and quality over the REF span (every base aligned or deleted, at least
+    one base read; skipped ones are not observed); whole: as far as one base
+    behind where an indel needs it; shows: the bases over the REF span are ALT;
+    runs_on: the deletion goes on behind REF; carries: every component is there.
+    """
+    own = reads.withColumn("molecule", molecule_key(pair_aware)).withColumn("is_reverse", F.col("flag").bitwiseAND(REVERSE) != 0).withColumn("_ops", cigar_ops(F.col("cigar"), F.col("start")))
+    last = F.element_at("_ops", -1)
+    own = own.withColumn("_end", last["r0"] + F.when(last["op"].isin("M", "=", "X", "D", "N"), last["n"]).otherwise(0) - 1)
+    own = own.select(F.col("contig").alias("_rc"), F.col("start").alias("_start"), "_end", "_ops", "seq", F.nullif("qual", F.lit("*")).alias("qual"), "molecule", "read_id", "is_reverse")
+    span = variants.withColumn("_n", F.length("ref")).withColumn("_x", observed_span(F.col("ref"), F.col("components"))).withColumn("_to", F.col("pos") + F.col("_x") - 1)
+    rows = interval_join(span, own.withColumnRenamed("_rc", "contig"), "contig", "pos", "_to", "_start", "_end")
+    ops = F.col("_ops")
+    phred = lambda q, n: F.when(F.col("qual").isNull(), F.lit(MAX_QUALITY)).otherwise(F.array_min(F.transform(F.sequence(F.lit(1), n), lambda i: F.ascii(F.substr("qual", q + i, F.lit(1))) - 33)))
+
+    def at(p: Column) -> Column:
+        hit = F.get(F.filter(ops, lambda x: x["op"].isin("M", "=", "X") & p.between(x["r0"], x["r0"] + x["n"] - 1)), F.lit(0))
+        gone = F.exists(ops, lambda x: (x["op"] == "D") & p.between(x["r0"], x["r0"] + x["n"] - 1))
+        put = F.get(F.filter(ops, lambda x: (x["op"] == "I") & (x["r0"] == p + 1)), F.lit(0))
+        return F.struct(p.alias("p"), (hit["q0"] + (p - hit["r0"]).cast("int")).alias("q"), (gone & hit.isNull()).alias("gone"), put["q0"].alias("iq"), put["n"].alias("n"))
+
+    def read(x: Column) -> Column:
+        base = F.upper(F.substr("seq", x["q"] + 1, F.lit(1)))
+        return F.struct(x["p"].alias("p"), base.alias("base"), x["gone"].alias("gone"), F.upper(F.substr("seq", x["iq"] + 1, x["n"])).alias("put"), F.when(x["q"].isNotNull(), phred(x["q"], F.lit(1))).alias("q"), F.when(x["iq"].isNotNull(), phred(x["iq"], x["n"])).alias("iq"))
+
+    rows = rows.withColumn("_o", F.transform(F.transform(F.sequence(F.col("pos").cast("long"), F.col("_to").cast("long")), at), read)).drop("_ops", "seq", "qual")
+    part = lambda n: F.slice("_o", F.lit(1), n)
+    known = lambda n: F.forall(part(n), lambda x: x["base"].isNotNull() | x["gone"]) & F.exists(part(n), lambda x: x["base"].isNotNull() | x["put"].isNotNull())
+    worst = lambda n: F.array_min(F.transform(part(n), lambda x: F.least(x["q"], x["iq"])))
+    text = F.array_join(F.transform(part(F.col("_n")), lambda x: F.concat(F.coalesce(x["base"], F.lit("")), F.coalesce(x["put"], F.lit("")))), "")
+    one = lambda c, f: F.exists("_o", lambda x: (x["p"] == c["pos"]) & F.coalesce(f(x), F.lit(False)))
+    has = lambda c: (
+        F.when(c["kind"] == "SNV", one(c, lambda x: x["base"] == F.upper(c["alt"])))
+        .when(c["kind"] == "INS", one(c, lambda x: x["put"] == F.upper(c["alt"])))
+        .when(c["kind"] == "DEL", F.size(F.filter("_o", lambda x: x["gone"] & x["p"].between(c["pos"], c["pos"] + F.length(c["ref"]) - 1))) == F.length(c["ref"]))
+        .otherwise(c["kind"] == "DELINS")
+    )
+    return rows.select(
+        *variants.columns,
+        "molecule",
+        "read_id",
+        "is_reverse",
+        F.get("_o", F.lit(0))["q"].alias("anchor_q"),
+        known(F.col("_n")).alias("seen"),
+        worst(F.col("_n")).alias("quality"),
+        known(F.col("_x")).alias("whole"),
+        worst(F.col("_x")).alias("whole_quality"),
+        (text == F.upper("alt")).alias("shows"),
+        ((F.col("_x") > F.col("_n")) & F.coalesce(F.get("_o", F.col("_n"))["gone"], F.lit(False))).alias("runs_on"),
+        F.forall("components", has).alias("carries"),
+    )
+
+
+def indel_support(observed: DataFrame, keys: list[str], min_quality: int = 20, anchor_depth: bool = True) -> DataFrame:
+    """Per indel of observe_alleles: molecules that show exactly it, by strand, and depth (by the anchor base, or by the whole REF span).
+
+    A molecule any of whose records sees the whole allele and shows another is no support.
+    """
+    good = F.col("seen") & (F.col("quality") >= min_quality)
+    supports = good & F.col("shows") & F.col("carries") & ~F.col("runs_on")
+    covers = F.coalesce(F.col("anchor_q") >= min_quality, F.lit(False)) if anchor_depth else good
+    per = observed.withColumn("_s", F.coalesce(supports, F.lit(False))).withColumn("_c", F.coalesce(covers, F.lit(False))).withColumn("_g", F.coalesce(good & F.col("whole"), F.lit(False)))
+    per = per.groupBy(*keys, "molecule").agg(F.max("_s").alias("s"), F.max(F.col("_g") & ~F.col("_s")).alias("against"), F.max("_c").alias("c"), F.max(F.col("_s") & ~F.col("is_reverse")).alias("f"), F.max(F.col("_s") & F.col("is_reverse")).alias("r"))
+    ok = F.col("s") & ~F.col("against")
     n = lambda c: F.count(F.when(c, 1))
-    out = per.groupBy(*keys).agg(n(good).alias("event_reads"), n(good & F.col("f")).alias("event_forward"), n(good & F.col("r")).alias("event_reverse"), n(F.col("c")).alias("event_depth"))
+    out = per.groupBy(*keys).agg(n(ok).alias("event_reads"), n(ok & F.col("f")).alias("event_forward"), n(ok & F.col("r")).alias("event_reverse"), n(F.col("c")).alias("event_depth"))
     return out.withColumn("event_freq", F.when(F.col("event_depth") > 0, F.col("event_reads") / F.col("event_depth")))
 
 
-def read_indels(reads: DataFrame, indels: DataFrame, pair_aware: bool = True, bin_size: int = 1024) -> DataFrame:
-    """read_spans of simple insertions and deletions: a read covers one if it aligns the anchor base, and supports it if the
-    operation after the anchor is exactly that insertion or deletion. indels: contig, pos (anchor), kind, size, inserted, and keys."""
-    own = reads.withColumn("molecule", molecule_key(pair_aware)).withColumn("is_reverse", F.col("flag").bitwiseAND(REVERSE) != 0)
-    ops = cigar_blocks(own)
-    by = Window.partitionBy("read_id").orderBy("q0", "r0", "op")
-    ops = ops.withColumn("next_op", F.lead("op").over(by)).withColumn("next_n", F.lead("n").over(by)).withColumn("next_q", F.lead("q0").over(by))
-    blocks = ops.where(F.col("op").isin("M", "=", "X")).withColumn("r1", F.col("r0") + F.col("n") - 1)
-    dealt = blocks.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("r0") / bin_size), F.floor(F.col("r1") / bin_size))))
-    at = indels.withColumnRenamed("contig", "_c").withColumn("_pb", F.floor(F.col("pos") / bin_size))
-    rows = dealt.join(at, (F.col("contig") == F.col("_c")) & (F.col("_bin") == F.col("_pb")) & F.col("pos").between(F.col("r0"), F.col("r1")))
-    last = F.col("pos") == F.col("r1")
-    right = F.when(F.col("kind") == "DEL", (F.col("next_op") == "D") & (F.col("next_n") == F.col("size"))).otherwise((F.col("next_op") == "I") & (F.col("next_n") == F.col("size")) & (F.upper(F.substr("seq", F.col("next_q") + 1, F.col("size").cast("int"))) == F.upper("inserted")))
-    keys = [c for c in indels.columns if c != "contig"]
-    return rows.select("contig", *keys, "molecule", "is_reverse", F.coalesce(last & right, F.lit(False)).alias("supports"), F.lit(True).alias("covers"))
+def indel_molecules(observed: DataFrame, keys: list[str], min_quality: int = 20) -> DataFrame:
+    """Per indel and molecule that sees its whole allele: supports. Molecules whose records disagree are left out."""
+    rows = observed.where(F.col("seen") & F.col("whole") & (F.col("quality") >= min_quality))
+    return rows.groupBy(*keys, "molecule").agg(F.min("shows").alias("_lo"), F.max("shows").alias("supports")).where("_lo = supports").drop("_lo")
+
+
+def snv_carriers(sites: DataFrame, snvs: DataFrame, min_quality: int = 20) -> DataFrame:
+    """contig, pos, molecule: molecules that show an SNV's alternate at the quality, in all of their records that show anything there."""
+    rows = sites.where(F.col("quality") >= min_quality).join(snvs.select("contig", "pos", "alt"), ["contig", "pos"])
+    return rows.groupBy("contig", "pos", "molecule").agg(F.min(F.upper("base") == F.upper("alt")).alias("_all")).where("_all").drop("_all")
+
+
+def local_haplotypes(observed: DataFrame, members: DataFrame, keys: list[str], min_quality: int = 20) -> DataFrame:
+    """Per window (keys) and combination of its members: pattern (0/1 by idx), molecules, forward, reverse.
+
+    members: keys, contig, pos, ref, alt, idx (from 0), n. A molecule counts if
+    its records saw every member, none of them differently; a strand counts if
+    a record on it saw every member.
+    """
+    variant = ["contig", "pos", "ref", "alt"]
+    seen = observed.where(F.col("whole") & (F.col("whole_quality") >= min_quality)).select(*variant, "molecule", "read_id", "is_reverse", "carries")
+    rows = members.select(*keys, *variant, "idx", "n").join(seen, variant)
+    record = rows.groupBy(*keys, "n", "molecule", "read_id", "is_reverse").agg(F.count(F.lit(1)).alias("k"), F.collect_list(F.struct("idx", "carries")).alias("c"))
+    every = F.col("k") == F.col("n")
+    molecule = record.groupBy(*keys, "n", "molecule").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("c")))).alias("c"), F.max(every & ~F.col("is_reverse")).alias("f"), F.max(every & F.col("is_reverse")).alias("r"))
+    # one entry a member: all seen, none both ways
+    whole = molecule.where((F.size("c") == F.col("n")) & (F.size(F.array_distinct(F.transform("c", lambda x: x["idx"]))) == F.col("n")))
+    pattern = F.array_join(F.transform("c", lambda x: x["carries"].cast("int").cast("string")), "")
+    n = lambda c: F.count(F.when(c, 1))
+    return whole.groupBy(*keys, "n", pattern.alias("pattern")).agg(F.count(F.lit(1)).alias("molecules"), n(F.col("f")).alias("forward"), n(F.col("r")).alias("reverse"))
 
 
 def phase_verdict(cis: Column, informative: Column, least: int = 2, trans_share: float = 0.1) -> Column:

@@ -40,10 +40,20 @@ def intervals_sequence(df: DataFrame, reference: DataFrame, keys: list[str], sta
     return piece.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_p"))), lambda x: x["_p"]), "").alias("seq"))
 
 
-def reference_mismatches(alleles: DataFrame, reference: DataFrame) -> DataFrame:
-    """Alleles whose REF differs from the reference or runs off it: the guard of every load (case is ignored, N matches nothing else)."""
-    seen = lookup(alleles, reference, {"_ref": (F.col("pos"), F.length("ref"))})
-    return seen.where(F.coalesce(F.upper("_ref") != F.upper("ref"), F.lit(True))).drop("_ref")
+def reference_mismatches(alleles: DataFrame, reference: DataFrame, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """Alleles whose REF differs from the reference or runs off it: the guard of every load (case is ignored, N matches nothing else).
+
+    A REF longer than a chunk's overlap is tested part by part, each part in its own chunk.
+    """
+    step = overlap + 1
+    parts = F.expr(f"transform(sequence(0, cast(floor((length(ref) - 1) / {step}) as int)), i -> struct(pos + i * {step} as p, substr(ref, i * {step} + 1, {step}) as r))")
+    long_ = F.length("ref") > step
+    seen = lookup(alleles.where(~long_), reference, {"_ref": (F.col("pos"), F.length("ref"))}, chunk=chunk)
+    out = seen.where(F.coalesce(F.upper("_ref") != F.upper("ref"), F.lit(True))).drop("_ref")
+    cut = alleles.where(long_).withColumn("_part", F.explode(parts))
+    far = lookup(cut, reference, {"_ref": (F.col("_part.p"), F.length("_part.r"))}, chunk=chunk)
+    bad = far.where(F.coalesce(F.upper("_ref") != F.upper("_part.r"), F.lit(True))).select(*alleles.columns)
+    return out.unionByName(bad.dropDuplicates(["contig", "pos", "ref", *(["alt"] if "alt" in alleles.columns else [])]))
 
 
 def anchor_insertions(alleles: DataFrame, reference: DataFrame) -> DataFrame:

@@ -60,6 +60,12 @@ def introns(segments: DataFrame) -> DataFrame:
     return rows.where("i_start <= i_end").select("gene_id", "contig", "strand", (F.col("seg_idx") + 1).cast("int").alias("intron"), F.col("i_start").alias("start"), F.col("i_end").alias("end"))
 
 
+def last_junctions(segments: DataFrame) -> DataFrame:
+    """gene_id, last_junction: transcript offset behind the last real intron; genes without one have no row."""
+    gaps = introns(segments).groupBy("gene_id").agg(F.max("intron").alias("seg_idx"))
+    return with_offsets(segments).join(gaps, ["gene_id", "seg_idx"]).select("gene_id", F.col("offset0").alias("last_junction"))
+
+
 def splice_hits(positions: DataFrame, segments: DataFrame) -> DataFrame:
     """gene_id and the most severe splice class of each position near a real junction (columns of positions kept)."""
     gaps = introns(segments).withColumn("w_start", F.least(F.col("start") - 3, F.col("end") - 7)).withColumn("w_end", F.greatest(F.col("end") + 3, F.col("start") + 7)).withColumnRenamed("start", "i_start").withColumnRenamed("end", "i_end")

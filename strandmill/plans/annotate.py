@@ -58,7 +58,7 @@ def annotate(alleles: DataFrame, genes: DataFrame, reference: DataFrame, segment
     events = prepare(alleles, reference)
     is_snv = F.forall("components", lambda c: c["kind"] == "SNV")
     af = F.col("ofreq") if "ofreq" in events.columns else F.lit(None).cast("double")
-    snvs = events.where(is_snv).select("contig", F.explode("components").alias("c")).select("contig", "c.pos", "c.ref", "c.alt").distinct()
+    snvs = events.select("contig", F.explode(al.substitution_components(F.col("components"))).alias("c")).select("contig", "c.pos", "c.ref", "c.alt").distinct()
     coding = genes.where("coding") if "coding" in genes.columns else genes
     spliced = segments.groupBy("gene_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("gene_id") if segments is not None else None
     plain = coding if spliced is None else coding.join(spliced, "gene_id", "left_anti")

@@ -11,6 +11,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandmill.operators.intervals import interval_join
 from strandmill.operators.reference import CHUNK, OVERLAP
 
 CONTIGS = 5
@@ -32,6 +33,10 @@ def relations(div: str) -> dict[str, str]:
         "indel0": f"SELECT DISTINCT l_suppkey % 5 AS chrom, (l_orderkey * 13 + l_partkey * 29 + l_linenumber * 11) % (clen - 10) + 1 AS pos, l_linenumber % 2 AS is_del, 1 + l_linenumber % 3 AS size, l_discount * 10 AS af FROM lineitem, dims WHERE l_quantity >= 49",
         "indels": f"SELECT chrom, pos, CASE WHEN is_del = 1 THEN {b('pos')} || {b('pos + 1')} || CASE WHEN size >= 2 THEN {b('pos + 2')} ELSE '' END || CASE WHEN size >= 3 THEN {b('pos + 3')} ELSE '' END ELSE {b('pos')} END AS ref, CASE WHEN is_del = 1 THEN {b('pos')} ELSE {b('pos')} || substr('GATTACA', cast(pos % 4 as int) + 1, cast(size as int)) END AS alt, is_del, size, max(af) AS af FROM indel0 GROUP BY chrom, pos, is_del, size",
         "reads": f"SELECT o_orderkey AS read_id, o_orderkey {div} 2 AS frag, (o_orderkey {div} 2) % 5 AS chrom, ((o_orderkey {div} 2) * 37) % (clen - 160) + 1 + 40 * (o_orderkey % 2) AS start, o_orderkey % 2 AS is_rev, o_custkey % 60 AS mapq FROM orders, dims",
+        # aligned reads: a read shows the indel site in its inner part by a rule, else some skip ten bases; names are missing for some fragments
+        "aln0": f"SELECT read_id, frag, chrom, start, is_rev, mapq, ((start + 49) {div} 150) * 150 + 36 AS anchor, CASE WHEN frag % 11 = 0 THEN '#' || cast(read_id as string) ELSE 'f' || cast(frag as string) END AS mol FROM reads",
+        "aln": f"SELECT *, CASE WHEN anchor >= start + 10 AND (frag * 13 + anchor * 7) % 3 = 0 AND (read_id + anchor) % 31 <> 0 THEN CASE WHEN ((anchor {div} 150) + chrom) % 2 = 0 THEN 'D' ELSE 'I' END WHEN frag % 5 = 4 THEN 'N' ELSE 'M' END AS shape FROM aln0",
+        "rindels": f"SELECT chrom, gs + 35 AS pos, CASE WHEN ((gs {div} 150) + chrom) % 2 = 0 THEN 1 ELSE 0 END AS is_del, {b('gs + 35')} || CASE WHEN ((gs {div} 150) + chrom) % 2 = 0 THEN {b('gs + 36')} || {b('gs + 37')} ELSE '' END AS ref, {b('gs + 35')} || CASE WHEN ((gs {div} 150) + chrom) % 2 = 0 THEN '' ELSE 'GTA' END AS alt FROM genes",
         "segments": "SELECT gene_id, chrom, strand, CASE WHEN strand = '+' THEN k ELSE 1 - k END AS seg_idx, CASE WHEN k = 0 THEN gs ELSE gs + 61 END AS seg_start, CASE WHEN k = 0 THEN gs + 30 ELSE ge END AS seg_end FROM genes, (SELECT 0 AS k UNION ALL SELECT 1 AS k) parts WHERE ge - gs + 1 >= 90",
     }
 
@@ -53,7 +58,7 @@ class Genome:
         text = relations("div")[name]
         words = set(text.replace(",", " ").replace("(", " ").replace(")", " ").split())
         args = {t: base_table(self.spark, self.sf_dir, t) for t in ("part", "lineitem", "orders") if t in words}
-        args |= {n: self.relation(n) for n in ("dims", "genes", "snv0", "snv1", "indel0") if n != name and n in words}
+        args |= {n: self.relation(n) for n in ("dims", "genes", "snv0", "snv1", "indel0", "reads", "aln0", "snvs") if n != name and n in words}
         sql = text
         for n in args:
             sql = re.sub(rf"(FROM |, ){n}\b", rf"\1{{{n}}}", sql)
@@ -85,17 +90,52 @@ class Genome:
         seq = F.expr(f"array_join(transform(sequence(chunk_id * {size} + 1, least(clen, chunk_id * {size} + {size} + {OVERLAP})), p -> {refbase('p', 'chrom', 'div')}), '')")
         return rows.select(F.col("chrom").cast("string").alias("contig"), "chunk_id", start.alias("chunk_start"), seq.alias("seq"))
 
+    def read_indels(self) -> DataFrame:
+        """One indel a gene that some reads show: a deletion of two bases or an insertion of three."""
+        return self._contig(self.relation("rindels"))
+
+    def one_alt(self) -> DataFrame:
+        """SNV sites, each with its first alternate."""
+        return self.snvs().groupBy("contig", "pos", "ref").agg(F.min("alt").alias("alt"))
+
     def reads(self) -> DataFrame:
-        """100-base reads whose bases, at SNV sites, are ALT or REF by a rule; qualities by a rule."""
-        r = self._contig(self.relation("reads"))
-        return r.select("read_id", F.concat(F.lit("f"), F.col("frag").cast("string")).alias("qname"), "frag", "contig", "start", (F.col("is_rev") * 16).cast("int").alias("flag"), F.col("mapq").cast("int").alias("mapq"), F.lit("100M").alias("cigar"))
+        """Aligned reads as files hold them: CIGAR, bases and qualities of every query base, from the fixture's rules.
 
+        Plain reads of 100 bases, reads with the deletion or insertion of their
+        indel site, and soft-clipped reads that skip ten bases.
+        """
+        r = self._contig(self.relation("aln")).withColumn("end", F.col("start") + 99)
+        sites = self.one_alt().select("contig", F.col("pos").alias("p"), F.col("alt").alias("a")).withColumn("p2", F.col("p"))
+        shown = interval_join(r.select("contig", "read_id", "frag", "start", "end"), sites, "contig", "start", "end", "p", "p2").where("(frag * 31 + p * 17) % 3 = 0 and (read_id + p) % 29 <> 0")
+        own = shown.groupBy("read_id").agg(F.map_from_entries(F.collect_list(F.struct("p", "a"))).alias("own"))
+        r = r.join(own, "read_id", "left").withColumn("chrom", F.col("contig").cast("int"))
+        seq = lambda lo, hi: f"array_join(transform(sequence({lo}, {hi}), p -> coalesce(element_at(own, p), {refbase('p', 'chrom', 'div')})), '')"
+        qual = lambda lo, hi: f"array_join(transform(sequence({lo}, {hi}), p -> char(48 + (read_id * 7 + p) % 25)), '')"
 
-def observed_sql(div: str) -> str:
-    """Bases that reads show at SNV sites with one alternate: read_id, frag, chrom, pos, base, quality, is_rev."""
-    return (
-        "SELECT r.read_id, r.frag, r.chrom, v.pos, CASE WHEN (r.frag * 31 + v.pos * 17) % 3 = 0 AND NOT ((r.read_id + v.pos) % 29 = 0) THEN v.alt ELSE v.ref END AS base, "
-        "cast(15 + (r.read_id * 7 + v.pos) % 25 as int) AS quality, r.is_rev FROM reads r JOIN one v ON r.chrom = v.chrom AND v.pos BETWEEN r.start AND r.start + 99"
-    )
+        def of(f, mid: str, clip: str) -> str:
+            return f"CASE shape WHEN 'D' THEN {f('start', 'anchor')} || {f('anchor + 3', 'start + 99')} WHEN 'I' THEN {f('start', 'anchor')} || '{mid}' || {f('anchor + 1', 'start + 99')} WHEN 'N' THEN '{clip}' || {f('start', 'start + 49')} || {f('start + 60', 'start + 99')} ELSE {f('start', 'start + 99')} END"
+
+        m = "cast(anchor - start + 1 as string)"
+        cigar = f"CASE shape WHEN 'D' THEN {m} || 'M2D' || cast(97 - anchor + start as string) || 'M' WHEN 'I' THEN {m} || 'M3I' || cast(99 - anchor + start as string) || 'M' WHEN 'N' THEN '4S50M10N40M' ELSE '100M' END"
+        return r.select("read_id", F.expr("CASE WHEN mol LIKE '#%' THEN NULL ELSE mol END").alias("qname"), "frag", "contig", "start", (F.col("is_rev") * 16).cast("int").alias("flag"), F.col("mapq").cast("int").alias("mapq"), F.expr(cigar).alias("cigar"), F.expr(of(seq, "GTA", "ACGT")).alias("seq"), F.expr(of(qual, "???", "IIII")).alias("qual"))
+
+
+#: Aligned blocks of the reads: read_id, frag, mol, chrom, is_rev, mapq, shape, anchor, b0, b1.
+BLOCKS = (
+    "SELECT read_id, frag, mol, chrom, is_rev, mapq, shape, anchor, start AS b0, CASE shape WHEN 'M' THEN start + 99 WHEN 'N' THEN start + 49 ELSE anchor END AS b1 FROM aln "
+    "UNION ALL SELECT read_id, frag, mol, chrom, is_rev, mapq, shape, anchor, CASE shape WHEN 'N' THEN start + 60 WHEN 'D' THEN anchor + 3 ELSE anchor + 1 END, start + 99 FROM aln WHERE shape <> 'M'"
+)
 
 
+def shows_alt(read: str, pos: str) -> str:
+    """Condition under which a read shows the alternate of a site it aligns to."""
+    return f"(({read}.frag * 31 + {pos} * 17) % 3 = 0 AND ({read}.read_id + {pos}) % 29 <> 0)"
+
+
+def quality(read: str, pos: str) -> str:
+    return f"(15 + ({read}.read_id * 7 + {pos}) % 25)"
+
+
+def observed_sql(div: str) -> str:
+    """Bases that reads show at SNV sites: read_id, frag, mol, chrom, pos, base, quality, is_rev."""
+    return f"SELECT r.read_id, r.frag, r.mol, r.mapq, r.chrom, v.pos, CASE WHEN {shows_alt('r', 'v.pos')} THEN v.alt ELSE v.ref END AS base, cast({quality('r', 'v.pos')} as int) AS quality, r.is_rev FROM blocks r JOIN one v ON r.chrom = v.chrom AND v.pos BETWEEN r.b0 AND r.b1"

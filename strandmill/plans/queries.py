@@ -190,20 +190,15 @@ def q24_spliced_cds(g):
     return rows.select("gene_id", "cds", dna.translate(F.col("cds")).alias("protein"))
 
 
+def _transcript_rows(g: Genome) -> DataFrame:
+    return codons.transcript_mnv(g.snvs().select("contig", "pos", "ref", "alt"), g.segments(), g.reference())
+
+
 @query
 def q25_junction_codon_mnv(g):
-    """SNVs by codon of the spliced transcript, codons across junctions too."""
-    offs = transcripts.transcript_offsets(g.snvs().select("contig", "pos", "ref", "alt"), g.segments())
-    k = F.floor(F.col("offset") / 3)
-    rows = offs.groupBy("gene_id", "strand", k.alias("codon")).agg(F.array_sort(F.collect_set(F.struct("offset", "pos", "alt"))).alias("s"))
-    single = rows.where(F.size("s") == F.size(F.array_distinct(F.transform("s", lambda x: x["offset"]))))
-    cds = transcripts.coding_sequences(g.segments(), g.reference())
-    full = single.join(cds, "gene_id").withColumn("ref_codon", F.substr("cds", (F.col("codon") * 3 + 1).cast("int"), F.lit(3)))
-    base = lambda x: F.when(F.col("strand") == "-", dna.complement(x)).otherwise(x)
-    alt = F.aggregate("s", F.col("ref_codon"), lambda c, x: F.overlay(c, base(x["alt"]), (x["offset"] - F.col("codon") * 3 + 1).cast("int"), F.lit(1)))
-    full = full.withColumn("alt_codon", alt)
-    crosses = F.array_max(F.transform("s", lambda x: x["pos"])) - F.array_min(F.transform("s", lambda x: x["pos"])) > 2
-    return full.where(F.length("ref_codon") == 3).select("gene_id", F.col("codon").cast("long").alias("codon"), F.size("s").alias("n_sites"), "ref_codon", "alt_codon", dna.codon_residue(F.col("ref_codon")).alias("ref_aa"), dna.codon_residue(F.col("alt_codon")).alias("alt_aa"), crosses.alias("crosses"))
+    """SNVs by codon of the spliced transcript, codons across junctions too, a row per combination of alleles."""
+    far = F.array_max(F.transform("snvs", lambda s: s["pos"])) - F.array_min(F.transform("snvs", lambda s: s["pos"])) > 2
+    return _transcript_rows(g).select("gene_id", F.col("codon_start").alias("codon"), F.size("snvs").alias("n_sites"), "ref_codon", "alt_codon", "ref_aa", "alt_aa", far.alias("crosses"))
 
 
 @query
@@ -266,12 +261,9 @@ def q31_frameshift_ptc(g):
 
 @query
 def q32_nmd(g):
-    """Stops gained by single SNVs in spliced transcripts, judged by the last junction."""
-    rows = q25_junction_codon_mnv(g)
-    total = transcripts.with_offsets(g.segments())
-    junction = total.groupBy("gene_id").agg(F.max("offset0").alias("last_junction"))
-    stops = rows.where("alt_aa = '*' and ref_aa <> '*'").join(junction, "gene_id")
-    return stops.select("gene_id", "codon", "last_junction", indels.nmd(F.col("codon") * 3, F.col("last_junction")).alias("nmd"))
+    """Stops gained in spliced transcripts, judged by the last real junction."""
+    stops = _transcript_rows(g).where("change_type = 'Stop gained'").join(transcripts.last_junctions(g.segments()), "gene_id")
+    return stops.select("gene_id", F.col("codon_start").alias("codon"), "alt_codon", "last_junction", indels.nmd(F.col("codon_start") * 3, F.col("last_junction")).alias("nmd"))
 
 
 @query
@@ -280,21 +272,9 @@ def q33_fallback_class(g):
     return fallback.classify(pos, g.genes(), g.segments()).select("contig", "pos", "gene_id", "term")
 
 
-def _one_alt(g: Genome) -> DataFrame:
-    """SNV sites with a single alternate."""
-    return g.snvs().groupBy("contig", "pos", "ref").agg(F.min("alt").alias("alt"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
-
-
 def _observed(g: Genome, min_mapq: int = 0) -> DataFrame:
-    """Reads at the sites: the derived reads carry no sequence, so the base is put in by the fixture's rule after the CIGAR walk."""
-    use = reads.usable(g.reads(), min_mapq)
-    one = _one_alt(g)
-    spans = reads.cigar_blocks(use).where(F.col("op") == "M").withColumn("r1", F.col("r0") + F.col("n") - 1)
-    sites = one.withColumnRenamed("contig", "c").withColumn("p2", F.col("pos")).withColumnRenamed("c", "contig")
-    rows = interval_join(sites, spans.drop("start"), "contig", "pos", "p2", "r0", "r1")
-    is_alt = ((F.col("frag") * 31 + F.col("pos") * 17) % 3 == 0) & ((F.col("read_id") + F.col("pos")) % 29 != 0)
-    base = F.when(is_alt, F.col("alt")).otherwise(F.col("ref"))
-    return rows.select("contig", "pos", "read_id", "frag", reads.molecule_key().alias("molecule"), (F.col("flag").bitwiseAND(reads.REVERSE) != 0).alias("is_reverse"), base.alias("base"), (15 + (F.col("read_id") * 7 + F.col("pos")) % 25).cast("int").alias("quality"))
+    """What the aligned reads show at the SNV sites."""
+    return reads.observe_sites(reads.usable(g.reads(), min_mapq), g.one_alt().select("contig", "pos"))
 
 
 @query
@@ -309,7 +289,7 @@ def q35_molecule_merge(g):
 
 @query
 def q36_snp_support(g):
-    return reads.snp_support(reads.merge_molecules(_observed(g)), _one_alt(g), MIN_QUALITY)
+    return reads.snp_support(reads.merge_molecules(_observed(g)), g.one_alt(), MIN_QUALITY)
 
 
 KEYS = ["gene_id", "codon_start"]
@@ -317,7 +297,7 @@ KEYS = ["gene_id", "codon_start"]
 
 def _members(g: Genome) -> DataFrame:
     """Sites of codons with at least two of them."""
-    placed = codons.place_snvs(_one_alt(g), g.genes()).where("codon_start is not null")
+    placed = codons.place_snvs(g.one_alt(), g.genes()).where("codon_start is not null")
     by = F.count(F.lit(1)).over(Window.partitionBy(*KEYS))
     idx = F.row_number().over(Window.partitionBy(*KEYS).orderBy("pos")) - 1
     return placed.withColumn("n", by).withColumn("idx", idx).where("n > 1").select(*KEYS, "contig", "pos", "alt", "idx", "n")
@@ -351,43 +331,53 @@ def q40_codon_ld(g):
 
 @query
 def q41_strand_bias_fisher(g):
-    s = reads.snp_support(reads.merge_molecules(_observed(g)), _one_alt(g), MIN_QUALITY).where("depth > 0")
+    s = reads.snp_support(reads.merge_molecules(_observed(g)), g.one_alt(), MIN_QUALITY).where("depth > 0")
     ref_f, ref_r = F.col("depth_forward") - F.col("snp_forward"), F.col("depth_reverse") - F.col("snp_reverse")
     p = stats.fisher_exact(F.col("snp_forward"), F.col("snp_reverse"), ref_f, ref_r)
     return s.select("contig", "pos", "alt", F.round(p, 6).alias("p"))
 
 
-def _indel_reads(g: Genome) -> DataFrame:
-    """Reads over indel anchors, with the fixture's rule of which show them."""
-    use = g.reads().withColumn("r1", F.col("start") + 99)
-    sites = g.indels().withColumn("p2", F.col("pos"))
-    rows = interval_join(sites, use.withColumnRenamed("start", "r0"), "contig", "pos", "p2", "r0", "r1")
-    shows = ((F.col("frag") * 13 + F.col("pos") * 7) % 4 == 0) & ((F.col("read_id") + F.col("pos")) % 31 != 0)
-    return rows.select("contig", "pos", "ref", "alt", "frag", reads.molecule_key().alias("molecule"), (F.col("flag") != 0).alias("is_reverse"), shows.alias("supports"), F.lit(True).alias("covers"))
+ALLELE = ["contig", "pos", "ref", "alt"]
+
+
+def _read_indels(g: Genome) -> DataFrame:
+    return alleles.with_event(g.read_indels())
+
+
+def _indel_views(g: Genome) -> DataFrame:
+    return reads.observe_alleles(reads.usable(g.reads()), _read_indels(g).select(*ALLELE, "components"))
 
 
 @query
 def q42_indel_support(g):
-    rows = reads.indel_support(_indel_reads(g), ["contig", "pos", "ref", "alt"])
-    return rows.select("contig", "pos", "ref", "alt", "event_reads", "event_forward", "event_reverse", "event_depth", F.round("event_freq", 6).alias("event_freq"))
+    """Molecules whose CIGAR and bases show exactly the indel, and depth by the anchor base."""
+    rows = reads.indel_support(_indel_views(g), ALLELE, MIN_QUALITY)
+    return rows.select(*ALLELE, "event_reads", "event_forward", "event_reverse", "event_depth", F.round("event_freq", 6).alias("event_freq"))
+
+
+LINK_BASES, GATE = 600, 0.2
+
+
+def q43_rows(g: Genome) -> DataFrame:
+    """Indel and SNV of a gene within 600 bases: on molecules that carry the SNV, is the indel there?"""
+    key = lambda what: F.concat_ws(":", "contig", F.col("pos").cast("string"), "ref", "alt").alias(what)
+    near = indels.place_indels(_read_indels(g), g.genes()).select("contig", F.col("gene_id").alias("g2"), key("indel_id"), F.greatest(F.col("pos") - LINK_BASES, F.lit(1)).alias("lo"), (F.col("pos") + LINK_BASES).alias("hi"))
+    snv = codons.place_snvs(g.one_alt(), g.genes()).select("contig", "gene_id", "pos", key("snv_id")).withColumn("p2", F.col("pos"))
+    pairs = interval_join(snv, near, "contig", "pos", "p2", "lo", "hi").where("gene_id = g2").select("gene_id", "indel_id", "snv_id")
+    shown = reads.indel_molecules(_indel_views(g), ALLELE, MIN_QUALITY).select(key("indel_id"), "molecule", "supports")
+    carriers = reads.snv_carriers(_observed(g), g.one_alt(), MIN_QUALITY).join(g.one_alt(), ["contig", "pos"]).select(key("snv_id"), "molecule")
+    return reads.indel_snv_linkage(shown, carriers, pairs, ["gene_id", "indel_id", "snv_id"])
 
 
 @query
 def q43_indel_snv_linkage(g):
-    """Indel and SNV of a gene within 40 bases: on molecules that carry the SNV, is the indel there?"""
-    ind = _placed_indels(g).where("is_del = 1 and size = 1").select("gene_id", F.concat_ws(":", "contig", F.col("pos").cast("string")).alias("indel_id"), F.col("pos").alias("ipos"))
-    snv = codons.place_snvs(_one_alt(g), g.genes()).select("gene_id", F.concat_ws(":", "contig", F.col("pos").cast("string")).alias("snv_id"), F.col("pos").alias("spos"))
-    pairs = ind.join(snv, "gene_id").where(F.abs(F.col("ipos") - F.col("spos")) <= 40)
-    shown = _indel_reads(g).where((F.length("ref") == 2) & (F.length("alt") == 1)).groupBy(F.concat_ws(":", "contig", F.col("pos").cast("string")).alias("indel_id"), "molecule").agg(F.max("supports").alias("supports"))
-    merged = reads.merge_molecules(_observed(g)).where(F.col("quality") >= MIN_QUALITY)
-    carriers = merged.join(_one_alt(g), ["contig", "pos"]).where("base = alt").select(F.concat_ws(":", "contig", F.col("pos").cast("string")).alias("snv_id"), "molecule")
-    return reads.indel_snv_linkage(shown, carriers, pairs, ["gene_id", "indel_id", "snv_id"])
+    return q43_rows(g)
 
 
-def _window_members(g: Genome) -> DataFrame:
+def _window_members(g: Genome, events: DataFrame) -> DataFrame:
     genes = codons.with_bounds(g.genes()).select("gene_id", "eff_start", "eff_end")
-    snv = codons.place_snvs(_one_alt(g), g.genes()).select("gene_id", "pos", F.col("pos").alias("a"), F.col("pos").alias("b"), F.lit(False).alias("is_indel"), F.concat_ws(":", F.col("pos").cast("string"), "ref", "alt").alias("variant_id"))
-    ind = _placed_indels(g).select("gene_id", "pos", F.col("affected_start").alias("a"), F.col("affected_end").alias("b"), F.lit(True).alias("is_indel"), F.concat_ws(":", F.col("pos").cast("string"), "ref", "alt").alias("variant_id"))
+    snv = codons.place_snvs(g.one_alt(), g.genes()).select("gene_id", *ALLELE, F.col("pos").alias("a"), F.col("pos").alias("b"), F.lit(False).alias("is_indel"), F.concat_ws(":", F.col("pos").cast("string"), "ref", "alt").alias("variant_id"))
+    ind = indels.place_indels(events, g.genes()).select("gene_id", *ALLELE, F.col("affected_start").alias("a"), F.col("affected_end").alias("b"), F.lit(True).alias("is_indel"), F.concat_ws(":", F.col("pos").cast("string"), "ref", "alt").alias("variant_id"))
     rows = snv.unionByName(ind).join(genes, "gene_id")
     lo, hi = phase.variant_window(F.col("a"), F.col("b"), F.col("pos"), F.col("eff_start"), F.col("eff_end"))
     return rows.withColumn("w_start", lo).withColumn("w_end", hi)
@@ -395,27 +385,41 @@ def _window_members(g: Genome) -> DataFrame:
 
 @query
 def q44_haplotype_windows(g):
-    rows = phase.haplotype_windows(_window_members(g))
+    rows = phase.haplotype_windows(_window_members(g, _events(g)))
     return rows.select("gene_id", "window_start", "window_end", "members", "variant_id")
 
 
+def _windows(g: Genome) -> DataFrame:
+    """Members of the windows of SNVs and read indels, numbered within each: gene_id, island, contig, pos, ref, alt, is_indel, idx, n."""
+    rows = phase.haplotype_windows(_window_members(g, _read_indels(g)))
+    idx = F.row_number().over(Window.partitionBy("gene_id", "island").orderBy("pos", "is_indel", "ref", "alt")) - 1
+    return rows.select("gene_id", "island", *ALLELE, "is_indel", F.col("members").alias("n"), idx.alias("idx"), "window_start", "window_end")
+
+
+def _haplotypes(g: Genome) -> DataFrame:
+    members = _windows(g)
+    events = alleles.with_event(members.select(*ALLELE).distinct())
+    views = reads.observe_alleles(reads.usable(g.reads()), events.select(*ALLELE, "components"))
+    return reads.local_haplotypes(views, members, ["gene_id", "island"], MIN_QUALITY)
+
+
 @query
 def q45_local_haplotypes_topk(g):
-    """The two most frequent patterns of each codon."""
-    rows = reads.top_haplotypes(reads.pattern_counts(_patterns(g), KEYS), KEYS, 2)
-    return rows.select(*KEYS, "pattern", "molecules", "place")
+    """Combinations of all members of a window, indels included, as molecules carry them: the 64 most frequent of each window."""
+    rows = reads.top_haplotypes(_haplotypes(g), ["gene_id", "island"], 64)
+    return rows.select("gene_id", "island", "pattern", "molecules", "forward", "reverse", "place")
 
 
 @query
 def q46_support_filters(g):
-    s = reads.snp_support(reads.merge_molecules(_observed(g)), _one_alt(g), MIN_QUALITY)
+    s = reads.snp_support(reads.merge_molecules(_observed(g)), g.one_alt(), MIN_QUALITY)
     ok = filters.support_ok(F.col("snp_reads"), F.col("depth"), F.col("snp_forward"), F.col("snp_reverse"), 1, 0.3, 0)
     return s.where(filters.keep_row(F.lit("SNP"), ok, F.lit(False))).select("contig", "pos", "alt", "snp_reads", "depth", F.round(filters.ratio(F.col("snp_reads"), F.col("depth")), 6).alias("freq"))
 
 
 @query
 def q47_vcf_filter_tags(g):
-    s = reads.snp_support(reads.merge_molecules(_observed(g)), _one_alt(g), MIN_QUALITY)
+    s = reads.snp_support(reads.merge_molecules(_observed(g)), g.one_alt(), MIN_QUALITY)
     tag = filters.vcf_filter(F.col("snp_reads"), F.col("depth"), F.col("snp_forward"), F.col("snp_reverse"), F.lit(None).cast("double"), 2, 0.3, 1, 0.0)
     return s.select("contig", "pos", "alt", tag.alias("filter"))
 
@@ -467,8 +471,8 @@ def q52_contig_and_global_summary(g):
 
 @query
 def q53_pileup_view(g):
-    """Depth and bases of each site, and reads ranked by what they show."""
-    o = _observed(g).join(_one_alt(g).select("contig", "pos", "alt"), ["contig", "pos"])
+    """Depth and bases of each site."""
+    o = _observed(g).join(g.one_alt().select("contig", "pos", "alt"), ["contig", "pos"])
     return o.groupBy("contig", "pos").agg(F.count(F.lit(1)).alias("depth"), F.count(F.when(F.col("base") == F.col("alt"), 1)).alias("alt_reads"), F.count(F.when(F.col("is_reverse"), 1)).alias("reverse_reads"), F.min("quality").alias("min_quality"))
 
 
@@ -477,3 +481,17 @@ def q54_report_rows(g):
     from strandmill.sinks.report import dictionary
 
     return dictionary(_codon_rows(g).select("gene_id", "codon_start", "snvs", "change_type", "so_term"), ["change_type", "so_term"])
+
+
+@query
+def q76_gated_frame_states(g):
+    """Frame states by what reads show: the gate takes the observed frequency of an indel, and indels in trans with a codon's SNVs don't shift it."""
+    events = _read_indels(g)
+    freq = reads.indel_support(_indel_views(g), ALLELE, MIN_QUALITY).select(*ALLELE, F.col("event_freq").alias("observed"))
+    placed = indels.place_indels(events, g.genes()).withColumn("af", F.lit(None).cast("double")).join(freq, ALLELE, "left")
+    snv = codons.place_snvs(g.one_alt(), g.genes()).where("codon_start is not null").select("gene_id", "strand", "codon_start", F.concat_ws(":", *ALLELE).alias("snv_id"))
+    states = indels.frame_states(snv.select("gene_id", "strand", "codon_start").distinct(), placed, GATE)
+    linked = q43_rows(g).where("verdict = 'trans'").select("gene_id", "indel_id", "snv_id")
+    own = placed.where(indels.passes_gate(F.col("observed"), F.col("af"), GATE)).select("gene_id", F.concat_ws(":", *ALLELE).alias("indel_id"), indels.upstream_key(F.col("components"), F.col("strand")).alias("k"), indels.coding_delta(F.col("components"), F.col("g_start"), F.col("g_end")).alias("delta"))
+    trans = linked.join(own, ["gene_id", "indel_id"]).join(snv, ["gene_id", "snv_id"]).where(F.col("k") < indels.codon_key(F.col("strand"), F.col("codon_start"))).select("gene_id", "codon_start", "indel_id", "delta").distinct()
+    return indels.suppress_trans(states, trans).select("gene_id", "codon_start", "shift", "frameshift", "overlap")

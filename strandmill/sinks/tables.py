@@ -23,6 +23,26 @@ def write_tsv(rows: DataFrame, path: str, order: list | None = None) -> None:
     out.select(*(encode_cell(F.col(c).cast("string")).alias(c) for c in out.columns)).write.csv(path, sep="\t", header=True, quote="", escape="")
 
 
+def read_tsv(spark: SparkSession, path: str, needed: list[str] = ()) -> DataFrame:
+    """A table that write_tsv wrote: columns by header name as text, a dash as null, percent codes resolved. Compressed files and missing columns are errors."""
+    from strandmill.errors import EngineError
+
+    head = spark.read.text(path).limit(1).collect()
+    if head and head[0].value[:2] in ("\x1f\x8b", "\x1f\ufffd"):
+        raise EngineError("the result table is compressed", "E103", path=path)
+    rows = spark.read.csv(path, sep="\t", header=True, quote="", escape="")
+    if missing := [c for c in needed if c not in rows.columns]:
+        raise EngineError("the result table lacks columns", "E103", missing=missing)
+
+    def cell(c: str) -> Column:
+        x = F.col(c)
+        for a, b in (("%0D", "\r"), ("%0A", "\n"), ("%09", "\t"), ("%25", "%")):
+            x = F.replace(x, F.lit(a), F.lit(b))
+        return F.when(F.col(c) != "-", x).alias(c)
+
+    return rows.select(*map(cell, rows.columns))
+
+
 def sha256_of(spark: SparkSession, path: str) -> dict[str, str]:
     """Path to SHA-256 of each file; contents stay on the executors."""
     rows = spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha"))

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmill.errors import EngineError, guard
+from strandmill.errors import EngineError, guard, guards
 from strandmill.operators.transcripts import build_transcripts, protein_offsets
 
 NAMES = ("gene_name", "gene", "Name", "locus_tag", "gene_id", "ID")
 BIOTYPES = ("gene_biotype", "biotype", "transcript_biotype")
-#: Biotypes without translation.
-NON_CODING = ("trna", "rrna", "ncrna", "lncrna", "mirna", "snrna", "snorna", "tmrna", "misc_rna", "antisense_rna", "srp_rna", "rnase_p_rna", "guide_rna", "pseudogene")
+#: The biotypes that are known, in lower case; other ones say nothing.
+CODING = ("protein_coding", "coding", "cds", "mrna")
+NON_CODING = ("ncrna", "rrna", "trna", "tmrna", "mirna", "snrna", "snorna", "misc_rna", "antisense_rna", "srp_rna", "rnase_p_rna", "non_coding", "pseudogene")
 
 
 def attributes(text: Column) -> Column:
@@ -37,20 +38,32 @@ def gene_name() -> Column:
     return F.when(tag.isNotNull() & (tag != name), F.concat(name, F.lit("_"), tag)).otherwise(name)
 
 
+def biotype() -> Column:
+    """The first declared biotype if it is a known one, else the feature type if it is one, else protein_coding."""
+    known = lambda c: F.when(F.lower(F.trim(c)).isin(*CODING, *NON_CODING), F.lower(F.trim(c)))
+    return F.coalesce(known(_first(BIOTYPES)), known(F.col("type")), F.lit("protein_coding"))
+
+
 def read_gff(spark: SparkSession, path: str) -> DataFrame:
     """contig, type, start, end, strand, phase, attrs, name, biotype, transcript_id, line order."""
     lines = spark.read.text(path).where(~F.col("value").startswith("#") & (F.trim("value") != "")).select(F.split("value", "\t").alias("f"), "value", F.monotonically_increasing_id().alias("gene_order"))
     guard(lines.where(F.size("f") != 9).select("value"), "GFF line does not have 9 columns", "E104")
     f = lambda i: F.get("f", F.lit(i))
     rows = lines.select(f(0).alias("contig"), f(2).alias("type"), f(3).try_cast("long").alias("start"), f(4).try_cast("long").alias("end"), f(6).alias("strand"), f(7).alias("phase_text"), attributes(f(8)).alias("attrs"), "gene_order")
-    guard(rows.where("start is null or end is null or start < 1 or start > end").select("contig", "start", "end"), "GFF interval is not in order", "E104")
-    guard(rows.where(~F.col("phase_text").isin("0", "1", "2", ".", "")).select("contig", "phase_text"), "GFF phase is not 0, 1 or 2", "E104")
+    disorder = F.col("start").isNull() | F.col("end").isNull() | (F.col("start") < 1) | (F.col("start") > F.col("end"))
+    guards(rows, [(disorder, "GFF interval is not in order", "E104"), (~F.col("phase_text").isin("0", "1", "2", ".", ""), "GFF phase is not 0, 1 or 2", "E104")], ["contig", "start", "end", "phase_text"])
     rows = rows.withColumn("phase", F.col("phase_text").try_cast("int")).drop("phase_text")
-    rows = rows.withColumn("name", gene_name()).withColumn("biotype", F.lower(F.coalesce(_first(BIOTYPES), F.col("type"))))
+    rows = rows.withColumn("name", gene_name()).withColumn("biotype", biotype())
     owners = F.split(F.coalesce(F.element_at("attrs", F.lit("transcript_id")), F.element_at("attrs", F.lit("Parent"))), ",")
     return rows.select("*", F.explode_outer(owners).alias("transcript_id"))
 
 
+def multi_exon_transcripts(rows: DataFrame) -> int:
+    """Transcripts of more than one CDS row."""
+    cds = rows.where("type = 'CDS' and transcript_id is not null")
+    return cds.groupBy("contig", "transcript_id").count().where("count > 1").count()
+
+
 def feature_types(rows: DataFrame) -> list[str]:
     return [r.type for r in rows.select("type").distinct().orderBy("type").collect()]
 
@@ -84,7 +97,8 @@ def read_gene_table(spark: SparkSession, path: str, contig: str) -> DataFrame:
     guard(lines.where(F.size("f") < 4).select("value"), "gene table line has fewer than 4 columns", "E105")
     f = lambda i: F.trim(F.get("f", F.lit(i)))
     rows = lines.select(f(0).alias("name"), F.lit(contig).alias("contig"), f(1).try_cast("long").alias("start"), f(2).try_cast("long").alias("end"), f(3).alias("strand"), F.coalesce(f(4).try_cast("int"), F.lit(0)).alias("phase"), F.lower(F.coalesce(f(5), F.lit("protein_coding"))).alias("biotype"), "gene_order")
-    guard(rows.where("start is null or end is null or start < 1 or start > end").select("name"), "gene interval is not in order", "E105")
+    disorder = F.col("start").isNull() | F.col("end").isNull() | (F.col("start") < 1) | (F.col("start") > F.col("end"))
+    guards(rows, [(disorder, "gene interval is not in order", "E105"), (~F.trim("biotype").isin(*CODING, *NON_CODING), "gene biotype is not known", "E105")], ["name", "start", "end", "biotype"])
     return rows.withColumn("gene_id", F.col("name")).withColumn("coding", ~F.col("biotype").isin(*NON_CODING))
 
 

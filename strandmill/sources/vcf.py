@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmill.errors import EngineError, guard
+from strandmill.errors import EngineError, guards
 from strandmill.functions.alleles import normalise
 from strandmill.operators.filters import as_fraction, carried
 from strandmill.operators.phase import parse_phase
@@ -17,10 +17,27 @@ def header(spark: SparkSession, path: str) -> list[str]:
     """Header lines; the last one names the columns."""
     if path.endswith(".bcf"):
         raise EngineError("BCF input is not read; convert it to VCF first", "E102", path=path)
-    lines = [r.value for r in spark.read.text(path).where(F.col("value").startswith("#")).collect()]
-    if not any(x.startswith("#CHROM") for x in lines):
-        raise EngineError("VCF has no #CHROM line", "E102", path=path)
-    return lines
+    top = spark.read.text(path).where("_metadata.file_block_start = 0")
+    n = 1024
+    while True:  # only the head of the file is read
+        lines = [r.value for r in top.limit(n).collect()]
+        at = next((i for i, x in enumerate(lines) if x.startswith("#CHROM")), None)
+        if at is not None:
+            return lines[: at + 1]
+        if len(lines) < n or not lines[-1].startswith("#"):
+            raise EngineError("VCF has no #CHROM line", "E102", path=path)
+        n *= 8
+
+
+def missing_contigs(alleles: DataFrame, reference: DataFrame, wanted: list[str] | None = None) -> DataFrame:
+    """contig and the source that lacks it ("reference" or "variants"): contigs of the alleles without a reference, and wanted ones without an allele."""
+    have = alleles.select("contig").distinct()
+    known = reference.select("contig").distinct()
+    out = have.join(known, "contig", "left_anti").select("contig", F.lit("reference").alias("source"))
+    if wanted:
+        asked = alleles.sparkSession.createDataFrame([(c,) for c in wanted], "contig string")
+        out = out.unionByName(asked.join(have, "contig", "left_anti").select("contig", F.lit("variants").alias("source")))
+    return out
 
 
 def samples(spark: SparkSession, path: str) -> list[str]:
@@ -66,14 +83,20 @@ def read_vcf(spark: SparkSession, path: str, sample: str | None = None, split: b
     if sample and sample != "all" and sample not in names:
         raise EngineError("no such sample in the VCF", "E102", sample=sample)
     body = spark.read.text(path).where(~F.col("value").startswith("#") & (F.trim("value") != "")).select(F.split("value", "\t").alias("f"), "value")
-    guard(body.where(F.size("f") < 8).select("value"), "VCF line has fewer than 8 columns", "E102")
     f = lambda i: F.get("f", F.lit(i))
-    rows = body.select(f(0).alias("contig"), f(1).try_cast("long").alias("pos"), f(3).alias("ref"), f(4).alias("alts"), f(7).alias("info"), f(8).alias("format"), F.slice("f", 10, 1_000_000).alias("calls"), F.xxhash64("value").alias("record_id"))
+    rows = body.select(f(0).alias("contig"), f(1).try_cast("long").alias("pos"), f(3).alias("ref"), f(4).alias("alts"), f(7).alias("info"), f(8).alias("format"), F.slice("f", 10, 1_000_000).alias("calls"), F.xxhash64("value").alias("record_id"), F.size("f").alias("columns"))
     if contigs:
         rows = rows.where(F.col("contig").isin(*contigs))
-    guard(rows.where("pos is null or pos < 1").select("contig", "pos"), "VCF position is not 1 or more", "E102")
+    odd = F.exists(F.split("alts", ","), lambda a: ~a.rlike(IUPAC) & ~a.rlike("^<.*>$") & (a != "."))
+    checks = [
+        (F.col("columns") < 8, "VCF line has fewer than 8 columns", "E102"),
+        (F.col("pos").isNull() | (F.col("pos") < 1), "VCF position is not 1 or more", "E102"),
+        (~F.col("ref").rlike(IUPAC) | odd, "VCF allele is not made of bases", "E102"),
+    ]
     if not split:
-        guard(rows.where(F.col("alts").contains(",")).select("contig", "pos", "alts"), "VCF record has several ALT alleles; split them", "E102")
+        checks.append((F.col("alts").contains(","), "VCF record has several ALT alleles; split them", "E102"))
+    guards(rows, checks, ["contig", "pos", "ref", "alts"])
+    rows = rows.drop("columns")
     if sample == "all":
         which = F.explode(F.arrays_zip(F.array(*(F.lit(n) for n in names)).alias("sample"), F.col("calls").alias("call")))
         rows = rows.withColumn("_s", which).select("*", "_s.sample", "_s.call").drop("_s", "calls")
@@ -81,8 +104,6 @@ def read_vcf(spark: SparkSession, path: str, sample: str | None = None, split: b
         at = names.index(sample) if sample else 0
         rows = rows.withColumn("sample", F.lit(names[at] if names else None)).withColumn("call", F.get("calls", F.lit(at))).drop("calls")
     rows = rows.select("*", F.posexplode(F.split("alts", ",")).alias("_i", "alt")).withColumn("alt_index", F.col("_i") + 1).drop("_i", "alts")
-    bad = ~F.col("ref").rlike(IUPAC) | ((~F.col("alt").rlike(IUPAC)) & ~F.col("alt").rlike("^<.*>$") & (F.col("alt") != "."))
-    guard(rows.where(bad).select("contig", "pos", "ref", "alt"), "VCF allele is not made of bases", "E102")
     rows = rows.where("alt <> '.'")
     empty = F.expr("map()").cast("map<string,string>")
     rows = rows.withColumn("info_map", F.when(F.col("info") == ".", empty).otherwise(F.expr("map_from_entries(transform(array_distinct(transform(split(info, ';'), x -> split(x, '=', 2)[0])), k -> struct(k, try_element_at(split(filter(split(info, ';'), x -> split(x, '=', 2)[0] = k)[0], '=', 2), 2))))")))
