@@ -20,8 +20,10 @@ as long however few members a part has: parts follow the copies of a token, of
 which exact ones are a single class. So no link is lost, and there is no cap on
 candidates.
 
-Tokens are 64-bit hashes of n-grams of whole texts, classes 64-bit hashes of
-sets; equality of hashes stands for equality.
+Tokens are 64-bit hashes of n-grams of whole texts. A set has two 64-bit hashes,
+and equality of both stands for equality: a class is named by the first, and by
+the second where sets that differ in it share the first (the few such names are
+looked for over all documents and sent to the tasks).
 
 Defined results: ASCII letters are folded, words are split at ASCII white
 space; a text of fewer words than n has its whole sequence as one token; null
@@ -82,9 +84,16 @@ def shingles(text: bytes | None, n: int, words: WordHash) -> np.ndarray:
     return np.unique(_mixed(acc))
 
 
-def class_of(tokens: np.ndarray) -> int:
-    """Signed 64-bit identity of a set."""
-    return int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes())).astype(np.int64))
+def class_hashes(tokens: np.ndarray) -> tuple[int, int]:
+    """Two signed 64-bit hashes of a set: together they stand for it."""
+    raw = tokens.tobytes()
+    return int(np.uint64(xxhash.xxh3_64_intdigest(raw)).astype(np.int64)), int(np.uint64(xxhash.xxh64_intdigest(raw, seed=7)).astype(np.int64))
+
+
+def class_of(tokens: np.ndarray, clashes: frozenset = frozenset()) -> int:
+    """Identity of a set: its first hash, or the second where the first one is shared by different sets."""
+    one, two = class_hashes(tokens)
+    return two if one in clashes else one
 
 
 def prefix_length(s: int, num: int, den: int) -> int:
@@ -132,21 +141,23 @@ def _blocks(sketches: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
 
 def class_rows(docs: DataFrame, n: int) -> DataFrame:
     """One written table of two kinds: kind 0 a row per row of docs (doc_id, th, cls, n, sketch), kind 1 tokens frequent in a task (cls, n)."""
-    schema = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("th", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
+    schema = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("th", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("chk", pa.int64())])
 
     def frequent(held):
         tok, count = np.unique(np.concatenate(held), return_counts=True)
         keep = count >= LOCAL_COPIES
         k = int(keep.sum())
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int8)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(tok[keep].astype(np.int64)), pa.array(count[keep].astype(np.int64)), pa.nulls(k, pa.binary())], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int8)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(tok[keep].astype(np.int64)), pa.array(count[keep].astype(np.int64)), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64())], schema=schema)
 
     def task(batches):
         words, held, size = WordHash(), [], 0
         for batch in batches:
-            cls, ns, sketches = [], [], []
+            cls, ns, sketches, chk = [], [], [], []
             for text in text_bytes(batch.column("text")):
                 t = shingles(text, n, words)
-                cls.append(class_of(t) if len(t) else None)
+                one, two = class_hashes(t) if len(t) else (None, None)
+                cls.append(one)
+                chk.append(two)
                 ns.append(len(t))
                 sketches.append(sketch_of(t) if len(t) else None)
                 held.append(t)
@@ -154,12 +165,20 @@ def class_rows(docs: DataFrame, n: int) -> DataFrame:
                 if size > 4_000_000:
                     yield frequent(held)
                     held, size = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ns), np.int8)), batch.column("doc_id"), batch.column("th"), pa.array(cls, pa.int64()), pa.array(ns, pa.int64()), pa.array(sketches, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ns), np.int8)), batch.column("doc_id"), batch.column("th"), pa.array(cls, pa.int64()), pa.array(ns, pa.int64()), pa.array(sketches, pa.binary()), pa.array(chk, pa.int64())], schema=schema)
         if size:
             yield frequent(held)
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("th"), "text")
-    return materialize(own.mapInArrow(task, "kind byte, doc_id long, th long, cls long, n long, sketch binary"), "classes")
+    return materialize(own.mapInArrow(task, "kind byte, doc_id long, th long, cls long, n long, sketch binary, chk long"), "classes")
+
+
+def split_clashes(table: DataFrame) -> tuple[DataFrame, frozenset]:
+    """(table with cls as class_of names it, first hashes that different sets share: none or a few)."""
+    by = table.where("kind = 0 and cls is not null").groupBy("cls").agg(F.min("chk").alias("lo"), F.max("chk").alias("hi"))
+    clashes = frozenset(r.cls for r in by.where("lo <> hi").select("cls").collect())
+    cls = F.when((F.col("kind") == 0) & F.col("cls").isin(*clashes), F.col("chk")).otherwise(F.col("cls")) if clashes else F.col("cls")
+    return table.withColumn("cls", cls).drop("chk"), clashes
 
 
 def heavy_tokens(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -178,7 +197,7 @@ def heavy_tokens(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return tok[order], n[order]
 
 
-def postings(docs: DataFrame, n: int, num: int, den: int, heavy: tuple[np.ndarray, np.ndarray], list_rows: int = LIST_ROWS) -> DataFrame:
+def postings(docs: DataFrame, n: int, num: int, den: int, heavy: tuple[np.ndarray, np.ndarray], list_rows: int = LIST_ROWS, clashes: frozenset = frozenset()) -> DataFrame:
     """token, sub (0, or the part of a split list, from 1), cls, n, pos: every class under its prefix tokens."""
     sent = docs.sparkSession.sparkContext.broadcast(heavy)
     schema = pa.schema([("token", pa.int64()), ("sub", pa.int32()), ("cls", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
@@ -195,7 +214,7 @@ def postings(docs: DataFrame, n: int, num: int, den: int, heavy: tuple[np.ndarra
                 t = shingles(text, n, words)
                 if not len(t):
                     continue
-                c = class_of(t)
+                c = class_of(t, clashes)
                 if c in seen:
                     continue
                 if len(seen) < 1_000_000:
@@ -332,7 +351,7 @@ def scan_lists(posted: DataFrame, num: int, den: int, short: int = SHORT_LIST, p
     return lists.mapInArrow(task, CANDIDATE_DDL)
 
 
-def verify(pairs: DataFrame, docs: DataFrame, table: DataFrame, n: int, num: int, den: int, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+def verify(pairs: DataFrame, docs: DataFrame, table: DataFrame, n: int, num: int, den: int, broadcast_ids: int = BROADCAST_IDS, clashes: frozenset = frozenset()) -> DataFrame:
     """Of the written pairs (a, b), those that pass the further orders and are similar on their whole sets. A written table."""
     own = table.where("kind = 0 and cls is not null")
     one = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th", "n", "sketch")).alias("m")
@@ -366,7 +385,7 @@ def verify(pairs: DataFrame, docs: DataFrame, table: DataFrame, n: int, num: int
             rows = []
             for cls, text in zip(batch.column("cls").to_pylist(), text_bytes(batch.column("text")), strict=True):
                 t = shingles(text, n, words)
-                if len(t) and class_of(t) == cls:
+                if len(t) and class_of(t, clashes) == cls:
                     rows.append((cls, len(t), *_prefixes(t, prefix_length(len(t), num, den)), t.tobytes()))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
@@ -398,47 +417,66 @@ def verify(pairs: DataFrame, docs: DataFrame, table: DataFrame, n: int, num: int
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, comp (smallest node reachable), by minimum labels with pointer jumping; each round is a written table."""
+    """node, comp (smallest node reachable), by minimum labels with pointer jumping; each round is a written table.
+
+    A hub of a thousandth of all edges, or a component of a thousandth of all
+    nodes, is joined by broadcast, so no task gets it whole.
+    """
     edges = materialize(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialize(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")), "labels")
+    total = edges.count()
+    first = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("deg"))
+    labels = materialize(first.select("node", F.least("node", "m").alias("comp"), "deg"), "labels")
     while True:
-        near = edges.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("m"))
-        step = materialize(labels.join(near, "node").select("node", F.least("comp", "m").alias("comp"), F.col("comp").alias("old")), "labels")
-        jump = step.join(step.select(F.col("node").alias("comp"), F.col("comp").alias("next")), "comp")
-        labels = materialize(jump.select("node", F.least("comp", "next").alias("comp"), "old"), "labels")
+        ends = labels.select(F.col("node").alias("b"), "comp", "deg")
+        near = skew_safe_join(edges, ends, "b", "deg", total=total, how="inner").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("m"))
+        step = materialize(labels.join(near, "node").select("node", F.least("comp", "m").alias("comp"), F.col("comp").alias("old"), "deg"), "labels")
+        sizes = step.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
+        heads = materialize(sizes.join(step.select(F.col("node").alias("comp"), F.col("comp").alias("next")), "comp"), "heads")
+        jump = skew_safe_join(step, heads, "comp", "size", how="inner")
+        labels = materialize(jump.select("node", F.least("comp", "next").alias("comp"), "old", "deg"), "labels")
         if labels.where("comp <> old").isEmpty():
             return labels.select("node", "comp")
+        labels = labels.drop("old")
 
 
 def sweep_lists(members: DataFrame, labels: DataFrame, table: DataFrame, num: int, den: int, list_rows: int = LIST_ROWS) -> DataFrame:
-    """Pairs of long lists whose members are in different components: a list is cut into blocks, and each two blocks meet in one
-    task, where the bounds and the sketches are tested, so that only likely pairs are made."""
+    """Pairs of long lists whose members are in different components.
+
+    Sets of similar size only are similar, so a list is cut into zones of two
+    neighbouring size classes, a zone into blocks, and each two blocks of a zone
+    meet in one task, where the bounds and the sketches are tested, so that only
+    likely pairs are made. Two members meet in the zone of the larger one.
+    """
     known = labels.select(F.col("node").alias("cls"), "comp")
     own = materialize(members.join(known, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "members")
-    mixed = own.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo <> hi")
-    blocks = F.ceil(F.col("rows") / (list_rows // 2)).cast("int")
-    cut = materialize(own.join(mixed.select("token", blocks.alias("nb")), "token").withColumn("blk", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int")), "mixed")
+    mixed = own.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+    step = max(1e-3, float(np.log(den / num)) * 1.001)  # a little more than the ratio of sizes that can be similar
+    zoned = own.join(mixed, "token").withColumn("size", F.floor(F.log("n") / step)).withColumn("zone", F.explode(F.array(F.col("size"), F.col("size") + 1)))
+    zones = zoned.groupBy("token", "zone").agg(F.count(F.lit(1)).alias("rows"), F.max("size").alias("top")).where("top = zone")
+    zones = zones.select("token", "zone", F.ceil(F.col("rows") / (list_rows // 2)).cast("int").alias("nb"))
+    cut = materialize(zoned.join(zones, ["token", "zone"]).withColumn("blk", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int")), "mixed")
     sketches = table.where("kind = 0").join(cut.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("sketch").alias("sketch"))
     cut = cut.join(sketches, "cls")
-    dealt = cut.select("*", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other")).select("token", F.least("blk", "other").alias("x"), F.greatest("blk", "other").alias("y"), "blk", "cls", "n", "pos", "comp", "sketch")
+    dealt = cut.select("*", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other")).select("token", "zone", F.least("blk", "other").alias("x"), F.greatest("blk", "other").alias("y"), "blk", "size", "cls", "n", "pos", "comp", "sketch")
 
     def meet(key, t):
-        x, y = key[1].as_py(), key[2].as_py()
-        blk, cls, n, pos, comp = (t.column(c).to_numpy() for c in ("blk", "cls", "n", "pos", "comp"))
+        zone, x, y = key[1].as_py(), key[2].as_py(), key[3].as_py()
+        blk, cls, n, pos, comp, large = (t.column(c).to_numpy() for c in ("blk", "cls", "n", "pos", "comp", "size"))
+        large = large == zone
         blocks = _blocks(t.column("sketch").to_pylist())
-        size, row = np.zeros(len(cls), np.int64), np.zeros(len(cls), np.int64)
+        bits, row = np.zeros(len(cls), np.int64), np.zeros(len(cls), np.int64)
         for k, (at, _) in blocks.items():
-            size[at], row[at] = k, np.arange(len(at))
+            bits[at], row[at] = k, np.arange(len(at))
         out_a, out_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for i in range(len(cls)):
             if blk[i] != x:
                 continue
-            j = np.flatnonzero((blk == y) & (comp != comp[i]) & ((cls > cls[i]) if x == y else True) & _passes(n, pos, n[i], pos[i], num, den))
+            j = np.flatnonzero((blk == y) & (large | large[i]) & (comp != comp[i]) & ((cls > cls[i]) if x == y else True) & _passes(n, pos, n[i], pos[i], num, den))
             if len(j):
                 both = n[j].astype(np.int64) + n[i]
-                apart, own = np.zeros(len(j), np.int64), blocks[int(size[i])][1][row[i]][None, :]
-                for k in np.unique(size[j]):
-                    at = np.flatnonzero(size[j] == k)
+                apart, own = np.zeros(len(j), np.int64), blocks[int(bits[i])][1][row[i]][None, :]
+                for k in np.unique(bits[j]):
+                    at = np.flatnonzero(bits[j] == k)
                     apart[at] = bits_apart(blocks[int(k)][1][row[j[at]]], own)
                 j = j[apart <= both - 2 * -(-num * both // (num + den))]
             out_a.append(np.minimum(cls[j], cls[i]))
@@ -446,26 +484,26 @@ def sweep_lists(members: DataFrame, labels: DataFrame, table: DataFrame, num: in
         a, b = _distinct(np.concatenate(out_a), np.concatenate(out_b))
         return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
-    return dealt.groupBy("token", "x", "y").applyInArrow(meet, "a long, b long").distinct()
+    return dealt.groupBy("token", "zone", "x", "y").applyInArrow(meet, "a long, b long").distinct()
 
 
 def link_documents(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, short: int = SHORT_LIST, pivots: int = PIVOTS, list_rows: int = LIST_ROWS) -> DataFrame:
     """Per row of docs: doc_id, th, n_shingles, component_id, kept (one row a component). Sets link when den * intersection >= num * union."""
-    table = class_rows(docs, n)
+    table, clashes = split_clashes(class_rows(docs, n))
     heavy = heavy_tokens(table)
-    posted = postings(docs, n, num, den, heavy, list_rows)
+    posted = postings(docs, n, num, den, heavy, list_rows, clashes)
     found = materialize(scan_lists(posted, num, den, short, pivots), "candidates")
     again = found.where("kind = 2").select(F.col("a").alias("token"), F.lit(0).alias("sub"), F.col("b").alias("cls"), "n", "pos")
     pairs = found.where("kind = 0").select("a", "b")
     if len(heavy[1]) and heavy[1].max() > list_rows:  # split lists: their pivots meet
         second = materialize(scan_lists(again, num, den, short, pivots), "pivots")
         pairs = pairs.union(second.where("kind = 0").select("a", "b"))
-    links = verify(materialize(pairs.distinct(), "pairs"), docs, table, n, num, den)
+    links = verify(materialize(pairs.distinct(), "pairs"), docs, table, n, num, den, clashes=clashes)
     labels = components(links)
     members = found.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("cls"), "n", "pos").distinct()
     swept = materialize(sweep_lists(members, labels, table, num, den, list_rows), "swept")
     if not swept.isEmpty():
-        labels = components(links.union(verify(swept, docs, table, n, num, den)))
+        labels = components(links.union(verify(swept, docs, table, n, num, den, clashes=clashes)))
     return _answers(table, materialize(labels, "components"))
 
 

@@ -1,16 +1,19 @@
 """Exact top-k inner-product search over norm-sorted, SVD-rotated vectors.
 
 Vectors are integers (floor of a scaled component), so scores are exact.
-Candidates are range-partitioned by descending length and each task walks its
-part in that order. For a block of queries it keeps the k-th score so far,
-started from the longest vectors of the whole table. A batch is skipped when
-|q| |v| can't reach it, and a candidate when the partial inner product over the
-first rotated coordinates plus the product of the residual lengths
-(Cauchy-Schwarz) can't; the others are scored exactly in integers.
-
-The rotation comes from the singular vectors of a bounded sample (SAMPLE rows;
-any rotation prunes correctly). Queries are taken in blocks of QUERY_BLOCK
-rows, each broadcast on its own (a bounded size); every block meets all rows.
+Candidates are range-partitioned by dimension and descending length, a bounded
+number of rows a partition, and each task walks its part in that order. Queries
+are written in blocks of a bounded number of rows, a file each, in the shared
+folder; a task reads one block after the other, so no query passes the driver
+and no block is held by more than the tasks at work on it. Each query starts
+from its k-th score among the longest vectors of the whole table. A batch is
+skipped when |q| |v| can't reach it, and a candidate when the partial inner
+product over the first rotated coordinates plus the product of the residual
+lengths (Cauchy-Schwarz) can't; the others are scored exactly in integers.
+
+The rotation comes from the singular vectors of a bounded sample (about SAMPLE
+rows; any rotation prunes correctly), for the DIMENSIONS most frequent
+dimensions; other ones are searched unrotated.
 
 Defined results: vectors that are null, or hold null or non-finite components,
 take no part, nor do rows without an identifier; vectors of other dimensions
@@ -24,12 +27,16 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandmill.llm.common import materialize
+from strandmill.llm.common import materialize, scratch_path
 
-SAMPLE, SEEDS, QUERY_BLOCK, BATCH = 4096, 2048, 4096, 2048
+SAMPLE, SEEDS, QUERY_BLOCK, BATCH, DIMENSIONS = 4096, 2048, 4096, 2048, 16
+#: Components of the vectors of one partition, which a task holds.
+PART_CELLS = 8_000_000
 #: Shares of the coordinates after which bounds are tested.
 STAGES = (0.25, 0.5, 0.75)
 VEC = pa.schema([("vec_id", pa.int64()), ("dim", pa.int32()), ("norm", pa.float64()), ("v", pa.binary())])
@@ -125,36 +132,28 @@ class Searcher:
         return best
 
 
-def top_k(rows: DataFrame, k: int = 5, every: int = 50, scale: int = 256, vector: str = "embedding", query_block: int = QUERY_BLOCK) -> DataFrame:
+def top_k(rows: DataFrame, k: int = 5, every: int = 50, scale: int = 256, vector: str = "embedding", query_block: int = QUERY_BLOCK, part_cells: int = PART_CELLS) -> DataFrame:
     """query_id, rank, vec_id, score: the k best candidates of each row whose identifier is divisible by every; ties to the smaller vec_id."""
     spark = rows.sparkSession
-    # equal lengths are dealt by identifier, so that many copies of a vector spread over tasks
-    vectors = materialize(as_integers(rows, scale, vector).repartitionByRange(F.desc("norm"), F.asc("vec_id")).sortWithinPartitions(F.desc("norm"), F.asc("vec_id")), "vectors")
-    queries = materialize(vectors.where(F.col("vec_id") % every == 0).withColumn("qid", F.monotonically_increasing_id()).withColumn("pos", F.pmod(F.xxhash64("qid"), F.lit(2**31))), "queries")
-    n = queries.count()
-    blocks = max(1, -(-n // (query_block * 7 // 8)))  # hashed blocks stay below query_block
-    parts = []
-    for dim in [r.dim for r in queries.select("dim").distinct().orderBy("dim").collect()]:
-        same = vectors.where(F.col("dim") == dim)
-        sample = _matrix([r.v for r in same.orderBy(F.xxhash64("vec_id")).limit(SAMPLE).select("v").collect()], dim)
-        rotation = np.linalg.svd(sample.T @ sample)[0] if dim and np.isfinite(sample.T @ sample).all() else np.eye(dim)
-        seeds = same.orderBy(F.desc("norm"), "vec_id").limit(SEEDS).select("vec_id", "v").collect()
-        seed_ids, seed_v = np.array([r.vec_id for r in seeds], np.int64), _matrix([r.v for r in seeds], dim)
-        for b in range(blocks):
-            block = queries.where((F.col("dim") == dim) & (F.pmod("pos", F.lit(blocks)) == b)).select("vec_id", "qid", "v").collect()
-            for at in range(0, len(block), query_block):
-                own = block[at : at + query_block]
-                s = Searcher(np.array([r.vec_id for r in own], np.int64), _matrix([r.v for r in own], dim), rotation, k)
-                best = np.full((len(own), k + 1), -np.inf)
-                qi, _, score = s.reach(seed_ids, seed_v)
-                s.raise_floor(best, qi, score)
-                sent = spark.sparkContext.broadcast((s, np.array([r.qid for r in own], np.int64)))
-                parts.append(same.select("vec_id", "v").mapInArrow(_walk(sent, dim, k), "qid long, query_id long, vec_id long, score long, own int"))
-    if not parts:
+    plain = materialize(as_integers(rows, scale, vector), "integers")
+    size = plain.agg(F.count(F.lit(1)).alias("n"), F.sum(F.greatest("dim", F.lit(1)).cast("long")).alias("cells"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("q")).first()
+    if not size.q:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    parts = max(1, -(-size.cells // part_cells), min(spark.sparkContext.defaultParallelism, size.n // BATCH))
+    # equal lengths are dealt by identifier, so that many copies of a vector spread over tasks
+    order = [F.asc("dim"), F.desc("norm"), F.asc("vec_id")]
+    vectors = materialize(plain.repartitionByRange(parts, *order).sortWithinPartitions(*order), "vectors")
+    rotations, seeds = {}, {}
+    for r in plain.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("norm", F.lit(max(0.0, 1 - SEEDS / size.n)), F.lit(10_000)).alias("long")).orderBy(F.desc("n"), "dim").limit(DIMENSIONS).collect():
+        same = plain.where(F.col("dim") == r.dim)
+        share = F.pmod(F.xxhash64("vec_id", "v"), F.lit(2**31)) < int(2**31 * min(1.0, SAMPLE / r.n))  # about SAMPLE rows, never more than a few above
+        sample = _matrix([x.v for x in same.where(share).select("v").limit(2 * SAMPLE).collect()], r.dim)
+        rotations[r.dim] = np.linalg.svd(sample.T @ sample)[0] if r.dim and len(sample) and np.isfinite(sample.T @ sample).all() else np.eye(r.dim)
+        top = same.where(F.col("norm") >= r.long).select("vec_id", "v").limit(SEEDS).collect()
+        seeds[r.dim] = (np.array([x.vec_id for x in top], np.int64), _matrix([x.v for x in top], r.dim))
+    sent = spark.sparkContext.broadcast((rotations, seeds))
+    at = _write_blocks(vectors.where(F.col("vec_id") % every == 0), size.q, sent, k, query_block)
+    found = vectors.select("vec_id", "dim", "v").mapInArrow(_walk(at, sent, k), "qid long, query_id long, vec_id long, score long, own int")
     order = [F.desc("score"), F.asc("vec_id"), F.desc("own")]
     first = found.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).where(F.col("place") <= k + 1)
     # of a query's copies (own = 1) one is itself
@@ -164,29 +163,80 @@ def top_k(rows: DataFrame, k: int = 5, every: int = 50, scale: int = 256, vector
     return kept.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 
 
-def _walk(sent, dim: int, k: int):
+BLOCK = pa.schema([("vec_id", pa.int64()), ("qid", pa.int64()), ("dim", pa.int32()), ("v", pa.binary()), ("floor", pa.float64())])
+
+
+def _write_blocks(queries: DataFrame, n: int, sent, k: int, query_block: int) -> str:
+    """Writes the queries, with the score that each has to reach, in files of at most query_block or so rows of few dimensions; returns the folder."""
+    spark = queries.sparkSession
+    blocks = max(1, -(-n // max(1, query_block * 7 // 8)))
+
+    def task(batches):
+        rotations, seeds = sent.value
+        for batch in batches:
+            ids, dims, raw = batch.column("vec_id").to_numpy(), batch.column("dim").to_numpy(), batch.column("v").to_pylist()
+            floor = np.full(len(ids), -np.inf)
+            for d in np.unique(dims):
+                mine = np.flatnonzero(dims == d)
+                if d in rotations and len(seeds[d][0]):
+                    for s in range(0, len(mine), query_block):
+                        part = mine[s : s + query_block]
+                        search = Searcher(ids[part], _matrix([raw[i] for i in part], d), rotations[d], k)
+                        qi, _, score = search.reach(*seeds[d])
+                        search.raise_floor(np.full((len(part), k + 1), -np.inf), qi, score)
+                        floor[part] = search.floor
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("vec_id", "qid", "dim", "v")), pa.array(floor), batch.column("blk")], schema=BLOCK.append(pa.field("blk", pa.int32())))
+
+    marked = queries.withColumn("qid", F.monotonically_increasing_id()).withColumn("blk", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int"))
+    path = scratch_path(spark, "queries")
+    marked.select("vec_id", "qid", "dim", "v", "blk").mapInArrow(task, "vec_id long, qid long, dim int, v binary, floor double, blk int").repartitionById(blocks, F.col("blk")).sortWithinPartitions("dim").drop("blk").write.parquet(path)
+    return path
+
+
+def _walk(path: str, sent, k: int):
     schema = pa.schema([("qid", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("own", pa.int32())])
 
     def task(batches):
-        s, qid = sent.value
-        best, held = np.full((len(qid), k + 1), -np.inf), []
+        own: dict[int, list] = {}  # dimension to (ids, vectors) in order of length; bounded by the partition
         for batch in batches:
-            ids, raw = batch.column("vec_id").to_numpy(), batch.column("v").to_pylist()
-            for at in range(0, len(ids), BATCH):
-                part, v = ids[at : at + BATCH], _matrix(raw[at : at + BATCH], dim)
-                qi, ci, score = s.reach(part, v)
-                if not len(qi):
+            ids, dims, raw = batch.column("vec_id").to_numpy(), batch.column("dim").to_numpy(), batch.column("v").to_pylist()
+            for d in np.unique(dims):
+                mine = np.flatnonzero(dims == d)
+                for s in range(0, len(mine), BATCH):
+                    part = mine[s : s + BATCH]
+                    own.setdefault(int(d), []).append((ids[part], _matrix([raw[i] for i in part], d)))
+        if not own:
+            return
+        rotations, _ = sent.value
+        files, folder = fs.FileSystem.from_uri(path)
+        for info in sorted(files.get_file_info(fs.FileSelector(folder)), key=lambda f: f.path):
+            if not info.path.endswith(".parquet"):
+                continue
+            with files.open_input_file(info.path) as f:
+                block = pq.read_table(f, schema=BLOCK)
+            dims = block.column("dim").to_numpy()
+            for d in np.unique(dims):
+                if int(d) not in own:
                     continue
-                best = s.raise_floor(best, qi, score)
-                near = score >= s.floor[qi]
-                qi, ci, score = qi[near], ci[near], score[near]
-                own = (s.ids[qi] == part[ci]) & (s.q[qi] == v[ci]).all(1)
-                held.append((qi, part[ci], score, own))
-                if sum(len(h[0]) for h in held) > 1_000_000:
-                    held = [_trim(held, k)]
-        if held:
-            qi, vec, score, own = _trim(held, k)
-            yield pa.RecordBatch.from_arrays([pa.array(qid[qi]), pa.array(s.ids[qi]), pa.array(vec), pa.array(score), pa.array(own.astype(np.int32))], schema=schema)
+                t = block.filter(pa.array(dims == d))
+                qid = t.column("qid").to_numpy()
+                s = Searcher(t.column("vec_id").to_numpy(), _matrix(t.column("v").to_pylist(), d), rotations.get(int(d), np.eye(d)), k)
+                s.floor = t.column("floor").to_numpy().copy()
+                best, held = np.full((len(qid), k + 1), -np.inf), []
+                for part, v in own[int(d)]:
+                    qi, ci, score = s.reach(part, v)
+                    if not len(qi):
+                        continue
+                    best = s.raise_floor(best, qi, score)
+                    near = score >= s.floor[qi]
+                    qi, ci, score = qi[near], ci[near], score[near]
+                    same = (s.ids[qi] == part[ci]) & (s.q[qi] == v[ci]).all(1)
+                    held.append((qi, part[ci], score, same))
+                    if sum(len(h[0]) for h in held) > 1_000_000:
+                        held = [_trim(held, k)]
+                if held:
+                    qi, vec, score, same = _trim(held, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(qid[qi]), pa.array(s.ids[qi]), pa.array(vec), pa.array(score), pa.array(same.astype(np.int32))], schema=schema)
 
     return task
 

@@ -107,9 +107,16 @@ def test_secret_that_repositories_or_rows_share_is_a_copy(spark):
     assert {i for i, s in got.items() if s} == {i for i, *_ in rows if 40 <= i < 60}
 
 
+def word_sets(text, n):
+    """Distinct word n-grams in plain Python."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not words:
+        return set()
+    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if len(words) >= n else {tuple(words)}
+
+
 def brute_components(rows, n, num):
-    words = ngram_join.WordHash()
-    sets = [set(ngram_join.shingles((t or "").encode(), n, words).tolist()) for _, t, *_ in rows]
+    sets = [word_sets(t, n) for _, t, *_ in rows]
     group = list(range(len(rows)))
     for i, j in itertools.combinations(range(len(rows)), 2):
         both = len(sets[i] & sets[j])
@@ -119,6 +126,17 @@ def brute_components(rows, n, num):
     return [(rows[i][0], len(sets[i]), min((rows[j][0] for j in range(len(rows)) if group[j] == group[i]), key=key)) for i in range(len(rows))]
 
 
+def test_ngram_join_splits_clashing_classes(spark, docs, monkeypatch):
+    """Sets that share the first hash but not the second are classes of their own."""
+    real = ngram_join.class_hashes
+    monkeypatch.setattr(ngram_join, "class_hashes", lambda t: (real(t)[0] % 3, real(t)[1]))
+    table = spark.createDataFrame([(0, 5, 1), (0, 5, 1), (0, 6, 2), (0, 6, 3), (1, 6, None), (0, None, None)], "kind byte, cls long, chk long")
+    got, clashes = ngram_join.split_clashes(table)
+    assert clashes == {6} and sorted((r.kind, str(r.cls)) for r in got.collect()) == [(0, "2"), (0, "3"), (0, "5"), (0, "5"), (0, "None"), (1, "6")]
+    t = np.array([4, 9], np.uint64)
+    assert ngram_join.class_of(t, frozenset((ngram_join.class_hashes(t)[0],))) == real(t)[1]
+
+
 @pytest.mark.parametrize("n,num,kw", [(3, 90, {}), (5, 80, {"short": 2, "pivots": 1, "list_rows": 4})])
 def test_ngram_join(spark, docs, n, num, kw):
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.link_documents(docs, n, num, 100, **kw).collect()]
