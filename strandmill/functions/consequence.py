@@ -45,6 +45,15 @@ def change_type_of_text(text: Column) -> Column:
     return change_type(F.substring(text, 1, 1), F.substr(text, F.length(text), F.lit(1)), F.regexp_extract(text, r"(\d+)", 1).cast("long"))
 
 
+#: All change types.
+CHANGE_TYPES = ("Unknown", "Synonymous", "Non-synonymous", "Start lost", "Stop gained", "Stop lost", "Indel overlap", "Synonymous (frameshift)", "Non-synonymous (frameshift)", "Stop gained (frameshift)", "Stop lost (frameshift)", "Downstream of premature stop", "Unknown (frameshift)", "Frameshift Indel", "In-frame Indel")
+
+
+def parse_change_type(text: Column) -> Column:
+    """The change type that a label names, null for any other text."""
+    return F.when(text.isin(*CHANGE_TYPES), text)
+
+
 def indel_change_type(ref_protein: Column, alt_protein: Column, frameshift: Column) -> Column:
     stops = lambda p: F.length(p) - F.length(F.replace(p, F.lit("*"), F.lit("")))
     alt1 = F.when(F.length(alt_protein) > 0, F.substring(alt_protein, 1, 1)).otherwise("-")

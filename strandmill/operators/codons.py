@@ -49,6 +49,12 @@ def codon_groups(placed: DataFrame) -> DataFrame:
     return site.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "ref", F.col("cds_local").alias("cds"), "alts"))).alias("sites"))
 
 
+def representative_info(placed: DataFrame) -> DataFrame:
+    """gene_id, codon_start, oinfo: the first INFO, by position and allele, that any record of the codon has."""
+    rows = placed.where("codon_start is not null")
+    return rows.groupBy("gene_id", "codon_start").agg(F.min_by("oinfo", F.when(F.col("oinfo").isNotNull(), F.struct("pos", "alt"))).alias("oinfo"))
+
+
 def alternatives(groups: DataFrame) -> DataFrame:
     """A row per combination of alleles: snvs, an array of (pos, ref, alt, cds) by position."""
     grow = lambda acc, s: F.flatten(F.transform(acc, lambda a: F.transform(s["alts"], lambda x: F.concat(a, F.array(F.struct(s["pos"].alias("pos"), s["ref"].alias("ref"), x.alias("alt"), s["cds"].alias("cds")))))))

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandmill.functions.alleles import event_of
 from strandmill.functions.dna import count_to
+from strandmill.operators.indels import apply_to_feature
 from strandmill.operators.intervals import islands
+from strandmill.operators.reference import intervals_sequence
 
 SLACK = 3
 
@@ -60,3 +63,45 @@ def variant_window(start: Column, end: Column, pos: Column, eff_start: Column, e
     lo = F.least(own_lo, *lows, F.when(none, F.greatest(start - 2, eff_start)))
     hi = F.greatest(own_hi, *highs, F.when(none, F.least(end + 2, eff_end)))
     return lo.cast("long"), hi.cast("long")
+
+
+def compound_alleles(groups: DataFrame, reference: DataFrame, keys: list[str]) -> DataFrame:
+    """groups with pos, ref, alt, components and event_class of the allele that a molecule with all of a group's components has.
+
+    groups: keys, contig, members (number), components (array), lo, hi (span of
+    the members). Groups without an indel, with conflicting components, or whose
+    allele is the reference's have no row.
+    """
+    order = F.when(F.col("_c.kind") == "SNV", 0).when(F.col("_c.kind") == "DEL", 1).otherwise(2)
+    # one base more is read, so that an insertion behind the last base finds its place
+    seqs = intervals_sequence(groups.withColumn("_hi", F.col("hi") + 1), reference, keys, "lo", "_hi")
+    sorted_ = groups.select(*keys, F.explode("components").alias("_c")).distinct().groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_c.pos", order.alias("o"), "_c.ref", "_c.alt", "_c.kind"))), lambda c: F.struct(c["kind"].alias("kind"), c["pos"].alias("pos"), c["ref"].alias("ref"), c["alt"].alias("alt"))).alias("components"))
+    df = groups.drop("components").join(sorted_, keys).join(seqs, keys)
+    df = df.withColumn("_alt", apply_to_feature(F.col("seq"), F.col("lo"), F.col("components"))).withColumn("ref", F.substr("seq", F.lit(1), F.length("seq") - 1)).withColumn("alt", F.substr("_alt", F.lit(1), F.length("_alt") - 1))
+    indels = F.size(F.filter("components", lambda c: c["kind"] != "SNV"))
+    subs = F.exists("components", lambda c: c["kind"] == "SNV")
+    df = df.withColumn("pos", F.col("lo")).where((indels > 0) & F.col("alt").isNotNull() & (F.upper("ref") != F.upper("alt")))
+    own = event_of(F.col("pos"), F.col("ref"), F.col("alt"))["event_class"]
+    cls = F.when((F.col("members") > 1) & (subs | (indels > 1) | ~own.isin("insertion", "deletion", "delins", "complex_indel")), "complex_indel").otherwise(own)
+    return df.withColumn("event_class", cls).drop("seq", "_alt", "lo", "hi")
+
+
+def carried_groups(haplotypes: DataFrame, members: DataFrame, keys: list[str]) -> DataFrame:
+    """Per combination (keys, pattern) of at least two carried members, one of them an indel: contig, members, components, lo, hi. members: keys, contig, pos, ref, idx, components, affected_start, affected_end."""
+    rows = haplotypes.join(members, keys).where(F.substr("pattern", (F.col("idx") + 1).cast("int"), F.lit(1)) == "1")
+    out = rows.groupBy(*keys, "pattern", "contig").agg(
+        F.count(F.lit(1)).alias("members"),
+        F.flatten(F.collect_list("components")).alias("components"),
+        F.min(F.least("affected_start", "pos")).alias("lo"),
+        F.max(F.greatest("affected_end", F.col("pos") + F.length("ref") - 1)).alias("hi"),
+    )
+    return out.where((F.col("members") > 1) & F.exists("components", lambda c: c["kind"] != "SNV"))
+
+
+def restricted_patterns(haplotypes: DataFrame, keys: list[str]) -> DataFrame:
+    """Per combination (keys, pattern): the window's molecules by what they carry of its own members: sub (0/1), n, molecules."""
+    own = haplotypes.select(*keys, "pattern")
+    every = haplotypes.select(*keys, F.col("pattern").alias("_p"), "molecules")
+    at = F.filter(count_to(F.length("pattern")), lambda i: F.substr("pattern", i, F.lit(1)) == "1")
+    sub = F.array_join(F.transform(at, lambda i: F.substr("_p", i, F.lit(1))), "")
+    return own.join(every, keys).groupBy(*keys, "pattern", F.size(at).alias("n"), sub.alias("sub")).agg(F.sum("molecules").alias("molecules"))

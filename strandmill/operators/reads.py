@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandmill.functions.alleles import observed_span
-from strandmill.functions.stats import linkage
+from strandmill.functions.stats import fisher_exact, linkage
 from strandmill.operators.intervals import interval_join
 
 #: Flag bits of records that are never counted: secondary, failed, duplicate, supplementary.
@@ -164,7 +164,8 @@ def codon_linkage(counts: DataFrame, keys: list[str]) -> DataFrame:
     tables = rows.groupBy(*keys, "i", "j").agg(cell("1", "1").alias("both"), cell("1", "0").alias("first"), cell("0", "1").alias("second"), cell("0", "0").alias("neither"))
     linked = tables.withColumn("l", linkage(F.col("both"), F.col("first"), F.col("second"), F.col("neither"))).where("l is not null")
     weakest = linked.groupBy(*keys).agg(F.min(F.struct(F.col("l.d_prime").alias("d_prime"), "i", "j", F.col("l.r_squared").alias("r_squared"), F.col("l.molecules").alias("molecules"), "both", "first", "second", "neither")).alias("w"))
-    return weakest.select(*keys, "w.*")
+    p = fisher_exact(F.col("both"), F.col("first"), F.col("second"), F.col("neither"))
+    return weakest.select(*keys, "w.*").withColumn("p", p)
 
 
 def observe_alleles(reads: DataFrame, variants: DataFrame, pair_aware: bool = True) -> DataFrame:
@@ -289,6 +290,32 @@ def indel_snv_linkage(indel_molecules: DataFrame, snv_molecules: DataFrame, pair
     return every.withColumn("verdict", phase_verdict(F.col("cis"), F.col("informative")))
 
 
+def mnv_strand_bias(support: DataFrame) -> DataFrame:
+    """mnv_support with strand_bias_p: haplotype against other spanning molecules, by strand."""
+    other = [F.greatest(F.col(f"mnv_depth_{s}") - F.col(f"mnv_{s}"), F.lit(0)) for s in ("forward", "reverse")]
+    return support.withColumn("strand_bias_p", fisher_exact(F.col("mnv_forward"), F.col("mnv_reverse"), *other))
+
+
+def read_classes(observed: DataFrame, members: DataFrame, keys: list[str]) -> DataFrame:
+    """What each read shows of a haplotype: mnv (every alternate), partial (some), reference (none, all sites as the reference), other; a row per read that sees a site.
+
+    members: keys, contig, pos, ref, alt, n.
+    """
+    rows = members.join(observed, ["contig", "pos"])
+    hit, same = F.upper("base") == F.upper("alt"), F.upper("base") == F.upper("ref")
+    per = rows.groupBy(*keys, "n", "read_id", "molecule", "is_reverse").agg(F.count(F.lit(1)).alias("seen"), F.count(F.when(hit, 1)).alias("alts"), F.count(F.when(same, 1)).alias("refs"))
+    kind = F.when(F.col("alts") == F.col("n"), "mnv").when(F.col("alts") > 0, "partial").when(F.col("refs") == F.col("seen"), "reference").otherwise("other")
+    return per.withColumn("class", kind)
+
+
+def shown_reads(classes: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """At most `most` reads of each haplotype for a display, the classes taking turns: shown numbers them."""
+    rank = F.when(F.col("class") == "mnv", 0).when(F.col("class") == "partial", 1).when(F.col("class") == "reference", 2).otherwise(3)
+    turn = F.row_number().over(Window.partitionBy(*keys, "class").orderBy("read_id"))
+    rows = classes.withColumn("_turn", turn).withColumn("_rank", rank)
+    return rows.withColumn("shown", F.row_number().over(Window.partitionBy(*keys).orderBy("_turn", "_rank"))).where(F.col("shown") <= most).drop("_turn", "_rank")
+
+
 def top_haplotypes(counts: DataFrame, keys: list[str], limit: int = 64) -> DataFrame:
     """The most frequent patterns of each window, ties by pattern."""
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("molecules"), "pattern"))

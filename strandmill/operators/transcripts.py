@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandmill.functions.alleles import changed_positions
 from strandmill.functions.consequence import splice_class
 from strandmill.functions.dna import oriented
 from strandmill.operators.intervals import interval_join
@@ -81,6 +82,30 @@ def splice_hits(positions: DataFrame, segments: DataFrame) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min_by("splice", F.struct(-rank(F.col("splice")), "intron")).alias("splice"))
 
 
+def touched_offsets(alleles: DataFrame, segments: DataFrame) -> DataFrame:
+    """Per allele (contig, pos, ref, alt, components) and gene: touched, the sorted transcript offsets of its REF bases, and first_changed.
+
+    A substitution or deletion changes its own bases; an insertion, on the plus
+    strand, the base behind its anchor.
+    """
+    p = F.sequence(F.col("pos"), F.col("pos") + F.length("ref") - 1)
+    inside = lambda c, x: (c["kind"] != "INS") & x.between(c["pos"], c["pos"] + F.greatest(F.length(c["ref"]) - 1, F.lit(0)))
+    each = F.transform(p, lambda x: F.struct(x.alias("p"), F.exists("components", lambda c: inside(c, x)).alias("changed"), F.exists("components", lambda c: (c["kind"] == "INS") & (c["pos"] == x)).alias("put")))
+    rows = alleles.select("contig", F.col("pos").alias("_at"), "ref", "alt", F.explode(each).alias("e")).select("contig", F.col("e.p").alias("pos"), "_at", "ref", "alt", "e.changed", "e.put")
+    offs = transcript_offsets(rows, segments)
+    own = F.least(F.when(F.col("changed"), F.col("offset")), F.when(F.col("put"), F.col("offset") + F.when(F.col("strand") == "+", 1).otherwise(0)))
+    out = offs.groupBy("gene_id", "contig", F.col("_at").alias("pos"), "ref", "alt").agg(F.array_sort(F.collect_set("offset")).alias("touched"), F.min(own).alias("first_changed"))
+    return out
+
+
+def allele_splice(alleles: DataFrame, segments: DataFrame) -> DataFrame:
+    """gene_id, contig, pos, ref, alt and the most severe splice class over the positions that the allele changes."""
+    rows = alleles.select("contig", F.col("pos").alias("_at"), "ref", "alt", F.explode(changed_positions(F.col("components"), F.col("pos"))).alias("pos"))
+    hits = splice_hits(rows, segments)
+    severe = F.max(F.when(F.col("splice") != "splice_region_variant", F.col("splice")))
+    return hits.groupBy("gene_id", "contig", F.col("_at").alias("pos"), "ref", "alt").agg(F.coalesce(severe, F.lit("splice_region_variant")).alias("splice"))
+
+
 def coding_sequences(segments: DataFrame, reference: DataFrame) -> DataFrame:
     """gene_id, cds: segments joined in transcript order, each on the coding strand."""
     seqs = intervals_sequence(segments, reference, ["gene_id", "strand", "seg_idx"], "start", "end")

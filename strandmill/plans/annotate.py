@@ -109,10 +109,20 @@ def annotate(alleles: DataFrame, genes: DataFrame, reference: DataFrame, segment
     return out.withColumn("gene_id", F.col("gene_id").cast("string")).unionByName(_shape(classed))
 
 
+def row_order() -> list:
+    """Order of rows within a contig: first position, positions, type, gene."""
+    rank = F.when(F.col("variant_type") == "SNP", 0).when(F.col("variant_type") == "MNV", 1).when(F.col("variant_type") == "SNP/MNV", 2).otherwise(3)
+    return [F.array_min("positions"), F.col("positions"), rank, F.col("gene_id").cast("string")]
+
+
+def record_order() -> list:
+    """Order of VCF records within a contig: position, then their text."""
+    return [F.col("pos"), F.col("ref"), F.col("alt")]
+
+
 def ordered(rows: DataFrame) -> DataFrame:
     """Final order: contig, first position, positions, type, gene."""
-    rank = F.when(F.col("variant_type") == "SNP", 0).when(F.col("variant_type") == "MNV", 1).when(F.col("variant_type") == "SNP/MNV", 2).otherwise(3)
-    return rows.orderBy("contig", F.array_min("positions"), "positions", rank, "gene_id")
+    return rows.orderBy("contig", *row_order())
 
 
 def read_support(rows: DataFrame, aligned: DataFrame, params: Params = Params()) -> DataFrame:  # noqa: B008
