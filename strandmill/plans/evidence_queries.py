@@ -9,6 +9,7 @@ from strandmill.functions import alleles, consequence, text
 from strandmill.operators import codons, fallback, filters, indels, phase, reads, transcripts
 from strandmill.plans.fixture import Genome, quality, shows_alt
 from strandmill.plans.oracles import ORACLES, N, base, fisher, sql
+from strandmill.scratch import materialize
 from strandmill.plans.queries import ALLELE, KEYS, MIN_QUALITY, _haplotypes, _members, _observed, _patterns, _read_indels, _windows, query
 
 
@@ -129,12 +130,12 @@ ORACLES["q84_number_texts"] = sql("SELECT cast(chrom as varchar) AS contig, pos,
 def haplotype_rows(g: Genome, min_reads: int = 2, min_freq: float = 0.0) -> DataFrame:
     """Rows of local haplotypes: the compound allele of each supported combination with its molecules, depth and linkage."""
     key = ["gene_id", "island"]
-    tops = reads.top_haplotypes(_haplotypes(g), key, 64)
-    members = alleles.with_event(_windows(g))
+    members = materialize(alleles.with_event(_windows(g)), "windows")
+    tops = materialize(reads.top_haplotypes(_haplotypes(g, members), key, 64), "haplotypes")
     groups = phase.carried_groups(tops.select(*key, "pattern"), members.select(*key, "contig", "pos", "ref", "idx", "components", "affected_start", "affected_end"), key)
     rows = phase.compound_alleles(groups, g.reference(), [*key, "pattern"])
     known = members.select("contig", "pos", "ref", "alt").distinct()
-    rows = rows.join(known, ALLELE, "left_anti")
+    rows = materialize(rows.join(known, ALLELE, "left_anti"), "compounds")
     views = reads.observe_alleles(reads.usable(g.reads()), rows.select(*ALLELE, "components").distinct())
     exact = reads.indel_support(views, ALLELE, MIN_QUALITY).select(*ALLELE, "event_reads", "event_depth")
     linked = reads.codon_linkage(phase.restricted_patterns(tops.select(*key, "pattern", "molecules"), key).withColumnRenamed("pattern", "own").withColumnRenamed("sub", "pattern"), [*key, "own"])

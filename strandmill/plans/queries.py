@@ -11,6 +11,7 @@ from strandmill.functions import aa, alleles, consequence, dna, stats
 from strandmill.operators import codons, fallback, filters, indels, phase, reads, reference, transcripts
 from strandmill.operators.intervals import interval_join
 from strandmill.plans.fixture import Genome
+from strandmill.scratch import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 MIN_QUALITY = 20
@@ -358,13 +359,13 @@ def q42_indel_support(g):
 LINK_BASES, GATE = 600, 0.2
 
 
-def q43_rows(g: Genome) -> DataFrame:
+def q43_rows(g: Genome, views: DataFrame | None = None) -> DataFrame:
     """Indel and SNV of a gene within 600 bases: on molecules that carry the SNV, is the indel there?"""
     key = lambda what: F.concat_ws(":", "contig", F.col("pos").cast("string"), "ref", "alt").alias(what)
     near = indels.place_indels(_read_indels(g), g.genes()).select("contig", F.col("gene_id").alias("g2"), key("indel_id"), F.greatest(F.col("pos") - LINK_BASES, F.lit(1)).alias("lo"), (F.col("pos") + LINK_BASES).alias("hi"))
     snv = codons.place_snvs(g.one_alt(), g.genes()).select("contig", "gene_id", "pos", key("snv_id")).withColumn("p2", F.col("pos"))
     pairs = interval_join(snv, near, "contig", "pos", "p2", "lo", "hi").where("gene_id = g2").select("gene_id", "indel_id", "snv_id")
-    shown = reads.indel_molecules(_indel_views(g), ALLELE, MIN_QUALITY).select(key("indel_id"), "molecule", "supports")
+    shown = reads.indel_molecules(_indel_views(g) if views is None else views, ALLELE, MIN_QUALITY).select(key("indel_id"), "molecule", "supports")
     carriers = reads.snv_carriers(_observed(g), g.one_alt(), MIN_QUALITY).join(g.one_alt(), ["contig", "pos"]).select(key("snv_id"), "molecule")
     return reads.indel_snv_linkage(shown, carriers, pairs, ["gene_id", "indel_id", "snv_id"])
 
@@ -396,8 +397,8 @@ def _windows(g: Genome) -> DataFrame:
     return rows.select("gene_id", "island", *ALLELE, "is_indel", F.col("members").alias("n"), idx.alias("idx"), "window_start", "window_end")
 
 
-def _haplotypes(g: Genome) -> DataFrame:
-    members = _windows(g)
+def _haplotypes(g: Genome, members: DataFrame | None = None) -> DataFrame:
+    members = materialize(_windows(g), "windows") if members is None else members
     events = alleles.with_event(members.select(*ALLELE).distinct())
     views = reads.observe_alleles(reads.usable(g.reads()), events.select(*ALLELE, "components"))
     return reads.local_haplotypes(views, members, ["gene_id", "island"], MIN_QUALITY)
@@ -486,12 +487,13 @@ def q54_report_rows(g):
 @query
 def q76_gated_frame_states(g):
     """Frame states by what reads show: the gate takes the observed frequency of an indel, and indels in trans with a codon's SNVs don't shift it."""
-    events = _read_indels(g)
-    freq = reads.indel_support(_indel_views(g), ALLELE, MIN_QUALITY).select(*ALLELE, F.col("event_freq").alias("observed"))
+    events, views = _read_indels(g), materialize(_indel_views(g), "views")
+    freq = reads.indel_support(views, ALLELE, MIN_QUALITY).select(*ALLELE, F.col("event_freq").alias("observed"))
     placed = indels.place_indels(events, g.genes()).withColumn("af", F.lit(None).cast("double")).join(freq, ALLELE, "left")
+    placed = materialize(placed, "placed")
     snv = codons.place_snvs(g.one_alt(), g.genes()).where("codon_start is not null").select("gene_id", "strand", "codon_start", F.concat_ws(":", *ALLELE).alias("snv_id"))
     states = indels.frame_states(snv.select("gene_id", "strand", "codon_start").distinct(), placed, GATE)
-    linked = q43_rows(g).where("verdict = 'trans'").select("gene_id", "indel_id", "snv_id")
+    linked = q43_rows(g, views).where("verdict = 'trans'").select("gene_id", "indel_id", "snv_id")
     own = placed.where(indels.passes_gate(F.col("observed"), F.col("af"), GATE)).select("gene_id", F.concat_ws(":", *ALLELE).alias("indel_id"), indels.upstream_key(F.col("components"), F.col("strand")).alias("k"), indels.coding_delta(F.col("components"), F.col("g_start"), F.col("g_end")).alias("delta"))
     trans = linked.join(own, ["gene_id", "indel_id"]).join(snv, ["gene_id", "snv_id"]).where(F.col("k") < indels.codon_key(F.col("strand"), F.col("codon_start"))).select("gene_id", "codon_start", "indel_id", "delta").distinct()
     return indels.suppress_trans(states, trans).select("gene_id", "codon_start", "shift", "frameshift", "overlap")

@@ -1,11 +1,11 @@
-"""Scratch folders for text that is written and read back, in the folder that driver and executors share."""
+"""Scratch folders for what is written and read back, in the folder that driver and executors share."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -17,3 +17,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         at = "file://" + tempfile.mkdtemp(prefix="strandmill-")
         spark.conf.set("spark.checkpoint.dir", at)
     return f"{at.rstrip('/')}/strandmill/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Writes df once and returns a DataFrame over the files: for results that several branches of a plan use, which would each compute them again."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
