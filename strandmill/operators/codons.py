@@ -98,7 +98,7 @@ def describe_codons(df: DataFrame, table: int, offset: Column) -> DataFrame:
     base = lambda x: F.when(strand == "-", dna.complement(x)).otherwise(x)
     df = df.withColumn("hgvs_c", consequence.hgvs_substitution(F.transform(snvs, lambda s: F.struct((s["cds"] + offset * 3).alias("pos"), F.upper(base(s["ref"])).alias("ref"), F.upper(base(s["alt"])).alias("alt"))), "c."))
     no = F.lit(False), F.lit(None).cast("string")
-    return df.withColumn("so_term", consequence.so_term(F.col("change_type"), *no, F.lit(1), F.lit(1))).withColumn("impact", consequence.so_impact(F.col("change_type"), *no)).drop("single_codons")
+    return df.withColumn("so_term", consequence.so_term(F.col("change_type"), *no, F.lit(1), F.lit(1))).withColumn("impact", consequence.so_impact(F.col("change_type"), *no)).withColumn("snp_codons", F.array_join("single_codons", ", ")).drop("single_codons")
 
 
 def place_on_transcripts(snvs: DataFrame, segments: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from strandmill.functions.alleles import common_prefix, common_suffix, overlaps
 from strandmill.functions.consequence import indel_change_type
 from strandmill.functions.dna import count_to, oriented, translate
 from strandmill.operators.intervals import interval_join
+from strandmill.operators.reference import intervals_sequence
 
 NMD_BASES = 50
 
@@ -84,12 +85,14 @@ def suppress_trans(states: DataFrame, trans: DataFrame) -> DataFrame:
     return out.withColumn("frameshift", F.pmod("shift", F.lit(3)) != 0)
 
 
-def apply_to_feature(seq: Column, start: Column, components: Column) -> Column:
+def apply_to_feature(seq: Column, start: Column, components: Column, open_end: Column | None = None) -> Column:
     """Genomic sequence of a feature with simple insertions and deletions put in, last position first; null for symbolic or conflicting ones.
 
     Components conflict where a substitution or an insertion's anchor lies in
-    deleted bases, or two at one place differ.
+    deleted bases, or two at one place differ. An insertion behind the last base
+    counts where open_end is true (the feature goes on in the transcript).
     """
+    inner = F.lit(False) if open_end is None else open_end
     gone = F.flatten(F.transform(F.filter(components, lambda c: c["kind"] == "DEL"), lambda c: F.sequence(c["pos"], c["pos"] + F.length(c["ref"]) - 1)))
     put = F.filter(components, lambda c: c["kind"].isin("SNV", "INS"))
     places = F.transform(put, lambda c: F.struct(c["kind"].alias("kind"), c["pos"].alias("pos")))
@@ -102,7 +105,7 @@ def apply_to_feature(seq: Column, start: Column, components: Column) -> Column:
         gone = F.concat(F.substr(s, F.lit(1), cut_from - 1), F.substr(s, cut_to, F.length(s)))
         return (
             F.when(c["kind"] == "SNV", F.when((k >= 1) & (k <= F.length(s)), F.overlay(s, c["alt"], k, F.lit(1))).otherwise(s))
-            .when(c["kind"] == "INS", F.when((k >= 1) & (k < F.length(s)), F.concat(F.substr(s, F.lit(1), k), c["alt"], F.substr(s, k + 1, F.length(s)))).otherwise(s))
+            .when(c["kind"] == "INS", F.when((k >= 1) & ((k < F.length(s)) | (inner & (k == F.length(s)))), F.concat(F.substr(s, F.lit(1), k), c["alt"], F.substr(s, k + 1, F.length(s)))).otherwise(s))
             .when(c["kind"] == "DEL", F.when(cut_to > cut_from, gone).otherwise(s))
         )
 
@@ -140,11 +143,41 @@ def first_stop(protein: Column) -> Column:
 
 def protein_effects(placed: DataFrame, sequences: DataFrame, table: int = 11, offset: Column | None = None) -> DataFrame:
     """placed with ref_cds, alt_cds, delta, frameshift, change_type, protein_change, ref_stop and alt_stop. sequences: gene_id, seq (genomic, unspliced)."""
-    offset = F.lit(0) if offset is None else offset
     df = placed.join(sequences.select("gene_id", "seq"), "gene_id")
     df = df.withColumn("alt_seq", apply_to_feature(F.col("seq"), F.col("g_start"), F.col("components")))
     df = df.withColumn("ref_cds", oriented(F.col("seq"), F.col("strand"))).withColumn("alt_cds", oriented(F.col("alt_seq"), F.col("strand"))).drop("seq", "alt_seq")
-    df = df.withColumn("delta", coding_delta(F.col("components"), F.col("g_start"), F.col("g_end"))).withColumn("frameshift", F.pmod("delta", F.lit(3)) != 0)
+    return _effects(df.withColumn("delta", coding_delta(F.col("components"), F.col("g_start"), F.col("g_end"))), table, offset)
+
+
+def spliced_effects(alleles: DataFrame, segments: DataFrame, reference: DataFrame, table: int = 11) -> DataFrame:
+    """The same for indels of spliced genes: contig, pos, ref, alt, gene_id and the columns of protein_effects.
+
+    An allele is put into every segment of a transcript that it touches, and the
+    segments are joined in transcript order. An insertion behind a segment's
+    last genomic base counts where the transcript goes on there.
+    """
+    last = F.max("seg_idx").over(Window.partitionBy("gene_id"))
+    inner = F.when(F.col("strand") == "+", F.col("seg_idx") < last).otherwise(F.col("seg_idx") > 0)
+    segs = segments.withColumn("inner", inner).select("gene_id", "contig", "strand", "seg_idx", F.col("start").alias("s_start"), F.col("end").alias("s_end"), "inner")
+    lo = F.array_min(F.transform("components", lambda c: c["pos"]))
+    hi = F.array_max(F.transform("components", lambda c: c["pos"] + F.greatest(F.length(c["ref"]) - 1, F.lit(0))))
+    own = alleles.select("contig", "pos", "ref", "alt", "components")
+    near = interval_join(own.withColumn("_lo", lo).withColumn("_hi", hi), segs, "contig", "_lo", "_hi", "s_start", "s_end")
+    ends = lambda c: F.col("inner") & (c["kind"] == "INS") & (c["pos"] == F.col("s_end"))
+    hit = near.where(F.exists("components", lambda c: overlaps(c, F.col("s_start"), F.col("s_end")) | ends(c))).select("gene_id", *own.columns).distinct()
+    seqs = intervals_sequence(segs, reference, ["gene_id", "strand", "seg_idx", "s_start", "s_end", "inner"], "s_start", "s_end")
+    part = hit.join(seqs, "gene_id")
+    more = F.aggregate("components", F.lit(0).cast("long"), lambda a, c: a + F.when(ends(c), F.length(c["alt"])).otherwise(0))
+    part = part.withColumn("d", coding_delta(F.col("components"), F.col("s_start"), F.col("s_end")) + more).withColumn("new", apply_to_feature(F.col("seq"), F.col("s_start"), F.col("components"), F.col("inner")))
+    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg_idx", oriented(F.col(c), F.col("strand")).alias("s")))), lambda x: x["s"]), "")
+    whole = part.groupBy("gene_id", "strand", *own.columns).agg(joined("seq").alias("ref_cds"), F.when(F.count("new") == F.count(F.lit(1)), joined("new")).alias("alt_cds"), F.sum("d").alias("delta"))
+    return _effects(whole, table, None)
+
+
+def _effects(df: DataFrame, table: int, offset: Column | None) -> DataFrame:
+    """What follows from ref_cds, alt_cds (null: unknown) and delta."""
+    offset = F.lit(0) if offset is None else offset
+    df = df.withColumn("frameshift", F.pmod("delta", F.lit(3)) != 0)
     df = df.withColumn("ref_protein", translate(F.col("ref_cds"), table)).withColumn("alt_protein", translate(F.col("alt_cds"), table))
     until = lambda p: F.when(F.locate("*", p) > 0, F.substr(p, F.lit(1), F.locate("*", p))).otherwise(p)
     change = indel_change_type(F.col("ref_protein"), F.col("alt_protein"), F.col("frameshift"))
@@ -166,6 +199,38 @@ def premature_stop(ref_stop: Column, alt_stop: Column, delta: Column, first_chan
     return F.when((back >= 0) & (back < until), F.floor(back / 3) + 1)
 
 
+def first_changed(component: Column, strand: Column, start: Column, end: Column) -> Column:
+    """0-based offset in an unspliced feature of the first base that a component changes, in transcript order."""
+    last = component["pos"] + F.greatest(F.length(component["ref"]) - 1, F.lit(0))
+    plus = F.when(component["kind"] == "INS", component["pos"] + 1).otherwise(F.greatest(component["pos"], start)) - start
+    minus = end - F.when(component["kind"] == "INS", component["pos"]).otherwise(F.least(last, end))
+    return F.when(strand == "+", plus).otherwise(minus)
+
+
+def premature_stops(effects: DataFrame, least: float = 0.5) -> DataFrame:
+    """gene_id, ptc: residue of the premature stop of genes with exactly one frame-shifting indel that passes the gate. effects: protein_effects with af."""
+    seen = F.col("observed") if "observed" in effects.columns else F.lit(None).cast("double")
+    rows = effects.where(F.col("frameshift") & passes_gate(seen, F.col("af"), least))
+    first = F.array_min(F.transform("components", lambda c: first_changed(c, F.col("strand"), F.col("g_start"), F.col("g_end"))))
+    ptc = premature_stop(F.col("ref_stop"), F.col("alt_stop"), F.col("delta"), first, F.length("ref_cds"))
+    return rows.withColumn("_p", ptc).groupBy("gene_id").agg(F.count(F.lit(1)).alias("_k"), F.max("_p").alias("ptc")).where("_k = 1 and ptc is not null").select("gene_id", F.col("ptc").cast("long").alias("ptc"))
+
+
+def relabel_rows(rows: DataFrame, states: DataFrame, stops: DataFrame) -> DataFrame:
+    """Codon rows (gene_id, strand, codon_start, aa_local, aa_change, change_type) as upstream indels leave them.
+
+    In a shifted frame residues are marked (fs), or, behind the gene's premature
+    stop, said to be downstream of it; an overlapping indel outranks both.
+    """
+    df = rows.join(states.select("gene_id", "strand", "codon_start", F.col("shift").alias("_d"), F.col("overlap").alias("_o")), ["gene_id", "strand", "codon_start"], "left").join(stops, "gene_id", "left")
+    over, shift = F.coalesce("_o", F.lit(False)), F.coalesce("_d", F.lit(0))
+    off = (F.pmod(shift, F.lit(3)) != 0) & ~over
+    past = off & F.coalesce(F.col("aa_local") > F.col("ptc"), F.lit(False))
+    text = lambda c: F.when(past, "downstream of premature stop").when(off, F.concat(c, F.lit(" (fs)"))).otherwise(c)
+    df = df.withColumn("aa_change", text(F.col("aa_change"))).withColumn("change_type", relabel(F.col("change_type"), shift, over, past))
+    return df.drop("_d", "_o", "ptc")
+
+
 def nmd(ptc_offset: Column, last_junction: Column) -> Column:
     """50-base rule: a stop more than 50 bases before the last junction triggers decay; null without a junction."""
     return F.when(last_junction.isNotNull() & ptc_offset.isNotNull(), F.when(ptc_offset + NMD_BASES < last_junction, "NMD-triggering").otherwise("NMD-escaping"))

@@ -25,7 +25,7 @@ class Params:
     translation_table: int = 11
 
 
-COLUMNS = "contig gene_id positions ref_bases alt_bases aa_change snp_aa_changes variant_type change_type ref_codon alt_codon event_class components so_term impact grantham shift dbs_class nmd hgvs_g hgvs_c".split()
+COLUMNS = "contig gene_id positions ref_bases alt_bases aa_change snp_aa_changes variant_type change_type ref_codon snp_codons alt_codon event_class components so_term impact grantham shift dbs_class nmd hgvs_g hgvs_c".split()
 
 
 def _shape(df: DataFrame) -> DataFrame:
@@ -67,11 +67,12 @@ def annotate(alleles: DataFrame, genes: DataFrame, reference: DataFrame, segment
     ind = events.where(~is_snv).select("contig", "pos", "ref", "alt", "components", "event_class", "affected_start", "affected_end", af.alias("af"))
     placed = indels.place_indels(ind, plain)
     rows = codons.codon_mnv(snvs, plain, reference, table)
-    states = indels.frame_states(rows.select("gene_id", "strand", "codon_start").distinct(), placed, params.frameshift_min_freq).withColumnRenamed("shift", "_delta")
-    rows = rows.join(states, ["gene_id", "strand", "codon_start"], "left")
-    change = indels.relabel(F.col("change_type"), F.coalesce("_delta", F.lit(0)), F.coalesce("overlap", F.lit(False)), F.lit(False))
+    states = indels.frame_states(rows.select("gene_id", "strand", "codon_start").distinct(), placed, params.frameshift_min_freq)
+    seqs = intervals_sequence(plain, reference, ["gene_id"], "start", "end")
+    effect = indels.protein_effects(placed, seqs, table)
+    rows = indels.relabel_rows(rows, states, indels.premature_stops(effect, params.frameshift_min_freq))
     none = F.lit(False), F.lit(None).cast("string")
-    rows = rows.withColumn("change_type", change).withColumn("so_term", consequence.so_term(F.col("change_type"), *none, F.lit(1), F.lit(1))).withColumn("impact", consequence.so_impact(F.col("change_type"), *none))
+    rows = rows.withColumn("so_term", consequence.so_term(F.col("change_type"), *none, F.lit(1), F.lit(1))).withColumn("impact", consequence.so_impact(F.col("change_type"), *none))
     out = _shape(_codon_rows(rows))
 
     if spliced is not None:
@@ -79,19 +80,28 @@ def annotate(alleles: DataFrame, genes: DataFrame, reference: DataFrame, segment
         far = codons.transcript_mnv(snvs, models, reference, table)
         last = transcripts.with_offsets(models).groupBy("gene_id").agg(F.max("offset0").alias("_last"))
         far = far.join(last, "gene_id").withColumn("nmd", F.when(F.col("change_type") == "Stop gained", indels.nmd(F.col("codon_start") * 3, F.col("_last"))))
-        near = transcripts.splice_hits(snvs.select("contig", "pos").distinct(), models).select("gene_id", F.col("pos").alias("_sp"), "splice")
-        first = F.array_min(F.transform("snvs", lambda s: s["pos"]))
-        far = far.join(near, (far["gene_id"] == near["gene_id"]) & (first == F.col("_sp")), "left").drop(near["gene_id"]).drop("_sp")
+        hits = transcripts.splice_hits(snvs.select("contig", "pos").distinct(), models).select("gene_id", "pos", "splice")
+        touched = far.select("gene_id", "codon_start", "snvs", F.explode(F.transform("snvs", lambda s: s["pos"])).alias("pos")).join(hits, ["gene_id", "pos"])
+        worst = touched.groupBy("gene_id", "codon_start", "snvs").agg(F.coalesce(F.max(F.when(F.col("splice") != "splice_region_variant", F.col("splice"))), F.max("splice")).alias("splice"))
+        far = far.join(worst, ["gene_id", "codon_start", "snvs"], "left")
         term, impact = consequence.with_splice(F.col("so_term"), F.col("impact"), F.col("splice"), F.lit(True))
         far = far.withColumn("_t", term).withColumn("_i", impact).withColumn("so_term", F.col("_t")).withColumn("impact", F.col("_i"))
         out = out.unionByName(_shape(_codon_rows(far)))
 
-    seqs = intervals_sequence(plain, reference, ["gene_id"], "start", "end")
-    effect = indels.protein_effects(placed, seqs, table)
-    effect = effect.withColumn("positions", F.array("pos")).withColumn("ref_bases", F.array("ref")).withColumn("alt_bases", F.array("alt")).withColumn("variant_type", F.lit("INDEL"))
-    effect = effect.withColumn("so_term", consequence.so_term(F.col("change_type"), *none, F.length("ref"), F.length("alt"))).withColumn("impact", consequence.so_impact(F.col("change_type"), *none))
-    effect = effect.withColumn("aa_change", F.col("protein_change")).withColumn("hgvs_g", consequence.hgvs_indel(F.col("pos"), F.col("ref"), F.col("alt"))).withColumn("components", al.labels(F.col("components")))
-    out = out.unionByName(_shape(effect))
+    cols = ["gene_id", "contig", "pos", "ref", "alt", "components", "change_type", "protein_change"]
+    told = effect.select(*cols)
+    if spliced is not None:
+        told = told.unionByName(indels.spliced_effects(ind, models, reference, table).select(*cols))
+    told = told.join(ind.select("contig", "pos", "ref", "alt", "event_class").distinct(), ["contig", "pos", "ref", "alt"])
+    told = told.withColumn("positions", F.array("pos")).withColumn("ref_bases", F.array("ref")).withColumn("alt_bases", F.array("alt")).withColumn("variant_type", F.lit("INDEL"))
+    told = told.withColumn("so_term", consequence.so_term(F.col("change_type"), *none, F.length("ref"), F.length("alt"))).withColumn("impact", consequence.so_impact(F.col("change_type"), *none))
+    if spliced is not None:  # a splice site that the indel touches is folded into its term
+        near = transcripts.allele_splice(ind, models)
+        told = told.join(near, ["gene_id", "contig", "pos", "ref", "alt"], "left")
+        term, impact = consequence.with_splice(F.col("so_term"), F.col("impact"), F.col("splice"), F.lit(True))
+        told = told.withColumn("_t", term).withColumn("_i", impact).withColumn("so_term", F.col("_t")).withColumn("impact", F.col("_i"))
+    told = told.withColumn("aa_change", F.col("protein_change")).withColumn("hgvs_g", consequence.hgvs_indel(F.col("pos"), F.col("ref"), F.col("alt"))).withColumn("components", al.labels(F.col("components")))
+    out = out.unionByName(_shape(told))
 
     # what no row carries, by label: the best claim of any gene, else intergenic
     every = events.select("contig", F.explode("components").alias("c")).select("contig", F.col("c.pos").alias("pos"), "c.ref", "c.alt", "c.kind", al.label(F.col("c")).alias("label")).distinct()

@@ -311,3 +311,22 @@ N["gkeys"] = "SELECT DISTINCT gene_id, chrom, strand, low FROM rkeys"
 N["gstate"] = f"SELECT k.gene_id, k.low, coalesce(sum(CASE WHEN {_gup} AND t.ipos IS NULL THEN i.delta ELSE 0 END), 0) AS shift FROM gkeys k LEFT JOIN gplaced i ON i.gene_id = k.gene_id LEFT JOIN transp t ON t.gene_id = k.gene_id AND t.low = k.low AND t.ipos = i.pos GROUP BY k.gene_id, k.low"
 N["gover"] = f"SELECT DISTINCT k.gene_id, k.low FROM gkeys k JOIN rplaced i ON i.gene_id = k.gene_id WHERE {_gover}"
 ORACLES["q76_gated_frame_states"] = sql("SELECT s.gene_id, s.low AS codon_start, cast(s.shift as bigint) AS shift, ((s.shift % 3) + 3) % 3 <> 0 AS frameshift, o.low IS NOT NULL AS overlap FROM gstate s LEFT JOIN gover o ON o.gene_id = s.gene_id AND o.low = s.low")
+N["gfs"] = "SELECT p.gene_id, count(*) AS k, max(CASE WHEN p.back >= 0 AND p.back < p.until THEN p.back // 3 + 1 END) AS ptc FROM ptc1 p JOIN idelta i ON i.gene_id = p.gene_id AND i.pos = p.pos AND i.ref = p.ref AND i.alt = p.alt WHERE i.af >= 0.5 GROUP BY p.gene_id"
+N["fsrow"] = "SELECT k.*, s.over, ((s.shift % 3) + 3) % 3 <> 0 AND s.over = 0 AS off, ((s.shift % 3) + 3) % 3 <> 0 AND s.over = 0 AND coalesce(k.aa_pos > f.ptc, false) AS past FROM codon k JOIN states s ON s.gene_id = k.gene_id AND s.low = k.low LEFT JOIN gfs f ON f.gene_id = k.gene_id AND f.k = 1"
+_shifted = "CASE change_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in FRAMESHIFTED.items()) + " ELSE change_type END"
+ORACLES["q94_frameshift_rows"] = sql(f"SELECT gene_id, low AS codon_start, snvs, CASE WHEN past THEN 'downstream of premature stop' WHEN off THEN aa_change || ' (fs)' ELSE aa_change END AS aa_change, CASE WHEN over = 1 THEN 'Indel overlap' WHEN past THEN 'Downstream of premature stop' WHEN off THEN {_shifted} ELSE change_type END AS change_type FROM fsrow")
+N["sseq"] = f"SELECT gene_id, chrom, strand, seg_idx, seg_start, seg_end, string_agg({base('p')}, '' ORDER BY p) AS seq FROM (SELECT *, unnest(generate_series(seg_start, seg_end)) AS p FROM segments) GROUP BY ALL"
+N["sinner"] = "SELECT *, CASE WHEN strand = '+' THEN seg_idx < max(seg_idx) OVER (PARTITION BY gene_id) ELSE seg_idx > 0 END AS inside FROM sseq"
+_del = "i.is_del = 1 AND i.pos + 1 <= s.seg_end AND i.pos + i.size >= s.seg_start"
+_ins = "i.is_del = 0 AND i.pos >= s.seg_start AND (i.pos < s.seg_end OR (i.pos = s.seg_end AND s.inside))"
+N["shit"] = f"SELECT DISTINCT s.gene_id, i.chrom, i.pos, i.ref, i.alt, i.is_del, i.size FROM indels i JOIN sinner s ON s.chrom = i.chrom AND (({_del}) OR ({_ins}))"
+N["spart"] = (
+    f"SELECT i.*, s.strand, s.seg_idx, s.seq, CASE WHEN {_del} THEN -(least(i.pos + i.size, s.seg_end) - greatest(i.pos + 1, s.seg_start) + 1) WHEN {_ins} THEN i.size ELSE 0 END AS d, "
+    f"CASE WHEN {_del} THEN substr(s.seq, 1, cast(greatest(i.pos + 1, s.seg_start) - s.seg_start as int)) || substr(s.seq, cast(i.pos + i.size - s.seg_start + 2 as int)) WHEN {_ins} THEN substr(s.seq, 1, cast(i.pos - s.seg_start + 1 as int)) || substr(i.alt, 2) || substr(s.seq, cast(i.pos - s.seg_start + 2 as int)) ELSE s.seq END AS new FROM shit i JOIN sinner s ON s.gene_id = i.gene_id"
+)
+_or = lambda c: f"string_agg(CASE WHEN strand = '-' THEN {revcomp(c)} ELSE {c} END, '' ORDER BY seg_idx)"
+N["seffect"] = f"SELECT gene_id, chrom, pos, ref, alt, is_del, size, cast(sum(d) as bigint) AS delta, {_or('seq')} AS ref_cds, {_or('new')} AS alt_cds FROM spart GROUP BY gene_id, chrom, pos, ref, alt, is_del, size"
+for _k, _old, _new in ((0, "effect", "seffect"), (1, "prot0", "sprot0"), (2, "prot1", "sprot1"), (3, "prot2", "sprot2"), (4, "prot3", "sprot3")):
+    N[f"sprot{_k}"] = N[f"prot{_k}"].replace(f"FROM {_old}", f"FROM {_new}")
+_effect_sql = ORACLES["q30_indel_protein_effect"][ORACLES["q30_indel_protein_effect"].rindex("SELECT gene_id, cast(chrom as varchar) AS contig, pos, ref, alt, cast(delta") :]
+ORACLES["q95_spliced_indel_effect"] = sql(_effect_sql.replace("FROM prot4", "FROM sprot4").replace("frameshift, change_type,", "change_type,", 1))

@@ -245,17 +245,9 @@ def q30_indel_protein_effect(g):
     return _effects(g).select("gene_id", "contig", "pos", "ref", "alt", "delta", "frameshift", "change_type", "protein_change")
 
 
-def _first_changed() -> F.Column:
-    c = F.col("components")[0]
-    last = c["pos"] + F.greatest(F.length(c["ref"]) - 1, F.lit(0))
-    plus = F.when(c["kind"] == "INS", c["pos"] + 1).otherwise(F.greatest(c["pos"], F.col("g_start"))) - F.col("g_start")
-    minus = F.col("g_end") - F.when(c["kind"] == "INS", c["pos"]).otherwise(F.least(last, F.col("g_end")))
-    return F.when(F.col("strand") == "+", plus).otherwise(minus)
-
-
 @query
 def q31_frameshift_ptc(g):
-    rows = _effects(g).where("frameshift").withColumn("first", _first_changed())
+    rows = _effects(g).where("frameshift").withColumn("first", indels.first_changed(F.col("components")[0], F.col("strand"), F.col("g_start"), F.col("g_end")))
     ptc = indels.premature_stop(F.col("ref_stop"), F.col("alt_stop"), F.col("delta"), F.col("first"), F.length("ref_cds"))
     return rows.select("gene_id", "pos", "ref", "alt", F.col("ref_stop").cast("int").alias("ref_stop"), F.col("alt_stop").cast("int").alias("alt_stop"), ptc.cast("long").alias("ptc"))
 
@@ -497,3 +489,19 @@ def q76_gated_frame_states(g):
     own = placed.where(indels.passes_gate(F.col("observed"), F.col("af"), GATE)).select("gene_id", F.concat_ws(":", *ALLELE).alias("indel_id"), indels.upstream_key(F.col("components"), F.col("strand")).alias("k"), indels.coding_delta(F.col("components"), F.col("g_start"), F.col("g_end")).alias("delta"))
     trans = linked.join(own, ["gene_id", "indel_id"]).join(snv, ["gene_id", "snv_id"]).where(F.col("k") < indels.codon_key(F.col("strand"), F.col("codon_start"))).select("gene_id", "codon_start", "indel_id", "delta").distinct()
     return indels.suppress_trans(states, trans).select("gene_id", "codon_start", "shift", "frameshift", "overlap")
+
+
+@query
+def q94_frameshift_rows(g):
+    """Codon rows as upstream indels leave them: shifted frames, what lies behind a premature stop, overlaps."""
+    rows = codons.codon_mnv(g.snvs(), g.genes(), g.reference())
+    keys = rows.select("gene_id", "strand", "codon_start").distinct()
+    out = indels.relabel_rows(rows, indels.frame_states(keys, _placed_indels(g)), indels.premature_stops(_effects(g)))
+    return out.select("gene_id", "codon_start", _join(F.col("snvs"), lambda s: F.concat(s["pos"].cast("string"), s["ref"], F.lit(">"), s["alt"])).alias("snvs"), "aa_change", "change_type")
+
+
+@query
+def q95_spliced_indel_effect(g):
+    """Indels of spliced transcripts: coding delta, change type and protein change of the joined sequence."""
+    rows = indels.spliced_effects(_events(g), g.segments(), g.reference())
+    return rows.select("gene_id", "contig", "pos", "ref", "alt", "delta", "change_type", "protein_change")

@@ -379,3 +379,76 @@ def q75_mean_depth(g):
 
 
 ORACLES["q75_mean_depth"] = sql("SELECT m.gene_id, m.low AS codon_start, cast(floor(avg(s.depth)) as bigint) AS depth FROM members m JOIN support s ON s.chrom = m.chrom AND s.pos = m.pos GROUP BY m.gene_id, m.low")
+
+
+@query
+def q90_block_text_round_trip(g):
+    """Lines written as block-compressed parts and read back; the line count that the writer reports is on each."""
+    from strandmill.sinks.blocks import write_block_text
+
+    lines = g.snvs().select(F.concat_ws("\t", _contig(), F.col("pos").cast("string"), "ref", "alt").alias("value")).repartitionByRange(3, "value").sortWithinPartitions("value")
+    path = scratch_path(g.spark, "blocks")
+    n = write_block_text(lines, path)
+    return g.spark.read.text(path).select("value", F.lit(n).cast("long").alias("lines"))
+
+
+ORACLES["q90_block_text_round_trip"] = sql("SELECT concat_ws(chr(9), 'c' || cast(chrom as varchar), cast(pos as varchar), ref, alt) AS value, (SELECT count(*) FROM snvs) AS lines FROM snvs")
+
+
+def _bam(g: Genome) -> str:
+    from strandmill.sinks.blocks import write_bam
+
+    path = scratch_path(g.spark, "bam")
+    clen = g.relation("dims").first().clen
+    write_bam(g.reads().repartitionByRange(3, "contig", "start").sortWithinPartitions("contig", "start"), path, [(str(c), clen) for c in range(5)])
+    assert alignments.check_bam(g.spark, path) == [str(c) for c in range(5)]
+    return path
+
+
+@query
+def q91_bam_round_trip(g):
+    """Reads written as BAM parts and read back, bases and qualities by digest."""
+    rows = alignments.read_bam(g.spark, _bam(g))
+    kept = g.reads().select(F.md5(F.concat_ws("|", "seq", "qual").cast("binary")).alias("was"), F.coalesce("qname", F.lit("*")).alias("q2"), F.col("contig").alias("c2"), F.col("start").alias("s2"), F.col("flag").alias("f2"))
+    own = rows.withColumn("now", F.md5(F.concat_ws("|", "seq", "qual").cast("binary"))).withColumn("q", F.coalesce("qname", F.lit("*")))
+    both = own.join(kept, (F.col("q") == F.col("q2")) & (F.col("contig") == F.col("c2")) & (F.col("start") == F.col("s2")) & (F.col("flag") == F.col("f2")) & (F.col("now") == F.col("was")), "left_semi")
+    return both.select("qname", "flag", "contig", "start", "mapq", "cigar", F.length("seq").cast("int").alias("bases"))
+
+
+_cigar = f"CASE shape WHEN 'D' THEN {_m} || 'M2D' || cast(97 - anchor + start as varchar) || 'M' WHEN 'I' THEN {_m} || 'M3I' || cast(99 - anchor + start as varchar) || 'M' WHEN 'N' THEN '4S50M10N40M' ELSE '100M' END AS cigar"
+_bases = "cast(CASE shape WHEN 'D' THEN 98 WHEN 'I' THEN 103 WHEN 'N' THEN 94 ELSE 100 END as int) AS bases"
+_read = f"CASE WHEN mol LIKE '#%' THEN NULL ELSE mol END AS qname, cast(is_rev * 16 as int) AS flag, cast(chrom as varchar) AS contig, start, cast(mapq as int) AS mapq, {_cigar}, {_bases}"
+ORACLES["q91_bam_round_trip"] = sql(f"SELECT {_read} FROM aln")
+
+
+@query
+def q92_bam_region(g):
+    """Records that overlap a region."""
+    rows = alignments.read_bam(g.spark, _bam(g), ("2", 1000, 3000))
+    return rows.select("qname", "flag", "contig", "start", "mapq", "cigar", F.length("seq").cast("int").alias("bases"))
+
+
+ORACLES["q92_bam_region"] = sql(f"SELECT {_read} FROM aln WHERE chrom = 2 AND start <= 3000 AND start + 99 >= 1000")
+
+
+@query
+def q93_result_table(g):
+    """Cells of the result table, of all substitutions: coding and intergenic rows."""
+    from strandmill.plans.annotate import annotate
+
+    rows = tables.result_table(annotate(g.snvs().select("contig", "pos", "ref", "alt"), g.genes(), g.reference()))
+    return rows.toDF(*(c.lower().replace(" ", "_").replace(".", "") for c in rows.columns))
+
+
+_snv = lambda i: f"'SNV:' || cast(low + {i} as varchar) || ':' || r{i} || '>' || x{i}"
+_bar = "' | '"
+_three = lambda a, sep="', '": f"concat_ws({sep}, " + ", ".join(a(i) for i in range(3)) + ")"
+_when = lambda i, x: f"CASE WHEN x{i} IS NOT NULL THEN {x} END"
+N["shifted"] = ORACLES["q15_consequence_shift"][ORACLES["q15_consequence_shift"].rindex("SELECT gene_id, low AS codon_start") :]
+N["wide2"] = "SELECT w.*, coalesce(s.shift, '-') AS shift FROM wide w LEFT JOIN shifted s ON s.gene_id = w.gene_id AND s.codon_start = w.low AND s.snvs = w.snvs"
+_cat = "CASE WHEN grantham <= 50 THEN 'conservative' WHEN grantham <= 100 THEN 'moderately conservative' WHEN grantham <= 150 THEN 'moderately radical' ELSE 'radical' END"
+ORACLES["q93_result_table"] = sql(
+    f"SELECT cast(chrom as varchar) AS chromosome, cast(gene_id as varchar) AS gene, {_three(lambda i: _when(i, f'cast(low + {i} as varchar)'))} AS positions, {_three(lambda i: _when(i, f'r{i}'))} AS reference_bases, {_three(lambda i: f'x{i}')} AS base_changes, aa_change AS aa_changes, snp_aa_changes, aa_change AS local_aa_changes, snp_aa_changes AS local_snp_aa_changes, variant_type, change_type, ref_codon AS reference_codon, "
+    f"{_three(lambda i: f's{i}')} AS snp_codon, alt_codon AS mnv_codon, CASE WHEN n > 1 THEN 'mnv' ELSE 'snp' END AS event_class, {_three(lambda i: _when(i, _snv(i)), _bar)} AS event_components, so_term, impact, coalesce(cast(grantham as varchar) || ' (' || {_cat} || ')', '-') AS grantham, shift AS mnv_consequence_shift, coalesce(dbs_class, '-') AS dbs_class, '-' AS declared_phase, '-' AS mnv_phasing_support, '-' AS nmd_prediction, hgvs_g, hgvs_c FROM wide2 "
+    "UNION ALL SELECT cast(chrom as varchar), 'intergenic', cast(pos as varchar), ref, alt, '-', '-', '-', '-', 'SNP', 'Unknown', '-', '-', '-', 'snp', 'SNV:' || pos || ':' || ref || '>' || alt, 'intergenic_variant', 'MODIFIER', '-', '-', '-', '-', '-', '-', 'g.' || pos || ref || '>' || alt, '-' FROM outside"
+)

@@ -17,6 +17,29 @@ def encode_cell(c: Column) -> Column:
     return F.coalesce(c, F.lit("-"))
 
 
+#: Columns of the result table without reads, in order.
+TABLE_COLUMNS = ("Chromosome", "Gene", "Positions", "Reference Bases", "Base Changes", "AA Changes", "SNP AA Changes", "Local AA Changes", "Local SNP AA Changes", "Variant Type", "Change Type", "Reference Codon", "SNP Codon", "MNV Codon", "Event Class", "Event Components", "SO Term", "Impact", "Grantham", "MNV Consequence Shift", "DBS Class", "Declared Phase", "MNV Phasing Support", "NMD Prediction", "HGVS g.", "HGVS c.")
+
+
+def result_table(rows: DataFrame) -> DataFrame:
+    """Cells of the result table, as text, from annotate() rows; declared_phase and phasing_support are shown where the rows have them."""
+    from strandmill.functions.aa import grantham_category
+    from strandmill.functions.text import fixed
+
+    has = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("string")
+    dash = lambda c: F.coalesce(F.nullif(c.cast("string"), F.lit("")), F.lit("-"))
+    many = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ", ")
+    local, local_snp = F.coalesce(has("local_aa_change"), F.col("aa_change")), F.coalesce(has("local_snp_aa_changes"), F.col("snp_aa_changes").cast("string"))
+    cells = [
+        F.col("contig"), F.col("gene_id").cast("string"), many("positions"), many("ref_bases"), many("alt_bases"),
+        dash(F.col("aa_change")), dash(F.col("snp_aa_changes")), dash(local), dash(local_snp), F.col("variant_type"), F.col("change_type"),
+        dash(F.col("ref_codon")), dash(F.col("snp_codons")), dash(F.col("alt_codon")), F.coalesce("event_class", F.lower("variant_type")), F.col("components"),
+        F.col("so_term"), F.col("impact"), dash(F.concat(F.col("grantham").cast("string"), F.lit(" ("), grantham_category(F.col("grantham")), F.lit(")"))), dash(F.col("shift")), dash(F.col("dbs_class")),
+        dash(has("declared_phase")), dash(fixed(has("phasing_support"))), dash(F.col("nmd")), dash(F.col("hgvs_g")), dash(F.col("hgvs_c")),
+    ]
+    return rows.select(*(c.alias(n) for c, n in zip(cells, TABLE_COLUMNS, strict=True)))
+
+
 def write_tsv(rows: DataFrame, path: str, order: list | None = None) -> None:
     """Sorted tab-separated parts with a header each; all columns as text."""
     out = rows.orderBy(*order) if order else rows

@@ -6,9 +6,12 @@ import struct
 import zlib
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandmill.errors import EngineError
+
 READ_DDL = "read_id long, qname string, flag int, contig string, start long, mapq int, cigar string, seq string, qual string"
 BASES = "=ACMGRSVTWYHKDBN"
 OPS = "MIDNSHP=X"
@@ -22,69 +25,133 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     return out.where((F.col("flag").bitwiseAND(4) == 0) & (F.col("cigar") != "*"))
 
 
-def parse_bam(data: bytes) -> list[tuple]:
-    """Records of an inflated BAM file."""
-    if data[:4] != b"BAM\1":
+class Buffer:
+    """Inflated bytes that are asked for in order; what was taken is forgotten."""
+
+    def __init__(self, blocks):
+        self.blocks, self.data, self.at = iter(blocks), b"", 0
+
+    def take(self, n: int) -> bytes | None:
+        """The next n bytes; None at the end."""
+        parts, have = [self.data[self.at : self.at + n]], min(n, len(self.data) - self.at)
+        self.at += have
+        while have < n:
+            block = next(self.blocks, None)
+            if block is None:
+                if have:
+                    raise ValueError("BAM file ends within a record")
+                return None
+            self.data, self.at = block, min(n - have, len(block))
+            parts.append(block[: self.at])
+            have += self.at
+        return b"".join(parts)
+
+    def int(self) -> int | None:
+        raw = self.take(4)
+        return None if raw is None else struct.unpack("<i", raw)[0]
+
+
+def parse_bam(blocks):
+    """Records of a BAM file, given its inflated bytes block by block: READ_DDL without the identifier."""
+    b = Buffer(blocks)
+    if b.take(4) != b"BAM\1":
         raise ValueError("not a BAM file")
-    at = 8 + struct.unpack_from("<i", data, 4)[0]
-    n, names = struct.unpack_from("<i", data, at)[0], []
-    at += 4
-    for _ in range(n):
-        k = struct.unpack_from("<i", data, at)[0]
-        names.append(data[at + 4 : at + 3 + k].decode())
-        at += 8 + k
-    out, i = [], 0
-    while at < len(data):
-        size, ref, pos, lname, mapq, _, ncigar, flag, lseq = struct.unpack_from("<iiiBBHHHi", data, at)
-        p = at + 36
+    b.take(b.int())
+    names = []
+    for _ in range(b.int()):
+        names.append(b.take(b.int())[:-1].decode())
+        b.int()
+    while (size := b.int()) is not None:
+        data = b.take(size)
+        ref, pos, lname, mapq, _, ncigar, flag, lseq = struct.unpack_from("<iiBBHHHi", data)
+        p = 32
         name = data[p : p + lname - 1].decode()
         p += lname
         cigar = "".join(f"{x >> 4}{OPS[x & 15]}" for x in struct.unpack_from(f"<{ncigar}I", data, p))
         p += 4 * ncigar
-        packed = data[p : p + (lseq + 1) // 2]
-        seq = "".join(BASES[b >> 4] + BASES[b & 15] for b in packed)[:lseq]
+        seq = "".join(BASES[x >> 4] + BASES[x & 15] for x in data[p : p + (lseq + 1) // 2])[:lseq]
         q = data[p + (lseq + 1) // 2 : p + (lseq + 1) // 2 + lseq]
         qual = None if not lseq or q[:1] == b"\xff" else bytes(x + 33 for x in q).decode("latin-1")
         if ref >= 0 and not flag & 4 and cigar:
-            out.append((i, None if name == "*" else name, flag, names[ref], pos + 1, None if mapq == 255 else mapq, cigar, seq, qual))
-        i += 1
-        at += 4 + size
-    return out
-
-
-def inflate_blocks(data: bytes) -> bytes:
-    """All members of a block-compressed file; block sizes come from the headers, so nothing is copied twice."""
-    out, at, view = [], 0, memoryview(data)
-    while at < len(data):
-        size = block_size(view[at : at + 18])
-        if size is None:  # plain gzip members
-            z = zlib.decompressobj(31)
-            out.append(z.decompress(view[at:]))
-            at = len(data) - len(z.unused_data)
-            continue
-        out.append(zlib.decompress(view[at : at + size], 31))
-        at += size
-    return b"".join(out)
+            yield (None if name == "*" else name, flag, names[ref], pos + 1, None if mapq == 255 else mapq, cigar, seq, qual)
 
 
-def block_size(head: memoryview | bytes) -> int | None:
+def block_size(head: bytes) -> int | None:
     """Bytes of the block that starts with head (BSIZE of the BC field), None for a member without it."""
-    if len(head) < 18 or bytes(head[:4]) != b"\x1f\x8b\x08\x04" or bytes(head[12:16]) != b"BC\x02\x00":
+    if len(head) < 18 or head[:4] != b"\x1f\x8b\x08\x04" or head[12:16] != b"BC\x02\x00":
         return None
     return struct.unpack_from("<H", head, 16)[0] + 1
 
 
-def read_bam(spark: SparkSession, path: str) -> DataFrame:
-    """One file a task; each is read whole, so a large file should be split by contig first."""
-    files = spark.read.format("binaryFile").load(path).select("content")
-    schema = pa.schema([("read_id", pa.int64()), ("qname", pa.string()), ("flag", pa.int32()), ("contig", pa.string()), ("start", pa.int64()), ("mapq", pa.int32()), ("cigar", pa.string()), ("seq", pa.string()), ("qual", pa.string())])
+def inflate_blocks(file):
+    """Inflated blocks of an open block-compressed file, one after the other; plain gzip members are taken as well."""
+    while head := file.read(18):
+        size = block_size(head)
+        if size is not None:
+            yield zlib.decompress(head + file.read(size - 18), 31)
+            continue
+        z, data = zlib.decompressobj(31), head
+        while data:
+            yield z.decompress(data)
+            if z.eof:
+                data = z.unused_data
+                z = zlib.decompressobj(31)
+                if not data:
+                    data = file.read(1 << 16)
+            else:
+                data = file.read(1 << 16)
+
+
+def read_bam(spark: SparkSession, path: str, region: tuple[str, int, int] | None = None) -> DataFrame:
+    """Mapped records of BAM files, a file a task, streamed block by block, so a task holds a few blocks whatever the file's size.
+
+    region: contig, start, end (1-based, both included): records that overlap it.
+    Files should be split by contig or range where one of them is large.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path")
+    n = files.count()
+    schema = pa.schema([("qname", pa.string()), ("flag", pa.int32()), ("contig", pa.string()), ("start", pa.int64()), ("mapq", pa.int32()), ("cigar", pa.string()), ("seq", pa.string()), ("qual", pa.string())])
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     def task(batches):
         for batch in batches:
-            for content in batch.column("content").to_pylist():
-                rows = parse_bam(inflate_blocks(content))
-                for s in range(0, len(rows), 10_000):
-                    part = rows[s : s + 10_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*part, strict=True), schema, strict=True)], schema=schema)
-
-    return files.mapInArrow(task, READ_DDL)
+            for uri in batch.column("path").to_pylist():
+                system, at = fs.FileSystem.from_uri(uri)
+                with system.open_input_stream(at, compression=None) as f:
+                    rows = []
+                    for r in parse_bam(inflate_blocks(f)):
+                        rows.append(r)
+                        if len(rows) == 5000:
+                            yield batch_of(rows)
+                            rows = []
+                    if rows:
+                        yield batch_of(rows)
+
+    out = files.repartition(max(1, n)).mapInArrow(task, READ_DDL.split(", ", 1)[1]).withColumn("read_id", F.monotonically_increasing_id())
+    if region:
+        contig, lo, hi = region
+        ops = F.regexp_extract_all("cigar", F.lit(r"(\d+)[MDN=X]"), F.lit(1))
+        end = F.col("start") + F.aggregate(ops, F.lit(0).cast("long"), lambda a, x: a + x.cast("long")) - 1
+        out = out.where((F.col("contig") == contig) & (F.col("start") <= hi) & (end >= lo))
+    return out.select(*(c.split()[0] for c in READ_DDL.split(", ")))
+
+
+def check_bam(spark: SparkSession, path: str) -> list[str]:
+    """Pre-flight: contigs named by the header of the BAM files; a missing or unreadable file is an error."""
+    try:
+        first = spark.read.format("binaryFile").load(path).select("path").limit(1).collect()
+        system, at = fs.FileSystem.from_uri(first[0].path)
+        with system.open_input_stream(at, compression=None) as f:
+            b = Buffer(inflate_blocks(f))
+            if b.take(4) != b"BAM\1":
+                raise ValueError("not a BAM file")
+            b.take(b.int())
+            names = []
+            for _ in range(b.int()):
+                names.append(b.take(b.int())[:-1].decode())
+                b.int()
+            return names
+    except Exception as e:
+        raise EngineError("alignments can't be read", "E105", path=path) from e

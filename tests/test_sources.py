@@ -7,6 +7,7 @@ import zlib
 
 import pytest
 from strandmill.errors import EngineError
+from strandmill.functions import alleles
 from strandmill.functions.dna import GENETIC_CODES
 from strandmill.operators import reads
 from strandmill.plans.annotate import Params, annotate, ordered, prepare, read_support
@@ -154,8 +155,9 @@ def test_reads(spark, tmp_path):
     rows = spark.createDataFrame([("c1", "plus", [4, 5], ["A", "T"], "SNV:4:G>A | SNV:5:C>T", "SNP/MNV")], "contig string, gene_id string, positions array<long>, alt_bases array<string>, components string, variant_type string")
     r = read_support(rows, sam, Params()).where("variant_type = 'SNP/MNV'").first()
     assert (r.mnv_reads, r.mnv_forward, r.mnv_reverse, r.mnv_depth, list(r.snp_reads)) == (1, 1, 1, 3, [1, 0])
-    d = spark.createDataFrame([("c1", 5, "DEL", 2, "")], "contig string, pos long, kind string, size int, inserted string")
-    s = reads.indel_support(reads.read_indels(reads.usable(sam), d), ["contig", "pos"]).first()
+    d = alleles.with_event(spark.createDataFrame([("c1", 5, GENOME[4:7], GENOME[4])], "contig string, pos long, ref string, alt string"))
+    views = reads.observe_alleles(reads.usable(sam), d.select("contig", "pos", "ref", "alt", "components"))
+    s = reads.indel_support(views, ["contig", "pos", "ref", "alt"]).first()
     assert (s.event_reads, s.event_reverse, s.event_depth) == (1, 1, 3)
 
 
