@@ -433,10 +433,10 @@ ORACLES["q92_bam_region"] = sql(f"SELECT {_read} FROM aln WHERE chrom = 2 AND st
 
 @query
 def q93_result_table(g):
-    """Cells of the result table, of all substitutions: coding and intergenic rows."""
-    from strandmill.plans.annotate import annotate
+    """Cells of the result table, of all codon rows."""
+    from strandmill.plans.annotate import _codon_rows, _shape
 
-    rows = tables.result_table(annotate(g.snvs().select("contig", "pos", "ref", "alt"), g.genes(), g.reference()))
+    rows = tables.result_table(_shape(_codon_rows(codons.codon_mnv(g.snvs(), g.genes(), g.reference()))))
     return rows.toDF(*(c.lower().replace(" ", "_").replace(".", "") for c in rows.columns))
 
 
@@ -449,6 +449,5 @@ N["wide2"] = "SELECT w.*, coalesce(s.shift, '-') AS shift FROM wide w LEFT JOIN
 _cat = "CASE WHEN grantham <= 50 THEN 'conservative' WHEN grantham <= 100 THEN 'moderately conservative' WHEN grantham <= 150 THEN 'moderately radical' ELSE 'radical' END"
 ORACLES["q93_result_table"] = sql(
     f"SELECT cast(chrom as varchar) AS chromosome, cast(gene_id as varchar) AS gene, {_three(lambda i: _when(i, f'cast(low + {i} as varchar)'))} AS positions, {_three(lambda i: _when(i, f'r{i}'))} AS reference_bases, {_three(lambda i: f'x{i}')} AS base_changes, aa_change AS aa_changes, snp_aa_changes, aa_change AS local_aa_changes, snp_aa_changes AS local_snp_aa_changes, variant_type, change_type, ref_codon AS reference_codon, "
-    f"{_three(lambda i: f's{i}')} AS snp_codon, alt_codon AS mnv_codon, CASE WHEN n > 1 THEN 'mnv' ELSE 'snp' END AS event_class, {_three(lambda i: _when(i, _snv(i)), _bar)} AS event_components, so_term, impact, coalesce(cast(grantham as varchar) || ' (' || {_cat} || ')', '-') AS grantham, shift AS mnv_consequence_shift, coalesce(dbs_class, '-') AS dbs_class, '-' AS declared_phase, '-' AS mnv_phasing_support, '-' AS nmd_prediction, hgvs_g, hgvs_c FROM wide2 "
-    "UNION ALL SELECT cast(chrom as varchar), 'intergenic', cast(pos as varchar), ref, alt, '-', '-', '-', '-', 'SNP', 'Unknown', '-', '-', '-', 'snp', 'SNV:' || pos || ':' || ref || '>' || alt, 'intergenic_variant', 'MODIFIER', '-', '-', '-', '-', '-', '-', 'g.' || pos || ref || '>' || alt, '-' FROM outside"
+    f"{_three(lambda i: f's{i}')} AS snp_codon, alt_codon AS mnv_codon, CASE WHEN n > 1 THEN 'mnv' ELSE 'snp' END AS event_class, {_three(lambda i: _when(i, _snv(i)), _bar)} AS event_components, so_term, impact, coalesce(cast(grantham as varchar) || ' (' || {_cat} || ')', '-') AS grantham, shift AS mnv_consequence_shift, coalesce(dbs_class, '-') AS dbs_class, '-' AS declared_phase, '-' AS mnv_phasing_support, '-' AS nmd_prediction, hgvs_g, hgvs_c FROM wide2"
 )
