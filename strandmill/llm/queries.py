@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandmill.llm import exact_dedup, html_text, langid, lm, mixing, ngram_join, packing, secrets, topk, warc
+from strandmill.llm import exact_dedup, html_text, langid, lm, mixing, ngram_join, packing, secrets, topk, variants, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -54,8 +54,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.dealt_counts(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "times")
 
 
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_top_k, op2_main_text, op3_secrets, op4_ngram_join, op5_language, op6_exact_dedup, op7_packing, op8_lm_score, op9_warc, op10_mixing)}
+    return {f.__name__: f for f in (op1_top_k, op2_main_text, op3_secrets, op4_ngram_join, op5_language, op6_exact_dedup, op7_packing, op8_lm_score, op9_warc, op10_mixing, op11_variants)}
 
 
 EXACT_DEDUP_SQL = r"""
