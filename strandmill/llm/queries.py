@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandmill.llm import exact_dedup, html_text, langid, lm, mixing, ngram_join, packing, secrets, topk, variants, warc
+from strandmill.llm import collocations, exact_dedup, html_text, langid, lm, mixing, ngram_join, packing, repeats, secrets, topk, variants, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -58,8 +58,16 @@ def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.group_variants(_read(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_collocations(_read(spark, sf_dir, "documents"))
+
+
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_read(spark, sf_dir, "documents"), length=200, keep_first=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_top_k, op2_main_text, op3_secrets, op4_ngram_join, op5_language, op6_exact_dedup, op7_packing, op8_lm_score, op9_warc, op10_mixing, op11_variants)}
+    return {f.__name__: f for f in (op1_top_k, op2_main_text, op3_secrets, op4_ngram_join, op5_language, op6_exact_dedup, op7_packing, op8_lm_score, op9_warc, op10_mixing, op11_variants, op12_collocations, op13_repeats)}
 
 
 EXACT_DEDUP_SQL = r"""
