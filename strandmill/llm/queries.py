@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from strandmill.llm import collocations, exact_dedup, html_text, langid, lm, mixing, ngram_join, packing, repeats, secrets, topk, variants, warc
+from strandmill.llm.oracles import COLLOCATIONS_SQL, REPEATS_SQL, VARIANTS_SQL
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -151,4 +152,4 @@ FROM d JOIN x ON x.source IS NOT DISTINCT FROM d.source AND x.key = d.key AND x.
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_top_k": TOP_K_SQL, "op3_secrets": _secrets_sql(), "op4_ngram_join": NGRAM_JOIN_SQL, "op6_exact_dedup": EXACT_DEDUP_SQL, "op9_warc": WARC_SQL, "op10_mixing": MIXING_SQL}
+    return {"op1_top_k": TOP_K_SQL, "op3_secrets": _secrets_sql(), "op4_ngram_join": NGRAM_JOIN_SQL, "op6_exact_dedup": EXACT_DEDUP_SQL, "op9_warc": WARC_SQL, "op10_mixing": MIXING_SQL, "op11_variants": VARIANTS_SQL, "op12_collocations": COLLOCATIONS_SQL, "op13_repeats": REPEATS_SQL}
