@@ -25,11 +25,19 @@ def _write(rows: DataFrame, by: str, order: list[str], name: str, **options: str
     return path
 
 
-def _one_file(rows: DataFrame, head: list[str], name: str, **options: str) -> str:
-    """Head lines, then lines (k, value) in order of k, in a single file, as one caller writes it."""
+#: Parts that a table's lines are written to.
+PARTS = 4
+
+
+def _with_head(rows: DataFrame, head: list[str]) -> DataFrame:
+    """Head lines, then lines (k, value) in order of k, over range-partitioned parts: the head is in the first."""
     top = rows.sparkSession.createDataFrame([(i - len(head), h) for i, h in enumerate(head)], "k long, value string")
+    return top.unionByName(rows.select("k", "value")).repartitionByRange(PARTS, "k", "value").sortWithinPartitions("k", "value").select("value")
+
+
+def _lines_in_parts(rows: DataFrame, head: list[str], name: str, **options: str) -> str:
     path = scratch_path(rows.sparkSession, name)
-    top.unionByName(rows.select("k", "value")).repartition(1).sortWithinPartitions("k", "value").select("value").write.options(**options).text(path)
+    _with_head(rows, head).write.options(**options).text(path)
     return path
 
 
@@ -75,7 +83,7 @@ HEAD = [
 ]
 
 
-def _vcf(g: Genome, **options: str) -> str:
+def _vcf_lines(g: Genome) -> DataFrame:
     """One record a site with all its alternates; INFO per site, allele, and reference with alleles; two samples with genotypes, depths and phase sets by rule."""
     alts = F.array_sort(F.collect_set("alt"))
     rows = g.snvs().groupBy("contig", "pos", "ref").agg(alts.alias("alts")).withColumn("n", F.size("alts"))
@@ -85,7 +93,11 @@ def _vcf(g: Genome, **options: str) -> str:
     gt = lambda k: F.when((p + k) % 5 == 0, "0/0").when((p + k) % 5 == 1, "0|1").when((p + k) % 5 == 2, "./.").when((p + k) % 5 == 3, "1|1").otherwise(F.concat(F.lit("0/"), F.col("n").cast("string")))
     call = lambda k: F.concat_ws(":", gt(k), F.when((p + k) % 3 == 0, ".").otherwise((p % 50 + k).cast("string")), F.concat_ws(",", F.lit("10"), each(lambda i: ((p + i + k) % 10).cast("string"))), F.lit("77"))
     line = F.concat_ws("\t", _contig(), p.cast("string"), F.lit("."), "ref", F.array_join("alts", ","), F.lit("."), F.lit("PASS"), info, F.lit("GT:DP:AD:PS"), call(0), call(1))
-    return _one_file(rows.select((F.col("contig").cast("long") * 10**12 + p).alias("k"), line.alias("value")), HEAD, "vcf", **options)
+    return rows.select((F.col("contig").cast("long") * 10**12 + p).alias("k"), line.alias("value"))
+
+
+def _vcf(g: Genome, **options: str) -> str:
+    return _lines_in_parts(_vcf_lines(g), HEAD, "vcf", **options)
 
 
 N["vrec"] = "SELECT chrom, pos, ref, alt, cast(row_number() OVER (PARTITION BY chrom, pos, ref ORDER BY alt) as int) AS i, count(*) OVER (PARTITION BY chrom, pos, ref) AS n FROM (SELECT DISTINCT chrom, pos, ref, alt FROM snvs)"
@@ -148,8 +160,10 @@ def _ivar(g: Genome) -> str:
     total = F.when(p % 4 == 0, "").otherwise((p % 40 + 20).cast("string"))
     freq = F.when(p % 3 == 0, F.concat((p % 80 + 10).cast("string"), F.lit("%"))).when(p % 3 == 1, F.concat(F.lit("0."), (p % 9 + 1).cast("string"))).otherwise("")
     flag = F.when(p % 7 == 0, "FALSE").when(p % 7 == 1, "").otherwise("TRUE")
-    line = F.concat_ws("\t", _contig(), p.cast("string"), "ref", F.lower("alt"), total, (p % 11 + 9).cast("string"), (p % 10 + 1).cast("string"), freq, flag)
-    return _one_file(rows.select((F.col("contig").cast("long") * 10**12 + p).alias("k"), line.alias("value")), ["REGION\tPOS\tREF\tALT\tTOTAL_DP\tREF_DP\tALT_DP\tALT_FREQ\tPASS"], "ivar")
+    cells = {"REGION": _contig(), "POS": p, "REF": F.col("ref"), "ALT": F.lower("alt"), "TOTAL_DP": total, "REF_DP": p % 11 + 9, "ALT_DP": p % 10 + 1, "ALT_FREQ": freq, "PASS": flag}
+    path = scratch_path(g.spark, "ivar")
+    rows.select(*(c.cast("string").alias(n) for n, c in cells.items())).repartitionByRange(PARTS, "REGION", "POS").write.options(sep="\t", header=True, emptyValue="").csv(path)
+    return path
 
 
 @query
@@ -174,7 +188,7 @@ def _gff(g: Genome) -> str:
     row = lambda t, s, e, ph, a: F.concat_ws("\t", _contig(), F.lit("x"), t, s.cast("string"), e.cast("string"), F.lit("."), "strand", ph, a)
     own = g.genes().select(k.alias("k"), row(F.when(k % 6 == 0, "pseudogene").otherwise("gene"), F.col("start"), F.col("end"), F.lit("."), attrs).alias("value"))
     cds = g.segments().select((k + 10**9).alias("k"), row(F.lit("CDS"), F.col("start"), F.col("end"), F.lit("0"), F.concat(F.lit("Parent=t"), k.cast("string"), F.lit(",u"), k.cast("string"))).alias("value"))
-    return _one_file(own.unionByName(cds), ["##gff-version 3", "# derived"], "gff")
+    return _lines_in_parts(own.unionByName(cds), ["##gff-version 3", "# derived"], "gff")
 
 
 @query
@@ -221,7 +235,7 @@ def q65_gene_table_scan(g):
     k = F.col("gene_id")
     more = F.when(k % 3 == 0, "").when(k % 3 == 1, F.concat(F.lit("\t"), (k % 2).cast("string"))).otherwise(F.lit("\t0\trRNA"))
     rows = g.genes().where("contig = '2'").select(k.alias("k"), F.concat(F.concat_ws("\t", F.concat(F.lit("g"), k.cast("string")), F.col("start").cast("string"), F.col("end").cast("string"), "strand"), more).alias("value"))
-    path = _one_file(rows, ["# name, start, end, strand"], "genes")
+    path = _lines_in_parts(rows, ["# name, start, end, strand"], "genes")
     return annotation.read_gene_table(g.spark, path, "2").select("name", "contig", "start", "end", "strand", "phase", "biotype", "coding")
 
 
@@ -233,7 +247,7 @@ def q66_sam_scan(g):
     """Aligned reads from SAM text: unmapped and unplaced records go, a missing mapping quality and name are null."""
     r = g.reads()
     line = F.concat_ws("\t", F.coalesce("qname", F.lit("*")), F.when(F.col("read_id") % 13 == 0, F.col("flag") + 4).otherwise(F.col("flag")).cast("string"), _contig(), F.col("start").cast("string"), F.when(F.col("mapq") == 7, 255).otherwise(F.col("mapq")).cast("string"), "cigar", F.lit("*"), F.lit("0"), F.lit("0"), "seq", F.when(F.col("read_id") % 17 == 0, "*").otherwise(F.col("qual")))
-    path = _one_file(r.select(F.col("read_id").alias("k"), line.alias("value")), ["@HD\tVN:1.6"], "sam")
+    path = _lines_in_parts(r.select(F.col("read_id").alias("k"), line.alias("value")), ["@HD\tVN:1.6"], "sam")
     return alignments.read_sam(g.spark, path).select("qname", "flag", "contig", "start", "mapq", "cigar", F.length("seq").cast("int").alias("bases"), F.col("qual").isNull().alias("no_qual"))
 
 
@@ -395,20 +409,49 @@ def q90_block_text_round_trip(g):
 ORACLES["q90_block_text_round_trip"] = sql("SELECT concat_ws(chr(9), 'c' || cast(chrom as varchar), cast(pos as varchar), ref, alt) AS value, (SELECT count(*) FROM snvs) AS lines FROM snvs")
 
 
+#: Bytes of a range where small files are to be read by many tasks.
+SMALL_SPLIT = 1 << 14
+
+
+@query
+def q97_vcf_block_ranges(g):
+    """Alleles of the second sample, from block-compressed parts that are read in ranges which cut lines."""
+    from strandmill.sinks.blocks import write_block_text
+
+    path = scratch_path(g.spark, "vcf-blocks")
+    write_block_text(_with_head(_vcf_lines(g), HEAD), path)
+    rows = vcf.read_vcf(g.spark, path, sample="s2", split=True, split_bytes=SMALL_SPLIT)
+    return rows.select("contig", "pos", "ref", "alt", F.col("alt_index").cast("int").alias("alt_index"), "odp", "genotype")
+
+
+ORACLES["q97_vcf_block_ranges"] = sql(f"SELECT {_vrow}, {_dp(1)} AS odp, {_gt(1)} AS genotype FROM vrec WHERE {_has(1)}")
+
+
 def _bam(g: Genome) -> str:
     from strandmill.sinks.blocks import write_bam
 
     path = scratch_path(g.spark, "bam")
     clen = g.relation("dims").first().clen
     write_bam(g.reads().repartitionByRange(3, "contig", "start").sortWithinPartitions("contig", "start"), path, [(str(c), clen) for c in range(5)])
-    assert alignments.check_bam(g.spark, path) == [str(c) for c in range(5)]
+    alignments.write_index(g.spark, path, SMALL_SPLIT)
+    assert alignments.check_bam(g.spark, path, indexed=True) == [str(c) for c in range(5)]
     return path
 
 
+@query
+def q96_bam_index_bins(g):
+    """Bins that the indexes of the BAM parts name, by contig."""
+    return alignments.index_bins(g.spark, _bam(g)).select("contig", "bin").distinct()
+
+
+_levels = ((4681, 14), (585, 17), (73, 20), (9, 23), (1, 26))
+ORACLES["q96_bam_index_bins"] = sql("SELECT DISTINCT cast(chrom as varchar) AS contig, cast(CASE " + " ".join(f"WHEN (start - 1) // {1 << b} = (start + 98) // {1 << b} THEN {f} + (start - 1) // {1 << b}" for f, b in _levels) + " ELSE 0 END as int) AS bin FROM aln")
+
+
 @query
 def q91_bam_round_trip(g):
     """Reads written as BAM parts and read back, bases and qualities by digest."""
-    rows = alignments.read_bam(g.spark, _bam(g))
+    rows = alignments.read_bam(g.spark, _bam(g), split_bytes=SMALL_SPLIT)
     kept = g.reads().select(F.md5(F.concat_ws("|", "seq", "qual").cast("binary")).alias("was"), F.coalesce("qname", F.lit("*")).alias("q2"), F.col("contig").alias("c2"), F.col("start").alias("s2"), F.col("flag").alias("f2"))
     own = rows.withColumn("now", F.md5(F.concat_ws("|", "seq", "qual").cast("binary"))).withColumn("q", F.coalesce("qname", F.lit("*")))
     both = own.join(kept, (F.col("q") == F.col("q2")) & (F.col("contig") == F.col("c2")) & (F.col("start") == F.col("s2")) & (F.col("flag") == F.col("f2")) & (F.col("now") == F.col("was")), "left_semi")
@@ -423,8 +466,8 @@ ORACLES["q91_bam_round_trip"] = sql(f"SELECT {_read} FROM aln")
 
 @query
 def q92_bam_region(g):
-    """Records that overlap a region."""
-    rows = alignments.read_bam(g.spark, _bam(g), ("2", 1000, 3000))
+    """Records that overlap a region, read through the index."""
+    rows = alignments.read_bam(g.spark, _bam(g), ("2", 1000, 3000), indexed=True)
     return rows.select("qname", "flag", "contig", "start", "mapq", "cigar", F.length("seq").cast("int").alias("bases"))
 
 

@@ -1,4 +1,4 @@
-"""VCF text (plain, gzip or bgzip) to alleles."""
+"""VCF text (plain, gzip or block gzip) to alleles. Plain and block-compressed files are read by many tasks each."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from strandmill.errors import EngineError, guards
 from strandmill.functions.alleles import normalise
 from strandmill.operators.filters import as_fraction, carried
 from strandmill.operators.phase import parse_phase
+from strandmill.sources.bgzf import SPLIT_BYTES, read_block_lines
 
 IUPAC = "^[ACGTURYKMSWBDHVNacgturykmswbdhvn]+$"
 
@@ -17,7 +18,9 @@ def header(spark: SparkSession, path: str) -> list[str]:
     """Header lines; the last one names the columns."""
     if path.endswith(".bcf"):
         raise EngineError("BCF input is not read; convert it to VCF first", "E102", path=path)
-    top = spark.read.text(path).where("_metadata.file_block_start = 0")
+    names = spark.read.format("binaryFile").load(path).select("path")
+    first = names.agg(F.min("path")).first()[0]  # of several parts the first one holds the header
+    top = spark.read.text(first or path).where("_metadata.file_block_start = 0")
     n = 1024
     while True:  # only the head of the file is read
         lines = [r.value for r in top.limit(n).collect()]
@@ -29,6 +32,17 @@ def header(spark: SparkSession, path: str) -> list[str]:
         n *= 8
 
 
+def lines(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """value: lines of the files under a path; compressed ones by ranges of blocks."""
+    zipped = F.col("path").rlike(r"\.b?gz$")
+    kinds = [r[0] for r in spark.read.format("binaryFile").load(path).select(zipped).distinct().collect()]
+    if kinds == [True]:
+        return read_block_lines(spark, path, split_bytes)
+    if True in kinds:
+        raise EngineError("compressed and plain files are mixed under one path", "E102", path=path)
+    return spark.read.text(path)
+
+
 def missing_contigs(alleles: DataFrame, reference: DataFrame, wanted: list[str] | None = None) -> DataFrame:
     """contig and the source that lacks it ("reference" or "variants"): contigs of the alleles without a reference, and wanted ones without an allele."""
     have = alleles.select("contig").distinct()
@@ -72,17 +86,17 @@ def _allele_fraction(ad: Column, ao: Column, ro: Column, i: Column) -> Column:
     return F.coalesce(by_ad, F.when(depth > 0, _nth(ao, i - 1).try_cast("double") / depth))
 
 
-def read_vcf(spark: SparkSession, path: str, sample: str | None = None, split: bool = False, normalised: bool = False, keep_info: bool = False, contigs: list[str] | None = None) -> DataFrame:
+def read_vcf(spark: SparkSession, path: str, sample: str | None = None, split: bool = False, normalised: bool = False, keep_info: bool = False, contigs: list[str] | None = None, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Alleles: contig, record_id, pos, ref, alt, alt_index, odp, ofreq, oinfo, phase, genotype, and sample.
 
     sample: a name, None for the first one, or "all" for a row per sample that
     carries the allele. More than one ALT is an error unless split.
     """
-    lines = header(spark, path)
-    names = next(x for x in lines if x.startswith("#CHROM")).split("\t")[9:]
+    head = header(spark, path)
+    names = next(x for x in head if x.startswith("#CHROM")).split("\t")[9:]
     if sample and sample != "all" and sample not in names:
         raise EngineError("no such sample in the VCF", "E102", sample=sample)
-    body = spark.read.text(path).where(~F.col("value").startswith("#") & (F.trim("value") != "")).select(F.split("value", "\t").alias("f"), "value")
+    body = lines(spark, path, split_bytes).where(~F.col("value").startswith("#") & (F.trim("value") != "")).select(F.split("value", "\t").alias("f"), "value")
     f = lambda i: F.get("f", F.lit(i))
     rows = body.select(f(0).alias("contig"), f(1).try_cast("long").alias("pos"), f(3).alias("ref"), f(4).alias("alts"), f(7).alias("info"), f(8).alias("format"), F.slice("f", 10, 1_000_000).alias("calls"), F.xxhash64("value").alias("record_id"), F.size("f").alias("columns"))
     if contigs:
@@ -118,7 +132,7 @@ def read_vcf(spark: SparkSession, path: str, sample: str | None = None, split: b
     if keep_info:
         from strandmill.sinks.vcf import subset_info
 
-        rows = rows.withColumn("oinfo", subset_info(F.col("info"), info_numbers(lines), i))
+        rows = rows.withColumn("oinfo", subset_info(F.col("info"), info_numbers(head), i))
     else:
         rows = rows.withColumn("oinfo", F.lit(None).cast("string"))
     rows = rows.drop("info", "format", "call", "info_map", "format_map")
