@@ -89,6 +89,8 @@ def describe_codons(df: DataFrame, table: int, offset: Column) -> DataFrame:
     df = df.withColumn("change_type", consequence.change_type(F.col("ref_aa"), F.col("alt_aa"), F.col("aa_pos")))
     df = df.withColumn("aa_change", aa.aa_change(F.col("ref_aa"), F.col("aa_pos"), F.col("alt_aa")))
     df = df.withColumn("snp_aa_changes", F.array_join(F.transform("single_aas", lambda x: aa.aa_change(F.col("ref_aa"), F.col("aa_pos"), x)), ", "))
+    df = df.withColumn("local_aa_change", aa.aa_change(F.col("ref_aa"), F.col("aa_local"), F.col("alt_aa")))
+    df = df.withColumn("local_snp_aa_changes", F.array_join(F.transform("single_aas", lambda x: aa.aa_change(F.col("ref_aa"), F.col("aa_local"), x)), ", "))
     df = df.withColumn("shift", consequence.consequence_shift(F.col("ref_aa"), F.col("alt_aa"), F.col("single_aas")))
     df = df.withColumn("grantham", F.when(F.col("change_type") == "Non-synonymous", aa.grantham(F.col("ref_aa"), F.col("alt_aa"))))
     adjacent = (n == 2) & (F.get(snvs, F.lit(1))["pos"] == F.get(snvs, F.lit(0))["pos"] + 1)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandmill.functions.aa import three_letter
-from strandmill.functions.alleles import common_prefix, common_suffix, overlaps
+from strandmill.functions.alleles import changed_positions, common_prefix, common_suffix, overlaps
 from strandmill.functions.consequence import indel_change_type
 from strandmill.functions.dna import count_to, oriented, translate
 from strandmill.operators.intervals import interval_join
@@ -62,19 +62,23 @@ def frame_states(codons: DataFrame, placed: DataFrame, least: float = 0.5) -> Da
     placed: place_indels with af, and observed (the frequency the reads show)
     where it is known. Codons and indels of a gene are put in one transcript
     order and the shift is a running sum, so a gene of many of both is sorted,
-    not multiplied; overlaps meet by bins.
+    not multiplied; overlaps meet by bins. A codon behind an indel whose length
+    is unknown (symbolic) counts as overlapped: its frame can't be judged.
     """
     seen = F.col("observed") if "observed" in placed.columns else F.lit(None).cast("double")
-    delta = F.when(passes_gate(seen, F.col("af"), least) & (F.size("components") > 0), coding_delta(F.col("components"), F.col("g_start"), F.col("g_end"))).otherwise(0)
-    events = placed.select("gene_id", F.col("strand"), F.lit(None).cast("long").alias("codon_start"), upstream_key(F.col("components"), F.col("strand")).cast("long").alias("_o"), delta.cast("long").alias("_d"))
-    rows = codons.select("gene_id", "strand", "codon_start").withColumn("_o", codon_key(F.col("strand"), F.col("codon_start")).cast("long")).withColumn("_d", F.lit(0).cast("long"))
+    kinds = lambda k: F.exists("components", lambda c: c["kind"] == k)
+    length = F.when(kinds("DELINS"), F.length("alt") - F.length("ref")).otherwise(coding_delta(F.col("components"), F.col("g_start"), F.col("g_end")))
+    counts = passes_gate(seen, F.col("af"), least) & (F.size("components") > 0)
+    unknown = (counts & kinds("SYMBOLIC")).cast("int")
+    events = placed.select("gene_id", F.col("strand"), F.lit(None).cast("long").alias("codon_start"), upstream_key(F.col("components"), F.col("strand")).cast("long").alias("_o"), F.when(counts & ~kinds("SYMBOLIC"), length).otherwise(0).cast("long").alias("_d"), unknown.alias("_u"))
+    rows = codons.select("gene_id", "strand", "codon_start").withColumn("_o", codon_key(F.col("strand"), F.col("codon_start")).cast("long")).withColumn("_d", F.lit(0).cast("long")).withColumn("_u", F.lit(0))
     before = Window.partitionBy("gene_id").orderBy("_o").rangeBetween(Window.unboundedPreceding, -1)
-    out = rows.unionByName(events).withColumn("shift", F.coalesce(F.sum("_d").over(before), F.lit(0))).where("codon_start is not null").drop("_o", "_d")
+    out = rows.unionByName(events).withColumn("shift", F.coalesce(F.sum("_d").over(before), F.lit(0))).withColumn("_u", F.coalesce(F.max("_u").over(before), F.lit(0)) > 0).where("codon_start is not null").drop("_o", "_d")
     span = placed.select("gene_id", "components", F.array_min(F.transform("components", lambda c: c["pos"])).alias("_lo"), F.array_max(F.transform("components", lambda c: c["pos"] + F.greatest(F.length(c["ref"]) - 1, F.lit(0)))).alias("_hi"))
     low, high = F.col("codon_start"), F.col("codon_start") + 2
     hit = interval_join(codons.select("gene_id", "codon_start").withColumn("_end", high), span, "gene_id", "codon_start", "_end", "_lo", "_hi").where(F.exists("components", lambda c: overlaps(c, low, high)))
     flags = hit.select("gene_id", "codon_start").distinct().withColumn("overlap", F.lit(True))
-    out = out.join(flags, ["gene_id", "codon_start"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(False)))
+    out = out.join(flags, ["gene_id", "codon_start"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(False)) | F.col("_u"))
     return out.select("gene_id", "strand", "codon_start", "shift", "overlap").withColumn("frameshift", F.pmod("shift", F.lit(3)) != 0)
 
 
@@ -142,11 +146,39 @@ def first_stop(protein: Column) -> Column:
 
 
 def protein_effects(placed: DataFrame, sequences: DataFrame, table: int = 11, offset: Column | None = None) -> DataFrame:
-    """placed with ref_cds, alt_cds, delta, frameshift, change_type, protein_change, ref_stop and alt_stop. sequences: gene_id, seq (genomic, unspliced)."""
+    """placed with ref_cds, alt_cds, delta, frameshift, change_type, protein_change and local_change (residues numbered from offset, and from 0), ref_codon, alt_codon, ref_stop and alt_stop.
+
+    sequences: gene_id, seq (genomic, unspliced). Where placed has a phase, that
+    many leading bases belong to a codon of another feature: they count for the
+    delta, are not translated, and an indel that touches them leaves its residues
+    unknown.
+    """
     df = placed.join(sequences.select("gene_id", "seq"), "gene_id")
-    df = df.withColumn("alt_seq", apply_to_feature(F.col("seq"), F.col("g_start"), F.col("components")))
+    phase = F.coalesce("phase", F.lit(0)) if "phase" in placed.columns else F.lit(0)
+    minus = F.col("strand") == "-"
+    df = df.withColumn("_s", F.col("g_start") + F.when(minus, 0).otherwise(phase)).withColumn("_e", F.col("g_end") - F.when(minus, phase).otherwise(0))
+    df = df.withColumn("seq", F.substr("seq", (F.col("_s") - F.col("g_start") + 1).cast("int"), (F.col("_e") - F.col("_s") + 1).cast("int")))
+    df = df.withColumn("alt_seq", apply_to_feature(F.col("seq"), F.col("_s"), F.col("components")))
     df = df.withColumn("ref_cds", oriented(F.col("seq"), F.col("strand"))).withColumn("alt_cds", oriented(F.col("alt_seq"), F.col("strand"))).drop("seq", "alt_seq")
-    return _effects(df.withColumn("delta", coding_delta(F.col("components"), F.col("g_start"), F.col("g_end"))), table, offset)
+    where = changed_positions(F.col("components"), F.col("pos"))
+    lo, hi = F.greatest(F.array_min(where), F.col("_s")), F.least(F.array_max(where), F.col("_e"))
+    df = df.withColumn("_first", F.when(lo <= hi, F.when(minus, F.col("_e") - hi).otherwise(lo - F.col("_s"))))
+    skipped = F.when(minus, F.exists("components", lambda c: overlaps(c, F.col("_e") + 1, F.col("g_end")))).otherwise(F.exists("components", lambda c: overlaps(c, F.col("g_start"), F.col("_s") - 1)))
+    df = df.withColumn("_skip", (phase > 0) & skipped)
+    out = _effects(df.withColumn("delta", coding_delta(F.col("components"), F.col("g_start"), F.col("g_end"))), table, offset, F.col("_skip"))
+    return with_codons(out, F.col("_first")).drop("_s", "_e", "_first", "_skip")
+
+
+def codon_at(cds: str, offset: Column) -> Column:
+    """The codon of a coding sequence that holds an offset; null beyond its last whole one."""
+    start = (F.floor(offset / 3) * 3 + 1).cast("int")
+    return F.when(F.length(cds) >= start + 2, F.substr(cds, start, F.lit(3)))
+
+
+def with_codons(effects: DataFrame, offset: Column) -> DataFrame:
+    """effects with ref_codon and alt_codon: what either sequence has at the codon of the first touched base; null where the alternate is unknown."""
+    known = F.col("alt_cds").isNotNull()
+    return effects.withColumn("ref_codon", F.when(known, codon_at("ref_cds", offset))).withColumn("alt_codon", F.when(known, codon_at("alt_cds", offset)))
 
 
 def spliced_effects(alleles: DataFrame, segments: DataFrame, reference: DataFrame, table: int = 11) -> DataFrame:
@@ -174,29 +206,29 @@ def spliced_effects(alleles: DataFrame, segments: DataFrame, reference: DataFram
     return _effects(whole, table, None)
 
 
-def _effects(df: DataFrame, table: int, offset: Column | None) -> DataFrame:
-    """What follows from ref_cds, alt_cds (null: unknown) and delta."""
-    offset = F.lit(0) if offset is None else offset
-    df = df.withColumn("frameshift", F.pmod("delta", F.lit(3)) != 0)
+def _effects(df: DataFrame, table: int, offset: Column | None, hidden: Column | None = None) -> DataFrame:
+    """What follows from ref_cds, alt_cds (null: unknown) and delta. hidden: residues can't be told."""
+    offset, hidden = F.lit(0) if offset is None else offset, F.lit(False) if hidden is None else hidden
+    known = F.col("alt_cds").isNotNull()
+    raw = F.pmod(F.length("ref") - F.length("alt"), F.lit(3)) != 0
+    df = df.withColumn("frameshift", F.when(known, F.pmod("delta", F.lit(3)) != 0).otherwise(raw & ~F.col("alt").startswith("<")))
     df = df.withColumn("ref_protein", translate(F.col("ref_cds"), table)).withColumn("alt_protein", translate(F.col("alt_cds"), table))
     until = lambda p: F.when(F.locate("*", p) > 0, F.substr(p, F.lit(1), F.locate("*", p))).otherwise(p)
     change = indel_change_type(F.col("ref_protein"), F.col("alt_protein"), F.col("frameshift"))
     past = ~F.col("frameshift") & (until(F.col("ref_protein")) == until(F.col("alt_protein"))) & (change == "In-frame Indel")
-    df = df.withColumn("change_type", F.when(F.col("alt_cds").isNull(), "Unknown").when(past, "Synonymous").otherwise(change))
-    text = protein_change(F.col("ref_protein"), F.col("alt_protein"), offset, F.col("frameshift"))
-    df = df.withColumn("protein_change", F.when(F.col("alt_cds").isNull(), "Unknown").when(F.col("change_type") == "Synonymous", "Synonymous").otherwise(text))
+    blind = F.when(F.col("alt").startswith("<"), "Unknown").when(F.col("frameshift"), "Frameshift Indel").otherwise("In-frame Indel")
+    df = df.withColumn("change_type", F.when(~known, blind).when(past, "Synonymous").otherwise(change))
+    text = lambda o: F.when(~known, "Unknown").when(F.col("change_type") == "Synonymous", "Synonymous").when(hidden, "Unknown").otherwise(protein_change(F.col("ref_protein"), F.col("alt_protein"), o, F.col("frameshift")))
+    df = df.withColumn("protein_change", text(offset)).withColumn("local_change", text(F.lit(0)))
     return df.withColumn("ref_stop", first_stop(F.col("ref_protein"))).withColumn("alt_stop", first_stop(F.col("alt_protein")))
 
 
-def premature_stop(ref_stop: Column, alt_stop: Column, delta: Column, first_changed: Column, ref_length: Column) -> Column:
-    """Residue of a new stop in reference codons, where it precedes the reference's own stop; null otherwise.
-
-    first_changed: 0-based offset of the first changed base in the transcript.
-    """
-    offset = (alt_stop - 1) * 3
-    back = F.when(offset >= first_changed, offset - delta).otherwise(offset)
-    until = F.coalesce((ref_stop - 1) * 3, ref_length)
-    return F.when((back >= 0) & (back < until), F.floor(back / 3) + 1)
+def premature_stop(ref_stop: Column, alt_stop: Column, delta: Column, ref_length: Column) -> Column:
+    """Residue of the altered protein's stop in reference codons (its place less the delta), where it precedes the reference's own; null otherwise."""
+    back = (alt_stop - 1) * 3 - delta
+    own = F.coalesce(ref_stop, F.floor(ref_length / 3) + 1)
+    found = F.floor(back / 3) + 1
+    return F.when((back >= 0) & (found < own), found)
 
 
 def first_changed(component: Column, strand: Column, start: Column, end: Column) -> Column:
@@ -210,24 +242,30 @@ def first_changed(component: Column, strand: Column, start: Column, end: Column)
 def premature_stops(effects: DataFrame, least: float = 0.5) -> DataFrame:
     """gene_id, ptc: residue of the premature stop of genes with exactly one frame-shifting indel that passes the gate. effects: protein_effects with af."""
     seen = F.col("observed") if "observed" in effects.columns else F.lit(None).cast("double")
-    rows = effects.where(F.col("frameshift") & passes_gate(seen, F.col("af"), least))
-    first = F.array_min(F.transform("components", lambda c: first_changed(c, F.col("strand"), F.col("g_start"), F.col("g_end"))))
-    ptc = premature_stop(F.col("ref_stop"), F.col("alt_stop"), F.col("delta"), first, F.length("ref_cds"))
+    rows = effects.where(F.col("frameshift") & F.col("alt_cds").isNotNull() & passes_gate(seen, F.col("af"), least))
+    ptc = premature_stop(F.col("ref_stop"), F.col("alt_stop"), F.col("delta"), F.length("ref_cds"))
     return rows.withColumn("_p", ptc).groupBy("gene_id").agg(F.count(F.lit(1)).alias("_k"), F.max("_p").alias("ptc")).where("_k = 1 and ptc is not null").select("gene_id", F.col("ptc").cast("long").alias("ptc"))
 
 
+TEXTS = ("aa_change", "snp_aa_changes", "local_aa_change", "local_snp_aa_changes")
+
+
 def relabel_rows(rows: DataFrame, states: DataFrame, stops: DataFrame) -> DataFrame:
-    """Codon rows (gene_id, strand, codon_start, aa_local, aa_change, change_type) as upstream indels leave them.
+    """Codon rows (gene_id, codon_start, aa_local, TEXTS, change_type) as upstream indels leave them.
 
-    In a shifted frame residues are marked (fs), or, behind the gene's premature
-    stop, said to be downstream of it; an overlapping indel outranks both.
+    In a shifted frame every residue text is marked (fs), or, behind the gene's
+    premature stop, replaced; where an indel lies in the codon, or the shift
+    can't be known, the residues are unknown, which outranks both.
     """
-    df = rows.join(states.select("gene_id", "strand", "codon_start", F.col("shift").alias("_d"), F.col("overlap").alias("_o")), ["gene_id", "strand", "codon_start"], "left").join(stops, "gene_id", "left")
+    df = rows.join(states.select("gene_id", "codon_start", F.col("shift").alias("_d"), F.col("overlap").alias("_o")), ["gene_id", "codon_start"], "left").join(stops, "gene_id", "left")
     over, shift = F.coalesce("_o", F.lit(False)), F.coalesce("_d", F.lit(0))
     off = (F.pmod(shift, F.lit(3)) != 0) & ~over
     past = off & F.coalesce(F.col("aa_local") > F.col("ptc"), F.lit(False))
-    text = lambda c: F.when(past, "downstream of premature stop").when(off, F.concat(c, F.lit(" (fs)"))).otherwise(c)
-    df = df.withColumn("aa_change", text(F.col("aa_change"))).withColumn("change_type", relabel(F.col("change_type"), shift, over, past))
+    one = lambda x: F.when(over, "Unknown").when(past, "downstream of premature stop").when(off, F.concat(x, F.lit(" (fs)"))).otherwise(x)
+    for c in TEXTS:
+        if c in df.columns:
+            df = df.withColumn(c, F.array_join(F.transform(F.split(c, ", "), one), ", "))
+    df = df.withColumn("change_type", relabel(F.col("change_type"), shift, over, past))
     return df.drop("_d", "_o", "ptc")
 
 

@@ -37,6 +37,8 @@ def relations(div: str) -> dict[str, str]:
         "aln0": f"SELECT read_id, frag, chrom, start, is_rev, mapq, ((start + 49) {div} 150) * 150 + 36 AS anchor, CASE WHEN frag % 11 = 0 THEN '#' || cast(read_id as string) ELSE 'f' || cast(frag as string) END AS mol FROM reads",
         "aln": f"SELECT *, CASE WHEN anchor >= start + 10 AND (frag * 13 + anchor * 7) % 3 = 0 AND (read_id + anchor) % 31 <> 0 THEN CASE WHEN ((anchor {div} 150) + chrom) % 2 = 0 THEN 'D' ELSE 'I' END WHEN frag % 5 = 4 THEN 'N' ELSE 'M' END AS shape FROM aln0",
         "rindels": f"SELECT chrom, gs + 35 AS pos, CASE WHEN ((gs {div} 150) + chrom) % 2 = 0 THEN 1 ELSE 0 END AS is_del, {b('gs + 35')} || CASE WHEN ((gs {div} 150) + chrom) % 2 = 0 THEN {b('gs + 36')} || {b('gs + 37')} ELSE '' END AS ref, {b('gs + 35')} || CASE WHEN ((gs {div} 150) + chrom) % 2 = 0 THEN '' ELSE 'GTA' END AS alt FROM genes",
+        # transcripts of several kinds: an intron, abutting segments, a base read twice, and a base read twice beside an intron
+        "models": "SELECT gene_id, chrom, strand, CASE WHEN strand = '+' THEN k ELSE n - 1 - k END AS seg_idx, CASE k WHEN 0 THEN gs WHEN 1 THEN CASE gene_id % 4 WHEN 1 THEN gs + 31 WHEN 2 THEN gs + 30 ELSE gs + 61 END ELSE gs + 75 END AS seg_start, CASE k WHEN 0 THEN gs + 30 WHEN 1 THEN CASE WHEN n = 3 THEN gs + 75 ELSE ge END ELSE ge END AS seg_end FROM (SELECT *, CASE WHEN gene_id % 4 = 3 THEN 3 ELSE 2 END AS n FROM genes WHERE ge - gs + 1 >= 90) g0, (SELECT 0 AS k UNION ALL SELECT 1 AS k UNION ALL SELECT 2 AS k) parts WHERE k < n",
         "segments": "SELECT gene_id, chrom, strand, CASE WHEN strand = '+' THEN k ELSE 1 - k END AS seg_idx, CASE WHEN k = 0 THEN gs ELSE gs + 61 END AS seg_start, CASE WHEN k = 0 THEN gs + 30 ELSE ge END AS seg_end FROM genes, (SELECT 0 AS k UNION ALL SELECT 1 AS k) parts WHERE ge - gs + 1 >= 90",
     }
 
@@ -80,6 +82,10 @@ class Genome:
     def segments(self) -> DataFrame:
         return self._contig(self.relation("segments")).withColumnsRenamed({"seg_start": "start", "seg_end": "end"})
 
+    def models(self) -> DataFrame:
+        """Segments of transcripts with and without real introns."""
+        return self._contig(self.relation("models")).withColumnsRenamed({"seg_start": "start", "seg_end": "end"})
+
     def reference(self) -> DataFrame:
         """Chunks computed where they are used: the genome is never in one row."""
         size = CHUNK

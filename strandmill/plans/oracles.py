@@ -277,7 +277,7 @@ N["stop0"] = "SELECT gene_id, strand, gs, ge, pos, ref, alt, is_del, size, delta
 N["stopr"] = f"SELECT gene_id, min(i) AS ref_stop FROM (SELECT gene_id, cds, unnest(generate_series(1, length(cds) // 3)) AS i FROM gcds) WHERE {residue('substr(cds, cast(i * 3 - 2 as int), 3)')} = '*' GROUP BY gene_id"
 N["stopa"] = f"SELECT gene_id, pos, ref, alt, min(i) AS alt_stop FROM (SELECT gene_id, pos, ref, alt, alt_cds, unnest(generate_series(1, length(alt_cds) // 3)) AS i FROM stop0) WHERE {residue('substr(alt_cds, cast(i * 3 - 2 as int), 3)')} = '*' GROUP BY gene_id, pos, ref, alt"
 N["ptc0"] = "SELECT s.*, r.ref_stop, a.alt_stop, CASE WHEN s.strand = '+' THEN CASE WHEN s.is_del = 1 THEN greatest(s.pos + 1, s.gs) ELSE s.pos + 1 END - s.gs ELSE s.ge - CASE WHEN s.is_del = 1 THEN least(s.pos + s.size, s.ge) ELSE s.pos END END AS fst FROM stop0 s LEFT JOIN stopr r ON r.gene_id = s.gene_id LEFT JOIN stopa a ON a.gene_id = s.gene_id AND a.pos = s.pos AND a.ref = s.ref AND a.alt = s.alt"
-N["ptc1"] = "SELECT *, CASE WHEN (alt_stop - 1) * 3 >= fst THEN (alt_stop - 1) * 3 - delta ELSE (alt_stop - 1) * 3 END AS back, coalesce((ref_stop - 1) * 3, length(ref_cds)) AS until FROM ptc0"
+N["ptc1"] = "SELECT *, (alt_stop - 1) * 3 - delta AS back, (coalesce(ref_stop, length(ref_cds) // 3 + 1) - 1) * 3 AS until FROM ptc0"
 ORACLES["q31_frameshift_ptc"] = sql("SELECT gene_id, pos, ref, alt, cast(ref_stop as int) AS ref_stop, cast(alt_stop as int) AS alt_stop, CASE WHEN back >= 0 AND back < until THEN cast(back // 3 + 1 as bigint) END AS ptc FROM ptc1")
 N["lastj"] = "SELECT gene_id, max(offset0) AS last_junction FROM offs GROUP BY gene_id"
 ORACLES["q32_nmd"] = sql(f"SELECT j.gene_id, cast(j.codon as bigint) AS codon, j.alt_codon, cast(l.last_junction as bigint) AS last_junction, CASE WHEN j.codon * 3 + 50 < l.last_junction THEN 'NMD-triggering' ELSE 'NMD-escaping' END AS nmd FROM jcodon j JOIN lastj l ON l.gene_id = j.gene_id WHERE {residue('j.alt_codon')} = '*' AND {residue('j.ref_codon')} <> '*'")
@@ -314,7 +314,7 @@ ORACLES["q76_gated_frame_states"] = sql("SELECT s.gene_id, s.low AS codon_start,
 N["gfs"] = "SELECT p.gene_id, count(*) AS k, max(CASE WHEN p.back >= 0 AND p.back < p.until THEN p.back // 3 + 1 END) AS ptc FROM ptc1 p JOIN idelta i ON i.gene_id = p.gene_id AND i.pos = p.pos AND i.ref = p.ref AND i.alt = p.alt WHERE i.af >= 0.5 GROUP BY p.gene_id"
 N["fsrow"] = "SELECT k.*, s.over, ((s.shift % 3) + 3) % 3 <> 0 AND s.over = 0 AS off, ((s.shift % 3) + 3) % 3 <> 0 AND s.over = 0 AND coalesce(k.aa_pos > f.ptc, false) AS past FROM codon k JOIN states s ON s.gene_id = k.gene_id AND s.low = k.low LEFT JOIN gfs f ON f.gene_id = k.gene_id AND f.k = 1"
 _shifted = "CASE change_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in FRAMESHIFTED.items()) + " ELSE change_type END"
-ORACLES["q94_frameshift_rows"] = sql(f"SELECT gene_id, low AS codon_start, snvs, CASE WHEN past THEN 'downstream of premature stop' WHEN off THEN aa_change || ' (fs)' ELSE aa_change END AS aa_change, CASE WHEN over = 1 THEN 'Indel overlap' WHEN past THEN 'Downstream of premature stop' WHEN off THEN {_shifted} ELSE change_type END AS change_type FROM fsrow")
+ORACLES["q94_frameshift_rows"] = sql(f"SELECT gene_id, low AS codon_start, snvs, CASE WHEN over = 1 THEN 'Unknown' WHEN past THEN 'downstream of premature stop' WHEN off THEN aa_change || ' (fs)' ELSE aa_change END AS aa_change, CASE WHEN over = 1 THEN 'Indel overlap' WHEN past THEN 'Downstream of premature stop' WHEN off THEN {_shifted} ELSE change_type END AS change_type FROM fsrow")
 N["sseq"] = f"SELECT gene_id, chrom, strand, seg_idx, seg_start, seg_end, string_agg({base('p')}, '' ORDER BY p) AS seq FROM (SELECT *, unnest(generate_series(seg_start, seg_end)) AS p FROM segments) GROUP BY ALL"
 N["sinner"] = "SELECT *, CASE WHEN strand = '+' THEN seg_idx < max(seg_idx) OVER (PARTITION BY gene_id) ELSE seg_idx > 0 END AS inside FROM sseq"
 _del = "i.is_del = 1 AND i.pos + 1 <= s.seg_end AND i.pos + i.size >= s.seg_start"

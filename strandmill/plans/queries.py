@@ -247,8 +247,8 @@ def q30_indel_protein_effect(g):
 
 @query
 def q31_frameshift_ptc(g):
-    rows = _effects(g).where("frameshift").withColumn("first", indels.first_changed(F.col("components")[0], F.col("strand"), F.col("g_start"), F.col("g_end")))
-    ptc = indels.premature_stop(F.col("ref_stop"), F.col("alt_stop"), F.col("delta"), F.col("first"), F.length("ref_cds"))
+    rows = _effects(g).where("frameshift")
+    ptc = indels.premature_stop(F.col("ref_stop"), F.col("alt_stop"), F.col("delta"), F.length("ref_cds"))
     return rows.select("gene_id", "pos", "ref", "alt", F.col("ref_stop").cast("int").alias("ref_stop"), F.col("alt_stop").cast("int").alias("alt_stop"), ptc.cast("long").alias("ptc"))
 
 
