@@ -119,6 +119,14 @@ def hgvs_indel(pos: Column, ref: Column, alt: Column) -> Column:
     return F.when(F.length(rc) == 0, F.concat(F.lit("g."), (start - 1).cast("string"), F.lit("_"), start.cast("string"), F.lit("ins"), ac)).when(F.length(ac) == 0, F.concat(F.lit("g."), span, F.lit("del"))).otherwise(F.concat(F.lit("g."), span, F.lit("delins"), ac))
 
 
+def hgvs_component(kind: Column, pos: Column, ref: Column, alt: Column) -> Column:
+    """g. descriptor of one component of an allele; null for symbolic ones."""
+    at, behind = pos.cast("string"), (pos + 1).cast("string")
+    span = F.when(F.length(ref) == 1, at).otherwise(F.concat(at, F.lit("_"), (pos + F.length(ref) - 1).cast("string")))
+    text = F.when(kind == "SNV", F.concat(at, ref, F.lit(">"), alt)).when(kind == "INS", F.concat(at, F.lit("_"), behind, F.lit("ins"), alt)).when(kind == "DEL", F.concat(span, F.lit("del"))).when(kind == "DELINS", F.concat(span, F.lit("delins"), alt))
+    return F.concat(F.lit("g."), text)
+
+
 def splice_class(distance: Column, kind: str) -> Column:
     """Class of a base by its distance into the intron from the exon's last base (1 is the first intronic base)."""
     essential = "splice_donor_variant" if kind == "donor" else "splice_acceptor_variant"

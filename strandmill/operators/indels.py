@@ -255,10 +255,13 @@ def relabel_rows(rows: DataFrame, states: DataFrame, stops: DataFrame) -> DataFr
 
     In a shifted frame every residue text is marked (fs), or, behind the gene's
     premature stop, replaced; where an indel lies in the codon, or the shift
-    can't be known, the residues are unknown, which outranks both.
+    can't be known, the residues are unknown, which outranks both. trans_shift,
+    where rows have it, is taken from a row's shift.
     """
     df = rows.join(states.select("gene_id", "codon_start", F.col("shift").alias("_d"), F.col("overlap").alias("_o")), ["gene_id", "codon_start"], "left").join(stops, "gene_id", "left")
     over, shift = F.coalesce("_o", F.lit(False)), F.coalesce("_d", F.lit(0))
+    if "trans_shift" in df.columns:
+        shift = shift - F.coalesce("trans_shift", F.lit(0))
     off = (F.pmod(shift, F.lit(3)) != 0) & ~over
     past = off & F.coalesce(F.col("aa_local") > F.col("ptc"), F.lit(False))
     one = lambda x: F.when(over, "Unknown").when(past, "downstream of premature stop").when(off, F.concat(x, F.lit(" (fs)"))).otherwise(x)

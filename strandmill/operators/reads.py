@@ -248,9 +248,9 @@ def indel_molecules(observed: DataFrame, keys: list[str], min_quality: int = 20)
 
 
 def snv_carriers(sites: DataFrame, snvs: DataFrame, min_quality: int = 20) -> DataFrame:
-    """contig, pos, molecule: molecules that show an SNV's alternate at the quality, in all of their records that show anything there."""
+    """contig, pos, alt, molecule: molecules that show an SNV's alternate at the quality, in all of their records that show anything there."""
     rows = sites.where(F.col("quality") >= min_quality).join(snvs.select("contig", "pos", "alt"), ["contig", "pos"])
-    return rows.groupBy("contig", "pos", "molecule").agg(F.min(F.upper("base") == F.upper("alt")).alias("_all")).where("_all").drop("_all")
+    return rows.groupBy("contig", "pos", "alt", "molecule").agg(F.min(F.upper("base") == F.upper("alt")).alias("_all")).where("_all").drop("_all")
 
 
 def local_haplotypes(observed: DataFrame, members: DataFrame, keys: list[str], min_quality: int = 20) -> DataFrame:

@@ -358,7 +358,7 @@ def q43_rows(g: Genome, views: DataFrame | None = None) -> DataFrame:
     snv = codons.place_snvs(g.one_alt(), g.genes()).select("contig", "gene_id", "pos", key("snv_id")).withColumn("p2", F.col("pos"))
     pairs = interval_join(snv, near, "contig", "pos", "p2", "lo", "hi").where("gene_id = g2").select("gene_id", "indel_id", "snv_id")
     shown = reads.indel_molecules(_indel_views(g) if views is None else views, ALLELE, MIN_QUALITY).select(key("indel_id"), "molecule", "supports")
-    carriers = reads.snv_carriers(_observed(g), g.one_alt(), MIN_QUALITY).join(g.one_alt(), ["contig", "pos"]).select(key("snv_id"), "molecule")
+    carriers = reads.snv_carriers(_observed(g), g.one_alt(), MIN_QUALITY).join(g.one_alt(), ["contig", "pos", "alt"]).select(key("snv_id"), "molecule")
     return reads.indel_snv_linkage(shown, carriers, pairs, ["gene_id", "indel_id", "snv_id"])
 
 

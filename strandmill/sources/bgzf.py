@@ -87,9 +87,9 @@ class GzipStream:
 
     def __init__(self, f):
         f.seek(0)
-        self.pieces = self._pieces(f)
+        self.bytes_read, self.pieces = 0, self._pieces(f)
         self.held = next(self.pieces, None)
-        self.size, self.bytes_read = 0 if self.held is None else 1 << 40, 0
+        self.size = 0 if self.held is None else 1 << 40
 
     def _pieces(self, f):
         z, data = zlib.decompressobj(31), f.read(READ_BYTES)
