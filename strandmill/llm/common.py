@@ -15,6 +15,8 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 #: A join key counts as heavy when it holds at least 1/HEAVY_SHARE of all rows, so there are at most HEAVY_SHARE of them.
 HEAVY_SHARE = 1000
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,6 +60,11 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of this session hold at most BATCH_BYTES (a longer row is one by itself), so that tasks over long texts need as little memory as those over short ones."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def norm_space(text: Column) -> Column:
     """Null counts as empty; each run of ASCII white space becomes one space."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE + "+", " ")

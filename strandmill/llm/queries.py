@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from strandmill.llm import collocations, exact_dedup, html_text, langid, lm, mixing, ngram_join, packing, repeats, secrets, topk, variants, warc
+from strandmill.llm.common import bound_batches
 from strandmill.llm.oracles import COLLOCATIONS_SQL, REPEATS_SQL, VARIANTS_SQL
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
