@@ -78,10 +78,10 @@ def _linked(rows: DataFrame, place, upstream: DataFrame, evidence: linkage.Evide
 def _plain(snvs: DataFrame, ind: DataFrame, genes: DataFrame, reference: DataFrame, evidence: linkage.Evidence | None, p: Params) -> tuple[DataFrame, DataFrame]:
     """(codon rows, indel rows) of genes of one feature."""
     placed = indels.place_indels(ind, genes)
-    rows = codons.codon_mnv(snvs, genes, reference, p.translation_table)
+    rows = materialize(codons.codon_mnv(snvs, genes, reference, p.translation_table), "codon-rows")
     states = indels.frame_states(rows.select("gene_id", "strand", "codon_start").distinct(), placed, p.frameshift_min_freq)
     seqs = intervals_sequence(genes, reference, ["gene_id"], "start", "end")
-    effect = indels.protein_effects(placed, seqs, p.translation_table, F.col("protein_offset") if "protein_offset" in genes.columns else None)
+    effect = materialize(indels.protein_effects(placed, seqs, p.translation_table, F.col("protein_offset") if "protein_offset" in genes.columns else None), "indel-effects")
     order = indels.upstream_key(F.col("components"), F.col("strand")).alias("order")
     upstream = effect.where(indels.passes_gate(F.col("observed"), F.col("af"), p.frameshift_min_freq)).select("gene_id", *ALLELE, order, "delta")
     rows = _linked(rows, indels.codon_key(F.col("strand"), F.col("codon_start")), upstream, evidence)
@@ -91,12 +91,12 @@ def _plain(snvs: DataFrame, ind: DataFrame, genes: DataFrame, reference: DataFra
 
 def _spliced(snvs: DataFrame, ind: DataFrame, models: DataFrame, reference: DataFrame, evidence: linkage.Evidence | None, p: Params) -> tuple[DataFrame, DataFrame]:
     """(codon rows, indel rows) of transcripts of several segments, on transcript offsets."""
-    ranges = frames.touched_ranges(ind, models)
+    ranges = materialize(frames.touched_ranges(ind, models), "touched-ranges")
     effect = indels.spliced_effects(ind, models, reference, p.translation_table)
     effect = effect.join(frames.first_offsets(ranges).drop("strand"), ["gene_id", *ALLELE], "left").join(ind.select(*ALLELE, "af", "observed").dropDuplicates(ALLELE), ALLELE)
-    effect = effect.withColumn("delta", F.when(F.col("alt_cds").isNotNull(), F.col("delta")))
+    effect = materialize(effect.withColumn("delta", F.when(F.col("alt_cds").isNotNull(), F.col("delta"))), "spliced-effects")
     last = transcripts.last_junctions(models)
-    rows = codons.transcript_mnv(snvs, models, reference, p.translation_table)
+    rows = materialize(codons.transcript_mnv(snvs, models, reference, p.translation_table), "spliced-rows")
     states = frames.frame_states(rows.select("gene_id", "codon_start"), effect, ranges, p.frameshift_min_freq)
     upstream = effect.where(indels.passes_gate(F.col("observed"), F.col("af"), p.frameshift_min_freq)).select("gene_id", *ALLELE, F.col("effective").alias("order"), "delta")
     rows = _linked(rows, F.col("codon_start") * 3, upstream, evidence)
@@ -131,7 +131,7 @@ def annotate(alleles: DataFrame, genes: DataFrame, reference: DataFrame, segment
     """
     missing = missing_contigs(alleles, reference).where("source = 'reference'")
     guard(missing.select("contig"), "contigs of the alleles are not in the reference", "E106")
-    events = prepare(alleles, reference)
+    events = materialize(prepare(alleles, reference), "events")  # what several branches read is written once
     is_snv = F.forall("components", lambda c: c["kind"] == "SNV")
     af = F.col("ofreq") if "ofreq" in events.columns else F.lit(None).cast("double")
     snvs = events.select("contig", F.explode(al.substitution_components(F.col("components"))).alias("c")).select("contig", "c.pos", "c.ref", "c.alt").distinct()
@@ -139,7 +139,8 @@ def annotate(alleles: DataFrame, genes: DataFrame, reference: DataFrame, segment
     spliced = segments.groupBy("gene_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("gene_id") if segments is not None else None
     plain = coding if spliced is None else coding.join(spliced, "gene_id", "left_anti")
 
-    ind = events.where(~is_snv).select(*ALLELE, "components", "event_class", "affected_start", "affected_end", af.alias("af"))
+    # an allele that several records hold is one, at the highest of their frequencies
+    ind = events.where(~is_snv).groupBy(*ALLELE, "components", "event_class", "affected_start", "affected_end").agg(F.max(af).alias("af"))
     evidence = None
     if aligned is not None:
         evidence = linkage.indel_evidence(ind, snvs, aligned, params.quality, params.min_mapq, params.pair_aware)

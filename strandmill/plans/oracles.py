@@ -153,11 +153,15 @@ def _needs(text: str, done: list[str]) -> None:
                 done.append(name)
 
 
+#: Relations that several others read: evaluated once.
+WRITTEN = {"combo2", "msnv", "mstop", "mtouch"}
+
+
 def sql(body: str) -> str:
     """body with the relations it needs before it."""
     done: list[str] = []
     _needs(body, done)
-    return ("WITH " + ",\n".join(f"{n} AS ({N[n]})" for n in done) + "\n" if done else "") + body
+    return ("WITH " + ",\n".join(f"{n} AS {'MATERIALIZED ' if n in WRITTEN else ''}({N[n]})" for n in done) + "\n" if done else "") + body
 
 
 C = "cast(chrom as varchar) AS contig"
@@ -271,7 +275,7 @@ ORACLES: dict[str, str] = {
     "q53_pileup_view": sql("SELECT cast(o.chrom as varchar) AS contig, o.pos, count(*) AS depth, count(CASE WHEN o.base = v.alt THEN 1 END) AS alt_reads, count(CASE WHEN o.is_rev = 1 THEN 1 END) AS reverse_reads, min(o.quality) AS min_quality FROM observed o JOIN one v ON v.chrom = o.chrom AND v.pos = o.pos GROUP BY o.chrom, o.pos"),
     "q54_report_rows": sql("SELECT gene_id, low AS codon_start, snvs, cast(dense_rank() OVER (ORDER BY change_type) - 1 as int) AS change_type_code, cast(dense_rank() OVER (ORDER BY so_term) - 1 as int) AS so_term_code FROM soed"),
 }
-N["wide"] = "SELECT h.*, g.grantham, s.so_term, s.impact FROM hgvs h JOIN grant g ON g.gene_id = h.gene_id AND g.low = h.low AND g.snvs = h.snvs JOIN soed s ON s.gene_id = h.gene_id AND s.low = h.low AND s.snvs = h.snvs"
+N["wide"] = f"SELECT h.*, CASE WHEN change_type = 'Non-synonymous' THEN cast(round({_rho} * sqrt({_al} * (a.c - b.c) * (a.c - b.c) + {_be} * (a.p - b.p) * (a.p - b.p) + {_ga} * (a.v - b.v) * (a.v - b.v))) as int) END AS grantham, {_so} AS so_term, {_im} AS impact FROM hgvs h LEFT JOIN prop a ON a.aa = h.ref_aa LEFT JOIN prop b ON b.aa = h.alt_aa"
 ORACLES["q50_info_string"] = sql("SELECT gene_id, low AS codon_start, snvs, concat_ws(';', 'GENE=' || cast(gene_id as varchar), 'AA=' || aa_change, 'CT=' || change_type, 'TYPE=' || variant_type, 'SO=' || so_term, 'IMPACT=' || impact, 'GD=' || cast(grantham as varchar), 'DBS=' || dbs_class, 'HGVSC=' || replace(hgvs_c, ';', '%3B')) AS info FROM wide")
 N["stop0"] = "SELECT gene_id, strand, gs, ge, pos, ref, alt, is_del, size, delta, ref_cds, alt_cds FROM effect WHERE ((delta % 3) + 3) % 3 <> 0"
 N["stopr"] = f"SELECT gene_id, min(i) AS ref_stop FROM (SELECT gene_id, cds, unnest(generate_series(1, length(cds) // 3)) AS i FROM gcds) WHERE {residue('substr(cds, cast(i * 3 - 2 as int), 3)')} = '*' GROUP BY gene_id"
