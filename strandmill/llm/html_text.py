@@ -14,7 +14,10 @@ selection; elsewhere it plays no part.
 Before that, elements that are boilerplate by their tag or role go (navigation,
 asides, footers, hidden ones), and those whose class or id says so: a whole
 class name, or one made of such words and neutral ones. A class name or form
-that wraps nearly all text is ignored.
+that wraps nearly all text is ignored. A word for comments counts among any
+other words, unless the element holds most of the page's text. Legal notices at
+a page's end go; buttons and lists of choices go without ending the sentence
+that they stand in; what stands under a heading that stays, stays with it.
 
 Each page is extracted whole, by itself, in a task; nothing is shuffled.
 
@@ -72,7 +75,12 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: share of the text that makes an element a wrapper of the page, and levels of nesting that are told apart (browsers stop there as well).
 SIGMA, THRESHOLD, LINKED, WRAPPED, MAX_DEPTH = 1.0, 0.2, 0.5, 0.9, 512
 COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies respond".split())
-HARD, SOFT, COMMENTS = 2, 1, 3
+HARD, SOFT, COMMENTS, MAYBE_COMMENTS = 2, 1, 3, 4
+#: Controls that stand within sentences, and how legal notices of a page's end read.
+CONTROLS = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("button", "select")}
+NOTICE = re.compile(r"(?:\A\W*(?:copyright\b|\(c\)|©)|\ball rights reserved\b)", re.I)
+#: Longest text that counts as a notice.
+NOTICE_CHARS = 200
 
 
 class Node:
@@ -84,7 +92,7 @@ class Node:
         self.tag, self.parent, self.block = tag, parent, tag not in INLINE
         own = boilerplate(tag, attributes, parent)
         self.out = own == HARD or (parent is not None and parent.out)
-        self.soft_here = own if own in (SOFT, COMMENTS) else 0
+        self.soft_here = own if own in (SOFT, COMMENTS, MAYBE_COMMENTS) else 0
         self.soft = (parent.soft if parent else None) or (self if self.soft_here else None)
         self.path = parent.path if parent else 0
         if self.block:
@@ -104,7 +112,7 @@ def out_name(value: str) -> bool:
 
 
 def boilerplate(tag: str, attributes: str, parent: Node | None) -> int:
-    """HARD for an element that is no main text by its tag, role or visibility, or a page header outside an article; SOFT or COMMENTS by its name, SOFT for a form."""
+    """HARD for an element that is no main text by its tag, role or visibility, or a page header outside an article; SOFT or COMMENTS by its name, MAYBE_COMMENTS if a name has a word for comments among others, SOFT for a form."""
     if tag == "form":
         return SOFT
     if tag in OUT_TAGS:
@@ -123,8 +131,12 @@ def boilerplate(tag: str, attributes: str, parent: Node | None) -> int:
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "role" and value in OUT_ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
             return HARD
-        if name in ("class", "id") and out_name(value):
-            soft = SOFT if COMMENT_WORDS.isdisjoint(WORDS.findall(value)) and soft != COMMENTS else COMMENTS
+        if name in ("class", "id"):
+            remarks = not COMMENT_WORDS.isdisjoint(WORDS.findall(value))
+            if out_name(value):
+                soft = SOFT if not remarks and soft != COMMENTS else COMMENTS
+            elif remarks and not soft:
+                soft = MAYBE_COMMENTS
     return soft
 
 
@@ -201,6 +213,10 @@ def blocks(page: str) -> list[Block]:
             elif tag == "br":
                 parts.append(" ")
             continue
+        if tag in CONTROLS and not stack[-1].out and (shut := CONTROLS[tag].search(page, at)):
+            at = shut.end()  # a control within a sentence doesn't end it
+            parts.append(" ")
+            continue
         ends, border = CLOSES.get(tag, ((), ()))
         if ends:
             k = len(stack)
@@ -264,7 +280,7 @@ def _outermost(node: Node, unheeded: set) -> Node | None:
 def drop_boilerplate(found: list[Block]) -> list[Block]:
     """Blocks outside boilerplate. While no sentence stands outside, a form, or a name (none of comments) that wraps WRAPPED of the text, goes unheeded."""
     found = [b for b in found if not b.node.out]
-    unheeded: set = set()
+    unheeded = _holders(found)
     while True:
         owner = [_outermost(b.node, unheeded) for b in found]
         inside = Counter()
@@ -281,14 +297,57 @@ def drop_boilerplate(found: list[Block]) -> list[Block]:
     return [b for b, o in zip(found, owner, strict=True) if o is None]
 
 
+def _holders(found: list[Block]) -> set:
+    """Elements whose name has a word for comments among others, but which hold most of the page's text: the post's own."""
+    inside, total = Counter(), sum(b.plain for b in found)
+    for b in found:
+        node = b.node if b.node.soft is not None else None
+        while node is not None and node.soft is not None:
+            if node.soft_here == MAYBE_COMMENTS:
+                inside[node] += b.plain
+            node = node.parent
+    return {n for n, k in inside.items() if 2 * k > total}
+
+
+def in_article(node: Node) -> bool:
+    while node and node.tag not in ("article", "main"):
+        node = node.parent
+    return node is not None
+
+
 def within(node: Node, region: Node) -> bool:
     while node and node is not region:
         node = node.parent
     return node is region
 
 
+def without_notices(found: list[Block]) -> list[Block]:
+    """found without the legal notices that end a page outside its heaviest path and any article; a page of nothing else stays."""
+    weight = Counter()
+    for b in found:
+        weight[b.node.path] += b.plain
+    path, end = weight.most_common(1)[0][0], len(found)
+    while end and len(found[end - 1].text) <= NOTICE_CHARS and NOTICE.search(found[end - 1].text) and found[end - 1].node.path != path and not in_article(found[end - 1].node):
+        end -= 1
+    return found[:end] or found
+
+
+def with_sections(found: list[Block], kept: list[Block], is_list) -> list[Block]:
+    """kept, and what stands under each heading in it: plain blocks of the heading's element, up to the next heading or link list."""
+    chosen, under = set(map(id, kept)), None
+    for b in found:
+        if b.node.tag in HEADINGS:
+            under = b.node.parent if id(b) in chosen else None
+        elif under is not None and (is_list(b) or not within(b.node, under)):
+            under = None
+        elif under is not None:
+            chosen.add(id(b))
+    return [b for b in found if id(b) in chosen]
+
+
 def select(found: list[Block]) -> list[Block]:
     """The content nodes among blocks that are no boilerplate."""
+    found = without_notices(found)
     chosen = content_paths(found)
     content = [b for b in found if b.node.path in chosen]
     linked, length = Counter(), Counter()
@@ -315,7 +374,8 @@ def select(found: list[Block]) -> list[Block]:
     lo, hi = (places[0], places[-1]) if places else (0, -1)
     while lo > 0 and found[lo - 1].node.tag in HEADINGS and not is_list(found[lo - 1]):
         lo -= 1
-    return [b for i, b in enumerate(found) if b.node.path in chosen and not is_list(b) or lo <= i <= hi and not is_list(b)]
+    kept = [b for i, b in enumerate(found) if b.node.path in chosen and not is_list(b) or lo <= i <= hi and not is_list(b)]
+    return with_sections(found, kept, is_list)
 
 
 def extract(page: str | None) -> str:
