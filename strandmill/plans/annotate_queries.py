@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandmill.functions.consequence import FRAMESHIFTED, SO_TERMS
-from strandmill.operators import codons, indels, linkage
+from strandmill.functions import alleles
+from strandmill.operators import codons, evidence, indels, linkage
+from strandmill.plans import evidence_queries  # noqa: F401  its relations are read below
 from strandmill.plans import frame_queries as fq
-from strandmill.plans.annotate import annotate
+from strandmill.plans.annotate import _codon_rows, annotate
 from strandmill.plans.fixture import Genome
-from strandmill.plans.oracles import ORACLES, N, sql
+from strandmill.plans.oracles import ORACLES, N, fisher, sql
 from strandmill.plans.queries import ALLELE, GATE, MIN_QUALITY, _read_indels, query
 from strandmill.scratch import materialize
 
@@ -117,3 +119,58 @@ N["wmore"] = (
 ORACLES["q102_annotated_rows"] = sql(
     "SELECT * FROM wcoded UNION ALL SELECT cast(f.chrom as varchar), coalesce(f.gene_id, 'intergenic'), f.label, v.type, 'Unknown', cast(NULL as varchar), cast(NULL as varchar), f.term, cast(NULL as varchar), v.g FROM (SELECT * FROM wfirst UNION ALL SELECT * FROM wmore) f JOIN wlab v ON v.chrom = f.chrom AND v.label = f.label"
 )
+
+
+_CELLS = ("SNP Reads", "SNP Forward Reads", "SNP Reverse Reads", "MNV Reads", "MNV Forward Reads", "MNV Reverse Reads", "Total Reads", "SNP Frequencies", "MNV Frequencies", "Event Reads", "Event Forward Reads", "Event Reverse Reads", "Event Depth", "Event Frequency", "MNV Phasing Reads")
+
+
+def _evidence_rows(g: Genome):
+    """Codon rows of the first alternates and rows of the read indels, with all support."""
+    cols = ["contig", "gene_id", "positions", "alt_bases", "components", "variant_type"]
+    subs = _codon_rows(codons.codon_mnv(g.one_alt(), g.genes(), g.reference())).select(*cols)
+    events = _read_indels(g)
+    ind = indels.place_indels(events, g.genes()).select("contig", "gene_id", F.array("pos").alias("positions"), F.array("alt").alias("alt_bases"), alleles.labels(F.col("components")).alias("components"), F.lit("INDEL").alias("variant_type"))
+    rows = subs.unionByName(ind).withColumn("gene_id", F.col("gene_id").cast("string"))
+    return evidence.attach_support(rows, events, g.reads(), MIN_QUALITY)
+
+
+@query
+def q103_row_evidence(g):
+    """Read cells of substitution and indel rows: sites, haplotypes, linkage and events, each counted once."""
+    rows = _evidence_rows(g)
+    cells = evidence.read_cells(rows)
+    places = F.array_join(F.transform("positions", lambda p: p.cast("string")), ", ")
+    return rows.select("contig", "gene_id", places.alias("positions"), "variant_type", *(cells[n].alias(n.lower().replace(" ", "_")) for n in _CELLS), F.round("ld", 6).alias("ld"), F.round("ld_p", 6).alias("ld_p"))
+
+
+@query
+def q104_supported_rows(g):
+    """Rows that the table keeps under thresholds of both sides."""
+    rows = _evidence_rows(g)
+    places = F.array_join(F.transform("positions", lambda p: p.cast("string")), ", ")
+    return rows.where(evidence.passes_support(min_snp_reads=1, min_snp_freq=0.25, min_mnv_reads=2, min_mnv_freq=0.1, min_mnv_strand=1)).select("contig", "gene_id", places.alias("positions"), "variant_type")
+
+
+N["ev0"] = "SELECT gene_id, low, chrom, pos, alt, row_number() OVER (PARTITION BY gene_id, low ORDER BY pos) AS idx, count(*) OVER (PARTITION BY gene_id, low) AS n FROM placed1"
+N["evsolo"] = "SELECT m.gene_id, m.low, m.pos, count(*) AS sr, sum(s.fwd) AS sf, sum(s.rev) AS sv FROM ev0 m JOIN seen s ON s.chrom = m.chrom AND s.pos = m.pos AND s.base = m.alt JOIN pat p ON p.gene_id = m.gene_id AND p.low = m.low AND p.mol = s.mol WHERE m.n > 1 AND p.hits < p.n GROUP BY m.gene_id, m.low, m.pos"
+N["evsite"] = "SELECT e.*, CASE WHEN e.n = 1 THEN s.snp_reads ELSE coalesce(x.sr, 0) END AS sr, CASE WHEN e.n = 1 THEN s.snp_forward ELSE coalesce(x.sf, 0) END AS sf, CASE WHEN e.n = 1 THEN s.snp_reverse ELSE coalesce(x.sv, 0) END AS sv, s.depth FROM ev0 e JOIN support s ON s.chrom = e.chrom AND s.pos = e.pos AND s.alt = e.alt LEFT JOIN evsolo x ON x.gene_id = e.gene_id AND x.low = e.low AND x.pos = e.pos"
+N["evmnv"] = "SELECT gene_id, low, count(CASE WHEN hits = n THEN 1 END) AS mr, count(CASE WHEN hf = n THEN 1 END) AS mf, count(CASE WHEN hr = n THEN 1 END) AS mv, count(CASE WHEN k = n THEN 1 END) AS md FROM pat GROUP BY gene_id, low"
+N["evrow"] = (
+    "SELECT s.chrom, s.gene_id, s.low, max(s.n) AS n, string_agg(cast(s.pos as varchar), ', ' ORDER BY s.idx) AS positions, string_agg(cast(cast(s.sr as bigint) as varchar), ', ' ORDER BY s.idx) AS sr, string_agg(cast(cast(s.sf as bigint) as varchar), ', ' ORDER BY s.idx) AS sf, string_agg(cast(cast(s.sv as bigint) as varchar), ', ' ORDER BY s.idx) AS sv, "
+    "string_agg(printf('%.4f', CASE WHEN s.depth > 0 THEN s.sr / s.depth::double ELSE 0.0::double END), ', ' ORDER BY s.idx) AS freq, cast(sum(s.depth) // count(*) as bigint) AS mean, min(CASE WHEN s.sr >= 1 AND CASE WHEN s.depth > 0 THEN s.sr / s.depth::double ELSE 0 END >= 0.25 THEN 1 ELSE 0 END) AS site_ok FROM evsite s GROUP BY s.chrom, s.gene_id, s.low"
+)
+N["evwide"] = "SELECT r.*, coalesce(m.mr, 0) AS mr, coalesce(m.mf, 0) AS mf, coalesce(m.mv, 0) AS mv, CASE WHEN r.n = 1 THEN r.mean ELSE coalesce(m.md, 0) END AS md, CASE WHEN r.n > 1 THEN nullif(coalesce(p.mr + p.least_solo, 0), 0) END AS inf FROM evrow r LEFT JOIN evmnv m ON m.gene_id = r.gene_id AND m.low = r.low LEFT JOIN phas p ON p.gene_id = r.gene_id AND p.low = r.low"
+N["evld"] = f"SELECT l.gene_id, l.low, l.d_prime, p.p FROM ldmin l JOIN ({fisher('ldmin', 'gene_id, low', 'a', 'b', 'c', 'd')}) p ON p.gene_id = l.gene_id AND p.low = l.low"
+N["evind"] = "SELECT chrom, pos, ref, alt, count(CASE WHEN s = 1 AND against = 0 THEN 1 END) AS er, count(CASE WHEN s = 1 AND against = 0 AND f = 1 THEN 1 END) AS ef, count(CASE WHEN s = 1 AND against = 0 AND r = 1 THEN 1 END) AS ev, cast(sum(c) as bigint) AS ed FROM ispan GROUP BY chrom, pos, ref, alt"
+N["evrind"] = "SELECT r.chrom, r.gene_id, r.pos, coalesce(e.er, 0) AS er, coalesce(e.ef, 0) AS ef, coalesce(e.ev, 0) AS ev, coalesce(e.ed, 0) AS ed FROM rplaced r LEFT JOIN evind e ON e.chrom = r.chrom AND e.pos = r.pos AND e.ref = r.ref AND e.alt = r.alt"
+_s = lambda c: f"cast({c} as varchar)"
+_f = lambda a, d: f"printf('%.4f', CASE WHEN {d} > 0 THEN {a} / {d}::double ELSE 0.0::double END)"
+ORACLES["q103_row_evidence"] = sql(
+    f"SELECT cast(w.chrom as varchar) AS contig, cast(w.gene_id as varchar) AS gene_id, w.positions, CASE WHEN n = 1 THEN 'SNP' ELSE 'SNP/MNV' END AS variant_type, sr AS snp_reads, sf AS snp_forward_reads, sv AS snp_reverse_reads, {_s('mr')} AS mnv_reads, {_s('mf')} AS mnv_forward_reads, {_s('mv')} AS mnv_reverse_reads, {_s('md')} AS total_reads, freq AS snp_frequencies, {_f('mr', 'md')} AS mnv_frequencies, "
+    f"'-' AS event_reads, '-' AS event_forward_reads, '-' AS event_reverse_reads, '-' AS event_depth, '-' AS event_frequency, coalesce({_s('cast(inf as bigint)')}, '-') AS mnv_phasing_reads, round(l.d_prime, 6) AS ld, l.p AS ld_p FROM evwide w LEFT JOIN evld l ON l.gene_id = w.gene_id AND l.low = w.low "
+    f"UNION ALL SELECT cast(chrom as varchar), cast(gene_id as varchar), {_s('pos')}, 'INDEL', '-', '-', '-', '-', '-', '-', '-', '-', '-', {_s('er')}, {_s('ef')}, {_s('ev')}, {_s('ed')}, {_f('er', 'ed')}, '-', NULL, NULL FROM evrind"
+)
+_ok = lambda r, f, v, d: f"{r} >= 2 AND {f} >= 1 AND {v} >= 1 AND CASE WHEN {d} > 0 THEN {r} / {d}::double ELSE 0 END >= 0.1"
+ORACLES["q104_supported_rows"] = sql(
+    f"SELECT cast(chrom as varchar) AS contig, cast(gene_id as varchar) AS gene_id, positions, CASE WHEN n = 1 THEN 'SNP' ELSE 'SNP/MNV' END AS variant_type FROM evwide WHERE site_ok = 1 OR (n > 1 AND {_ok('mr', 'mf', 'mv', 'md')}) UNION ALL SELECT cast(chrom as varchar), cast(gene_id as varchar), {_s('pos')}, 'INDEL' FROM evrind WHERE {_ok('er', 'ef', 'ev', 'ed')}"
+)

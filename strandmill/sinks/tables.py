@@ -23,6 +23,11 @@ TABLE_COLUMNS = ("Chromosome", "Gene", "Positions", "Reference Bases", "Base Cha
 
 def result_table(rows: DataFrame) -> DataFrame:
     """Cells of the result table, as text, from annotate() rows; declared_phase and phasing_support are shown where the rows have them."""
+    return rows.select(*(c.alias(n) for c, n in zip(table_cells(rows), TABLE_COLUMNS, strict=True)))
+
+
+def table_cells(rows: DataFrame) -> list[Column]:
+    """A cell for each of TABLE_COLUMNS."""
     from strandmill.functions.aa import grantham_category
     from strandmill.functions.text import fixed
 
@@ -30,14 +35,33 @@ def result_table(rows: DataFrame) -> DataFrame:
     dash = lambda c: F.coalesce(F.nullif(c.cast("string"), F.lit("")), F.lit("-"))
     many = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ", ")
     local, local_snp = F.coalesce(has("local_aa_change"), F.col("aa_change")), F.coalesce(has("local_snp_aa_changes"), F.col("snp_aa_changes").cast("string"))
-    cells = [
+    return [
         F.col("contig"), F.col("gene_id").cast("string"), many("positions"), many("ref_bases"), many("alt_bases"),
         dash(F.col("aa_change")), dash(F.col("snp_aa_changes")), dash(local), dash(local_snp), F.col("variant_type"), F.col("change_type"),
         dash(F.col("ref_codon")), dash(F.col("snp_codons")), dash(F.col("alt_codon")), F.coalesce("event_class", F.lower("variant_type")), F.col("components"),
         F.col("so_term"), F.col("impact"), dash(F.concat(F.col("grantham").cast("string"), F.lit(" ("), grantham_category(F.col("grantham")), F.lit(")"))), dash(F.col("shift")), dash(F.col("dbs_class")),
         dash(has("declared_phase")), dash(fixed(has("phasing_support"))), dash(F.col("nmd")), dash(F.col("hgvs_g")), dash(F.col("hgvs_c")),
     ]
-    return rows.select(*(c.alias(n) for c, n in zip(cells, TABLE_COLUMNS, strict=True)))
+
+
+#: Columns that reads add, each behind the one named.
+READ_COLUMNS = {
+    "MNV Codon": ("SNP Reads", "SNP Forward Reads", "SNP Reverse Reads", "MNV Reads", "MNV Forward Reads", "MNV Reverse Reads", "Total Reads", "SNP Frequencies", "MNV Frequencies"),
+    "Event Components": ("Event Reads", "Event Forward Reads", "Event Reverse Reads", "Event Depth", "Event Frequency"),
+    "MNV Phasing Support": ("Haplotype LD", "Haplotype LD p", "MNV Phasing Reads", "Frameshift Phasing"),
+}
+
+
+def read_table(rows: DataFrame) -> DataFrame:
+    """Cells of the result table of rows with read support (evidence.attach_support): 44 columns."""
+    from strandmill.operators.evidence import read_cells
+
+    cells = read_cells(rows)
+    phasing = F.coalesce(F.nullif("frameshift_phasing", F.lit("")), F.lit("-")) if "frameshift_phasing" in rows.columns else F.lit("-")
+    wide = rows.select("*", *(c.alias(f"_{n}") for n, c in cells.items()), phasing.alias("_Frameshift Phasing"))
+    names = [n for c in TABLE_COLUMNS for n in (c, *READ_COLUMNS.get(c, ()))]
+    base = dict(zip(TABLE_COLUMNS, table_cells(wide), strict=True))
+    return wide.select(*((F.col(f"_{n}") if f"_{n}" in wide.columns else base[n]).alias(n) for n in names))
 
 
 def write_tsv(rows: DataFrame, path: str, order: list | None = None) -> None:
