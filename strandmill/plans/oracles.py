@@ -243,7 +243,7 @@ ORACLES: dict[str, str] = {
     "q17_dbs_class": sql("SELECT gene_id, low AS codon_start, snvs, dbs_class FROM dbs WHERE dbs_class IS NOT NULL"),
     "q18_hgvs": sql("SELECT gene_id, low AS codon_start, snvs, hgvs_g, hgvs_c FROM hgvs"),
     "q19_so_impact_summary": sql("SELECT cast(chrom as varchar) AS contig, impact, so_term, count(*) AS n FROM soed GROUP BY ROLLUP (chrom, impact, so_term)"),
-    "q20_translation_tables": sql("SELECT cast(table_id as int) AS table_id, codon, aa FROM tables"),
+    "q20_translation_tables": sql("SELECT cast(t.table_id as int) AS table_id, t.codon, t.aa, c.n FROM tables t JOIN (SELECT substr(cds, cast(i * 3 - 2 as int), 3) AS codon, count(*) AS n FROM (SELECT cds, unnest(generate_series(1, length(cds) // 3)) AS i FROM gcds) GROUP BY 1) c ON c.codon = t.codon"),
     "q21_transcript_offsets": sql("SELECT s.gene_id, cast(s.chrom as varchar) AS contig, v.pos, cast(s.seg_idx as int) AS seg_idx, cast(s.offset0 + CASE WHEN s.strand = '-' THEN s.seg_end - v.pos ELSE v.pos - s.seg_start END as bigint) AS \"offset\" FROM sites v JOIN offs s ON s.chrom = v.chrom AND v.pos BETWEEN s.seg_start AND s.seg_end"),
     "q22_introns": sql(f"SELECT gene_id, {C}, cast(intron as int) AS intron, i_start AS start, i_end AS end FROM introns"),
     "q23_splice_class": sql(f"SELECT gene_id, {C}, pos, splice FROM splice"),

@@ -159,13 +159,13 @@ def q19_so_impact_summary(g):
 
 @query
 def q20_translation_tables(g):
-    """All codons under all tables, from 64 keys of the part table's row numbers."""
-    codes = g.spark.range(64).select(F.concat(*(F.substr(F.lit("TCAG"), (F.floor(F.col("id") / d) % 4 + 1).cast("int"), F.lit(1)) for d in (16, 4, 1))).alias("codon"))
-    every = None
-    for t in dna.GENETIC_CODES:
-        rows = codes.select(F.lit(t).alias("table_id"), "codon", dna.codon_residue(F.col("codon"), t).alias("aa"))
-        every = rows if every is None else every.unionByName(rows)
-    return every
+    """Codons of the genes with their number, under every genetic code."""
+    seqs = reference.intervals_sequence(g.genes(), g.reference(), ["gene_id", "strand"], "start", "end")
+    cds = dna.oriented(F.col("seq"), F.col("strand"))
+    codes = seqs.select(F.explode(F.transform(F.sequence(F.lit(0), F.floor(F.length("seq") / 3) - 1), lambda i: F.substr(cds, (i * 3 + 1).cast("int"), F.lit(3)))).alias("codon"))
+    counted = materialize(codes.groupBy("codon").agg(F.count(F.lit(1)).alias("n")), "codons")
+    tables = [counted.select(F.lit(t).alias("table_id"), "codon", dna.codon_residue(F.col("codon"), t).alias("aa"), "n") for t in dna.GENETIC_CODES]
+    return reduce(DataFrame.unionByName, tables)
 
 
 @query

@@ -13,7 +13,7 @@ from strandmill.plans.oracles import ORACLES, N, base, sql
 from strandmill.plans.queries import query
 from strandmill.scratch import scratch_path
 from strandmill.sinks import tables
-from strandmill.sources import alignments, annotation, fasta, ivar, vcf
+from strandmill.sources import alignments, annotation, fasta, fasta_ranges, ivar, vcf
 
 LINE = 60
 
@@ -66,12 +66,36 @@ N["fchunk"] = f"SELECT chrom, k, unnest(generate_series(k * {CHUNK} + 1, least(c
 ORACLES["q55_fasta_scan"] = sql(f"SELECT 'c' || cast(chrom as varchar) AS contig, k AS chunk_id, k * {CHUNK} + 1 AS chunk_start, cast(count(*) as int) AS bases, md5(string_agg({base('p')}, '' ORDER BY p)) AS digest FROM fchunk GROUP BY chrom, k")
 
 
+def _fasta_files(g: Genome) -> str:
+    """A file a contig, so that places in it can be told from the contig alone."""
+    rows = g.relation("dims").select("clen", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("chrom"))
+    lines = rows.select("chrom", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("clen") - 1) / LINE))).alias("k"), "clen")
+    seq = F.expr(f"array_join(transform(sequence(k * {LINE} + 1, least(clen, k * {LINE} + {LINE})), p -> {refbase('p', 'chrom', 'div')}), '')")
+    heads = rows.select("chrom", F.lit(-1).cast("long").alias("k"), F.concat(F.lit(">c"), F.col("chrom").cast("string"), F.lit(" derived")).alias("value"))
+    path = scratch_path(g.spark, "fasta-files")
+    heads.unionByName(lines.select("chrom", "k", seq.alias("value"))).repartition("chrom").sortWithinPartitions("chrom", "k").select("chrom", "value").write.partitionBy("chrom").text(path)
+    return path
+
+
 @query
 def q56_fasta_index(g):
-    return fasta.index(g.spark, _fasta(g)).select("name", "length", "line_bases")
+    """Contigs with their places in bytes, from ranges that cut lines."""
+    rows = fasta_ranges.byte_index(g.spark, _fasta_files(g), split_bytes=5000)
+    return rows.select("name", "length", "offset", "line_bases", "line_width", "even")
+
+
+ORACLES["q56_fasta_index"] = sql(f"SELECT 'c' || cast(chrom as varchar) AS name, cast(clen as bigint) AS length, cast(length('>c' || cast(chrom as varchar) || ' derived') + 1 as bigint) AS \"offset\", cast({LINE} as int) AS line_bases, cast({LINE} + 1 as int) AS line_width, true AS even FROM dims, (SELECT unnest(generate_series(0, 4)) AS chrom)")
+
+
+@query
+def q105_fasta_regions(g):
+    """Bases of the genes, read by seeking in files of several contigs."""
+    genes = g.genes().select("gene_id", _contig().alias("contig"), "start", "end")
+    rows = fasta_ranges.read_regions(genes, fasta_ranges.byte_index(g.spark, _fasta(g), split_bytes=20_000))
+    return rows.select("gene_id", "contig", F.length("seq").cast("int").alias("bases"), F.md5(F.col("seq").cast("binary")).alias("digest"))
 
 
-ORACLES["q56_fasta_index"] = sql(f"SELECT 'c' || cast(chrom as varchar) AS name, cast(clen as bigint) AS length, cast({LINE} as int) AS line_bases FROM dims, (SELECT unnest(generate_series(0, 4)) AS chrom)")
+ORACLES["q105_fasta_regions"] = sql("SELECT gene_id, 'c' || cast(chrom as varchar) AS contig, cast(length(seq) as int) AS bases, md5(seq) AS digest FROM gseq")
 
 HEAD = [
     "##fileformat=VCFv4.2",
@@ -309,12 +333,12 @@ ORACLES["q68_normalise_alleles"] = sql("SELECT cast(chrom as varchar) AS contig,
 @query
 def q69_left_anchor_insertions(g):
     """Insertions written before a base are rewritten behind the base before it."""
-    rows = g.snvs().where("pos > 1 and pos % 5 = 0").select("contig", F.col("pos").alias("site"), "pos", "ref", F.concat(F.lit("NN"), "ref").alias("alt")).distinct()
+    rows = g.snvs().where("pos > 1").select("contig", F.col("pos").alias("site"), "pos", "ref", F.concat(F.lit("NN"), "ref").alias("alt")).distinct()
     moved = anchor_insertions(alleles.with_event(rows), g.reference())
     return moved.select("contig", "site", "pos", "ref", "alt")
 
 
-ORACLES["q69_left_anchor_insertions"] = sql(f"SELECT DISTINCT cast(chrom as varchar) AS contig, pos AS site, pos - 1 AS pos, {base('pos - 1')} AS ref, {base('pos - 1')} || 'NN' AS alt FROM snvs WHERE pos > 1 AND pos % 5 = 0")
+ORACLES["q69_left_anchor_insertions"] = sql(f"SELECT DISTINCT cast(chrom as varchar) AS contig, pos AS site, pos - 1 AS pos, {base('pos - 1')} AS ref, {base('pos - 1')} || 'NN' AS alt FROM snvs WHERE pos > 1")
 
 
 @query

@@ -157,3 +157,35 @@ def test_index_bytes_round_trip():
         b = bam_index.bin_of(a, z)
         x = rng.randrange(a, z)
         assert b in bam_index.bins_over(x, x + 1)
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_fasta_offsets(spark, tmp_path, end):
+    from strandmill.sources import fasta_ranges as fr
+
+    rng = random.Random(9)
+    seqs = {"a": "".join(rng.choices("ACGTacgt", k=1234)), "empty": "", "b": "".join(rng.choices("ACGT", k=600)), "one": "".join(rng.choices("ACGTN", k=5000))}
+    text = ""
+    for name, s in seqs.items():
+        step = 5000 if name == "one" else 60
+        text += f">{name} é described{end}" + "".join(s[i : i + step] + end for i in range(0, len(s), step))
+    (tmp_path / "x.fa").write_bytes(text.encode())
+    (tmp_path / "y.fa").write_bytes(b">odd\nACGT\nAC\nACGT\n>z\nAC")
+    want = None
+    for split in (1 << 30, 997, 400):
+        index = fr.byte_index(spark, str(tmp_path), split)
+        got = {r.name: (r.length, r.offset, r.line_bases, r.line_width, r.even) for r in index.collect()}
+        assert want is None or got == want
+        want = got
+    w = len(end)
+    assert {n: x[0] for n, x in got.items()} == {**{n: len(s) for n, s in seqs.items()}, "odd": 10, "z": 2}
+    assert got["a"][2:] == (60, 60 + w, True) and got["one"][2:] == (5000, 5000 + w, True) and not got["odd"][4]
+    assert got["a"][1] == len(f">a é described{end}".encode())
+    ask = [("a", 1, 1), ("a", 60, 61), ("a", 59, 240), ("a", 1200, 9999), ("b", 1, 600), ("one", 2345, 2399), ("z", 1, 2)]
+    regions = spark.createDataFrame(ask, "contig string, start long, end long")
+    for r in fr.read_regions(regions, index).collect():
+        own = {**seqs, "z": "AC"}[r.contig]
+        assert r.seq == own[r.start - 1 : r.end].upper(), r
+    for bad in (("odd", 1, 2), ("nowhere", 1, 2)):
+        with pytest.raises(EngineError):
+            fr.read_regions(spark.createDataFrame([bad], "contig string, start long, end long"), index).collect()
