@@ -8,7 +8,7 @@ SF = "/root/testdata/sf0.001"
 SAMPLE = """q01_reference_lookup q06_decompose_alleles q13_codon_mnv q18_hgvs q25_junction_codon_mnv q29_indel_overlap_flag q30_indel_protein_effect
 q33_fallback_class q37_mnv_support q41_strand_bias_fisher q42_indel_support q50_info_string q52_contig_and_global_summary
 q55_fasta_scan q57_vcf_scan q58_vcf_gzip_cohort q61_caller_table_scan q62_annotation_scan q68_normalise_alleles q84_number_texts
-q91_bam_round_trip q94_frameshift_rows q95_spliced_indel_effect""".split()
+q91_bam_round_trip q92_bam_region q94_frameshift_rows q97_vcf_block_ranges q98_spliced_frame_rows q99_spliced_indel_nmd q100_phased_indel_effects q101_frameshift_phasing q104_supported_rows q105_fasta_regions""".split()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the given tables")
 
