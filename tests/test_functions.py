@@ -78,3 +78,13 @@ def test_filters_and_phase(spark):
     assert [r.x for r in f.collect()] == [0.12, 0.5, 0.5, None]
     g = spark.range(1).select(phase.declared_phase(F.array(*(phase.parse_phase(F.lit(x), F.lit("9"), F.lit(1)) for x in ("0|1", "0|1")))).alias("cis"), phase.declared_phase(F.array(*(phase.parse_phase(F.lit(x), F.lit("9"), F.lit(1)) for x in ("0|1", "1|0")))).alias("trans"), phase.declared_phase(F.array(*(phase.parse_phase(F.lit(x), F.lit("9"), F.lit(1)) for x in ("0|1", "0/1")))).alias("none")).first()
     assert (g.cis, g.trans, g.none) == ("cis:9", "trans:9", None)
+
+
+def test_columns_of_codon_rows_are_computed_once(spark):
+    """A filter on a late column doesn't put the residues' expressions in again at each use (q16_grantham)."""
+    from strandmill.operators.codons import describe_codons
+
+    rows = spark.sql("select 'ATG' ref_codon, 'ACG' alt_codon, array('ACG') single_codons, '+' strand, 5L aa_local, array(struct(2L as pos, 'T' as ref, 'C' as alt, 2L as cds)) snvs from range(3)")
+    found = describe_codons(rows, 11, F.lit(0)).where("grantham is not null").select("grantham", "ref_aa")
+    assert [tuple(r) for r in found.collect()] == [(81, "M")] * 3
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("instr(TCAG") <= 9
