@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandmill.functions import alleles, consequence
 from strandmill.operators import codons, filters, transcripts
 from strandmill.operators.reference import CHUNK, OVERLAP, anchor_insertions, reference_mismatches
-from strandmill.plans.fixture import Genome, refbase
+from strandmill.plans.fixture import Genome, refbase, spread_rows
 from strandmill.plans.oracles import ORACLES, N, base, sql
 from strandmill.plans.queries import query
 from strandmill.scratch import scratch_path
@@ -48,7 +48,7 @@ def _contig() -> F.Column:
 def _fasta(g: Genome) -> str:
     """The genome in lines of 60 bases, odd contigs in lower case, headers with a description."""
     rows = g.relation("dims").select("clen", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("chrom"))
-    lines = rows.select("chrom", "clen", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("clen") - 1) / LINE))).alias("k"))
+    lines = spread_rows(rows.select("chrom", "clen", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("clen") - 1) / LINE))).alias("k")), "chrom", "k")
     seq = F.expr(f"array_join(transform(sequence(k * {LINE} + 1, least(clen, k * {LINE} + {LINE})), p -> {refbase('p', 'chrom', 'div')}), '')")
     body = lines.select("chrom", "k", F.when(F.col("chrom") % 2 == 1, F.lower(seq)).otherwise(seq).alias("value"))
     heads = rows.select("chrom", F.lit(-1).cast("long").alias("k"), F.concat(F.lit(">c"), F.col("chrom").cast("string"), F.lit(" derived from the parts")).alias("value"))
@@ -69,7 +69,7 @@ ORACLES["q55_fasta_scan"] = sql(f"SELECT 'c' || cast(chrom as varchar) AS contig
 def _fasta_files(g: Genome) -> str:
     """A file a contig, so that places in it can be told from the contig alone."""
     rows = g.relation("dims").select("clen", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("chrom"))
-    lines = rows.select("chrom", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("clen") - 1) / LINE))).alias("k"), "clen")
+    lines = spread_rows(rows.select("chrom", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("clen") - 1) / LINE))).alias("k"), "clen"), "chrom", "k")
     seq = F.expr(f"array_join(transform(sequence(k * {LINE} + 1, least(clen, k * {LINE} + {LINE})), p -> {refbase('p', 'chrom', 'div')}), '')")
     heads = rows.select("chrom", F.lit(-1).cast("long").alias("k"), F.concat(F.lit(">c"), F.col("chrom").cast("string"), F.lit(" derived")).alias("value"))
     path = scratch_path(g.spark, "fasta-files")

@@ -14,7 +14,7 @@ import zlib
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Compressed bytes of a range, of a read, and the most that a block can have.
@@ -140,9 +140,12 @@ def file_ranges(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES,
     return files.withColumn("start", start).withColumn("end", F.least(F.col("start") + split_bytes, "size"))
 
 
-def spread(ranges: DataFrame) -> DataFrame:
-    """A task a range."""
-    return ranges.repartition(max(1, min(ranges.count(), MOST_TASKS)))
+def spread(ranges: DataFrame, length: Column | None = None) -> DataFrame:
+    """A task a range; with the length of each, short ranges share tasks of SPLIT_BYTES, so that a task's own cost isn't paid for each."""
+    n, size = ranges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.lit(0) if length is None else length), F.lit(0))).first()
+    if length is not None:
+        n = min(n, max(4 * ranges.sparkSession.sparkContext.defaultParallelism, -(-size // SPLIT_BYTES)))
+    return ranges.repartition(max(1, min(n, MOST_TASKS)))
 
 
 def open_at(uri: str):
@@ -164,4 +167,4 @@ def read_block_lines(spark: SparkSession, path: str, split_bytes: int = SPLIT_BY
                     for lines in owned_lines(blocks, start, end) if cut else owned_lines(GzipStream(f), 0, size + 1):
                         yield pa.RecordBatch.from_arrays([pa.array([x.removesuffix(b"\r").decode() for x in lines], pa.string())], ["value"])
 
-    return spread(file_ranges(spark, path, split_bytes)).mapInArrow(task, "value string")
+    return spread(file_ranges(spark, path, split_bytes), F.col("end") - F.col("start")).mapInArrow(task, "value string")

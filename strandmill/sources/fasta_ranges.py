@@ -56,7 +56,8 @@ def range_parts(f, size: int, start: int, end: int) -> list[_Part]:
         head = None
 
     while at < size:
-        data = f.read_at(min(READ_BYTES, size - at), at)
+        # up to the range's end, and then, for the line that goes on, ever more
+        data = f.read_at(min(READ_BYTES, size - at, end - at if at < end else max(HEADER_BYTES, at - end)), at)
         here = 0
         while here < len(data):
             if begin is None:
@@ -101,7 +102,7 @@ def byte_index(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -
             types = [pa.string(), pa.int64(), pa.int32(), pa.string(), *[pa.int64()] * 8]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 12, types)], [c.split()[0] for c in PART_DDL.split(", ")])
 
-    parts = spread(file_ranges(spark, path, split_bytes)).mapInArrow(task, PART_DDL)
+    parts = spread(file_ranges(spark, path, split_bytes), F.col("end") - F.col("start")).mapInArrow(task, PART_DDL)
     order = F.struct("start", "k")
     by = Window.partitionBy("path").orderBy("start", "k")
     parts = parts.withColumn("contig", F.count("name").over(by))

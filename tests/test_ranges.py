@@ -189,3 +189,37 @@ def test_fasta_offsets(spark, tmp_path, end):
     for bad in (("odd", 1, 2), ("nowhere", 1, 2)):
         with pytest.raises(EngineError):
             fr.read_regions(spark.createDataFrame([bad], "contig string, start long, end long"), index).collect()
+
+
+def test_a_range_of_a_fasta_file_reads_little_beyond_itself():
+    """Bytes that the ranges of a file read together: the file, and one more line's worth a range (q56_fasta_index)."""
+    import io
+
+    from strandmill.sources.fasta_ranges import HEADER_BYTES, range_parts
+
+    data = b">c1 x\n" + b"".join(b"ACGT" * 15 + b"\n" for _ in range(8000)) + b">c2\n" + b"A" * 300_000 + b"\n"
+
+    class Source(io.BytesIO):
+        taken = 0
+
+        def read_at(self, n, at):
+            out = self.getvalue()[at : at + n]
+            Source.taken += len(out)
+            return out
+
+    cuts = list(range(0, len(data), 20_000))
+    parts = [p for a in cuts for p in range_parts(Source(data), len(data), a, min(a + 20_000, len(data)))]
+    assert sum(p.bases for p in parts) == 8000 * 60 + 300_000
+    assert [p.name for p in parts if p.name is not None] == ["c1", "c2"]
+    assert Source.taken <= len(data) + len(cuts) * HEADER_BYTES + 2 * 300_000
+
+
+def test_short_ranges_share_tasks(spark, tmp_path):
+    """As many tasks as cores want, not as there are ranges (q56_fasta_index, q92_bam_region); long ranges keep a task each."""
+    from pyspark.sql import functions as F
+    from strandmill.sources.bgzf import SPLIT_BYTES, file_ranges, spread
+
+    (tmp_path / "x.txt").write_bytes(b"a\n" * 50_000)
+    short = spread(file_ranges(spark, str(tmp_path), 100), F.col("end") - F.col("start"))
+    assert short.count() == 1000
+    assert short.select(F.spark_partition_id()).distinct().count() <= 4 * spark.sparkContext.defaultParallelism
