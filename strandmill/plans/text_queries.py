@@ -451,13 +451,24 @@ def q97_vcf_block_ranges(g):
 ORACLES["q97_vcf_block_ranges"] = sql(f"SELECT {_vrow}, {_dp(1)} AS odp, {_gt(1)} AS genotype FROM vrec WHERE {_has(1)}")
 
 
+#: Reads of a BAM part, and ranges of all parts together at most.
+PART_READS, MOST_RANGES = 250_000, 2000
+
+
+def _split(g: Genome, path: str) -> int:
+    """SMALL_SPLIT, or longer ranges where so many would be more than MOST_RANGES: each costs an open file, its header and the search for a record."""
+    size = g.spark.read.format("binaryFile").option("pathGlobFilter", "*.bam").load(path).agg(F.sum("length")).first()[0]
+    return max(SMALL_SPLIT, -(-size // MOST_RANGES))
+
+
 def _bam(g: Genome) -> str:
     from strandmill.sinks.blocks import write_bam
 
     path = scratch_path(g.spark, "bam")
     clen = g.relation("dims").first().clen
-    write_bam(g.reads().repartitionByRange(3, "contig", "start").sortWithinPartitions("contig", "start"), path, [(str(c), clen) for c in range(5)])
-    alignments.write_index(g.spark, path, SMALL_SPLIT)
+    parts = max(3, -(-g.relation("reads").count() // PART_READS))
+    write_bam(g.reads().repartitionByRange(parts, "contig", "start").sortWithinPartitions("contig", "start"), path, [(str(c), clen) for c in range(5)])
+    alignments.write_index(g.spark, path, _split(g, path))
     assert alignments.check_bam(g.spark, path, indexed=True) == [str(c) for c in range(5)]
     return path
 
@@ -475,7 +486,8 @@ ORACLES["q96_bam_index_bins"] = sql("SELECT DISTINCT cast(chrom as varchar) AS c
 @query
 def q91_bam_round_trip(g):
     """Reads written as BAM parts and read back, bases and qualities by digest."""
-    rows = alignments.read_bam(g.spark, _bam(g), split_bytes=SMALL_SPLIT)
+    path = _bam(g)
+    rows = alignments.read_bam(g.spark, path, split_bytes=_split(g, path))
     kept = g.reads().select(F.md5(F.concat_ws("|", "seq", "qual").cast("binary")).alias("was"), F.coalesce("qname", F.lit("*")).alias("q2"), F.col("contig").alias("c2"), F.col("start").alias("s2"), F.col("flag").alias("f2"))
     own = rows.withColumn("now", F.md5(F.concat_ws("|", "seq", "qual").cast("binary"))).withColumn("q", F.coalesce("qname", F.lit("*")))
     both = own.join(kept, (F.col("q") == F.col("q2")) & (F.col("contig") == F.col("c2")) & (F.col("start") == F.col("s2")) & (F.col("flag") == F.col("f2")) & (F.col("now") == F.col("was")), "left_semi")

@@ -16,6 +16,8 @@ from strandmill.sources.alignments import BASES, OPS
 
 #: Fixed value: the empty block that ends a file.
 EOF = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
+#: Fixed value: hexadecimal digits of the numbers below 16.
+DIGITS = b"0123456789abcdef" + bytes(240)
 #: Inflated bytes of a block.
 BLOCK = 65_280
 
@@ -73,7 +75,8 @@ def write_bam(reads: DataFrame, path: str, contigs: list[tuple[str, int]]) -> in
     place = {c: i for i, (c, _) in enumerate(contigs)}
     text = b"@HD\tVN:1.6\n" + b"".join(f"@SQ\tSN:{c}\tLN:{n}\n".encode() for c, n in contigs)
     head = b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(contigs)) + b"".join(struct.pack("<i", len(c) + 1) + c.encode() + b"\0" + struct.pack("<i", n) for c, n in contigs)
-    code = {x: i for i, x in enumerate(BASES)}
+    code = bytes(BASES.find(chr(i)) if chr(i) in BASES else 15 for i in range(256))  # of each base
+    score = bytes((i - 33) & 255 for i in range(256))
 
     def record(q, flag, contig, start, mapq, cigar, seq, qual) -> bytes:
         ops, n = [], ""
@@ -84,8 +87,11 @@ def write_bam(reads: DataFrame, path: str, contigs: list[tuple[str, int]]) -> in
                 ops.append(int(n) << 4 | OPS.index(x))
                 n = ""
         name, seq = (q or "*").encode() + b"\0", seq or ""
-        packed = bytes(code.get(seq[i], 15) << 4 | (code.get(seq[i + 1], 15) if i + 1 < len(seq) else 0) for i in range(0, len(seq), 2))
-        scores = bytes(ord(x) - 33 for x in qual) if qual else b"\xff" * len(seq)
+        # a hexadecimal digit a base, so two bases make a byte
+        packed = bytes.fromhex((seq.encode("latin-1", "replace").translate(code) + b"\0" * (len(seq) % 2)).translate(DIGITS).decode())
+        if qual and min(qual) < "!":
+            raise ValueError(f"quality text of {q} isn't printable")
+        scores = qual.encode("latin-1").translate(score) if qual else b"\xff" * len(seq)
         body = struct.pack("<iiBBHHHiiii", place[contig], start - 1, len(name), 255 if mapq is None else mapq, 0, len(ops), flag, len(seq), -1, -1, 0) + name + struct.pack(f"<{len(ops)}I", *ops) + packed + scores
         return struct.pack("<i", len(body)) + body
 

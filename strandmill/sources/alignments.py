@@ -24,6 +24,11 @@ from strandmill.sources.bgzf import SPLIT_BYTES, BlockFile, GzipStream, block_si
 READ_DDL = "read_id long, qname string, flag int, contig string, start long, mapq int, cigar string, seq string, qual string"
 BASES = "=ACMGRSVTWYHKDBN"
 OPS = "MIDNSHP=X"
+#: Compressed bytes of a range of virtual offsets, as SQL.
+BYTES = "shiftright(hi, 16) - shiftright(lo, 16)"
+#: Two bases of each byte, and the text of each quality.
+PAIRS = [BASES[x >> 4] + BASES[x & 15] for x in range(256)]
+SCORES = bytes((x + 33) & 255 for x in range(256))
 #: Records that must follow from a place for it to be taken for a record's start.
 CHAIN = 8
 #: Bytes of the first read of a file, and of a read within a long range.
@@ -155,9 +160,9 @@ def parse_record(data: bytes, names: list[str]):
     if ref < 0 or flag & 4 or not cigar:
         return None
     p += 4 * ncigar
-    seq = "".join(BASES[x >> 4] + BASES[x & 15] for x in data[p : p + (lseq + 1) // 2])[:lseq]
+    seq = "".join(map(PAIRS.__getitem__, data[p : p + (lseq + 1) // 2]))[:lseq]
     q = data[p + (lseq + 1) // 2 : p + (lseq + 1) // 2 + lseq]
-    qual = None if not lseq or q[:1] == b"\xff" else bytes(x + 33 for x in q).decode("latin-1")
+    qual = None if not lseq or q[:1] == b"\xff" else q.translate(SCORES).decode("latin-1")
     return None if name == "*" else name, flag, names[ref], pos + 1, None if mapq == 255 else mapq, cigar, seq, qual
 
 
@@ -266,7 +271,7 @@ def read_bam(spark: SparkSession, path: str, region: tuple[str, int, int] | None
         if rows:
             yield batch_of(rows)
 
-    out = spread(ranges).mapInArrow(task, READ_DDL.split(", ", 1)[1]).withColumn("read_id", F.monotonically_increasing_id())
+    out = spread(ranges, F.expr(BYTES)).mapInArrow(task, READ_DDL.split(", ", 1)[1]).withColumn("read_id", F.monotonically_increasing_id())
     return out.select(*(c.split()[0] for c in READ_DDL.split(", ")))
 
 
@@ -300,7 +305,7 @@ def write_index(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES)
                 types = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], [c.split()[0] for c in CHUNK_DDL.split(", ")])
 
-    rows = spread(whole_ranges(spark, path, split_bytes)).mapInArrow(scan, CHUNK_DDL)
+    rows = spread(whole_ranges(spark, path, split_bytes), F.expr(BYTES)).mapInArrow(scan, CHUNK_DDL)
     files = rows.repartition("path").sortWithinPartitions("path", F.desc("kind"), "contig", "at", "lo").mapInArrow(write_indexes, "path string, chunks long")
     return materialize(files, "indexes").count()
 
