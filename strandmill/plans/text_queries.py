@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandmill.functions import alleles, consequence
 from strandmill.operators import codons, filters, transcripts
 from strandmill.operators.reference import CHUNK, OVERLAP, anchor_insertions, reference_mismatches
-from strandmill.plans.fixture import Genome, refbase, spread_rows
+from strandmill.plans.fixture import Genome, base_table, refbase, spread_rows
 from strandmill.plans.oracles import ORACLES, N, base, sql
 from strandmill.plans.queries import query
 from strandmill.scratch import scratch_path
@@ -25,19 +25,24 @@ def _write(rows: DataFrame, by: str, order: list[str], name: str, **options: str
     return path
 
 
-#: Parts that a table's lines are written to.
-PARTS = 4
+#: Parts that a table's lines are written to at least, and rows of the table it derives from a part.
+PARTS, PART_ROWS = 4, 500_000
 
 
-def _with_head(rows: DataFrame, head: list[str]) -> DataFrame:
+def _parts(g: Genome, table: str = "lineitem") -> int:
+    """Parts for the lines made of a table: a plain gzip file is one task's, so their number grows with the table."""
+    return max(PARTS, -(-base_table(g.spark, g.sf_dir, table).count() // PART_ROWS))
+
+
+def _with_head(rows: DataFrame, head: list[str], parts: int = PARTS) -> DataFrame:
     """Head lines, then lines (k, value) in order of k, over range-partitioned parts: the head is in the first."""
     top = rows.sparkSession.createDataFrame([(i - len(head), h) for i, h in enumerate(head)], "k long, value string")
-    return top.unionByName(rows.select("k", "value")).repartitionByRange(PARTS, "k", "value").sortWithinPartitions("k", "value").select("value")
+    return top.unionByName(rows.select("k", "value")).repartitionByRange(parts, "k", "value").sortWithinPartitions("k", "value").select("value")
 
 
-def _lines_in_parts(rows: DataFrame, head: list[str], name: str, **options: str) -> str:
+def _lines_in_parts(rows: DataFrame, head: list[str], name: str, parts: int = PARTS, **options: str) -> str:
     path = scratch_path(rows.sparkSession, name)
-    _with_head(rows, head).write.options(**options).text(path)
+    _with_head(rows, head, parts).write.options(**options).text(path)
     return path
 
 
@@ -121,7 +126,7 @@ def _vcf_lines(g: Genome) -> DataFrame:
 
 
 def _vcf(g: Genome, **options: str) -> str:
-    return _lines_in_parts(_vcf_lines(g), HEAD, "vcf", **options)
+    return _lines_in_parts(_vcf_lines(g), HEAD, "vcf", _parts(g), **options)
 
 
 N["vrec"] = "SELECT chrom, pos, ref, alt, cast(row_number() OVER (PARTITION BY chrom, pos, ref ORDER BY alt) as int) AS i, count(*) OVER (PARTITION BY chrom, pos, ref) AS n FROM (SELECT DISTINCT chrom, pos, ref, alt FROM snvs)"
@@ -186,7 +191,7 @@ def _ivar(g: Genome) -> str:
     flag = F.when(p % 7 == 0, "FALSE").when(p % 7 == 1, "").otherwise("TRUE")
     cells = {"REGION": _contig(), "POS": p, "REF": F.col("ref"), "ALT": F.lower("alt"), "TOTAL_DP": total, "REF_DP": p % 11 + 9, "ALT_DP": p % 10 + 1, "ALT_FREQ": freq, "PASS": flag}
     path = scratch_path(g.spark, "ivar")
-    rows.select(*(c.cast("string").alias(n) for n, c in cells.items())).repartitionByRange(PARTS, "REGION", "POS").write.options(sep="\t", header=True, emptyValue="").csv(path)
+    rows.select(*(c.cast("string").alias(n) for n, c in cells.items())).repartitionByRange(_parts(g), "REGION", "POS").write.options(sep="\t", header=True, emptyValue="").csv(path)
     return path
 
 
@@ -212,7 +217,7 @@ def _gff(g: Genome) -> str:
     row = lambda t, s, e, ph, a: F.concat_ws("\t", _contig(), F.lit("x"), t, s.cast("string"), e.cast("string"), F.lit("."), "strand", ph, a)
     own = g.genes().select(k.alias("k"), row(F.when(k % 6 == 0, "pseudogene").otherwise("gene"), F.col("start"), F.col("end"), F.lit("."), attrs).alias("value"))
     cds = g.segments().select((k + 10**9).alias("k"), row(F.lit("CDS"), F.col("start"), F.col("end"), F.lit("0"), F.concat(F.lit("Parent=t"), k.cast("string"), F.lit(",u"), k.cast("string"))).alias("value"))
-    return _lines_in_parts(own.unionByName(cds), ["##gff-version 3", "# derived"], "gff")
+    return _lines_in_parts(own.unionByName(cds), ["##gff-version 3", "# derived"], "gff", _parts(g, "part"))
 
 
 @query
@@ -271,7 +276,7 @@ def q66_sam_scan(g):
     """Aligned reads from SAM text: unmapped and unplaced records go, a missing mapping quality and name are null."""
     r = g.reads()
     line = F.concat_ws("\t", F.coalesce("qname", F.lit("*")), F.when(F.col("read_id") % 13 == 0, F.col("flag") + 4).otherwise(F.col("flag")).cast("string"), _contig(), F.col("start").cast("string"), F.when(F.col("mapq") == 7, 255).otherwise(F.col("mapq")).cast("string"), "cigar", F.lit("*"), F.lit("0"), F.lit("0"), "seq", F.when(F.col("read_id") % 17 == 0, "*").otherwise(F.col("qual")))
-    path = _lines_in_parts(r.select(F.col("read_id").alias("k"), line.alias("value")), ["@HD\tVN:1.6"], "sam")
+    path = _lines_in_parts(r.select(F.col("read_id").alias("k"), line.alias("value")), ["@HD\tVN:1.6"], "sam", _parts(g, "orders"))
     return alignments.read_sam(g.spark, path).select("qname", "flag", "contig", "start", "mapq", "cigar", F.length("seq").cast("int").alias("bases"), F.col("qual").isNull().alias("no_qual"))
 
 
@@ -443,7 +448,7 @@ def q97_vcf_block_ranges(g):
     from strandmill.sinks.blocks import write_block_text
 
     path = scratch_path(g.spark, "vcf-blocks")
-    write_block_text(_with_head(_vcf_lines(g), HEAD), path)
+    write_block_text(_with_head(_vcf_lines(g), HEAD, _parts(g)), path)
     rows = vcf.read_vcf(g.spark, path, sample="s2", split=True, split_bytes=SMALL_SPLIT)
     return rows.select("contig", "pos", "ref", "alt", F.col("alt_index").cast("int").alias("alt_index"), "odp", "genotype")
 

@@ -223,3 +223,12 @@ def test_short_ranges_share_tasks(spark, tmp_path):
     short = spread(file_ranges(spark, str(tmp_path), 100), F.col("end") - F.col("start"))
     assert short.count() == 1000
     assert short.select(F.spark_partition_id()).distinct().count() <= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_parts_of_lines_grow_with_the_table(spark, tmp_path):
+    """Plain gzip parts can't be cut, so a larger table gets more of them (q58_vcf_gzip_cohort, q61_caller_table_scan)."""
+    from strandmill.plans import text_queries
+    from strandmill.plans.fixture import Genome
+
+    spark.range(2_600_000).write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert text_queries._parts(Genome(spark, str(tmp_path))) == 6
