@@ -106,3 +106,9 @@ def test_molecules_are_merged_without_sorting_and_long_reads_piece_by_piece(spar
     same = {p: want.get((1, p), want.get((2, p))) for p in {p for _, p in want} if want.get((1, p), want.get((2, p))) == want.get((2, p), want.get((1, p)))}
     assert {r.pos: r.base for r in merged.collect()} == same
     assert "SortAggregate" not in merged._jdf.queryExecution().executedPlan().toString()
+
+
+def test_substitutions_of_one_position_keep_their_order(spark):
+    """A base that a transcript reads twice can change to two bases in one codon (q102_annotated_rows)."""
+    rows = spark.createDataFrame([([(9, "T", "C"), (9, "T", "A"), (7, "G", "C")],)], "items array<struct<pos:long,ref:string,alt:string>>")
+    assert rows.select(consequence.hgvs_substitution(F.col("items"), "g.")).first()[0] == "g.[7G>C;9T>C;9T>A]"
