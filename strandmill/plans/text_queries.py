@@ -305,8 +305,8 @@ def q68_normalise_alleles(g):
     """Indels padded with the bases around them, trimmed back where their components stay the same."""
     from strandmill.operators.reference import lookup
 
-    rows = lookup(g.indels().where("pos > 3"), g.reference(), {"_b": (F.col("pos") - 2, F.lit(2))})
-    long_ = lookup(rows.withColumn("_e", F.col("pos") + F.length("ref")), g.reference(), {"_a": (F.col("_e"), F.lit(2))})
+    rows = lookup(g.indels().where("pos > 3"), g.reference(), {"_b": (F.col("pos") - 2, F.lit(2))}, reach=2)
+    long_ = lookup(rows.withColumn("_e", F.col("pos") + F.length("ref")), g.reference(), {"_a": (F.col("_e"), F.lit(2))}, reach=2)
     rows = long_.select("contig", (F.col("pos") - 2).alias("pos"), F.concat("_b", "ref", "_a").alias("ref"), F.concat("_b", "alt", "_a").alias("alt"), F.col("pos").alias("site"))
     kept = alleles.with_event(alleles.normalise(rows))
     return kept.select("contig", "site", "ref", "alt", "pos", alleles.labels(F.col("components")).alias("components"))
@@ -376,7 +376,7 @@ def q72_multibase_records(g):
     """Records of two neighbouring changed bases, split to the substitutions they hold; indels hold none."""
     from strandmill.operators.reference import lookup
 
-    rows = lookup(g.snvs(), g.reference(), {"_r": (F.col("pos"), F.lit(2))}).where(F.length("_r") == 2)
+    rows = lookup(g.snvs(), g.reference(), {"_r": (F.col("pos"), F.lit(2))}, reach=2).where(F.length("_r") == 2)
     next_ = F.substr("_r", F.lit(2), F.lit(1))
     mnp = rows.select("contig", "pos", F.col("_r").alias("ref"), F.concat("alt", F.when(F.col("pos") % 2 == 0, F.translate(next_, "ACGT", "CGTA")).otherwise(next_)).alias("alt"))
     each = alleles.with_event(mnp.unionByName(g.indels().select("contig", "pos", "ref", "alt"))).select("contig", F.col("pos").alias("site"), "alt", "event_class", F.explode(alleles.substitution_components(F.col("components"))).alias("c"))
