@@ -49,7 +49,8 @@ TOP_WORDS, VOCAB_SCALE, DENSE = 300_000, 2.0, 1024
 WIDTH, NOISE, BATCH, RATE, PASS_TOKENS, PASSES, USES = 24, 48, 1024, 0.3, 2_000_000, 8, 4
 BEGIN, UNKNOWN, FIRST = 0, 1, 2
 END = b""
-COUNTER_WORDS = 300_000
+#: Words of a counting table; tokens scored at once.
+COUNTER_WORDS, SCORED = 300_000, 1 << 18
 SMOOTH = 0.1
 
 
@@ -91,6 +92,10 @@ class Vocabulary:
         self.unigram = p / p.sum()
         self._index: dict[bytes, int] | None = None
 
+    def model(self) -> Vocabulary:
+        """The same without the words that only have counts: a small table of words is searched faster."""
+        return Vocabulary(self.words[: self.inside], self.counts[: self.inside].tolist(), self.total, self.distinct, self.inside)
+
     def index(self) -> dict[bytes, int]:
         if self._index is None:
             self._index = {w: i for i, w in enumerate(self.words)}
@@ -133,29 +138,31 @@ class LogBilinear:
 
     def step(self, ctx: np.ndarray, target: np.ndarray, rng: np.random.Generator, noise: int = NOISE, rate: float = RATE) -> None:
         """One NCE step of all levels. ctx: (n, 2) model ids, nearest first; noise words are shared by the batch, half as many a level up."""
-        p = self.p
+        p, levels, w = self.p, len(self.span), self.p["q"].shape[1]
         near, far = p["r"].take(ctx[:, 0], 0), p["r"].take(ctx[:, 1], 0)
         h = near * p["c"][0] + far * p["c"][1]
-        gh, at, gq = np.zeros_like(h), [], []
+        draws = [max(8, noise >> j) for j in range(levels)]  # upper levels have fewer nodes to tell apart
+        log_kn = np.log(np.array(draws, np.float32))
+        goal = np.concatenate([target // span + before for span, before in zip(self.span, self.before, strict=False)])
+        k = np.concatenate([before + np.minimum(np.searchsorted(steps, rng.random(n), side="right"), len(steps) - 1) for n, before, steps in zip(draws, self.before, self.steps, strict=False)])
+        qg, qk = p["q"].take(goal, 0).reshape(levels, -1, w), p["q"].take(k, 0)
         with np.errstate(over="ignore"):  # an infinite weight is a probability of 0
-            for j, (span, before, steps) in enumerate(zip(self.span, self.before, self.steps, strict=False)):
-                n = max(8, noise >> j)  # upper levels have fewer nodes to tell apart
-                log_kn = np.float32(np.log(n))
-                goal = target // span + before
-                k = before + np.minimum(np.searchsorted(steps, rng.random(n), side="right"), len(steps) - 1)
-                qg, qk = p["q"].take(goal, 0), p["q"].take(k, 0)
-                st = np.einsum("nd,nd->n", h, qg) + (p["b"].take(goal) - self.log_noise.take(goal) - log_kn)
-                gn = h @ qk.T
-                gn += p["b"].take(k) - self.log_noise.take(k) - log_kn
-                np.exp(np.negative(gn, out=gn), out=gn)
-                gn += 1
-                np.reciprocal(gn, out=gn)
-                gt = (1 / (1 + np.exp(-st)) - 1).astype(np.float32)[:, None]  # of the loss by the score
-                gh += gt * qg
-                gh += gn @ qk
-                at += [goal, k]
-                gq += [np.concatenate((gt * h, gt), 1), np.concatenate((gn.T @ h, gn.sum(0)[:, None]), 1)]
-        at, gq, times = _rows(np.concatenate(at), np.concatenate(gq))
+            st = np.einsum("nd,lnd->ln", h, qg) + (p["b"].take(goal) - self.log_noise.take(goal)).reshape(levels, -1) - log_kn[:, None]
+            gn = h @ qk.T
+            gn += p["b"].take(k) - self.log_noise.take(k) - np.repeat(log_kn, draws)
+            np.exp(np.negative(gn, out=gn), out=gn)
+            gn += 1
+            np.reciprocal(gn, out=gn)
+            gt = 1 / (1 + np.exp(-st)) - 1  # of the loss by the score
+        gh = gn @ qk
+        for g, q in zip(gt, qg, strict=True):
+            gh += g[:, None] * q
+        gq = np.empty((len(goal) + len(k), w + 1), np.float32)
+        np.multiply(gt[:, :, None], h, out=gq[: len(goal), :w].reshape(levels, -1, w))
+        gq[: len(goal), w] = gt.ravel()
+        gq[len(goal) :, :w] = gn.T @ h
+        gq[len(goal) :, w] = gn.sum(0)
+        at, gq, times = _rows(np.concatenate((goal, k)), gq)
         near_far, gr, used = _rows(np.concatenate((ctx[:, 0], ctx[:, 1])), np.concatenate((gh * p["c"][0], gh * p["c"][1])))
         gc = np.stack((np.einsum("nd,nd->d", gh, near), np.einsum("nd,nd->d", gh, far)))
         self.uses[at] += times
@@ -212,12 +219,12 @@ class LogBilinear:
 
 def _log_total(h: np.ndarray, q: np.ndarray, rows: int = 2048) -> np.ndarray:
     """Logarithm of the sum of exp(h . q) over the rows of q."""
-    out = np.empty(len(h), np.float32)
-    with np.errstate(over="ignore", divide="ignore"):
+    out, one = np.empty(len(h), np.float32), np.ones(len(q), np.float32)
+    with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
         for s in range(0, len(h), rows):
             x = h[s : s + rows] @ q.T
-            total = np.exp(x).sum(1)
-            if not (np.isfinite(total) & (total > 0)).all():  # out of range: relative to the largest
+            total = np.exp(x) @ one
+            if not 0 < total.min() <= total.max() < np.inf:  # out of range: relative to the largest
                 top = x.max(1)
                 out[s : s + rows] = np.log(np.exp(x - top[:, None]).sum(1)) + top
             else:
@@ -227,11 +234,11 @@ def _log_total(h: np.ndarray, q: np.ndarray, rows: int = 2048) -> np.ndarray:
 
 def _rows(at: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct indices, the sums of their rows of g, and how often they occur."""
-    order = np.argsort(at)
+    short = 0 <= at.min() and at.max() < 1 << 16  # two bytes are sorted without comparisons
+    order = np.argsort(at.astype(np.uint16), kind="stable") if short else np.argsort(at)
     at = at.take(order)
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    sums = np.add.reduceat(np.ascontiguousarray(g.take(order, 0).T), first, axis=1)  # long rows add up faster than many short ones
-    return at.take(first), np.ascontiguousarray(sums.T), np.diff(np.append(first, len(at)))
+    return at.take(first), np.add.reduceat(g.take(order, 0), first, axis=0), np.diff(np.append(first, len(at)))
 
 
 def contexts(ids: np.ndarray) -> np.ndarray:
@@ -244,7 +251,7 @@ def train_model(train: DataFrame, vocabulary: Vocabulary, dense: int = DENSE) ->
     """NCE over the texts of every task. A task sends the rows that it used: word or node (-1: context matrices), uses, values."""
     spark = train.sparkSession
     model = LogBilinear(vocabulary.unigram, dense=dense)
-    sent = spark.sparkContext.broadcast(vocabulary)
+    sent = spark.sparkContext.broadcast(vocabulary.model())
     v, width = len(model.p["r"]), 2 * WIDTH + 1
     schema = pa.schema([("id", pa.int32()), ("n", pa.int64()), ("w", pa.binary())])
 
@@ -378,7 +385,7 @@ def score_documents(docs: DataFrame, folds: int = 10, top_words: int = TOP_WORDS
                     tail.append((rid, Counter(tokens[i] for i in np.flatnonzero(ids < 0))))
             if main:
                 ctx, tgt = np.concatenate(ctx), np.concatenate(tgt)
-                logs = np.concatenate([m.log_probs(ctx[s : s + (1 << 16)], tgt[s : s + (1 << 16)]) for s in range(0, len(tgt), 1 << 16)])
+                logs = np.concatenate([m.log_probs(ctx[s : s + SCORED], tgt[s : s + SCORED]) for s in range(0, len(tgt), SCORED)])
                 score = np.bincount(np.repeat(np.arange(len(sizes)), sizes), logs) + within
                 main = [(*x, y) for x, y in zip(main, score.tolist(), strict=True)]
             if main:

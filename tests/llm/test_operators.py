@@ -266,6 +266,21 @@ def test_lm_vocabulary_grows(spark):
     assert mean(0) > mean(1) + 0.5
 
 
+def test_lm_training_words_and_row_sums():
+    """Tasks that train are sent the model's words only, with the same noise; rows are summed by index, be it below 0 or beyond two bytes."""
+    v = lm.Vocabulary([b"a", b"b", b"c", b""], [9, 7, 3, 2], 21, 4, 2)
+    small = v.model()
+    assert small.words == [b"a", b"b"] and np.array_equal(small.unigram, v.unigram)
+    words = [b"c", b"a", b"x", b"", b"b"]
+    assert small.model_ids(small.ids(words)).tolist() == v.model_ids(v.ids(words)).tolist() == [1, 2, 1, 1, 3]
+    rng = np.random.default_rng(2)
+    for low, high in ((0, 50), (-1, 50), (65_000, 70_000)):
+        at, g = rng.integers(low, high, 400), rng.integers(-9, 9, (400, 3)).astype(np.float32)
+        rows, sums, times = lm._rows(at, g)
+        assert rows.tolist() == sorted(set(at.tolist()))
+        assert all(np.array_equal(x, g[at == i].sum(0)) and n == (at == i).sum() for i, x, n in zip(rows, sums, times, strict=True))
+
+
 def test_lm_empty(none):
     assert lm.score_documents(none).count() == 0
 
