@@ -51,6 +51,8 @@ BEGIN, UNKNOWN, FIRST = 0, 1, 2
 END = b""
 #: Words of a counting table; tokens scored at once.
 COUNTER_WORDS, SCORED = 300_000, 1 << 18
+#: Tokens whose sums are taken together when scoring.
+ROWS = 4096
 SMOOTH = 0.1
 
 
@@ -155,8 +157,7 @@ class LogBilinear:
             np.reciprocal(gn, out=gn)
             gt = 1 / (1 + np.exp(-st)) - 1  # of the loss by the score
         gh = gn @ qk
-        for g, q in zip(gt, qg, strict=True):
-            gh += g[:, None] * q
+        gh += np.einsum("ln,lnd->nd", gt, qg)
         gq = np.empty((len(goal) + len(k), w + 1), np.float32)
         np.multiply(gt[:, :, None], h, out=gq[: len(goal), :w].reshape(levels, -1, w))
         gq[: len(goal), w] = gt.ravel()
@@ -191,60 +192,94 @@ class LogBilinear:
         """log10 p of each target after its context."""
         one = len(self.span) == 1
         if self.ready is None:  # the parameters are final
-            self.ready = self.tables() if one else np.column_stack((self.p["q"], self.p["b"]))
-            if not one:
-                self.ready[BEGIN, -1] = -1e4
+            self.ready = self.tables() if one else self._paths()
         if one:
             near, far, norm = self.ready
             return near[ctx[:, 0], target] + far[ctx[:, 1], target] - norm[ctx[:, 0], ctx[:, 1]]
-        order = np.argsort(target, kind="stable")  # siblings lie side by side at every level
-        ctx, target = ctx[order], target[order]
-        h = self.p["r"].take(ctx[:, 0], 0) * self.p["c"][0] + self.p["r"].take(ctx[:, 1], 0) * self.p["c"][1]
-        h = np.column_stack((h, np.ones(len(h), np.float32)))
-        nodes = self.ready.take(target, 0)
-        for span, before in list(zip(self.span, self.before, strict=False))[1:]:
-            nodes += self.ready.take(target // span + before, 0)
-        logs = np.einsum("nd,nd->n", h, nodes)
-        for j, (span, before) in enumerate(zip(self.span, self.before, strict=False)):
-            last, end = j + 1 == len(self.span), self.before[j + 1]
-            group = target // (span * self.branch) if not last else np.zeros(len(target), target.dtype)
-            first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-            for lo, hi in zip(first, np.append(first[1:], len(group)), strict=True):
-                s = before + int(group[lo]) * self.branch
-                logs[lo:hi] -= _log_total(h[lo:hi], self.ready[s : end if last else min(s + self.branch, end)])
+        near, far, path, nodes = self.ready
+        order = _order(target)  # siblings lie side by side at every level
+        ctx, target, logs = ctx.take(order, 0), target.take(order), np.empty(len(order), np.float32)
+        for s in range(0, len(target), ROWS):  # what a few thousand tokens need stays in the processor's cache
+            t = target[s : s + ROWS]
+            h = near.take(ctx[s : s + ROWS, 0], 0)
+            h += far.take(ctx[s : s + ROWS, 1], 0)
+            x = np.einsum("nd,nd->n", h, path.take(t, 0))
+            for j, (span, before) in enumerate(zip(self.span, self.before, strict=False)):
+                last, end = j + 1 == len(self.span), self.before[j + 1]
+                group = t // (span * self.branch) if not last else np.zeros(len(t), t.dtype)
+                first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+                for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(t)], strict=True):
+                    k = before + int(group[lo]) * self.branch
+                    x[lo:hi] -= _log_total(h[lo:hi], nodes[k : end if last else min(k + self.branch, end)])
+            logs[s : s + ROWS] = x
         out = np.empty(len(logs), np.float32)
         out[order] = logs / np.float32(np.log(10))
         return out
 
+    def _paths(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(near, far, path, nodes): context words by their matrices, with a 1 for the biases, sums of the nodes over each word, and nodes with their biases."""
+        v = len(self.p["r"])
+        near = np.column_stack((self.p["r"] * self.p["c"][0], np.ones(v, np.float32)))
+        far = np.column_stack((self.p["r"] * self.p["c"][1], np.zeros(v, np.float32)))
+        nodes = np.column_stack((self.p["q"], self.p["b"]))
+        nodes[BEGIN, -1] = -1e4
+        path = sum(nodes.take(np.arange(v) // span + before, 0) for span, before in zip(self.span, self.before, strict=False))
+        return near, far, path, nodes
 
-def _log_total(h: np.ndarray, q: np.ndarray, rows: int = 2048) -> np.ndarray:
+
+def _log_total(h: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Logarithm of the sum of exp(h . q) over the rows of q."""
-    out, one = np.empty(len(h), np.float32), np.ones(len(q), np.float32)
     with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
-        for s in range(0, len(h), rows):
-            x = h[s : s + rows] @ q.T
-            total = np.exp(x) @ one
-            if not 0 < total.min() <= total.max() < np.inf:  # out of range: relative to the largest
-                top = x.max(1)
-                out[s : s + rows] = np.log(np.exp(x - top[:, None]).sum(1)) + top
-            else:
-                out[s : s + rows] = np.log(total)
-    return out
+        x = h @ q.T
+        total = np.exp(x) @ np.ones(len(q), np.float32)
+        if 0 < total.min() <= total.max() < np.inf:
+            return np.log(total)
+        top = x.max(1)  # out of range: relative to the largest
+        return np.log(np.exp(x - top[:, None]).sum(1)) + top
+
+
+def _order(at: np.ndarray) -> np.ndarray:
+    """Places in the order of the indices; two bytes are sorted without comparisons."""
+    return np.argsort(at.astype(np.uint16) if 0 <= at.min() and at.max() < 1 << 16 else at, kind="stable")
 
 
 def _rows(at: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct indices, the sums of their rows of g, and how often they occur."""
-    short = 0 <= at.min() and at.max() < 1 << 16  # two bytes are sorted without comparisons
-    order = np.argsort(at.astype(np.uint16), kind="stable") if short else np.argsort(at)
+    """Distinct indices, the sums of their rows of g, and how often they occur. Most occur once, and such a row is its own sum."""
+    order = _order(at)
     at = at.take(order)
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    return at.take(first), np.add.reduceat(g.take(order, 0), first, axis=0), np.diff(np.append(first, len(at)))
+    times = np.diff(np.append(first, len(at)))
+    out, many = g.take(order.take(first), 0), times > 1
+    if many.any():
+        n = times[many]
+        out[many] = np.add.reduceat(g.take(order[np.repeat(many, times)], 0), np.cumsum(n) - n, axis=0)
+    return at.take(first), out, times
 
 
-def contexts(ids: np.ndarray) -> np.ndarray:
-    """(n, 2): the word before and the one before that, in one text."""
+def contexts(ids: np.ndarray, sizes: np.ndarray | None = None) -> np.ndarray:
+    """(n, 2): the word before and the one before that, in one text, or in texts of so many words that lie end to end."""
     pad = np.concatenate((np.full(2, BEGIN, ids.dtype), ids))
-    return np.stack((pad[1:-1], pad[:-2]), 1)
+    out = np.stack((pad[1:-1], pad[:-2]), 1)
+    if sizes is not None and len(sizes):
+        start = np.cumsum(sizes) - sizes
+        out[start[sizes > 0]] = BEGIN
+        out[start[sizes > 1] + 1, 1] = BEGIN
+    return out
+
+
+def token_lists(texts, most: int):
+    """(tokens of whole texts end to end, tokens of each text), at least `most` tokens at a time where there are as many."""
+    tokens, sizes = [], []
+    for text in texts:
+        words = ascii_words(text)
+        tokens += words
+        tokens.append(END)
+        sizes.append(len(words) + 1)
+        if len(tokens) >= most:
+            yield tokens, np.array(sizes)
+            tokens, sizes = [], []
+    if sizes:
+        yield tokens, np.array(sizes)
 
 
 def train_model(train: DataFrame, vocabulary: Vocabulary, dense: int = DENSE) -> LogBilinear:
@@ -271,9 +306,9 @@ def train_model(train: DataFrame, vocabulary: Vocabulary, dense: int = DENSE) ->
             return len(t)
 
         for batch in batches:
-            for text in text_bytes(batch.column("text")):
-                ids = vocab.model_ids(vocab.ids([*ascii_words(text), END]))
-                near = contexts(ids)
+            for tokens, sizes in token_lists(text_bytes(batch.column("text")), 16 * BATCH):
+                ids = vocab.model_ids(vocab.ids(tokens))
+                near = contexts(ids, sizes)
                 for s in range(0, len(ids), 1 << 16):
                     ctx.append(near[s : s + (1 << 16)])
                     tgt.append(ids[s : s + (1 << 16)])
@@ -370,30 +405,25 @@ def score_documents(docs: DataFrame, folds: int = 10, top_words: int = TOP_WORDS
     def task(batches):
         v, m = sent.value
         for batch in batches:
-            main, tail, ctx, tgt, sizes, within = [], [], [], [], [], []
-            for rid, doc, held, text in zip(*(batch.column(c).to_pylist() for c in ("rid", "doc_id", "held_out")), text_bytes(batch.column("text")), strict=True):
-                tokens = [*ascii_words(text), END]
-                ids = v.ids(tokens)
-                mid = v.model_ids(ids)
-                ctx.append(contexts(mid))
-                tgt.append(mid)
-                sizes.append(len(mid))
-                known = ids[ids >= 0]
-                within.append(float(v.within[known[known >= v.inside]].sum()))
-                main.append((rid, doc, held, len(tokens), int((v.counts[known] > 0).sum()), float(v.base[known].sum())))
-                if len(known) < len(ids):
-                    tail.append((rid, Counter(tokens[i] for i in np.flatnonzero(ids < 0))))
-            if main:
-                ctx, tgt = np.concatenate(ctx), np.concatenate(tgt)
-                logs = np.concatenate([m.log_probs(ctx[s : s + SCORED], tgt[s : s + SCORED]) for s in range(0, len(tgt), SCORED)])
-                score = np.bincount(np.repeat(np.arange(len(sizes)), sizes), logs) + within
-                main = [(*x, y) for x, y in zip(main, score.tolist(), strict=True)]
-            if main:
-                cols = [pa.array(list(c), t.type) for c, t in zip(zip(*main, strict=True), schema, strict=False)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.nulls(len(main), pa.binary()), pa.nulls(len(main), pa.int64())], schema=schema)
-            if n := sum(len(c) for _, c in tail):
-                none = [pa.nulls(n, f.type) for f in list(schema)[1:7]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat([r for r, _ in tail], [len(c) for _, c in tail])), *none, pa.array([w for _, c in tail for w in c], pa.binary()), pa.array([k for _, c in tail for k in c.values()], pa.int64())], schema=schema)
+            row = 0
+            for tokens, sizes in token_lists(text_bytes(batch.column("text")), SCORED):
+                rows, k = batch.slice(row, len(sizes)), len(sizes)
+                row += k
+                ids, of = v.ids(tokens), np.repeat(np.arange(k), sizes)
+                known = np.flatnonzero(ids >= 0)
+                at, top, place = ids.take(known), v.model_ids(ids), of.take(known)
+                n_known, base = np.bincount(place, v.counts.take(at) > 0, k).astype(np.int64), np.bincount(place, v.base.take(at), k)
+                rare = at >= v.inside
+                ctx = contexts(top, sizes)
+                logs = np.concatenate([m.log_probs(ctx[s : s + SCORED], top[s : s + SCORED]) for s in range(0, len(top), SCORED)])
+                score = np.bincount(of, logs, k) + np.bincount(place[rare], v.within.take(at[rare]), k)
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("rid", "doc_id", "held_out")), *map(pa.array, (sizes, n_known, base, score)), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64())], schema=schema)
+                lost = np.flatnonzero(ids < 0)
+                if len(lost):
+                    tf = Counter(zip(of.take(lost).tolist(), map(tokens.__getitem__, lost.tolist()), strict=True))
+                    n, none = len(tf), [pa.nulls(len(tf), f.type) for f in list(schema)[1:7]]
+                    rid = rows.column("rid").to_numpy().take(np.fromiter((r for r, _ in tf), np.int64, n))
+                    yield pa.RecordBatch.from_arrays([pa.array(rid), *none, pa.array([w for _, w in tf], pa.binary()), pa.array(list(tf.values()), pa.int64())], schema=schema)
 
     ddl = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, word binary, tf long"
     scored = materialize(marked.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(task, ddl), "scored")

@@ -281,6 +281,28 @@ def test_lm_training_words_and_row_sums():
         assert all(np.array_equal(x, g[at == i].sum(0)) and n == (at == i).sum() for i, x, n in zip(rows, sums, times, strict=True))
 
 
+def test_lm_texts_end_to_end():
+    """Texts laid end to end have the contexts and probabilities that each has by itself, also where they are cut."""
+    from strandmill.llm.common import ascii_words
+
+    rng = np.random.default_rng(4)
+    texts = [None, b"", b"a", b"b A", *(" ".join(f"w{j}" for j in rng.integers(0, 60, n)).encode() for n in (3, 40, 5000, 1, 9000))]
+    names = [lm.END, b"a", b"b", *(b"w%d" % i for i in range(40))]
+    v = lm.Vocabulary(names, list(range(100, 100 - len(names), -1)), 9000, 64, len(names))
+    alone = [v.model_ids(v.ids([*ascii_words(t), lm.END])) for t in texts]
+    for most in (1, 30, 1 << 18):
+        parts = [(v.model_ids(v.ids(tokens)), sizes) for tokens, sizes in lm.token_lists(texts, most)]
+        assert [n for _, sizes in parts for n in sizes] == [len(x) for x in alone]
+        assert np.array_equal(np.concatenate([x for x, _ in parts]), np.concatenate(alone))
+        assert np.array_equal(np.concatenate([lm.contexts(*x) for x in parts]), np.concatenate([lm.contexts(x) for x in alone]))
+    m = lm.LogBilinear(v.unigram, width=4, dense=5)
+    m.p["r"] = rng.normal(0, 1, m.p["r"].shape).astype(np.float32)
+    m.p["q"] = rng.normal(0, 1, m.p["q"].shape).astype(np.float32)
+    ids, ctx = np.concatenate(alone), np.concatenate([lm.contexts(x) for x in alone])
+    single = np.concatenate([m.log_probs(ctx[i : i + 1], ids[i : i + 1]) for i in range(len(ids))])
+    assert len(ids) > 3 * lm.ROWS and np.allclose(m.log_probs(ctx, ids), single, atol=1e-4)
+
+
 def test_lm_empty(none):
     assert lm.score_documents(none).count() == 0
 
