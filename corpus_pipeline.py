@@ -14,10 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from strandmill.llm import exact_dedup, langid, mixing, ngram_join, packing
 from strandmill.llm.common import bound_batches, materialize
 
+#: Bytes of an Arrow batch: executors run the stages one after another and keep what any of them needed.
+BATCH_BYTES = 1 << 20
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a recognisable language (null, or no letter) go."""
-    bound_batches(spark)
+    bound_batches(spark, BATCH_BYTES)
     return langid.keep_identified(docs)
 
 
@@ -28,7 +31,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of documents that share 0.8 of their 5-word shingles, the smallest doc_id stays."""
-    bound_batches(spark)
+    bound_batches(spark, BATCH_BYTES)
     return ngram_join.drop_near_copies(docs, n=5, num=80, den=100)
 
 
@@ -39,7 +42,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row per piece of each drawn document with its bin."""
-    bound_batches(spark)
+    bound_batches(spark, BATCH_BYTES)
     return packing.pack_documents(docs)
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -60,9 +62,29 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Arrow batches of this session hold at most BATCH_BYTES (a longer row is one by itself), so that tasks over long texts need as little memory as those over short ones."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+def bound_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Arrow batches of this session hold at most so many bytes (a longer row is one by itself), so that tasks over long texts need as little memory as those over short ones."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+
+
+def give_back() -> None:
+    """What this process has freed goes back to the system: a Python worker serves many tasks, and would keep the most that any of them took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
+def map_batches(df: DataFrame, task: Callable, ddl) -> DataFrame:
+    """df.mapInArrow(task, ddl), after each task of which the worker gives back its memory."""
+
+    def run(batches):
+        try:
+            yield from task(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, ddl)
 
 
 def norm_space(text: Column) -> Column:

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandmill.llm.common import crc_bucket, held_out, text_bytes
+from strandmill.llm.common import crc_bucket, held_out, map_batches, text_bytes
 
 #: Expected number of sampled rows a language, n-grams of a profile and of a text, and languages at most.
 TRAIN_DOCS, PROFILE, LANGUAGES = 4000, 400, 10_000
@@ -113,7 +113,7 @@ def learn(docs: DataFrame, folds: int = 5, train_docs: int = TRAIN_DOCS) -> Prof
             ids, n = _added(parts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(ids), pa.string()), pa.array(ids), pa.array(n)], names=["lang", "gram", "n"])
 
-    counts = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = map_batches(sample, count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     ranks: dict[str, list[int]] = {}
     for r in counts.withColumn("place", place).where(F.col("place") <= PROFILE).orderBy("lang", "place").collect():
@@ -135,7 +135,7 @@ def identify(docs: DataFrame, profiles: Profiles, folds: int = 5) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64())], schema=OUT)
 
     out = held_out(F.col("doc_id"), folds) if folds else F.lit(False)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), out.alias("held_out"), "text").mapInArrow(task, OUT_DDL)
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), out.alias("held_out"), "text"), task, OUT_DDL)
 
 
 def language_id(docs: DataFrame, folds: int = 5, train_docs: int = TRAIN_DOCS) -> DataFrame:
@@ -153,4 +153,4 @@ def keep_identified(docs: DataFrame, least: float = 0.0, folds: int = 5) -> Data
             lang = pc.coalesce(batch.column("lang"), pa.array([s[0] for s in said], batch.schema.field("lang").type))
             yield batch.set_column(batch.schema.get_field_index("lang"), batch.schema.field("lang"), lang).filter(keep)
 
-    return docs.mapInArrow(task, schema)
+    return map_batches(docs, task, schema)

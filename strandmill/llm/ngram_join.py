@@ -39,13 +39,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.llm.common import ascii_words, keep_rows, materialize, skew_safe_join, text_bytes, text_key
+from strandmill.llm.common import ascii_words, keep_rows, map_batches, materialize, skew_safe_join, text_bytes, text_key
 
 #: Broadcast tokens at most; copies of a token in a task that make it known; posting lists paired out; pivots of longer ones; rows of a split list.
 HEAVY_TOKENS, LOCAL_COPIES, SHORT_LIST, PIVOTS, LIST_ROWS = 500_000, 3, 32, 8, 8192
 #: Least frequency of a frequent token; identifiers that are broadcast at most; distinct words remembered by a task.
 HEAVY_LEAST, BROADCAST_IDS, WORD_CACHE = 64, 1_000_000, 300_000
 SKETCH_BITS = 1024
+#: Tokens among which a task looks for frequent ones.
+HELD_TOKENS = 4_000_000
 #: Odd multipliers of the word places of an n-gram, and of the further orders.
 PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xD6E8FEB86659FD93], np.uint64)
 ORDERS = np.array([0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
@@ -139,18 +141,27 @@ def _blocks(sketches: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def repeated(tokens: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens that occur at least so often, and how often. They are sorted in place: a task holds them once."""
+    tokens.sort()
+    many = tokens[least - 1 :] == tokens[: max(0, len(tokens) - least + 1)]  # a run goes on for so long from here
+    many[1:] &= tokens[1 : len(many)] != tokens[: max(0, len(many) - 1)]  # and starts here
+    first = np.flatnonzero(many)
+    found = tokens[first]
+    return found, np.searchsorted(tokens, found, side="right") - first
+
+
 def class_rows(docs: DataFrame, n: int) -> DataFrame:
     """One written table of two kinds: kind 0 a row per row of docs (doc_id, th, cls, n, sketch), kind 1 tokens frequent in a task (cls, n)."""
     schema = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("th", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("chk", pa.int64())])
 
-    def frequent(held):
-        tok, count = np.unique(np.concatenate(held), return_counts=True)
-        keep = count >= LOCAL_COPIES
-        k = int(keep.sum())
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int8)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(tok[keep].astype(np.int64)), pa.array(count[keep].astype(np.int64)), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64())], schema=schema)
+    def frequent(tokens):
+        tok, count = repeated(tokens, LOCAL_COPIES)
+        k = len(tok)
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int8)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(tok.view(np.int64)), pa.array(count.astype(np.int64)), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64())], schema=schema)
 
     def task(batches):
-        words, held, size = WordHash(), [], 0
+        words, held, size = WordHash(), np.empty(HELD_TOKENS, np.uint64), 0
         for batch in batches:
             cls, ns, sketches, chk = [], [], [], []
             for text in text_bytes(batch.column("text")):
@@ -160,17 +171,17 @@ def class_rows(docs: DataFrame, n: int) -> DataFrame:
                 chk.append(two)
                 ns.append(len(t))
                 sketches.append(sketch_of(t) if len(t) else None)
-                held.append(t)
+                if size + len(t) > len(held):
+                    yield frequent(held[:size])
+                    held, size = held if len(t) <= len(held) else np.empty(len(t), np.uint64), 0
+                held[size : size + len(t)] = t
                 size += len(t)
-                if size > 4_000_000:
-                    yield frequent(held)
-                    held, size = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ns), np.int8)), batch.column("doc_id"), batch.column("th"), pa.array(cls, pa.int64()), pa.array(ns, pa.int64()), pa.array(sketches, pa.binary()), pa.array(chk, pa.int64())], schema=schema)
         if size:
-            yield frequent(held)
+            yield frequent(held[:size])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("th"), "text")
-    return materialize(own.mapInArrow(task, "kind byte, doc_id long, th long, cls long, n long, sketch binary, chk long"), "classes")
+    return materialize(map_batches(own, task, "kind byte, doc_id long, th long, cls long, n long, sketch binary, chk long"), "classes")
 
 
 def split_clashes(table: DataFrame) -> tuple[DataFrame, frozenset]:
@@ -235,7 +246,7 @@ def postings(docs: DataFrame, n: int, num: int, den: int, heavy: tuple[np.ndarra
         if held:
             yield flush(held)
 
-    return docs.select("text").mapInArrow(task, "token long, sub int, cls long, n int, pos int")
+    return map_batches(docs.select("text"), task, "token long, sub int, cls long, n int, pos int")
 
 
 def _passes(n1, p1, n2, p2, num: int, den: int) -> np.ndarray:
@@ -348,7 +359,7 @@ def scan_lists(posted: DataFrame, num: int, den: int, short: int = SHORT_LIST, p
         yield flush_pairs(True)
 
     lists = posted.repartition(F.col("token"), F.col("sub")).sortWithinPartitions("token", "sub", "pos", "cls")
-    return lists.mapInArrow(task, CANDIDATE_DDL)
+    return map_batches(lists, task, CANDIDATE_DDL)
 
 
 def verify(pairs: DataFrame, docs: DataFrame, table: DataFrame, n: int, num: int, den: int, broadcast_ids: int = BROADCAST_IDS, clashes: frozenset = frozenset()) -> DataFrame:
@@ -372,7 +383,7 @@ def verify(pairs: DataFrame, docs: DataFrame, table: DataFrame, n: int, num: int
                     apart[at[k]] = bits_apart(words[k], other)
             yield batch.select(["a", "b"]).filter(pa.array(apart <= most))
 
-    pairs = materialize(pairs.join(end("b"), "b").join(end("a"), "a").select("a", "b", "na", "nb", "sketcha", "sketchb").mapInArrow(near, "a long, b long"), "near")
+    pairs = materialize(map_batches(pairs.join(end("b"), "b").join(end("a"), "a").select("a", "b", "na", "nb", "sketcha", "sketchb"), near, "a long, b long"), "near")
     wanted = materialize(heads.select("cls", "wid", "wth").join(ends(pairs), "cls", "left_semi"), "wanted")
     side = F.broadcast(wanted) if wanted.count() <= broadcast_ids else wanted
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("th"), "text")
@@ -390,7 +401,7 @@ def verify(pairs: DataFrame, docs: DataFrame, table: DataFrame, n: int, num: int
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    found = materialize(texts.mapInArrow(sets, "cls long, n long, p1 binary, p2 binary, tokens binary"), "sets")
+    found = materialize(map_batches(texts, sets, "cls long, n long, p1 binary, p2 binary, tokens binary"), "sets")
     side_of = lambda s, *cols: found.select(F.col("cls").alias(s), *(F.col(c).alias(c + s) for c in cols))
 
     def shares(batches):
@@ -401,7 +412,7 @@ def verify(pairs: DataFrame, docs: DataFrame, table: DataFrame, n: int, num: int
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left = pairs.join(side_of("b", "p1", "p2"), "b").join(side_of("a", "p1", "p2"), "a").select("a", "b", "p1a", "p1b", "p2a", "p2b")
-    passed = materialize(left.mapInArrow(shares, "a long, b long"), "passed")
+    passed = materialize(map_batches(left, shares, "a long, b long"), "passed")
 
     def similar(batches):
         for batch in batches:
@@ -413,7 +424,7 @@ def verify(pairs: DataFrame, docs: DataFrame, table: DataFrame, n: int, num: int
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     full = passed.join(side_of("b", "tokens"), "b").join(side_of("a", "tokens"), "a").select("a", "b", "tokensa", "tokensb")
-    return materialize(full.mapInArrow(similar, "a long, b long"), "links")
+    return materialize(map_batches(full, similar, "a long, b long"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:

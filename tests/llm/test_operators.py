@@ -207,6 +207,26 @@ def test_lm_base_counts(docs, top, dense):
     assert np.allclose([w[4] for w in sorted(want, key=str)], [g[4] for g in got], atol=1e-4)
 
 
+def test_repeated_tokens_are_held_once():
+    """As by counting all distinct tokens, in a fraction of the memory beside the tokens themselves; what a task has freed can be given back."""
+    import tracemalloc
+
+    from strandmill.llm.common import give_back
+
+    rng = np.random.default_rng(8)
+    for n, top, least in ((0, 1, 3), (1, 1, 3), (2, 1, 3), (3, 1, 3), (500, 40, 3), (500, 200, 3), (500, 200, 1), (7, 1, 7)):
+        t = rng.integers(0, top, n).astype(np.uint64)
+        tok, count = np.unique(t, return_counts=True)
+        got = ngram_join.repeated(t.copy(), least)
+        assert got[0].tolist() == tok[count >= least].tolist() and got[1].tolist() == count[count >= least].tolist()
+    t = rng.integers(0, 1 << 40, 400_000).astype(np.uint64)
+    tracemalloc.start()
+    ngram_join.repeated(t, 3)
+    assert tracemalloc.get_traced_memory()[1] < t.nbytes / 2
+    tracemalloc.stop()
+    give_back()
+
+
 def test_lm_is_normalised():
     m = lm.LogBilinear(np.array([0.0, 0.2, 0.5, 0.3]), width=4)
     rng = np.random.default_rng(0)
