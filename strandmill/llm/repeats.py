@@ -1,9 +1,10 @@
 """Removal of repeated passages by longest-previous-factor arrays over suffixes that Spark deals to groups.
 
 A suffix has an earlier match if, in suffix order, the nearest suffix before or
-behind it that starts at a smaller place shares at least `length` bytes with it
-(previous and next smaller positions). Later matches go and their first
-occurrence stays; with keep_first=False the matched first occurrence goes too.
+behind it that starts at a smaller place shares at least `length` bytes with it:
+in an order by the first `length` bytes and then by place, the neighbour before
+(the previous smaller position). Later matches go and their first occurrence
+stays; with keep_first=False the matched first occurrence goes too.
 
 One suffix order of a corpus can't be held anywhere, so suffixes are dealt to
 groups in which all matches of a suffix meet. Each window of `length` bytes
@@ -35,17 +36,18 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandmill.llm.common import materialize, skew_safe_join, text_bytes, text_key
 from strandmill.llm.hashing import RunHash, bitmap_of, in_bitmap, mix
 
-#: Windows that are scanned at once, anchors held in a task before they are counted, bytes of a suffix array.
-SEGMENT, HELD, ARRAY_BYTES = 1 << 19, 1 << 20, 1 << 20
+#: Windows of a text that are scanned at once, bytes of texts that are scanned end to end, anchors held in a task before they are counted, bytes of a suffix array.
+SEGMENT, PACK, HELD, ARRAY_BYTES = 1 << 19, 1 << 16, 1 << 20, 1 << 20
 #: Different stretches of one gram that meet in a task; rows of a table that is broadcast, and of the items in it.
 MOST_STRETCHES, SENT_ROWS, SENT_ITEMS = 2048, 500_000, 2_000_000
-BASE = 0x9E3779B97F4A7C15
+BASE, SECOND_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 STRETCH_DDL = "doc_id long, th long, h long, f long, s int, c int"
 
 
@@ -67,14 +69,27 @@ def _window_minima(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[: n - w + 1], ahead[w - 1 : n])
 
 
-def stretches(data: np.ndarray, length: int, k: int, hashes: RunHash):
-    """Per run of windows with one smallest gram: hash of the gram, first window, number of windows. data holds at least length bytes and at most SEGMENT + length."""
-    h = hashes.grams(hashes.sums(data), k)
+def stretches(parts: list, length: int, k: int, hashes: RunHash):
+    """Per run of windows with one smallest gram, over byte arrays laid end to end: hash of the gram, first window, number of windows; and the prefix sums.
+
+    A part holds at least length bytes, all of them less than 2^20; no window spans two parts.
+    """
+    data = np.concatenate(parts) if len(parts) > 1 else parts[0]
+    sums = hashes.sums(data)
+    h = hashes.grams(sums, k)
     place = np.arange(len(h), dtype=np.uint64)
     low = np.uint64((1 << 20) - 1)
     at = (_window_minima((h & ~low) | place, length - k + 1) & low).astype(np.int64)
+    windows = None
+    if len(parts) > 1:
+        whole, end = np.ones(len(at), bool), 0
+        for part in parts[:-1]:
+            end += len(part)
+            whole[end - length + 1 : end] = False
+        windows = np.flatnonzero(whole)
+        at = at[windows]
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    return h[at[first]], first, np.diff(np.append(first, len(at)))
+    return h[at[first]], first if windows is None else windows[first], np.diff(np.append(first, len(at))), sums
 
 
 def _segments(text: bytes, length: int):
@@ -83,6 +98,19 @@ def _segments(text: bytes, length: int):
         yield at, np.frombuffer(text, np.uint8, min(len(text) - at, SEGMENT + length - 1), at)
 
 
+def _packs(pieces):
+    """Lists of (owner, place, bytes) to be scanned end to end: of PACK bytes at most, or one piece."""
+    held, size = [], 0
+    for piece in pieces:
+        if held and size + len(piece[2]) > PACK:
+            yield held
+            held, size = [], 0
+        held.append(piece)
+        size += len(piece[2])
+    if held:
+        yield held
+
+
 def _gram_counts(length: int, k: int):
     def task(batches):
         hashes, held, size = RunHash(BASE), [], 0
@@ -92,105 +120,131 @@ def _gram_counts(length: int, k: int):
             return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
         for batch in batches:
-            for text in text_bytes(batch.column(0)):
-                for _, data in _segments(text or b"", length):
-                    held.append(stretches(data, length, k, hashes)[0])
-                    size += len(held[-1])
-                    if size >= HELD:
-                        yield out()
-                        held, size = [], 0
+            for pack in _packs((0, at, data) for text in text_bytes(batch.column(0)) for at, data in _segments(text or b"", length)):
+                held.append(stretches([data for _, _, data in pack], length, k, hashes)[0])
+                size += len(held[-1])
+                if size >= HELD:
+                    yield out()
+                    held, size = [], 0
         if size:
             yield out()
 
     return task
 
 
-def _fingerprint(part: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(part, digest_size=8).digest(), "little", signed=True)
-
-
-def _stretch_batch(rows: list) -> pa.RecordBatch:
-    cols = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))]
-    return pa.RecordBatch.from_arrays(cols, ["doc_id", "th", "h", "f", "s", "c"])
-
-
-def _stretches_in(doc_id, th, text: bytes, start: int, end: int, length: int, k: int, hashes: RunHash, passes, salt: int = 0):
-    """Rows of the stretches of text[start:end] whose grams pass. Under a salt, grams of different parents differ."""
-    for at, data in _segments(text[start:end], length):
-        h, first, count = stretches(data, length, k, hashes)
-        if salt:
-            h = mix(h + np.uint64(salt))
-        for i in np.flatnonzero(passes(h)).tolist():
-            s, c = start + at + int(first[i]), int(count[i])
-            yield doc_id, th, int(h[i].view(np.int64)), _fingerprint(text[s : s + c + length - 1]), s, c
+def _stretches_of(pieces, doc_id: pa.Array, th: pa.Array, length: int, k: int, hashes: tuple[RunHash, RunHash], passes, salts: np.ndarray | None = None):
+    """Batches of the stretches of pieces (owner, place, bytes) whose grams pass; doc_id, th and salts are those of the owners. Under a salt, grams of different parents differ."""
+    for pack in _packs(pieces):
+        parts = [data for _, _, data in pack]
+        h, first, count, sums = stretches(parts, length, k, hashes[0])
+        size = np.array([len(x) for x in parts])
+        base = np.cumsum(size) - size
+        part = np.searchsorted(base, first, "right") - 1
+        owner = np.array([x[0] for x in pack])[part]
+        if salts is not None:
+            h = mix(h + salts[owner])
+        on = np.flatnonzero(passes(h))
+        if not len(on):
+            continue
+        h, first, count, part, owner = h[on], first[on], count[on], part[on], owner[on]
+        s = first - base[part] + np.array([x[1] for x in pack])[part]
+        # a stretch is told from others of its gram by the hashes of its bytes under two bases
+        end = first + count + (length - 1)
+        f = mix(hashes[0].runs(sums, first, end) * np.uint64(SECOND_BASE) + hashes[1].runs(hashes[1].sums(np.concatenate(parts)), first, end))
+        take = pa.array(owner)
+        yield pa.RecordBatch.from_arrays([doc_id.take(take), th.take(take), pa.array(h.view(np.int64)), pa.array(f.view(np.int64)), pa.array(s.astype(np.int32)), pa.array(count.astype(np.int32))], ["doc_id", "th", "h", "f", "s", "c"])
+
+
+def _hashes() -> tuple[RunHash, RunHash]:
+    return RunHash(BASE), RunHash(SECOND_BASE)
 
 
 def _repeated_stretches(length: int, k: int, sent, bits: int):
     def task(batches):
-        hashes, rows, bitmap = RunHash(BASE), [], sent.value
+        hashes, bitmap = _hashes(), sent.value
         for batch in batches:
-            for doc_id, th, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2))):
-                for row in _stretches_in(doc_id, th, text or b"", 0, len(text or b""), length, k, hashes, lambda h: in_bitmap(h, bitmap, bits)):
-                    rows.append(row)
-                    if len(rows) >= 1 << 16:
-                        yield _stretch_batch(rows)
-                        rows = []
-        if rows:
-            yield _stretch_batch(rows)
+            pieces = ((i, at, data) for i, text in enumerate(text_bytes(batch.column(2))) for at, data in _segments(text or b"", length))
+            yield from _stretches_of(pieces, batch.column(0), batch.column(1), length, k, hashes, lambda h: in_bitmap(h, bitmap, bits))
 
     return task
 
 
-def _dense(key: np.ndarray) -> np.ndarray:
-    order = np.argsort(key)
-    sorted_key = key[order]
-    new = np.zeros(len(key), np.int64)
-    np.cumsum(sorted_key[1:] != sorted_key[:-1], out=new[1:])
-    rank = np.empty(len(key), np.int64)
-    rank[order] = new
+def _dense(key: np.ndarray, bits: int) -> np.ndarray:
+    """Ranks of less than 2^bits keys below 2^(2 * bits): a key is sorted with its place in one word, if they fit."""
+    if 3 * bits <= 64:
+        word = np.sort((key << np.uint64(bits)) | np.arange(len(key), dtype=np.uint64))
+        place = (word & np.uint64((1 << bits) - 1)).astype(np.int64)
+        word >>= np.uint64(bits)
+    else:
+        place = np.argsort(key)
+        word = key[place]
+    rank = np.empty(len(key), np.uint64)
+    rank[place] = np.concatenate(([0], np.cumsum(word[1:] != word[:-1]))).astype(np.uint64)
     return rank
 
 
-def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
-    """Rank of each suffix among all by its first `length` bytes (0 behind the end), equal for equal prefixes: prefix doubling, from words of up to 8 bytes."""
-    n, step = len(data), min(8, length)
+def suffix_ranks(data: np.ndarray, length: int, starts: np.ndarray | None = None) -> np.ndarray:
+    """Rank of each suffix (or of those at starts) among them by its first `length` bytes (0 behind the end), equal for equal prefixes: prefix doubling, from words of as many bytes as fit.
+
+    The last doublings only rank the places that starts are made of.
+    """
+    n = len(data)
+    bits = n.bit_length()
+    used = np.bincount(data, minlength=256) > 0
+    wide = max(1, int(used.sum() - 1).bit_length())
+    code = (np.cumsum(used) - 1).astype(np.uint64)[data]
+    step = min(length, max(1, (64 - bits) // wide))
     padded = np.zeros(n + step, np.uint64)
-    padded[:n] = data
+    padded[:n] = code
     word = np.zeros(n, np.uint64)
     for j in range(step):
-        word = (word << np.uint64(8)) | padded[j : j + n]
-    rank = _dense(word)
-    while step < length:
-        shift = min(step, length - step)
-        behind = np.zeros(n, np.int64)
-        behind[: max(0, n - shift)] = rank[shift:] + 1
-        rank = _dense(rank * (n + 1) + behind)
-        step += shift
-    return rank
-
-
-def smaller_before(places: np.ndarray) -> np.ndarray:
-    """Index of the nearest smaller value before each one, or -1. Pointers jump over what is larger."""
-    at = np.arange(-1, len(places) - 1)
-    todo = np.flatnonzero((at >= 0) & (places[np.maximum(at, 0)] > places))
-    while len(todo):
-        at[todo] = at[at[todo]]
-        todo = todo[(at[todo] >= 0) & (places[np.maximum(at[todo], 0)] > places[todo])]
-    return at
+        word = (word << np.uint64(wide)) | padded[j : j + n]
+    # lengths of the doublings, and backwards from the last one the places that each has to rank
+    steps = [step]
+    while steps[-1] < length:
+        steps.append(min(2 * steps[-1], length))
+    asked = [starts]
+    for have, want in zip(steps[-2::-1], steps[:0:-1]):
+        at = asked[-1]
+        if at is not None:
+            needed = np.zeros(n, bool)
+            needed[at] = True
+            behind = at + (want - have)
+            needed[behind[behind < n]] = True
+            at = np.flatnonzero(needed)
+        asked.append(at)
+    asked.reverse()
+    rank = np.zeros(n, np.uint64)
+    for i, at in enumerate(asked):
+        if i:
+            shift = steps[i] - steps[i - 1]
+            if at is None:
+                behind = np.zeros(n, np.uint64)
+                behind[: max(0, n - shift)] = rank[shift:] + np.uint64(1)
+                key = (rank << np.uint64(bits)) | behind
+            else:
+                far = at + shift
+                behind = np.where(far < n, rank[np.minimum(far, n - 1)] + np.uint64(1), np.uint64(0))
+                key = (rank[at] << np.uint64(bits)) | behind
+        else:
+            key = word if at is None else word[at]
+        rank[slice(None) if at is None else at] = _dense(key, bits)
+    return (rank if starts is None else rank[starts]).astype(np.int64)
 
 
 def previous_factors(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """For each suffix start a smaller start that shares `length` bytes, or -1: longest previous factors, of which only those of `length` and more matter."""
-    rank = suffix_ranks(data, length)[starts]
-    order = np.argsort(rank * (len(data) + 1) + starts)
-    places, ranks = starts[order], rank[order]
-    before = smaller_before(places)
-    behind = len(places) - 1 - smaller_before(places[::-1])[::-1]
+    """For each suffix start (ascending) a smaller start that shares `length` bytes, or -1: longest previous factors, of which only those of `length` and more matter.
+
+    Suffixes are in order of their first `length` bytes, ties by place, so where the
+    previous smaller position shares them, it is the neighbour before; the next
+    smaller one never does.
+    """
+    rank = suffix_ranks(data, length, starts)
+    order = np.sort(rank << 32 | np.arange(len(rank)))
+    rank, order = order >> 32, order & 0xFFFFFFFF
+    same = np.flatnonzero(rank[1:] == rank[:-1])
     found = np.full(len(starts), -1, np.int64)
-    for near in (behind % max(1, len(places)), before):
-        # -1 and the end stand for no neighbour: both name a place that isn't smaller or isn't equal
-        same = (near >= 0) & (ranks[near] == ranks) & (places[near] < places)
-        found[order[same]] = places[near[same]]
+    found[order[same + 1]] = starts[order[same]]
     return found
 
 
@@ -256,14 +310,13 @@ def _requested(length: int, k: int | None):
                     yield doc_id, th, r["h"], r["s"], r["s"] + r["c"] + length - 1, text
 
     def cut(batches):
-        hashes, rows = RunHash(BASE), []
-        for doc_id, th, h, s, e, text in parts(batches):
-            rows += _stretches_in(doc_id, th, text, s, e, length, k, hashes, lambda x: np.ones(len(x), bool), (h & ((1 << 64) - 1)) | 1)
-            if len(rows) >= 1 << 16:
-                yield _stretch_batch(rows)
-                rows = []
-        if rows:
-            yield _stretch_batch(rows)
+        hashes = _hashes()
+        for batch in batches:
+            asked = batch.column(3)
+            owner = np.repeat(np.arange(len(asked)), pc.list_value_length(asked).to_numpy())
+            salts = pc.struct_field(asked.flatten(), "h").to_numpy().view(np.uint64) | np.uint64(1)
+            pieces = ((i, s + at, data) for i, (_, _, _, s, e, text) in enumerate(parts([batch])) for at, data in _segments(text[s:e], length))
+            yield from _stretches_of(pieces, batch.column(0).take(pa.array(owner)), batch.column(1).take(pa.array(owner)), length, k, hashes, lambda x: np.ones(len(x), bool), salts)
 
     def read(batches):
         names = ["h", "doc_id", "th", "s", "part"]
@@ -354,14 +407,19 @@ def repeated_spans(docs: DataFrame, length: int = 200, keep_first: bool = True)
 
 def _merged(batches):
     for batch in batches:
-        rows = []
-        for spans in batch.column(2).to_pylist():
-            x = np.array(sorted((s["a"], s["b"]) for s in spans), np.int64)
-            top = np.maximum.accumulate(x[:, 1])
-            new = np.flatnonzero(np.concatenate(([True], x[1:, 0] > top[:-1])))
-            rows.append([{"a": a, "b": b} for a, b in zip(x[new, 0].tolist(), top[np.append(new[1:], len(x)) - 1].tolist())])
-        kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, kind)], ["doc_id", "th", "items"])
+        spans = batch.column(2)
+        owner = np.repeat(np.arange(len(spans)), pc.list_value_length(spans).to_numpy())
+        a, b = (pc.struct_field(spans.flatten(), x).to_numpy().astype(np.int64) for x in ("a", "b"))
+        order = np.argsort(owner << 32 | a)
+        a, b = a[order], b[order]
+        # the largest end so far in a text: those of later texts count from a larger base
+        top = np.maximum.accumulate(owner << 32 | b) - (owner << 32)
+        new = np.concatenate(([True], (owner[1:] != owner[:-1]) | (a[1:] > top[:-1]))) if len(a) else np.zeros(0, bool)
+        first = np.flatnonzero(new)
+        ends = top[np.append(first[1:], len(a)) - 1] if len(a) else top
+        offsets = np.concatenate(([0], np.cumsum(np.bincount(owner[first], minlength=len(spans))))).astype(np.int32)
+        items = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in (a[first], ends)], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets), items)], ["doc_id", "th", "items"])
 
 
 def _with_spans(docs: DataFrame, length: int, keep_first: bool) -> DataFrame:

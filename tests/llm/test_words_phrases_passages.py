@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from strandmill.llm import collocations, repeats, variants
 
@@ -211,3 +212,49 @@ def test_window_minima():
     x = np.random.default_rng(1).integers(0, 1 << 60, 1000).astype(np.uint64)
     for w in (1, 2, 7, 999, 1000):
         assert repeats._window_minima(x, w).tolist() == [int(x[i : i + w].min()) for i in range(1000 - w + 1)]
+
+
+def test_stretches_of_texts_end_to_end():
+    """Texts that are scanned together give the stretches that each of them has alone, and equal bytes the same hashes wherever they lie."""
+    rng, length, k = random.Random(17), 20, 6
+    shared = bytes(rng.choices(b"abc", k=60))
+    texts = [bytes(rng.choices(b"abc", k=n)) + shared[: n % 61] for n in (20, 21, 300, 45, repeats.PACK, 20, 90, 0, 19)]
+    ids, keys = pa.array([5, None, 7, 8, 9, 10, 11, 12, 13], pa.int64()), pa.array(range(9), pa.int64())
+    pieces = [(i, at, data) for i, t in enumerate(texts) for at, data in repeats._segments(t, length)]
+    every = lambda h: np.ones(len(h), bool)
+    found = lambda some: [tuple(r.values()) for b in repeats._stretches_of(some, ids, keys, length, k, repeats._hashes(), every) for r in b.to_pylist()]
+    together, alone = found(pieces), [r for p in pieces for r in found([p])]
+    assert together == alone and len(list(repeats._packs(pieces))) == 3
+    seen, by_bytes = {}, {}
+    for doc_id, th, h, f, s, c in together:
+        seen.setdefault(th, []).extend(range(s, s + c))
+        part = texts[th][s : s + c + length - 1]
+        assert ids[th].as_py() == doc_id and by_bytes.setdefault(part, (h, f)) == (h, f)
+    assert seen == {i: list(range(len(t) - length + 1)) for i, t in enumerate(texts) if len(t) >= length}
+    assert len({f for _, f in by_bytes.values()}) == len(by_bytes)
+
+
+def test_suffix_ranks_of_starts():
+    """Ranks of some starts only are in the order of those of all, with keys that fit a word beside their place and with those that don't."""
+    rng = random.Random(19)
+    for length, letters in ((1, 2), (7, 256), (20, 3), (100, 2), (200, 1)):
+        data = np.array(rng.choices(range(letters), k=700), np.uint8)
+        starts = np.array(sorted(rng.sample(range(700 - length + 1), 90)))
+        every = repeats.suffix_ranks(data, length)[starts]
+        assert repeats.suffix_ranks(data, length, starts).tolist() == np.unique(every, return_inverse=True)[1].tolist()
+    key = np.array(rng.choices(range(1 << 30), k=50) * 2, np.uint64)
+    assert repeats._dense(key, 20).tolist() == repeats._dense(key, 22).tolist() == np.unique(key, return_inverse=True)[1].tolist()
+
+
+def test_merged_spans():
+    """Spans that overlap or touch become one, text by text."""
+    spans = [[(5, 9), (0, 3), (3, 4)], [(0, 2)], [(7, 8), (1, 9), (9, 10), (12, 13)], [(0, 1), (0, 1)]]
+    kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+    rows = pa.array([[{"a": a, "b": b} for a, b in x] for x in spans], kind)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, None, 3, 4], pa.int64()), pa.array([0, 0, 0, 0], pa.int64()), rows], ["doc_id", "th", "items"])
+    (out,) = repeats._merged([batch])
+    assert [[tuple(s.values()) for s in x] for x in out.column(2).to_pylist()] == [[(0, 4), (5, 9)], [(0, 2)], [(1, 10), (12, 13)], [(0, 1)]]
+    (some,) = repeats._merged([batch.slice(2, 1)])
+    assert [[tuple(s.values()) for s in x] for x in some.column(2).to_pylist()] == [[(1, 10), (12, 13)]]
+    (none,) = repeats._merged([batch.slice(0, 0)])
+    assert none.num_rows == 0
