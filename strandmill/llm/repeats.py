@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.llm.common import materialize, skew_safe_join, text_bytes, text_key
+from strandmill.llm.common import map_batches, materialize, skew_safe_join, text_bytes, text_key
 from strandmill.llm.hashing import RunHash, bitmap_of, in_bitmap, mix
 
 #: Windows of a text that are scanned at once, bytes of texts that are scanned end to end, anchors held in a task before they are counted, bytes of a suffix array.
@@ -172,17 +172,36 @@ def _repeated_stretches(length: int, k: int, sent, bits: int):
 def _dense(key: np.ndarray, bits: int) -> np.ndarray:
     """Ranks of less than 2^bits keys below 2^(2 * bits): a key is sorted with its place in one word, if they fit."""
     if 3 * bits <= 64:
-        word = np.sort((key << np.uint64(bits)) | np.arange(len(key), dtype=np.uint64))
-        place = (word & np.uint64((1 << bits) - 1)).astype(np.int64)
-        word >>= np.uint64(bits)
+        key = key << np.uint64(bits)
+        key |= np.arange(len(key), dtype=np.uint64)
+        key.sort()
+        place = (key & np.uint64((1 << bits) - 1)).astype(np.uint32)
+        key >>= np.uint64(bits)
     else:
         place = np.argsort(key)
-        word = key[place]
-    rank = np.empty(len(key), np.uint64)
-    rank[place] = np.concatenate(([0], np.cumsum(word[1:] != word[:-1]))).astype(np.uint64)
+        key = key[place]
+    new = np.zeros(len(key), np.uint32)
+    np.cumsum(key[1:] != key[:-1], out=new[1:])
+    rank = np.empty(len(key), np.uint32)
+    rank[place] = new
     return rank
 
 
+def _places(starts: np.ndarray | None, steps: list[int], n: int) -> list[np.ndarray | None]:
+    """The places that each doubling has to rank for those that the next one ranks, at last starts; None for all, also where most are needed."""
+    asked = [starts]
+    for have, want in zip(steps[-2::-1], steps[:0:-1]):
+        at = asked[-1]
+        if at is not None:
+            needed = np.zeros(n, bool)
+            needed[at] = True
+            behind = at + (want - have)
+            needed[behind[behind < n]] = True
+            at = np.flatnonzero(needed).astype(np.uint32) if 4 * np.count_nonzero(needed) < 3 * n else None
+        asked.append(at)
+    return asked[::-1]
+
+
 def suffix_ranks(data: np.ndarray, length: int, starts: np.ndarray | None = None) -> np.ndarray:
     """Rank of each suffix (or of those at starts) among them by its first `length` bytes (0 behind the end), equal for equal prefixes: prefix doubling, from words of as many bytes as fit.
 
@@ -192,43 +211,33 @@ def suffix_ranks(data: np.ndarray, length: int, starts: np.ndarray | None = None
     bits = n.bit_length()
     used = np.bincount(data, minlength=256) > 0
     wide = max(1, int(used.sum() - 1).bit_length())
-    code = (np.cumsum(used) - 1).astype(np.uint64)[data]
     step = min(length, max(1, (64 - bits) // wide))
-    padded = np.zeros(n + step, np.uint64)
-    padded[:n] = code
+    code = np.zeros(n + step, np.uint8)
+    code[:n] = (np.cumsum(used) - 1).astype(np.uint8)[data]
     word = np.zeros(n, np.uint64)
     for j in range(step):
-        word = (word << np.uint64(wide)) | padded[j : j + n]
-    # lengths of the doublings, and backwards from the last one the places that each has to rank
+        word <<= np.uint64(wide)
+        word |= code[j : j + n]
     steps = [step]
     while steps[-1] < length:
         steps.append(min(2 * steps[-1], length))
-    asked = [starts]
-    for have, want in zip(steps[-2::-1], steps[:0:-1]):
-        at = asked[-1]
-        if at is not None:
-            needed = np.zeros(n, bool)
-            needed[at] = True
-            behind = at + (want - have)
-            needed[behind[behind < n]] = True
-            at = np.flatnonzero(needed)
-        asked.append(at)
-    asked.reverse()
-    rank = np.zeros(n, np.uint64)
-    for i, at in enumerate(asked):
-        if i:
-            shift = steps[i] - steps[i - 1]
-            if at is None:
-                behind = np.zeros(n, np.uint64)
-                behind[: max(0, n - shift)] = rank[shift:] + np.uint64(1)
-                key = (rank << np.uint64(bits)) | behind
-            else:
-                far = at + shift
-                behind = np.where(far < n, rank[np.minimum(far, n - 1)] + np.uint64(1), np.uint64(0))
-                key = (rank[at] << np.uint64(bits)) | behind
+    asked = _places(starts, steps, n)
+    rank = np.zeros(n, np.uint32)
+    at = slice(None) if asked[0] is None else asked[0]
+    rank[at] = _dense(word[at], bits)
+    del word
+    for have, want, places in zip(steps, steps[1:], asked[1:]):
+        shift, at = want - have, slice(None) if places is None else places
+        key = rank[at].astype(np.uint64)
+        key <<= np.uint64(bits)
+        # a suffix that ends before the second half comes first
+        if places is None:
+            key[: max(0, n - shift)] += rank[shift:] + np.uint64(1)
         else:
-            key = word if at is None else word[at]
-        rank[slice(None) if at is None else at] = _dense(key, bits)
+            inside = places < max(0, n - shift)
+            key[inside] += rank[places[inside] + shift] + np.uint64(1)
+        rank[at] = _dense(key, bits)
+        del key
     return (rank if starts is None else rank[starts]).astype(np.int64)
 
 
@@ -365,10 +374,10 @@ def repeated_spans(docs: DataFrame, length: int = 200, keep_first: bool = True)
     """doc_id, th, a, b: byte ranges that cover what is to go of each text; they may overlap or repeat."""
     spark, levels = docs.sparkSession, gram_lengths(length)
     texts = _keyed(docs)
-    grams = texts.select("text").mapInArrow(_gram_counts(length, levels[0]), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    grams = map_batches(texts.select("text"), _gram_counts(length, levels[0]), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     bitmap, bits = bitmap_of(grams.where("n > 1"), "h", "repeated-grams")
     sent = spark.sparkContext.broadcast(bitmap)
-    found = materialize(texts.mapInArrow(_repeated_stretches(length, levels[0], sent, bits), STRETCH_DDL), "stretches")
+    found = materialize(map_batches(texts, _repeated_stretches(length, levels[0], sent, bits), STRETCH_DDL), "stretches")
     span = lambda rows: rows.select("doc_id", "th", F.col("s").alias("a"), (F.col("s") + F.col("c") + F.lit(length - 1)).alias("b"))
     out = []
     for level, k in enumerate(levels):
@@ -392,13 +401,13 @@ def repeated_spans(docs: DataFrame, length: int = 200, keep_first: bool = True)
         heavy = sizes.where(F.col("g") > MOST_STRETCHES)
         groups = skew_safe_join(mixed, sizes, "h", "g", how="inner")
         small = groups if last else groups.where(F.col("g") <= MOST_STRETCHES)
-        parts = _ask(docs, small, "asked").mapInArrow(_requested(length, None), "h long, doc_id long, th long, s int, part binary")
-        spans = parts.repartition("h").sortWithinPartitions("h", "doc_id", "th", "s").mapInArrow(_match_groups(length, keep_first), "doc_id long, th long, a int, b int")
+        parts = map_batches(_ask(docs, small, "asked"), _requested(length, None), "h long, doc_id long, th long, s int, part binary")
+        spans = map_batches(parts.repartition("h").sortWithinPartitions("h", "doc_id", "th", "s"), _match_groups(length, keep_first), "doc_id long, th long, a int, b int")
         out.append(materialize(spans, "matches"))
         if last or heavy.isEmpty():
             break
         large = groups.where(F.col("g") > MOST_STRETCHES)
-        found = materialize(_ask(docs, large, "asked-again").mapInArrow(_requested(length, levels[level + 1]), STRETCH_DDL), "stretches")
+        found = materialize(map_batches(_ask(docs, large, "asked-again"), _requested(length, levels[level + 1]), STRETCH_DDL), "stretches")
     spans = out[0]
     for more in out[1:]:
         spans = spans.unionByName(more)
@@ -425,7 +434,7 @@ def _merged(batches):
 def _with_spans(docs: DataFrame, length: int, keep_first: bool) -> DataFrame:
     spans = repeated_spans(docs, length, keep_first)
     grouped = spans.groupBy("doc_id", "th").agg(F.collect_set(F.struct("a", "b")).alias("items"))
-    merged = materialize(grouped.mapInArrow(_merged, "doc_id long, th long, items array<struct<a: int, b: int>>"), "spans")
+    merged = materialize(map_batches(grouped, _merged, "doc_id long, th long, items array<struct<a: int, b: int>>"), "spans")
     items = merged.agg(F.sum(F.size("items"))).first()[0] or 0
     return _joined(_keyed(docs), merged, items, "left").select("doc_id", "text", "items")
 
@@ -451,7 +460,7 @@ def _digests(batches):
 
 def remove_repeats(docs: DataFrame, length: int = 200, keep_first: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: a row per row of docs."""
-    return _with_spans(docs, length, keep_first).mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return map_batches(_with_spans(docs, length, keep_first), _digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def cleaned_texts(docs: DataFrame, length: int = 200, keep_first: bool = True) -> DataFrame:
@@ -462,4 +471,4 @@ def cleaned_texts(docs: DataFrame, length: int = 200, keep_first: bool = True) -
             texts = [_kept_bytes(t or b"", s).decode("utf-8", "ignore") for s, t in zip(batch.column(2).to_pylist(), text_bytes(batch.column(1)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return _with_spans(docs, length, keep_first).mapInArrow(task, "doc_id long, text string")
+    return map_batches(_with_spans(docs, length, keep_first), task, "doc_id long, text string")
