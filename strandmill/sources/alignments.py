@@ -33,6 +33,8 @@ SCORES = bytes((x + 33) & 255 for x in range(256))
 CHAIN = 8
 #: Bytes of the first read of a file, and of a read within a long range.
 HEAD_BYTES, MOST_READ = 1 << 14, 4 << 20
+#: Tasks a core at least, if there are ranges enough: a byte of records costs more than one of text, and how much differs by range.
+RECORD_TASKS = 8
 RANGE_DDL = "path string, size long, lo long, hi long, exact boolean"
 
 
@@ -239,7 +241,7 @@ def region_ranges(spark: SparkSession, path: str, region: tuple[str, int, int],
 
 
 def read_bam(spark: SparkSession, path: str, region: tuple[str, int, int] | None = None, split_bytes: int = SPLIT_BYTES, indexed: bool = False) -> DataFrame:
-    """Mapped records of BAM files, a task a range of split_bytes.
+    """Mapped records of BAM files, read in ranges of split_bytes; short ranges share tasks.
 
     region: contig, start, end (1-based, both included): records that overlap it,
     found through the files' indexes. indexed: a file without one is an error
@@ -271,7 +273,7 @@ def read_bam(spark: SparkSession, path: str, region: tuple[str, int, int] | None
         if rows:
             yield batch_of(rows)
 
-    out = spread(ranges, F.expr(BYTES)).mapInArrow(task, READ_DDL.split(", ", 1)[1]).withColumn("read_id", F.monotonically_increasing_id())
+    out = spread(ranges, F.expr(BYTES), RECORD_TASKS).mapInArrow(task, READ_DDL.split(", ", 1)[1]).withColumn("read_id", F.monotonically_increasing_id())
     return out.select(*(c.split()[0] for c in READ_DDL.split(", ")))
 
 

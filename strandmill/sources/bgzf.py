@@ -140,11 +140,11 @@ def file_ranges(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES,
     return files.withColumn("start", start).withColumn("end", F.least(F.col("start") + split_bytes, "size"))
 
 
-def spread(ranges: DataFrame, length: Column | None = None) -> DataFrame:
-    """A task a range; with the length of each, short ranges share tasks of SPLIT_BYTES, so that a task's own cost isn't paid for each."""
+def spread(ranges: DataFrame, length: Column | None = None, per_core: int = 4) -> DataFrame:
+    """A task a range; with the length of each, short ranges share tasks of SPLIT_BYTES, or per_core tasks a core if those are more, so that a task's own cost isn't paid for each."""
     n, size = ranges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.lit(0) if length is None else length), F.lit(0))).first()
     if length is not None:
-        n = min(n, max(4 * ranges.sparkSession.sparkContext.defaultParallelism, -(-size // SPLIT_BYTES)))
+        n = min(n, max(per_core * ranges.sparkSession.sparkContext.defaultParallelism, -(-size // SPLIT_BYTES)))
     return ranges.repartition(max(1, min(n, MOST_TASKS)))
 
 
